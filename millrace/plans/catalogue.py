@@ -1,0 +1,4 @@
+"""Queries of the stream operators and their DuckDB SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
