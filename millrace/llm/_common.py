@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def id_type(df: DataFrame, id_col: str) -> str:
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose ``column`` has about ``most`` bytes at the most, one row at least."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     at = 0
     while at < batch.num_rows:
         n = int(np.searchsorted(np.cumsum(lengths[at:]), most, "right"))
