@@ -144,8 +144,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of concatenated texts, A-Z lowered.
+#: Bytes between words where punctuation counts as well: all of ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or what ``space`` leaves) of concatenated texts, A-Z lowered.
 
     Gives each word's 64-bit hash, first byte, byte after the last, and for each text the index of its first word (texts + 1).
     A word's hash is a polynomial over mixed byte values, taken from prefix sums, then mixed.
@@ -154,7 +158,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, base: int = 0) -> tuple[np
     if not n:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     cut = offsets[:-1][offsets[:-1] < n]

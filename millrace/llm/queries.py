@@ -8,13 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import bpe_decode, bpe_encode
+from millrace.llm.license_scan import scan_licenses
+from millrace.llm.media import jpeg_features, store_texts
+from millrace.llm.secret_scan import KINDS, scan_secrets, spans_text
 from millrace.llm.token_counts import context_totals, length_histogram
+from millrace.llm.token_files import token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jpeg_features(store_texts(table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("thumbnail").cast("long").alias("payload_bytes"), F.sha2("thumbnail", 256).alias("payload_sha256"),
+        F.crc32(F.substring("thumbnail", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")), F.col("n_images").cast("string"), "thumbnail_hash").alias("feature"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -24,8 +37,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spans = scan_secrets(table(spark, sf_dir, "documents")), F.col("spans")
+    kinds = F.transform(spans, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return out.select("doc_id", *counts, F.sha2(spans_text(spans, base=True), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
+    "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
+    "op9_token_files": op9_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
