@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import bpe_decode, bpe_encode
 from millrace.llm.license_scan import scan_licenses
 from millrace.llm.media import jpeg_features, store_texts
+from millrace.llm.ngram_join import ngram_components
 from millrace.llm.secret_scan import KINDS, scan_secrets, spans_text
 from millrace.llm.token_counts import context_totals, length_histogram
 from millrace.llm.token_files import token_files
@@ -48,6 +49,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
+    "op7_ngram_join": op7_ngram_join,
     "op9_token_files": op9_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
