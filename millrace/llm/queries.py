@@ -14,6 +14,7 @@ from millrace.llm.ngram_join import ngram_components
 from millrace.llm.secret_scan import KINDS, scan_secrets, spans_text
 from millrace.llm.token_counts import context_totals, length_histogram
 from millrace.llm.token_files import token_files
+from millrace.llm.warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
     "op7_ngram_join": op7_ngram_join,
+    "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
