@@ -17,8 +17,8 @@ from millrace.llm._common import arrow_map, id_type, pick, vocabulary
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-#: Pieces of text whose ids a worker remembers; beyond it, it begins anew.
-MEMO = 600_000
+#: Pieces of text in each of the two generations that a worker remembers.
+MEMO = 400_000
 NONE = 1 << 62
 POS = 32
 
@@ -31,15 +31,19 @@ def byte_symbols() -> list[str]:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks."""
+    """A dictionary that computes what it lacks. When it is full it becomes the old generation; what is asked for again comes back from there."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 

@@ -13,6 +13,8 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import arrow_map, forget, id_type, pick, vocabulary, written
-from millrace.llm.bpe import MEMO, WHITE
+from millrace.llm.bpe import WHITE, byte_symbols
 
+#: Words in each of the two generations that a worker remembers.
+MEMO = 700_000
 MAGIC = b"MRT1"
 #: Ids of one shard, unless a single document has more.
 SHARD_IDS = 1 << 20
@@ -68,20 +72,47 @@ class Words:
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(byte_symbols()))
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ",."}
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() drops them, the pattern's white space has none
         self.wide = re.compile(f"[^{WHITE}]+").findall
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self.wide(t) if self.odd(t) else t.split() for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        if new:
-            if len(known) + len(new) > MEMO:
-                known.clear()
-                new = list({w for ws in words for w in ws})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        here: dict[str, bytes] = dict.fromkeys(chain.from_iterable(words))
+        known, old, marks = self.known, self.old, self.marks
+        if len(known) >= MEMO:
+            old = self.old = known
+            known = self.known = {}
+        parts, new = [], {}
+        for w in here:
+            core, mark = w, b""
+            if w[-1] in marks and w[-2:-1].isalpha():  # a mark after a letter is a token of its own
+                core, mark = w[:-1], marks[w[-1]]
+            if core.isascii():
+                core = core.lower()
+            ids = known.get(core)
+            if ids is None:
+                ids = old.get(core)
+                if ids is None:
+                    new[core] = None
+                    parts.append((w, core, mark))
+                    continue
+                known[core] = ids
+            here[w] = ids + mark if mark else ids
+        rest, tokenize = [], self.model.tokenize
+        for w in new:  # a lower-case word of letters in normal form is one piece for the model
+            if w.isalpha() and w.islower() and is_normalized("NFC", w):
+                known[w] = np.array([t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))], self.dtype).tobytes()
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.dtype).tobytes()
+        for w, core, mark in parts:
+            here[w] = known[core] + mark
+        return [b"".join(map(here.__getitem__, ws)) for ws in words]
 
 
 @lru_cache(2)
