@@ -16,7 +16,7 @@ from millrace.llm._common import chunks, pick, vocabulary
 from millrace.llm.bpe import WHITE, Memo
 
 #: Lengths in one block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 64
 
 
 class Lengths:
