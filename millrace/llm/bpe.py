@@ -33,11 +33,11 @@ def byte_symbols() -> list[str]:
 class Memo(dict):
     """A dictionary that computes what it lacks. When it is full it becomes the old generation; what is asked for again comes back from there."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int = MEMO):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         out = self.old.get(key)

@@ -13,7 +13,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -22,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import arrow_map, forget, id_type, pick, vocabulary, written
-from millrace.llm.bpe import WHITE, byte_symbols
+from millrace.llm._common import chunks, forget, id_type, pick, vocabulary, written
+from millrace.llm.bpe import WHITE, Memo, byte_symbols
 
 #: Words in each of the two generations that a worker remembers.
-MEMO = 700_000
+MEMO = 600_000
 MAGIC = b"MRT1"
 #: Ids of one shard, unless a single document has more.
 SHARD_IDS = 1 << 20
@@ -71,48 +70,29 @@ class Words:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Memo(self._word, MEMO)
         self.model = self.tokenizer.model
         self.shown = dict(enumerate(byte_symbols()))
         self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ",."}
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() drops them, the pattern's white space has none
         self.wide = re.compile(f"[^{WHITE}]+").findall
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.wide(t) if self.odd(t) else t.split() for t in texts]
-        here: dict[str, bytes] = dict.fromkeys(chain.from_iterable(words))
-        known, old, marks = self.known, self.old, self.marks
-        if len(known) >= MEMO:
-            old = self.old = known
-            known = self.known = {}
-        parts, new = [], {}
-        for w in here:
-            core, mark = w, b""
-            if w[-1] in marks and w[-2:-1].isalpha():  # a mark after a letter is a token of its own
-                core, mark = w[:-1], marks[w[-1]]
-            if core.isascii():
-                core = core.lower()
-            ids = known.get(core)
-            if ids is None:
-                ids = old.get(core)
-                if ids is None:
-                    new[core] = None
-                    parts.append((w, core, mark))
-                    continue
-                known[core] = ids
-            here[w] = ids + mark if mark else ids
-        rest, tokenize = [], self.model.tokenize
-        for w in new:  # a lower-case word of letters in normal form is one piece for the model
-            if w.isalpha() and w.islower() and is_normalized("NFC", w):
-                known[w] = np.array([t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.shown))], self.dtype).tobytes()
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
-        for w, core, mark in parts:
-            here[w] = known[core] + mark
-        return [b"".join(map(here.__getitem__, ws)) for ws in words]
+    def _core(self, word: str) -> bytes:
+        """A word without case and a final mark. A lower-case word of letters in normal form is one piece for the model."""
+        if word.isalpha() and word.islower() and is_normalized("NFC", word):
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.shown))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        core = word.lower() if word.isascii() else word
+        if core[-1] in self.marks and core[-2:-1].isalpha():  # a mark after a letter is a token of its own
+            return self.known[core[:-1]] + self.marks[core[-1]]
+        return self.known[core] if core is not word and core != word else self._core(core)
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.wide(text) if self.odd(text) else text.split()))
 
 
 @lru_cache(2)
@@ -121,39 +101,44 @@ def words(path: str) -> Words:
 
 
 def tokenized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2) -> DataFrame:
-    """doc_id, ids (binary, little-endian, 2 bytes each if the vocabulary allows): each whole text's ids and the end id."""
+    """doc_id, ids (binary, little-endian, 2 bytes each if the vocabulary allows): each whole text's ids and the end id.
+
+    Each task adds a row in which ``counts`` isn't null: how often it has put out each id (binary, 64-bit).
+    """
     path = path or vocabulary("word_bpe_49k.json")
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
         end = b"" if end_id is None else np.array([end_id], w.dtype).tobytes()
+        counts = np.zeros(max(w.size, (end_id or 0) + 1), np.int64)
+        names, some = ["doc_id", "ids", "counts"], None
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                ids = [w.encode(t) + end for t in part.column("text").to_pylist()]
+                counts += np.bincount(np.frombuffer(b"".join(ids), w.dtype), minlength=len(counts))
+                some = part.column("doc_id")
+                yield pa.RecordBatch.from_arrays([some, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if some is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, some.type), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
-        def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [x + end for x in w.encode(batch.column("text").to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-        return part
+    return pick(df, id_col, text_col).mapInArrow(run, f"doc_id {id_type(df, id_col)}, ids binary, counts binary")
 
-    return arrow_map(pick(df, id_col, text_col), make, f"doc_id {id_type(df, id_col)}, ids binary", "text")
 
-
-def frequency_ranks(tokens: DataFrame, width: int, size: int) -> DataFrame:
-    """rank, id: every id that occurs, the most frequent first, ties by id. Each task sends one count for each id at most, so the table is as large as the vocabulary at most."""
-    dtype = f"<u{width}"
+def frequency_ranks(counts: DataFrame, size: int) -> DataFrame:
+    """rank, id: every id that occurs, the most frequent first, ties by id, from the tasks' ``counts``. The table is as large as the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                got = np.bincount(np.frombuffer(x, dtype))
-                n[: len(got)] += got
+            for x in b.column("counts").to_pylist():
+                n += np.frombuffer(x, np.int64)
         at = np.flatnonzero(n)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))  # `size` rows at most
-    return tokens.sparkSession.createDataFrame([(k, i) for k, (_, i) in enumerate(rows)], "rank int, id int")
+    sums = counts.select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = sorted(((r["n"], r["id"]) for r in sums.collect()), key=lambda x: (-x[0], x[1]))  # `size` rows at most
+    return counts.sparkSession.createDataFrame([(k, i) for k, (_, i) in enumerate(rows)], "rank int, id int")
 
 
 def shard_bytes(doc_ids: list[int | None], ids: list[bytes], rank: np.ndarray, dtype: str, before: int) -> bytes:
@@ -180,13 +165,13 @@ def shard_read(content: bytes, back: np.ndarray) -> tuple[list[int | None], np.n
 
 
 def write_token_files(tokens: DataFrame, size: int, width: int, parts: int | None = None, shard_ids: int = SHARD_IDS) -> tuple[DataFrame, DataFrame]:
-    """Writes ``tokens`` (doc_id, ids) in ascending doc_id order; gives the written tables (shards, ranks).
+    """Writes the rows of ``tokenized`` in ascending doc_id order; gives the written tables (shards, ranks).
 
     ``tokens`` should be a written table: it is read three times (counts, range borders, shards). Ties of doc_id go by their ids,
     null ids come first. One range exchange; each task writes shards of bounded size one after another.
     """
     spark = tokens.sparkSession
-    ranks = written(frequency_ranks(tokens, width, size), "token-ranks")
+    ranks = written(frequency_ranks(tokens.where("counts is not null"), size), "token-ranks")
     dtype = f"<u{width}"
     rank = np.zeros(size, np.uint32)
     for r in ranks.collect():  # as many as the vocabulary at most
@@ -211,7 +196,7 @@ def write_token_files(tokens: DataFrame, size: int, width: int, parts: int | Non
         if docs:
             yield shard()
 
-    ordered = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return written(ordered.mapInArrow(run, "part int, seq int, n_ids long, content binary"), "token-shards"), ranks
 
 
