@@ -5,11 +5,14 @@ smallest ids take part in the join, so exact copies are never paired.
 
 1. One pass gives each document's class and a table of shingle counts of a fixed size (``BUCKETS``), summed over all documents.
 2. A second pass orders each set by bucket count, then hash, and posts its prefix. Any fixed order gives whole results; counts only make lists short.
-3. Lists are read as a sorted stream. Round one pairs every member with the list's first and with the one before it, so a list of m near copies costs m steps.
-   Candidates that pass the filters are verified on whole sets and joined to components. Round two takes the lists that still
-   hold several components and pairs members of different ones, in all. What both leave apart has no link.
-
-The suffix filter bounds the sets' difference from below by the difference of their histograms over ``CELLS`` hash cells.
+3. Lists are read as a sorted stream, the token's foremost positions first: of near copies, the one without rare edits leads. Round one pairs every
+   member with the list's first and with the one before it, so a list of m near copies costs m steps. Candidates that
+   pass the filters are verified on whole sets and joined to components.
+4. Round two takes the lists that still hold several components and pairs each member with the nearest one of each other component. The last
+   round takes what is still apart and pairs members of different components in all, so what it leaves apart has no link.
+
+The suffix filter bounds the sets' difference from below: by the difference of their histograms over ``CELLS`` hash cells in
+round one, and from then on by their parity sketches of ``SKETCH`` bits as well.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ BUCKET_BITS = 20
 SLICE = 1024
 BLOOM_BITS = 23
 CELLS = 16
+#: Bits of a set's sketch: for each hash cell, whether it holds an odd number of the set's shingles.
+SKETCH = 1024
 
 _U = np.uint64
 
@@ -55,6 +60,13 @@ def class_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(n > 0, keys | _U(1), _U(0)).view(np.int64)
 
 
+def sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity sketches: two of them differ in as many bits at most as their sets have different members."""
+    n = len(bounds) - 1
+    cells = np.bincount(np.repeat(np.arange(n), np.diff(bounds)) * SKETCH + (h >> _U(8) & _U(SKETCH - 1)).astype(np.int64), minlength=n * SKETCH)
+    return [x.tobytes() for x in np.packbits((cells & 1).astype(bool).reshape(n, SKETCH), axis=1)]
+
+
 def table_rows(counts: np.ndarray, dtype: str) -> pa.RecordBatch:
     """A table as rows (slice, counts) without its empty slices."""
     slices = counts.reshape(-1, SLICE)
@@ -88,35 +100,35 @@ def overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def classes_and_counts(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, key) of documents and, from each task, rows (slice, counts) of its shingle counts."""
+    """Rows (doc_id, n_shingles, key, sketch) of documents and, from each task, rows (slice, counts) of its shingle counts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         schema = None
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 1 << 20):
                 h, bounds = unique_sets(*buffer_of(part.column("text")), width)
                 counts += np.bincount((h >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
                 n = np.diff(bounds)
                 none = pa.nulls(len(n))
-                schema = pa.schema([("doc_id", part.column("doc_id").type), ("n_shingles", pa.int64()), ("key", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(class_keys(h, bounds)), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                schema = pa.schema([("doc_id", part.column("doc_id").type), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(class_keys(h, bounds)), pa.array(sketches(h, bounds), pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if schema is not None:
             rows = table_rows(counts, "<u2")
             none = pa.nulls(rows.num_rows)
             for at in range(0, rows.num_rows, 256):
                 r, m = rows.slice(at, 256), min(256, rows.num_rows - at)
-                yield pa.RecordBatch.from_arrays([none[:m].cast(schema.field("doc_id").type), none[:m].cast(pa.int64()), none[:m].cast(pa.int64()), *r.columns], schema=schema)
+                yield pa.RecordBatch.from_arrays([none[:m].cast(schema.field("doc_id").type), none[:m].cast(pa.int64()), none[:m].cast(pa.int64()), none[:m].cast(pa.binary()), *r.columns], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key long, slice int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key long, sketch binary, slice int, counts binary")
 
 
 POSTING = "token long, key long, place long, cells0 long, cells1 long"
 
 
 def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """token, key, place (set size << 24 | position), histogram: the prefix of each set, rare tokens first.
+    """token, key, place (position << 36 | set size), histogram: the prefix of each set, rare tokens first.
 
     A token is 12 bits of its bucket's count on a logarithmic scale, then 52 bits of its hash.
     """
@@ -149,7 +161,7 @@ def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> D
             m = take[rows]
             at = np.repeat(rows, m)
             pos = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out).view(np.int64), keys[at], n[at] << 24 | pos, cells[at, 0], cells[at, 1])], ["token", "key", "place", "cells0", "cells1"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out).view(np.int64), keys[at], pos << 36 | n[at], cells[at, 0], cells[at, 1])], ["token", "key", "place", "cells0", "cells1"])
 
         return part
 
@@ -166,7 +178,7 @@ class Rows:
     def _parts(self) -> None:
         c = self.cols
         self.token, self.key = c["token"], c["key"]
-        self.n, self.pos = c["place"] >> 24, c["place"] & 0xFFFFFF
+        self.n, self.pos = c["place"] & ((1 << 36) - 1), c["place"] >> 36
         self.cells = np.stack([c["cells0"], c["cells1"]], axis=1).view(np.uint8).astype(np.int16)
 
     def take(self, at) -> Rows:
@@ -227,25 +239,32 @@ def first_round(posted: DataFrame, percent: int) -> DataFrame:
     return posted.repartition("token").sortWithinPartitions("token", "place", "cells0", "cells1", "key").mapInArrow(run, "a long, b long, place long, cells0 long, cells1 long")
 
 
-def second_round(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of classes of different components (column comp) in a list that pass the filters."""
+def across(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """a, b: pairs of members of different components (column comp) in a list that pass the filters, also on sketches; ``nearest``: for each member and other component only the one of the nearest sketch."""
 
     def pairs(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = rows.take(np.argsort(rows.n, kind="stable"))
         comp = rows.cols["comp"]
         values, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(values) < 2:
-            return
         small = np.flatnonzero(inverse != sizes.argmax())
+        bits = np.frombuffer(b"".join(rows.cols["sketch"].tolist()), np.uint64).reshape(len(comp), -1)
         done = np.zeros(len(comp), bool)
         for i in small.tolist():
             lo = np.searchsorted(rows.n, -(-percent * rows.n[i] // 100), "left")
             hi = np.searchsorted(rows.n, 100 * rows.n[i] // percent, "right")
-            j = np.arange(lo, hi)
-            j = j[(comp[lo:hi] != comp[i]) & ~done[lo:hi]]
-            j = j[rows.similar(np.full(len(j), i), j, percent)]
+            j = lo + np.flatnonzero((comp[lo:hi] != comp[i]) & ~done[lo:hi])
             done[i] = True
             if len(j):
-                yield np.full(len(j), rows.key[i]), rows.key[j]
+                j = j[rows.similar(np.full(len(j), i), j, percent)]
+            if len(j):
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                near = apart <= rows.n[i] + rows.n[j] - 2 * overlap(rows.n[i], rows.n[j], percent)
+                j, apart = j[near], apart[near]
+                if nearest and len(j) > 1:
+                    j = j[np.argsort(apart, kind="stable")]
+                    j = j[np.unique(comp[j], return_index=True)[1]]
+                if len(j):
+                    yield np.full(len(j), rows.key[i]), rows.key[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Rows | None = None
@@ -266,9 +285,10 @@ def second_round(lists: DataFrame, percent: int) -> DataFrame:
                         out.append((np.minimum(x, y), np.maximum(x, y)))
             held = rows.take(slice(edges[whole], None)) if batch is not None else None
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+                found = np.unique(np.stack([np.concatenate([o[k] for o in out]) for k in (0, 1)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return lists.repartition("token").sortWithinPartitions("token", "place", "key").mapInArrow(run, "a long, b long")
+    return lists.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -403,29 +423,43 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = np.zeros((1 << BUCKET_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
     for r in table_sum(base.where("slice is not null").select("slice", "counts"), "<u2"):
         counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    rows = base.where("slice is null").select("doc_id", "n_shingles", "key")
+    rows = base.where("slice is null").select("doc_id", "n_shingles", "key", "sketch")
     lists = written(first_round(postings(docs, width, percent, counts.reshape(-1)), percent), "ngram-lists")
-    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = written(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "ngram-keys")
+    rows = rows.drop("sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
         keys = pairs.select("a").union(pairs.select("b")).distinct().toDF("key")
-        wanted = written(classes.join(keys, "key").where("rep is not null"), "ngram-wanted")
+        wanted = written(classes.join(keys, "key").where("rep is not null").select("rep", "key"), "ngram-wanted")
         sets = written(fetched_sets(docs, wanted, width), "ngram-sets")
         out = written(verified(pairs, sets, percent), "ngram-links")
         forget(sets)
         forget(wanted)
         return out
 
+    def apart(held: DataFrame, roots: DataFrame) -> DataFrame:
+        """The postings of lists of several components, with the component of each."""
+        named = held.join(roots, held["key"] == roots["node"], "left").select("token", "key", "place", "cells0", "cells1", F.coalesce("root", "key").alias("comp"))
+        mixed_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+        return written(named.join(mixed_lists, "token", "left_semi"), "ngram-apart")
+
     tried = written(lists.where("place is null").select("a", "b").distinct(), "ngram-pairs")
     links = linked(tried)
     roots = components(links)
     held = lists.where("place is not null").select(F.col("a").alias("token"), F.col("b").alias("key"), "place", "cells0", "cells1")
-    named = held.join(roots, held["key"] == roots["node"], "left").select("token", "key", "place", "cells0", "cells1", F.coalesce("root", "key").alias("comp"))
-    rest = written(second_round(named, percent).distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-    if not rest.isEmpty():
+    for nearest in (True, False):
+        held = apart(held.select("token", "key", "place", "cells0", "cells1"), roots)
+        rest = across(held.join(classes.select("key", "sketch"), "key"), percent, nearest)
+        rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        if rest.isEmpty():
+            if not nearest:
+                break
+            continue
         more = linked(rest)
+        tried = tried.union(rest)
         if not more.isEmpty():
-            roots = components(links.union(more))
+            links = links.union(more)
+            roots = components(links)
     forget(lists)
     named = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
