@@ -99,6 +99,11 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case, of any script."""
+    return buffer_of(pc.utf8_lower(column))
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str, most: int = CHUNK_BYTES) -> DataFrame:
     """``mapInArrow`` in slices of bounded bytes; ``make`` is called once a task and gives the slice function."""
 
@@ -148,6 +153,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def span_hashes(raw: np.ndarray):
+    """A function of (starts, ends) that gives the hashes of spans of bytes, A-Z lowered; the same for a word and for another's beginning that is equal to it."""
+    n = len(raw)
+    up, down = _power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    return lambda starts, ends: mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` (or what ``space`` leaves) of concatenated texts, A-Z lowered.
 
@@ -168,11 +182,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     after[-1], after[:-1] = False, inside[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _power(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return span_hashes(raw)(starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 _SLOT = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)

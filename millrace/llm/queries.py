@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import bpe_decode, bpe_encode
+from millrace.llm.decontaminate import find_leaks
 from millrace.llm.license_scan import scan_licenses
 from millrace.llm.media import jpeg_features, store_texts
 from millrace.llm.ngram_join import ngram_components
 from millrace.llm.secret_scan import KINDS, scan_secrets, spans_text
 from millrace.llm.token_counts import context_totals, length_histogram
 from millrace.llm.token_files import token_files
+from millrace.llm.toxicity import classify
 from millrace.llm.warc import warc_round_trip
 
 
@@ -50,6 +52,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -62,14 +68,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
+    "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
