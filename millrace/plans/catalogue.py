@@ -1,4 +1,388 @@
-"""Queries of the stream operators and their DuckDB SQL."""
+"""Queries of the stream operators over the given tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import ndim, strings
+from millrace.functions.random import bits, draw
+from millrace.operators.frame import TextTable
+from millrace.operators.groups import generate_groups, generate_many
+from millrace.operators.index_mapper import IndexMapper
+from millrace.operators.layout import BATCH, POS
+from millrace.operators.model import infer_batches
+from millrace.operators.stream import Stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders(spark: SparkSession, sf_dir: str, size: int, *columns: str) -> Stream:
+    return Stream.create(table(spark, sf_dir, "orders").select("o_orderkey", *columns), "o_orderkey", size)
+
+
+def shown(s: Stream) -> DataFrame:
+    """A stream's rows with batch and position under plain names."""
+    return s.df.withColumnsRenamed({BATCH: "b", POS: "pos"})
+
+
+U = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+NUMBERED = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)"
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_name, c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer),
+t AS (SELECT pos, pos // 2 AS b, c_name, c_nationkey + 1 AS age FROM c),
+u AS (SELECT pos, b, array_to_string(list_transform(string_split(c_name, ''), lambda x: chr(ascii(x) + 1)), '') AS login, age + length(c_name) AS age FROM t)
+SELECT b::BIGINT AS b, pos::BIGINT AS pos, login, age::BIGINT AS age FROM u WHERE age > 30
+""")
+def readme_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("login"), F.col("c_nationkey").cast("long").alias("age")), "c_custkey", 2)
+    s = s.transform("age", "age", lambda a: a + 1).copy("login", "name")
+    s = s.transform("login", "login", lambda c: F.chr(F.ascii(c) + 1), dim=2)
+    s = s.transform(["age", "login"], "age", lambda a, n: a + F.char_length(n))
+    s = s.transform("name", "name", lambda n: F.concat(n, F.lit("!")), prob=0.5, seed=1).drop("name", "c_custkey")
+    return shown(s.filter(["login", "age"], "age", lambda a: a > 30).buffer(2))
+
+
+@query(f"SELECT (pos // 64)::BIGINT AS b, count(*)::BIGINT AS n, min(o_orderkey)::BIGINT AS lo, max(o_orderkey)::BIGINT AS hi FROM {NUMBERED} GROUP BY 1")
+def create_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 64)
+    return s.df.groupBy(F.col(BATCH).alias("b")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query(f"SELECT (pos // 7)::BIGINT AS b, count(*)::BIGINT AS n, sum(o_custkey)::BIGINT AS s FROM {NUMBERED} GROUP BY 1")
+def rebatch_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 64, "o_custkey").rebatch(7)
+    return s.df.groupBy(F.col(BATCH).alias("b")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("s"))
+
+
+@query("SELECT (p // 5)::BIGINT AS b, count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS s FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders WHERE o_totalprice > 100000) GROUP BY 1")
+def rebatch_after_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 64, "o_totalprice")
+    s = s.filter(s.columns, "o_totalprice", lambda p: p > 100000).rebatch(5)
+    return s.df.groupBy(F.col(BATCH).alias("b")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_orderkey, o_custkey + 1 AS o_custkey FROM {NUMBERED}")
+def transform_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(orders(spark, sf_dir, 8, "o_custkey").transform("o_custkey", "o_custkey", lambda x: x + 1))
+
+
+@query(f"SELECT o_orderkey, o_custkey + o_orderkey AS o_custkey FROM {NUMBERED}")
+def transform_two_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_custkey").transform(["o_custkey", "o_orderkey"], "o_custkey", lambda x, y: x + y)
+    return s.df.select("o_orderkey", "o_custkey")
+
+
+@query(f"SELECT o_orderkey, o_custkey + o_custkey AS double_key, o_custkey * o_custkey AS square_key FROM {NUMBERED}")
+def transform_one_to_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_custkey").transform("o_custkey", ["double_key", "square_key"], lambda x: (x + x, x * x))
+    return s.df.select("o_orderkey", "double_key", "square_key")
+
+
+@query("SELECT c_custkey, array_to_string(list_transform(string_split(c_name, ''), lambda x: chr(ascii(x) + 1)), '') AS c_name FROM customer")
+def transform_chars_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 16)
+    return s.transform("c_name", "c_name", lambda c: F.chr(F.ascii(c) + 1), dim=2).df.select("c_custkey", "c_name")
+
+
+@query("SELECT vec_id, t.i::INTEGER AS i, embedding[t.i + 1]::DOUBLE * 2 AS v FROM embeddings, LATERAL unnest(range(len(embedding))) t(i)")
+def transform_dim2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", 16)
+    s = s.transform("embedding", "embedding", lambda x: x.cast("double") * 2.0, dim=2)
+    return s.df.select("vec_id", F.posexplode("embedding").alias("i", "v"))
+
+
+@query(f"""
+WITH g AS (SELECT pos // 4 AS b, list_append(list(o_orderkey ORDER BY pos), 4) AS a FROM {NUMBERED} GROUP BY 1)
+SELECT b::BIGINT AS b, t.i::INTEGER AS i, a[t.i + 1]::BIGINT AS v FROM g, LATERAL unnest(range(len(a))) t(i)
+""")
+def transform_dim0_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 4).transform("o_orderkey", "o_orderkey", lambda a: F.array_append(a, F.lit(4).cast("long")), dim=0)
+    return s.df.select(F.col(BATCH).alias("b"), F.posexplode("o_orderkey").alias("i", "v"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN -o_custkey ELSE o_custkey END AS o_custkey FROM {NUMBERED}")
+def cond_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_custkey", "o_orderstatus").transform("o_orderstatus", "done", lambda x: x == "F")
+    return s.transform("o_custkey", "o_custkey", lambda x: -x, cond="done").df.select("o_orderkey", "o_custkey")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {U.format(seed=42, key='pos')} < 0.5 THEN -o_custkey ELSE o_custkey END AS o_custkey FROM {NUMBERED}")
+def prob_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir, 8, "o_custkey").transform("o_custkey", "o_custkey", lambda x: -x, prob=0.5, seed=42).df.select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH t AS (SELECT *, pos // 8 AS b FROM {NUMBERED}) SELECT b::BIGINT AS b, o_orderkey FROM t WHERE b IN (SELECT b FROM t GROUP BY b HAVING max(o_totalprice) > 400000)")
+def filter_dim0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_totalprice").filter([], "o_totalprice", lambda p: F.array_max(p) > 400000, dim=0)
+    return s.df.select(F.col(BATCH).alias("b"), F.explode("o_orderkey").alias("o_orderkey"))
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_orderkey, o_totalprice FROM {NUMBERED} WHERE o_totalprice > 200000")
+def filter_dim1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_totalprice")
+    return shown(s.filter(s.columns, "o_totalprice", lambda p: p > 200000))
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, count(*)::BIGINT AS n_keys, count(*) FILTER (o_totalprice > 200000)::BIGINT AS n_prices FROM {NUMBERED} GROUP BY 1")
+def filter_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_totalprice").filter("o_totalprice", "o_totalprice", lambda p: p > 200000)
+    return s.df.select(F.col(BATCH).alias("b"), F.size("o_orderkey").cast("long").alias("n_keys"), F.size("o_totalprice").cast("long").alias("n_prices"))
+
+
+@query("WITH t AS (SELECT vec_id, list_filter(embedding, lambda v: v > 0) AS e FROM embeddings) SELECT vec_id, t2.i::INTEGER AS i, e[t2.i + 1] AS v FROM t, LATERAL unnest(range(len(e))) t2(i)")
+def filter_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", 16).filter("embedding", "embedding", lambda v: v > 0, dim=2)
+    return s.df.select("vec_id", F.posexplode("embedding").alias("i", "v"))
+
+
+@query("SELECT o_orderkey, o_custkey::VARCHAR AS cust FROM orders")
+def copy_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_custkey").insert_or_assign("cust", F.lit("")).copy("o_custkey", "cust")
+    return s.df.select("o_orderkey", "cust")
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_custkey FROM {NUMBERED}")
+def drop_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(orders(spark, sf_dir, 8, "o_custkey", "o_totalprice").drop("o_orderkey", "o_totalprice"))
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_custkey, o_orderkey FROM {NUMBERED}")
+def keep_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(orders(spark, sf_dir, 8, "o_custkey", "o_totalprice").keep("o_custkey", "o_orderkey"))
+
+
+@query(f"SELECT o_orderkey, (pos // 8 * 10)::BIGINT AS g FROM {NUMBERED}")
+def generate_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir, 8).generate("o_orderkey", "g", lambda b: b * 10, per_batch=True).df.select("o_orderkey", "g")
+
+
+@query(f"SELECT o_orderkey, pos::BIGINT AS g FROM {NUMBERED}")
+def generate_per_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir, 8).generate("o_orderkey", "g", lambda p: p).df.select("o_orderkey", "g")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").cast("long").alias("n")))).alias("r"))
+    return rows.select("conv_id", F.transform("r", lambda x: x["n"]).alias("s"))
+
+
+TURNS = "(SELECT conv_id, list(length(text) ORDER BY turn)::BIGINT[] AS s FROM conversations GROUP BY conv_id)"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, s, coalesce(sum(len(s)) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM {TURNS})
+SELECT conv_id, u.i::INTEGER AS i, (off + u.i)::BIGINT AS v FROM t, LATERAL unnest(range(len(s))) u(i)
+""")
+def generate_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(turns(spark, sf_dir), "conv_id", 4).running("s", "g")
+    return s.df.select("conv_id", F.posexplode("g").alias("i", "v"))
+
+
+@query(f"SELECT o_orderkey, {U.format(seed=42, key='pos')} AS u FROM {NUMBERED}")
+def random_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir, 8).random_fill("o_orderkey", "u", seed=42).df.select("o_orderkey", "u")
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, s, row_number() OVER (ORDER BY conv_id) - 1 AS pos FROM {TURNS})
+SELECT conv_id, u.i::INTEGER AS i, {U.format(seed=9, key="pos || ':' || u.i")} AS v FROM t, LATERAL unnest(range(len(s))) u(i)
+""")
+def random_fill_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(turns(spark, sf_dir), "conv_id", 4).random_fill("s", "g", depth=1, seed=9)
+    return s.df.select("conv_id", F.posexplode("g").alias("i", "v"))
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, s, (row_number() OVER (ORDER BY conv_id) - 1) // 4 AS b FROM {TURNS}), w AS (SELECT *, max(len(s)) OVER (PARTITION BY b) AS m FROM t)
+SELECT conv_id, u.i::INTEGER AS i, CASE WHEN u.i < len(s) THEN s[u.i + 1] ELSE -1 END::BIGINT AS v, u.i < len(s) AS kept FROM w, LATERAL unnest(range(m)) u(i)
+""")
+def pad_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(turns(spark, sf_dir), "conv_id", 4).pad("s", "mask", F.lit(-1))
+    return s.df.select("conv_id", F.posexplode(F.arrays_zip("s", "mask")).alias("i", "z")).select("conv_id", "i", F.col("z.s").alias("v"), F.col("z.mask").alias("kept"))
+
+
+@query(f"SELECT pos::BIGINT AS pos, o_orderkey FROM {NUMBERED}")
+def unpack_dim1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir, 8).unpacked("o_orderkey", 1).withColumnRenamed(POS, "pos")
+
+
+@query("""
+WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, string_split(text, ' ') AS w FROM documents)
+SELECT pos::BIGINT AS pos, u.i::INTEGER AS i, w[u.i + 1] AS words FROM t, LATERAL unnest(range(len(w))) u(i)
+""")
+def unpack_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    return Stream.create(docs, "doc_id", 16).unpacked("words", 2).withColumnsRenamed({POS: "pos", "_i2": "i"})
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, count(*)::INTEGER AS n FROM {NUMBERED} GROUP BY 1")
+def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir, 8, "o_custkey").batch_sizes().withColumnRenamed(BATCH, "b")
+
+
+@query(f"SELECT (pos // 10)::BIGINT AS b, o_orderkey, pos % 10 < 3 AS taken FROM {NUMBERED}")
+def batch_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, rest = orders(spark, sf_dir, 10).take(3)
+    both = first.df.withColumn("taken", F.lit(True)).unionAll(rest.df.withColumn("taken", F.lit(False)))
+    return both.select(F.col(BATCH).alias("b"), F.explode("o_orderkey").alias("o_orderkey"), "taken")
+
+
+@query(f"SELECT b::BIGINT AS b, (2 * count(*))::BIGINT AS n, (sum(o_orderkey) + sum(-o_orderkey))::BIGINT AS s FROM (SELECT pos // 16 AS b, o_orderkey FROM {NUMBERED}) GROUP BY b")
+def batch_push_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 16)
+    both = s.push_back(s.transform("o_orderkey", "o_orderkey", lambda x: -x))
+    return both.df.select(F.col(BATCH).alias("b"), F.size("o_orderkey").cast("long").alias("n"), F.aggregate("o_orderkey", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+
+
+@query(f"SELECT conv_id, len(s)::INTEGER AS n FROM {TURNS}")
+def ndim_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).select("conv_id", ndim.sizes("s", 1)[0][0].alias("n"))
+
+
+@query("WITH t AS (SELECT vec_id, list_resize(embedding, 70, 0.5) AS e FROM embeddings) SELECT vec_id, u.i::INTEGER AS i, e[u.i + 1]::FLOAT AS v FROM t, LATERAL unnest(range(70)) u(i)")
+def ndim_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ndim.resize("embedding", F.array(F.array(F.lit(70))), 1, F.lit(0.5).cast("float"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(e).alias("i", "v"))
+
+
+@query("SELECT vec_id, 8 AS n, 8 AS m FROM embeddings")
+def ndim_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ndim.shape(ndim.reshape("embedding", (8, 8)), 2)
+    return table(spark, sf_dir, "embeddings").select("vec_id", s[0].alias("n"), s[1].alias("m"))
+
+
+@query("SELECT vec_id, u.r::INTEGER AS r, v.c::INTEGER AS c, embedding[u.r * 8 + v.c + 1] AS v FROM embeddings, LATERAL unnest(range(8)) u(r), LATERAL unnest(range(8)) v(c)")
+def ndim_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(ndim.reshape("embedding", (-1, 8))).alias("r", "row"))
+    return rows.select("vec_id", "r", F.posexplode("row").alias("c", "v"))
+
+
+@query("SELECT vec_id, u.i::INTEGER AS i, embedding[u.i + 1] AS v FROM embeddings, LATERAL unnest(range(len(embedding))) u(i)")
+def ndim_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(ndim.flat(ndim.reshape("embedding", (4, 4, 4)), 3)).alias("i", "v"))
+
+
+@query(f"SELECT conv_id, len(s) = 4 AS same FROM {TURNS}")
+def same_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).select("conv_id", ndim.same_size("s", F.array(*map(F.lit, range(4)))).alias("same"))
+
+
+RANKED = "(SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('{seed}:' || o_orderkey), 1, 8))::BIGINT, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM {rows})"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN r < floor(0.5 * n + 0.5) THEN 0 WHEN r < floor(0.5 * n + 0.5) + floor(0.3 * n + 0.5) THEN 1 ELSE 2 END::INTEGER AS \"group\" FROM {RANKED.format(seed=3, rows='orders')}")
+def groups_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate_groups(table(spark, sf_dir, "orders").select("o_orderkey"), [0.5, 0.3, 0.2], "o_orderkey", 3)
+
+
+@query(f"""
+WITH base AS (SELECT o_orderkey, CASE WHEN r < floor(0.25 * n + 0.5) THEN 0 WHEN r < 2 * floor(0.25 * n + 0.5) THEN 1 ELSE 2 END AS g FROM {RANKED.format(seed=3, rows='orders')}),
+again AS (SELECT o_orderkey, CASE WHEN r < floor(0.5 * n + 0.5) THEN 0 ELSE 1 END AS a FROM {RANKED.format(seed='3:0', rows='(SELECT o_orderkey FROM base WHERE g < 2)')})
+SELECT o_orderkey, coalesce(a, g)::INTEGER AS group_0 FROM base LEFT JOIN again USING (o_orderkey)
+""")
+def groups_fixed_volatile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate_many(table(spark, sf_dir, "orders").select("o_orderkey"), 1, [0.25, 0.25], [0.5], "o_orderkey", 3)
+
+
+@query("SELECT value, (row_number() OVER (ORDER BY first) - 1)::BIGINT AS idx FROM (SELECT o_orderpriority AS value, min(o_orderkey) AS first FROM orders GROUP BY 1)")
+def index_mapper_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IndexMapper.unique(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey").table
+
+
+@query("""
+WITH m AS (SELECT value, row_number() OVER (ORDER BY first) - 1 AS idx FROM (SELECT c_mktsegment AS value, min(c_custkey) AS first FROM customer WHERE c_custkey <= 3 GROUP BY 1))
+SELECT c_custkey, coalesce(idx, 10)::BIGINT AS segment FROM customer LEFT JOIN m ON value = c_mktsegment
+""")
+def index_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return IndexMapper.unique(c.where("c_custkey <= 3"), "c_mktsegment", "c_custkey").encode(c.select("c_custkey", "c_mktsegment"), "c_mktsegment", "segment", 10).select("c_custkey", "segment")
+
+
+@query("SELECT c_custkey, c_mktsegment AS segment FROM customer")
+def index_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    m = IndexMapper.unique(c, "c_mktsegment", "c_custkey")
+    return m.decode(m.encode(c, "c_mktsegment", "i"), "i", "segment").select("c_custkey", "segment")
+
+
+@query("SELECT n_nationkey AS key, n_regionkey AS region FROM nation")
+def frame_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = TextTable.from_df(table(spark, sf_dir, "nation"), "n_nationkey")
+    return t.cols(["n_nationkey", "n_regionkey"], ["int", "int"]).toDF("p", "key", "region").drop("p")
+
+
+@query("SELECT n_regionkey AS key, arg_min(n_name, n_nationkey) AS value FROM nation GROUP BY 1")
+def frame_index_col(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TextTable.from_df(table(spark, sf_dir, "nation"), "n_nationkey").index_cols("n_regionkey", ["n_name"], "int")
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS pos, n_name FROM nation WHERE n_nationkey <> (SELECT n_nationkey FROM nation ORDER BY 1 LIMIT 1 OFFSET 3)")
+def frame_drop_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TextTable.from_df(table(spark, sf_dir, "nation"), "n_nationkey").drop_row(3).cols(["n_name"]).withColumnRenamed(POS, "pos")
+
+
+@query("SELECT page_id, to_base64(encode(html)) AS b FROM pages")
+def base64_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", strings.base64_encode("html").alias("b"))
+
+
+@query("SELECT page_id, html FROM pages")
+def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", strings.base64_decode(strings.base64_encode("html")).cast("string").alias("html"))
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders")
+def string_to_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.when(F.col("o_orderstatus") == "F", F.lit("yes ")).otherwise(F.lit("off"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.string_to_bool(word).alias("done"))
+
+
+@query("SELECT sum(o_custkey)::BIGINT AS total, count(*)::BIGINT AS n FROM orders")
+def for_each_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = Observation()
+    s = orders(spark, sf_dir, 8, "o_custkey").observe(seen, F.sum("o_custkey").alias("total"), F.count("*").alias("n"))
+    s.df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["total"], seen.get["n"])], "total long, n long")
+
+
+@query("SELECT count(*)::BIGINT AS batches, 25::BIGINT AS examples FROM (SELECT 1 FROM nation GROUP BY n_nationkey // 4)")
+def to_python_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dicts = list(Stream.create(table(spark, sf_dir, "nation"), "n_nationkey", 4).to_python())
+    return spark.createDataFrame([(len(dicts), sum(len(d["n_nationkey"]) for d in dicts))], "batches long, examples long")
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_orderkey FROM {NUMBERED}")
+def buffer_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(orders(spark, sf_dir, 8).buffer(2))
+
+
+@query()
+def model_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return infer_batches(rows, lambda: lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)), "embedding", "norm").select("vec_id", F.round("norm", 4).alias("norm"))
+
+
+@query("SELECT o_orderkey, ('0x' || substr(md5('5:' || o_orderkey), 1, 8))::BIGINT AS h, 1 + floor(('0x' || substr(md5('5:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 6)::BIGINT AS die FROM orders")
+def random_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", bits(5, F.col("o_orderkey")).alias("h"), draw("integer", (1, 6), 5, F.col("o_orderkey")).alias("die"))

@@ -1 +1 @@
-
+"""Sources and sinks: CSV text, host iteration, folders."""

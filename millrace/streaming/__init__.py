@@ -1 +1 @@
-
+"""Stream operators on Structured Streaming sources."""
