@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, arrow_map, chunks, id_type, lowered, pick, unused, word_hashes
+from millrace.llm._common import PUNCTUATION, arrow_map, chunks, id_type, lowered, pick, unused, word_hashes, written
 from millrace.llm.ngram_join import SLICE, table_rows, table_sum
 
 #: Bits of hashed terms, dimensions kept and drawn besides, words of a block, words of an SVD passage.
@@ -325,5 +325,5 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """The rows of ``df`` that hold no benchmark item, with all columns."""
     leaks = find_leaks(df, benchmark, id_col, text_col, item_col, item_text)
     name = unused(df, "leak")
-    leaks = leaks.select(F.col("doc_id").alias(name)).distinct()
+    leaks = written(leaks.select(F.col("doc_id").alias(name)).distinct(), "leaks")  # its size is known before the join is planned
     return df.join(leaks, df[id_col] == leaks[name], "left_anti")

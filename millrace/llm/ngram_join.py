@@ -471,7 +471,6 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` that are the first of their component, with all columns: one row for each group of near copies. Rows without words all stay, as do rows with null ids."""
     found = ngram_components(df, id_col, text_col, width, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(unused(df, "gone"))).distinct()
-    name = gone.columns[0]
-    kept = df.join(gone, df[id_col].cast("long") == gone[name], "left_anti")
-    return kept
+    name = unused(df, "gone")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")  # its size is known before the join is planned
+    return df.join(gone, df[id_col].cast("long") == gone[name], "left_anti")
