@@ -33,6 +33,8 @@ BLOOM_BITS = 23
 CELLS = 16
 #: Bits of a set's sketch: for each hash cell, whether it holds an odd number of the set's shingles.
 SKETCH = 1024
+#: Lists of up to so many members are looked through at once: members that pass the filters with no other one leave them.
+SHORT = 32
 
 _U = np.uint64
 
@@ -203,7 +205,7 @@ class Rows:
 
 
 def first_round(posted: DataFrame, percent: int) -> DataFrame:
-    """Reads the lists of tokens: rows (a, b) with place null are candidate pairs; the others are postings of lists of two classes or more (a: token, b: key)."""
+    """Reads the lists of tokens: rows (a, b) with place null are candidate pairs; the others are postings of lists of two classes or more (a: token, b: key), without the members of short lists that the filters part from all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Rows | None = None  # the first row of the list that the rows before ended in, and its last row if there is another
@@ -230,7 +232,17 @@ def first_round(posted: DataFrame, percent: int) -> DataFrame:
             if len(a):
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], ["a", "b", "place", "cells0", "cells1"])
-            shared = (np.bincount(start, minlength=count)[start] >= 2) & (index >= (0 if skip < 2 else 2))  # a list of two rows held has been put out
+            sizes = np.bincount(start, minlength=count)[start]
+            shared = (sizes >= 2) & (index >= (0 if skip < 2 else 2))  # a list of two rows held has been put out
+            short = shared & (sizes <= SHORT) & (start >= skip) & (start != start[-1])  # short lists that lie in this batch as a whole
+            useful = ~short
+            for d in range(1, SHORT):
+                i = np.flatnonzero(short[:-d] & (start[d:] == start[:-d]))
+                if not len(i):
+                    break
+                i = i[rows.similar(i, i + d, percent)]
+                useful[i] = useful[i + d] = True
+            shared &= useful
             put = np.flatnonzero(shared)
             if len(put):
                 yield pa.RecordBatch.from_arrays([pa.array(rows.cols[c][put]) for c in ("token", "key", "place", "cells0", "cells1")], ["a", "b", "place", "cells0", "cells1"])
