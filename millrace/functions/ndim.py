@@ -147,7 +147,8 @@ def reshape(array: Column | str, new: Sequence[int], depth: int = 1) -> Column:
         for n in reversed(new[k + 1 :]):
             out = chunk(out, n)
         width = F.floor(F.size(f) / (outside * inside)).cast("int")
-        out = F.transform(F.sequence(F.lit(0), F.lit(outside - 1)), lambda i, x=out: F.slice(x, i * width + 1, width))
+        whole = out
+        out = F.transform(F.sequence(F.lit(0), F.lit(outside - 1)), lambda i: F.slice(whole, i * width + 1, width))
         for n in reversed(new[1:k]):
             out = chunk(out, n)
         return out

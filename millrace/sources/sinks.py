@@ -101,7 +101,7 @@ class Range(Sequence):
         return self._values
 
     def __iter__(self):
-        return iter(self._source if self._values is None else self._values)
+        yield from self._source if self._values is None else self._values
 
     def __len__(self) -> int:
         return len(self._all())
