@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, chunks, id_type, lowered, pick, shingle_hashes, span_hashes, unused, word_hashes
+from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, chunks, id_type, lowered, pick, shingle_hashes, span_hashes, unused, word_hashes, written
 
 #: Labelled rows in training, folds, words of each category's model, and the least share (and number) of training rows that a word is in.
-SAMPLE = 16_000
+SAMPLE = 12_000
 FOLDS = 5
-WORDS = 192
+WORDS = 160
 SHARE = 0.002
 ROWS = 4
 #: Weight of the squared coefficients against the sum of losses.
@@ -121,7 +121,7 @@ class Chain:
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fits the chain on a bounded sample of the labelled rows of ``docs``. Labels that are null or contradict each other take the larger value; without labelled rows every probability is 0."""
     categories = categories or default_categories()
-    names = [*categories]
+    names, labels_of = [*categories], [f"c{i}" for i in range(len(categories))]
     base = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].alias("doc_id")).agg(*(F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(categories.values())))
     some = base.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = pick(docs, id_col, text_col).join(F.broadcast(some), "doc_id")  # `sample` rows at most
@@ -139,56 +139,69 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
                 h, rows = marks(raw, starts, ends, h, first)
                 order = np.argsort(rows, kind="stable")
                 h, edges = h[order], np.searchsorted(rows[order], np.arange(part.num_rows + 1))
-                words = [np.unique(h[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                words = [np.unique(h[a:b]).view(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(part.column(f"c{i}") for i in range(len(names))), pa.array(least, pa.int64()), pa.array(words, pa.binary()), pa.array([x.tobytes() for x in dense], pa.binary())],
-                    ["doc_id", *(f"c{i}" for i in range(len(names))), "least", "words", "dense"],
+                    [part.column("doc_id"), *(part.column(c) for c in labels_of), pa.array(least, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array([x.tobytes() for x in dense], pa.binary())],
+                    ["doc_id", *labels_of, "least", "words", "dense"],
                 )
 
-    schema = f"doc_id {id_type(docs, id_col)}, {', '.join(f'c{i} double' for i in range(len(names)))}, least long, words binary, dense binary"
-    got = rows.mapInArrow(run, schema).groupBy("least").agg(F.min(F.struct("doc_id", *(f"c{i}" for i in range(len(names))), "words", "dense")).alias("r")).select("r.*").toPandas()
-    got = got.sort_values(["doc_id"], kind="stable").reset_index(drop=True)
-    if not len(got):
+    schema = f"doc_id {id_type(docs, id_col)}, {', '.join(f'{c} double' for c in labels_of)}, least long, words array<long>, dense binary"
+    got = written(rows.mapInArrow(run, schema).groupBy("least").agg(F.min(F.struct("doc_id", *labels_of, "words", "dense")).alias("r")).select("r.*"), "toxicity-sample")
+    size = got.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in labels_of)).first()
+    if not size["n"]:
         return Chain(np.zeros(0, _U), [(n, np.append(np.zeros(4 + i), -35.0), 1.0) for i, n in enumerate(names)])
-    sets = [np.frombuffer(x, _U) for x in got["words"]]
-    dense = np.stack([np.frombuffer(x) for x in got["dense"]])
-    ys = [got[f"c{i}"].to_numpy() > 0 for i in range(len(names))]
-    words = chosen_words(sets, ys)
-    x = np.zeros((len(got), len(words) + 4))
-    x[:, len(words) :] = dense
-    for i, s in enumerate(sets):
-        if len(words) and len(s):
-            at = np.searchsorted(words, s).clip(max=len(words) - 1)
-            x[i, at[words[at] == s]] = 1
-    folds = np.arange(len(got)) % FOLDS
+    words = chosen_words(got, labels_of, size.asDict())
+    x, ys = training_matrix(got, labels_of, words)
+    folds = np.arange(len(x)) % FOLDS
     models, before = [], []
     for name, y in zip(names, ys, strict=True):
         full = np.hstack([x, *(p[:, None] for p in before)])
         apart = np.zeros(len(y))
         for k in range(FOLDS):
             inner = folds != k
-            apart[~inner] = probability(full[~inner], fit_logistic(full[inner], y[inner].astype(float))) if inner.any() else y.mean()
+            if inner.any() and not inner.all():
+                apart[~inner] = probability(full[~inner], fit_logistic(full[inner], y[inner].astype(float)))
         models.append((name, fit_logistic(full, y.astype(float)), best_threshold(apart, y)))
         before.append(apart)
     return Chain(words, models)
 
 
-def chosen_words(sets: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the words of each category that tell it best by chi-square, among those in enough rows."""
-    n = len(sets)
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    total = np.bincount(at, minlength=len(values))
-    common = total >= max(ROWS, SHARE * n)
+def chosen_words(got: DataFrame, labels_of: list[str], size: dict) -> np.ndarray:
+    """Hashes of the words of each category that tell it best by chi-square, among those in enough rows: ``WORDS`` for each at most."""
+    n = size["n"]
+    counts = got.select(F.explode("words").alias("w"), *labels_of).groupBy("w").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in labels_of))
+    counts = written(counts.where(F.col("n") >= max(ROWS, SHARE * n)), "toxicity-words")
     out: set[int] = set()
-    for y in ys:
-        with_y = np.bincount(at, weights=y[row], minlength=len(values))
-        share = y.mean()
-        expect, spread = total * share, total * share * (1 - share) * (1 - total / n) + 1e-9
-        chi = np.where(common, (with_y - expect) ** 2 / spread, -1)
-        best = np.argsort(-chi, kind="stable")[:WORDS]
-        out.update(int(v) for v in values[best[chi[best] > 10.8]])  # a chance of 1 in 1000
-    return np.sort(np.array([*out], _U))
+    for c in labels_of:
+        share = size[c] / n
+        spread = F.col("n") * (share * (1 - share)) * (1 - F.col("n") / n) + 1e-9
+        chi = F.pow(F.col(c) - F.col("n") * share, 2) / spread
+        best = counts.select("w", chi.alias("chi")).where("chi > 10.8").orderBy(F.col("chi").desc(), "w").limit(WORDS)  # a chance of 1 in 1000
+        out.update(r["w"] for r in best.collect())
+    return np.sort(np.array([*out], np.int64).view(_U))
+
+
+def training_matrix(got: DataFrame, labels_of: list[str], words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Features and labels of the sample in the order of ids, on the driver: sample rows x (chosen words + 4)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for s, dense in zip(batch.column("words"), batch.column("dense").to_pylist(), strict=True):
+                x = np.zeros(len(words) + 4, np.float32)
+                x[len(words) :] = np.frombuffer(dense)
+                s = s.values.to_numpy(zero_copy_only=False).view(_U)
+                if len(words) and len(s):
+                    at = np.searchsorted(words, s).clip(max=len(words) - 1)
+                    x[at[words[at] == s]] = 1
+                rows.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in labels_of), pa.array(rows, pa.binary())], ["doc_id", *labels_of, "x"])
+
+    kind = got.schema["doc_id"].dataType.simpleString()
+    rows = got.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} double' for c in labels_of)}, x binary").toPandas()
+    rows = rows.sort_values("doc_id", kind="stable")
+    x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]).astype(np.float64)
+    return x, [rows[c].to_numpy() > 0 for c in labels_of]
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
