@@ -25,8 +25,8 @@ from millrace.llm.ngram_join import SLICE, table_rows, table_sum
 
 #: Bits of hashed terms, dimensions kept and drawn besides, words of a block, words of an SVD passage.
 TERM_BITS = 15
-KEPT = 64
-DRAWN = 72
+KEPT = 32
+DRAWN = 40
 BLOCK = 12
 PASSAGE = 48
 SEED = 7
@@ -35,8 +35,12 @@ SPANS = (2, 4, 8, 16, 32)
 #: Items of fewer words can't be told from chance and aren't sought; more items than this must be sought in parts.
 SHORTEST = 8
 MOST_ITEMS = 50_000
+#: Items whose cosines are held at once. The share of an item's words, the rarest first, that are counted around each passage: a stretch with a common
+#: subsequence of PARAPHRASE has at least (RARE - 1 + PARAPHRASE) of the item's words from among them.
+ITEMS = 1024
+RARE = 0.65
 #: A candidate's least cosine; the common subsequence's least share of the item, alone or along with the share of the answer that must be there.
-COSINE = 0.4
+COSINE = 0.2
 VERBATIM = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.8
@@ -84,10 +88,10 @@ def gaussian() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((1 << TERM_BITS, DRAWN), np.float32)
 
 
-def blocks_of(t: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms with each text's filled up to whole blocks (with the term after the last), and the texts' bounds in blocks (texts + 1)."""
+def blocks_of(t: np.ndarray, first: np.ndarray, size: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with each text's filled up to whole blocks and ``more`` empty ones (with the term after the last), and the texts' bounds in blocks (texts + 1)."""
     n = np.diff(first)
-    bounds = np.concatenate([[0], np.cumsum(-(-n // size))])
+    bounds = np.concatenate([[0], np.cumsum(np.where(n > 0, -(-n // size) + more, 0))])
     out = np.full(int(bounds[-1]) * size, 1 << TERM_BITS, np.int64)
     out[np.repeat(bounds[:-1] * size - first[:-1], n) + np.arange(len(t))] = t
     return out, bounds
@@ -217,46 +221,74 @@ def best_stretch(item: Item, words: list[int], lo: int, hi: int) -> tuple[float,
     return best[0] / n, len(item.answer & there) / len(item.answer), best[1], best[2]
 
 
-def search(docs: DataFrame, items: list[Item], latent: np.ndarray) -> DataFrame:
+def rare_words(items: list[Item], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The items' rarest words: their hashes in ascending order, where each one's items begin in a list of items (one more), that list, and the count that each item asks of a passage and what is around it."""
+    pairs, need = set(), []
+    for i, x in enumerate(items):
+        n = len(x.words)
+        weight = idf[terms(np.array(x.words, _U))]
+        some = sorted(range(n), key=lambda k, w=weight: (-w[k], k))[: int(np.ceil(RARE * n))]
+        pairs.update((x.words[k], i) for k in some)
+        need.append(int((RARE - 1 + PARAPHRASE) * n))
+    pairs = sorted(pairs)
+    hashes = np.array([w for w, _ in pairs], _U)
+    begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[begin], np.append(begin, len(pairs)), np.array([i for _, i in pairs]), np.array(need)
+
+
+def search(docs: DataFrame, items: list[Item], latent: np.ndarray, idf: np.ndarray) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer of each document and item in it; all passages of all documents against all items."""
     sc = docs.sparkSession.sparkContext
     table = sc.broadcast(latent)
     sizes = np.array([next((s for s in SPANS if s * BLOCK >= 0.75 * len(x.words)), SPANS[-1]) for x in items])
     folded = np.stack([latent[terms(np.array(x.words, _U))].sum(axis=0) for x in items])
     folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-12
-    known = sc.broadcast((items, sizes, folded))
+    known = sc.broadcast((items, sizes, folded, rare_words(items, idf)))
     item_type = pa.array([x.item_id for x in items]).type
     names = ["row", "item", "cosine", "lcs", "answer"]
 
     def find(h: np.ndarray, first: np.ndarray) -> list[tuple]:
-        items, sizes, folded = known.value
+        items, sizes, folded, (rare, begin, owners, need) = known.value
         vectors = table.value
-        t, bounds = blocks_of(terms(h), first, BLOCK)
-        sums = np.zeros((len(t) // BLOCK + SPANS[-1], vectors.shape[1]), np.float32)
-        for a in range(0, len(t), BLOCK * 2048):
-            sums[a // BLOCK : a // BLOCK + 2048][: len(t[a : a + BLOCK * 2048]) // BLOCK] = vectors[t[a : a + BLOCK * 2048]].reshape(-1, BLOCK, vectors.shape[1]).sum(axis=1)
+        dims, more = vectors.shape[1], int(sizes.max()) - 1
+        t, bounds = blocks_of(terms(h), first, BLOCK, more)
         n_blocks = len(t) // BLOCK
+        sums = np.zeros((n_blocks + more, dims), np.float32)
+        for a in range(0, n_blocks, 2048):
+            b = min(n_blocks, a + 2048)
+            sums[a:b] = vectors[t[a * BLOCK : b * BLOCK]].reshape(-1, BLOCK, dims).sum(axis=1)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(bounds))
-        end = bounds[1:][doc]
+        # (block, item) of each occurrence of an item's rare word
+        at = np.searchsorted(rare, h).clip(max=len(rare) - 1)
+        hit = np.flatnonzero(rare[at] == h)
+        of = np.searchsorted(first, hit, "right") - 1
+        block, n_items = bounds[of] + (hit - first[of]) // BLOCK, (begin[1:] - begin[:-1])[at[hit]]
+        where = np.repeat(block, n_items)
+        who = owners[np.repeat(begin[at[hit]], n_items) + np.arange(len(where)) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
         hits: dict[tuple[int, int], list] = {}
         for size in sorted(set(sizes.tolist())):
-            which = np.flatnonzero(sizes == size)
-            # sums of `size` blocks from each on, as long as the document goes; only the first passage of a shorter document is cut
-            whole = np.flatnonzero((np.arange(n_blocks) + size <= end) | (np.arange(n_blocks) == bounds[:-1][doc]))
-            for a in range(0, len(whole), 8192):
-                w = whole[a : a + 8192]
-                x = np.zeros((len(w), vectors.shape[1]), np.float32)
-                for k in range(size):
-                    inside = w + k < end[w]
-                    if inside.all():
-                        x += sums[w + k]
-                    else:
-                        x[inside] += sums[w[inside] + k]
-                x /= np.linalg.norm(x, axis=1, keepdims=True) + np.float32(1e-12)
-                for c in range(0, len(which), 4096):
-                    cos = x @ folded[which[c : c + 4096]].T
-                    i, j = np.nonzero(cos >= COSINE)
-                    for b, item, value in zip(w[i].tolist(), which[c + j].tolist(), cos[i, j].tolist(), strict=True):
+            every = np.flatnonzero(sizes == size)
+            for c in range(0, len(every), ITEMS):
+                which = every[c : c + ITEMS]
+                column = np.full(len(items), -1)
+                column[which] = np.arange(len(which))
+                mine = column[who] >= 0
+                w, col = where[mine], column[who[mine]]
+                for a in range(0, n_blocks, 8192):
+                    m = min(8192, n_blocks - a)
+                    x = sums[a : a + m].copy()
+                    for k in range(1, size):
+                        x += sums[a + k : a + k + m]
+                    x /= np.linalg.norm(x, axis=1, keepdims=True) + np.float32(1e-12)
+                    near = x @ folded[which].T
+                    begins, across = a - -(-size // 2), size + 2 * -(-size // 2)  # half a passage more on either side
+                    lo, hi = np.searchsorted(w, [begins, begins + m + across - 1])
+                    counts = np.bincount((w[lo:hi] - begins) * len(which) + col[lo:hi], minlength=(m + across - 1) * len(which)).reshape(-1, len(which)).astype(np.int16)
+                    have = counts[:m].copy()
+                    for k in range(1, across):
+                        have += counts[k : k + m]
+                    i, j = np.nonzero((near >= COSINE) & (have >= need[which]))
+                    for b, item, value in zip((a + i).tolist(), which[j].tolist(), near[i, j].tolist(), strict=True):
                         d = int(doc[b])
                         lo = (b - int(bounds[d])) * BLOCK
                         hits.setdefault((d, item), []).append((lo, lo + size * BLOCK, value))
@@ -297,7 +329,7 @@ def search(docs: DataFrame, items: list[Item], latent: np.ndarray) -> DataFrame:
     return arrow_map(docs, make, f"doc_id {id_type(docs, 'doc_id')}, item {kind}, cosine double, lcs double, answer double", "text").withColumnRenamed("item", "item_id")
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> tuple[list[Item], np.ndarray] | None:
+def fitted(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> tuple[list[Item], np.ndarray, np.ndarray] | None:
     rows = benchmark.select(item_col, text_col).limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items: seek them in parts")
@@ -305,7 +337,7 @@ def fitted(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str)
     if not items:
         return None
     idf = weights(document_frequencies(docs))
-    return items, latent_terms(passage_products(docs, idf), idf)
+    return items, latent_terms(passage_products(docs, idf), idf), idf
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
