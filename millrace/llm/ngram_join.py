@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import arrow_map, buffer_of, chunks, forget, mixed, pick, shingle_hashes, unused, word_hashes, written
@@ -35,6 +35,9 @@ CELLS = 16
 SKETCH = 1024
 #: Lists of up to so many members are looked through at once: members that pass the filters with no other one leave them.
 SHORT = 32
+#: Documents (by the count table) from which on a token's list is dealt to several tasks in round one, and members from which on a list is cut into cells later.
+HOT = 200_000
+CELL = 20_000
 
 _U = np.uint64
 
@@ -170,6 +173,18 @@ def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> D
     return arrow_map(docs.select("text"), make, POSTING, "text")
 
 
+def hot_scale() -> int:
+    """The first 12 bits of tokens in more than ``HOT`` documents are larger than this."""
+    return int(np.log2(HOT) * 64)
+
+
+def dealt(token: Column, key: Column) -> Column:
+    """0, or for tokens of hot lists one of as many numbers as keep a task's part of the list at ``HOT`` members."""
+    scale = F.shiftrightunsigned(token, 52)
+    parts = F.ceil(F.pow(F.lit(2.0), scale / 64) / HOT).cast("long")
+    return F.when(scale > hot_scale(), F.pmod(F.xxhash64(key), parts)).otherwise(F.lit(0).cast("long"))
+
+
 class Rows:
     """Postings as arrays."""
 
@@ -207,6 +222,8 @@ class Rows:
 def first_round(posted: DataFrame, percent: int) -> DataFrame:
     """Reads the lists of tokens: rows (a, b) with place null are candidate pairs; the others are postings of lists of two classes or more (a: token, b: key), without the members of short lists that the filters part from all others."""
 
+    top = hot_scale()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Rows | None = None  # the first row of the list that the rows before ended in, and its last row if there is another
         for batch in batches:
@@ -233,8 +250,9 @@ def first_round(posted: DataFrame, percent: int) -> DataFrame:
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], ["a", "b", "place", "cells0", "cells1"])
             sizes = np.bincount(start, minlength=count)[start]
-            shared = (sizes >= 2) & (index >= (0 if skip < 2 else 2))  # a list of two rows held has been put out
-            short = shared & (sizes <= SHORT) & (start >= skip) & (start != start[-1])  # short lists that lie in this batch as a whole
+            hot = (rows.token.view(_U) >> _U(52)).astype(np.int64) > top  # other tasks have members as well
+            shared = ((sizes >= 2) | hot) & (index >= (0 if skip < 2 else 2)) & ~(hot & (index < skip))  # a list of two rows held has been put out, and so has one of a hot list
+            short = shared & ~hot & (sizes <= SHORT) & (start >= skip) & (start != start[-1])  # short lists that lie in this batch as a whole
             useful = ~short
             for d in range(1, SHORT):
                 i = np.flatnonzero(short[:-d] & (start[d:] == start[:-d]))
@@ -248,7 +266,8 @@ def first_round(posted: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows.cols[c][put]) for c in ("token", "key", "place", "cells0", "cells1")], ["a", "b", "place", "cells0", "cells1"])
             held = rows.take(np.unique([start[-1], count - 1]))
 
-    return posted.repartition("token").sortWithinPartitions("token", "place", "cells0", "cells1", "key").mapInArrow(run, "a long, b long, place long, cells0 long, cells1 long")
+    salted = posted.withColumn("salt", dealt(F.col("token"), F.col("key"))).repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "cells0", "cells1", "key")
+    return salted.drop("salt").mapInArrow(run, "a long, b long, place long, cells0 long, cells1 long")
 
 
 def across(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -256,7 +275,8 @@ def across(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
     def pairs(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = rows.take(np.argsort(rows.n, kind="stable"))
-        comp = rows.cols["comp"]
+        comp, salt = rows.cols["comp"], rows.cols["salt"]
+        alone = rows.cols["x"][0] == rows.cols["y"][0]  # else a cell of two parts of a list: pairs within a part are others' work
         values, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         small = np.flatnonzero(inverse != sizes.argmax())
         bits = np.frombuffer(b"".join(rows.cols["sketch"].tolist()), np.uint64).reshape(len(comp), -1)
@@ -264,7 +284,7 @@ def across(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
         for i in small.tolist():
             lo = np.searchsorted(rows.n, -(-percent * rows.n[i] // 100), "left")
             hi = np.searchsorted(rows.n, 100 * rows.n[i] // percent, "right")
-            j = lo + np.flatnonzero((comp[lo:hi] != comp[i]) & ~done[lo:hi])
+            j = lo + np.flatnonzero((comp[lo:hi] != comp[i]) & ~done[lo:hi] & ((salt[lo:hi] != salt[i]) | alone))
             done[i] = True
             if len(j):
                 j = j[rows.similar(np.full(len(j), i), j, percent)]
@@ -286,7 +306,8 @@ def across(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 rows = held + rows if rows is not None else held
             if rows is None:
                 return
-            cuts = np.flatnonzero(rows.token[1:] != rows.token[:-1]) + 1
+            x, y = rows.cols["x"], rows.cols["y"]
+            cuts = np.flatnonzero((rows.token[1:] != rows.token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             edges = [0, *cuts.tolist(), len(rows.token)]
             whole = len(edges) - 1 if batch is None else len(edges) - 2
             out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -300,7 +321,11 @@ def across(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 found = np.unique(np.stack([np.concatenate([o[k] for o in out]) for k in (0, 1)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return lists.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
+    # a list of more than CELL members is cut into parts, and each pair of parts meets in a cell
+    parts = F.ceil(F.col("members") / CELL).cast("long")
+    salted = lists.withColumn("salt", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cells = salted.select("token", "key", "place", "cells0", "cells1", "comp", "sketch", "salt", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"))
+    return cells.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -452,8 +477,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def apart(held: DataFrame, roots: DataFrame) -> DataFrame:
         """The postings of lists of several components, with the component of each."""
         named = held.join(roots, held["key"] == roots["node"], "left").select("token", "key", "place", "cells0", "cells1", F.coalesce("root", "key").alias("comp"))
-        mixed_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        return written(named.join(mixed_lists, "token", "left_semi"), "ngram-apart")
+        mixed_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x <> y").select("token", "members")
+        return written(named.join(mixed_lists, "token"), "ngram-apart")
 
     tried = written(lists.where("place is null").select("a", "b").distinct(), "ngram-pairs")
     links = linked(tried)
