@@ -340,7 +340,7 @@ def _bloom_at(ids: np.ndarray) -> list[np.ndarray]:
 
 
 def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """key, shingles (binary of ascending 64-bit hashes) of the rows ``wanted`` (rep, key). Documents that a filter of fixed size rules out aren't hashed."""
+    """key, shingles (binary of ascending 64-bit hashes) of the rows ``wanted`` (rep, key), a key from each task at most, and some other keys. Documents that a filter of fixed size rules out aren't hashed."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BLOOM_BITS, np.uint8)
@@ -372,8 +372,24 @@ def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
         return part
 
-    sets = arrow_map(docs.where(F.col("doc_id").isNotNull()), make, "key long, shingles binary", "text")
-    return sets.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return arrow_map(docs.where(F.col("doc_id").isNotNull()), make, "key long, shingles binary", "text")
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule similarity out."""
+
+    def make():
+        def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n + m - 2 * overlap(n, m, percent)
+            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+
+        return part
+
+    with_x = pairs.join(classes.select(F.col("key").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n")), "a")
+    both = with_x.join(classes.select(F.col("key").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("m")), "b")
+    return arrow_map(both.select("a", "b", "x", "y", "n", "m"), make, "a long, b long", "x")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -462,14 +478,14 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     rows = base.where("slice is null").select("doc_id", "n_shingles", "key", "sketch")
     lists = written(first_round(postings(docs, width, percent, counts.reshape(-1)), percent), "ngram-lists")
-    classes = written(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "ngram-keys")
+    classes = written(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "ngram-keys")
     rows = rows.drop("sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
         keys = pairs.select("a").union(pairs.select("b")).distinct().toDF("key")
         wanted = written(classes.join(keys, "key").where("rep is not null").select("rep", "key"), "ngram-wanted")
         sets = written(fetched_sets(docs, wanted, width), "ngram-sets")
-        out = written(verified(pairs, sets, percent), "ngram-links")
+        out = written(verified(pairs, sets, percent).distinct(), "ngram-links")
         forget(sets)
         forget(wanted)
         return out
@@ -481,7 +497,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return written(named.join(mixed_lists, "token"), "ngram-apart")
 
     tried = written(lists.where("place is null").select("a", "b").distinct(), "ngram-pairs")
-    links = linked(tried)
+    links = linked(written(alike(tried, classes, percent), "ngram-near"))
     roots = components(links)
     held = lists.where("place is not null").select(F.col("a").alias("token"), F.col("b").alias("key"), "place", "cells0", "cells1")
     for nearest in (True, False):
