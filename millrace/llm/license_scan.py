@@ -111,8 +111,15 @@ class Templates:
                 tried.add((name, p - i))
                 template = self.words[name]
                 slack = len(template) // 4 + 2
-                lo, hi = max(0, p - i - slack), min(len(words), p - i + len(template) + slack)
-                got = patience(template, words[lo:hi])
+                # the template's own length first: what is around may repeat its words, which then anchor nothing
+                lo, got = 0, []
+                for more in (0, slack):
+                    at = max(0, p - i - more)
+                    new = patience(template, words[at : p - i + len(template) + more])
+                    if len(new) > len(got):
+                        lo, got = at, new
+                    if len(got) == len(template):
+                        break
                 if got and len(got) >= self.coverage * len(template) - 1e-9:
                     found.append((len(got) / len(template), name, lo + got[0][1], lo + got[-1][1] + 1))
         out: list[tuple[str, float, int, int]] = []
