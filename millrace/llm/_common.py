@@ -128,12 +128,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = mixed((np.arange(1, 257, dtype=np.uint64)) * _BASE)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]  # A-Z hash as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: For each byte: 1 in words, 0 between them, which is white space; or where punctuation counts as well, all of ASCII but letters and digits.
+WHITE_SPACE = bytes(b not in (9, 10, 11, 12, 13, 32) for b in range(256))
+PUNCTUATION = bytes(b >= 128 or chr(b).isalnum() for b in range(256))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -149,30 +147,28 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-#: Bytes between words where punctuation counts as well: all of ASCII but letters and digits.
-PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-
-
 def span_hashes(raw: np.ndarray):
     """A function of (starts, ends) that gives the hashes of spans of bytes, A-Z lowered; the same for a word and for another's beginning that is equal to it."""
     n = len(raw)
     up, down = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    values = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8).astype(np.uint64)
+    values *= up[:n]
+    np.cumsum(values, out=sums[1:])
     return lambda starts, ends: mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: bytes = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` (or what ``space`` leaves) of concatenated texts, A-Z lowered.
 
     Gives each word's 64-bit hash, first byte, byte after the last, and for each text the index of its first word (texts + 1).
-    A word's hash is a polynomial over mixed byte values, taken from prefix sums, then mixed.
+    A word's hash is a polynomial over its bytes, taken from prefix sums, then mixed with its length.
     """
     n = len(raw)
     if not n:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~space[raw]
+    inside = np.frombuffer(raw.tobytes().translate(space), bool)
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     cut = offsets[:-1][offsets[:-1] < n]

@@ -42,7 +42,7 @@ RARE = 0.65
 #: A candidate's least cosine; the common subsequence's least share of the item, alone or along with the share of the answer that must be there.
 COSINE = 0.2
 VERBATIM = 0.7
-PARAPHRASE = 0.55
+PARAPHRASE = 0.6
 ANSWER = 0.8
 
 _U = np.uint64
@@ -97,6 +97,23 @@ def blocks_of(t: np.ndarray, first: np.ndarray, size: int, more: int = 0) -> tup
     return out, bounds
 
 
+def scatter(y: np.ndarray, t: np.ndarray, z: np.ndarray) -> None:
+    """Adds to the row of y of each term of each passage the passage's row of z. Terms with as many places are added up together."""
+    order = np.argsort(t, kind="stable")
+    rows, s = (order // PASSAGE).astype(np.int32), t[order]
+    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    n = np.diff(np.append(begin, len(s)))
+    sums = np.empty((len(begin), z.shape[1]), np.float32)
+    few = n < 64
+    for size in np.unique(n[few]).tolist():
+        of = np.flatnonzero(n == size)
+        places = (begin[of][:, None] + np.arange(size)).reshape(-1)
+        sums[of] = np.einsum("ijk->ik", z.take(rows[places], axis=0, mode="clip").reshape(-1, size, z.shape[1]))
+    for k in np.flatnonzero(~few).tolist():
+        sums[k] = z.take(rows[begin[k] : begin[k] + n[k]], axis=0, mode="clip").sum(axis=0)
+    y[s[begin]] += sums
+
+
 def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     """Y = A'(A Omega) over all passages of all documents: terms x ``DRAWN``, summed on the executors in slices."""
     per = 256  # terms in a slice
@@ -106,7 +123,7 @@ def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
         square = np.append(idf, np.float32(0)) ** 2
         y = np.zeros(((1 << TERM_BITS) + 1, DRAWN), np.float32)
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text"):
                 h, _, _, first = word_hashes(*lowered(part.column("text")), PUNCTUATION)
                 t, _ = blocks_of(terms(h), first, PASSAGE)
                 if not len(t):
@@ -115,16 +132,9 @@ def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
                 norm = square[t].sum(axis=1)  # a term's repeats count each by itself
                 z = np.empty((len(t), DRAWN), np.float32)
                 for a in range(0, len(t), 1024):
-                    z[a : a + 1024] = omega[t[a : a + 1024].reshape(-1)].reshape(-1, PASSAGE, DRAWN).sum(axis=1)
+                    z[a : a + 1024] = np.einsum("ijk->ik", omega.take(t[a : a + 1024].reshape(-1), axis=0, mode="clip").reshape(-1, PASSAGE, DRAWN))
                 z /= norm[:, None]
-                flat = t.reshape(-1).astype(np.uint16)
-                order = np.argsort(flat, kind="stable")
-                s = flat[order]
-                begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                cuts = begin[:: 4096].tolist() + [len(s)]
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    own = begin[4096 * k : 4096 * (k + 1)]
-                    y[s[own]] += np.add.reduceat(z[order[a:b] // PASSAGE], own - a, axis=0)
+                scatter(y, t.reshape(-1).astype(np.uint16), z)
         y = y[:-1] * idf[:, None]
         for k in range(0, len(y) // per, 16):
             some = [i for i in range(k, k + 16) if y[i * per : (i + 1) * per].any()]
@@ -256,7 +266,7 @@ def search(docs: DataFrame, items: list[Item], latent: np.ndarray, idf: np.ndarr
         sums = np.zeros((n_blocks + more, dims), np.float32)
         for a in range(0, n_blocks, 2048):
             b = min(n_blocks, a + 2048)
-            sums[a:b] = vectors[t[a * BLOCK : b * BLOCK]].reshape(-1, BLOCK, dims).sum(axis=1)
+            sums[a:b] = np.einsum("ijk->ik", vectors.take(t[a * BLOCK : b * BLOCK], axis=0, mode="clip").reshape(-1, BLOCK, dims))
         doc = np.repeat(np.arange(len(first) - 1), np.diff(bounds))
         # (block, item) of each occurrence of an item's rare word
         at = np.searchsorted(rare, h).clip(max=len(rare) - 1)
