@@ -51,7 +51,7 @@ def marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray,
 def dense_features(raw: np.ndarray, offsets: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text: length, and shares of capitals, of other ASCII marks, and of repeated words."""
     n_bytes, n_words = np.diff(offsets), np.diff(first)
-    sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((raw >= 65) & (raw <= 90), PUNCTUATION[raw] & (raw > 32))]
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((raw >= 65) & (raw <= 90), (np.frombuffer(raw.tobytes().translate(PUNCTUATION), np.uint8) == 0) & (raw > 32))]
     shares = [(s[offsets[1:]] - s[offsets[:-1]]) / np.maximum(1, n_bytes) for s in sums]
     which = np.repeat(np.arange(len(n_words)), n_words)
     order = np.lexsort((h, which))
@@ -152,7 +152,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
         return Chain(np.zeros(0, _U), [(n, np.append(np.zeros(4 + i), -35.0), 1.0) for i, n in enumerate(names)])
     words = chosen_words(got, labels_of, size.asDict())
     x, ys = training_matrix(got, labels_of, words)
-    folds = np.arange(len(x)) % FOLDS
+    folds = np.random.default_rng(0).permutation(len(x)) % FOLDS
     models, before = [], []
     for name, y in zip(names, ys, strict=True):
         full = np.hstack([x, *(p[:, None] for p in before)])
