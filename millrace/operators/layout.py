@@ -88,3 +88,11 @@ def to_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     rows = df.select(BATCH, *columns, F.explode(places).alias("_i"))
     return rows.select(BATCH, F.col("_i"), *(F.get(c, F.col("_i")).alias(c) for c in columns))
+
+
+def zip_frames(left: DataFrame, left_order: Sequence[str | Column], right: DataFrame, right_order: Sequence[str | Column]) -> DataFrame:
+    """The rows of two DataFrames side by side by position, with _pos; the shorter one ends it. Columns must have different names."""
+    both = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
+    if both:
+        raise ValueError(f"both sides have columns {sorted(both)}")
+    return numbered(left, left_order).join(numbered(right, right_order), POS)

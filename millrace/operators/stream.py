@@ -178,11 +178,11 @@ class Stream:
             new[c] = ndim.lift(keep, [F.col(c), *(F.col(o) for o in others)], depth)
         return s._with(s.df.withColumns(new))
 
-    def for_each(self, from_: Names, fun: Callable[[Any], None]) -> Stream:
-        """Passes each partition's examples (a pandas frame of ``from_``) to ``fun`` when the stream is read; the values go on unchanged. For sums, ``observe`` needs no Python."""
+    def for_each(self, from_: Names, fun: Callable[[Any], None], dim: int = 1) -> Stream:
+        """Passes pandas frames of ``from_`` to ``fun`` when the stream is read: rows are examples, or whole batches in dimension 0. The values go on unchanged. For sums, ``observe`` needs no Python."""
         names = _names(from_)
         self._need(names)
-        s = self.rows()
+        s = self.batches() if dim == 0 else self.rows()
 
         def tap(frames):
             for pdf in frames:

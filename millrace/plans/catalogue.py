@@ -13,7 +13,7 @@ from millrace.functions.random import bits, draw
 from millrace.operators.frame import TextTable
 from millrace.operators.groups import generate_groups, generate_many
 from millrace.operators.index_mapper import IndexMapper
-from millrace.operators.layout import BATCH, POS
+from millrace.operators.layout import BATCH, POS, zip_frames
 from millrace.operators.model import infer_batches
 from millrace.operators.stream import Stream
 
@@ -386,3 +386,19 @@ def model_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, ('0x' || substr(md5('5:' || o_orderkey), 1, 8))::BIGINT AS h, 1 + floor(('0x' || substr(md5('5:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 6)::BIGINT AS die FROM orders")
 def random_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", bits(5, F.col("o_orderkey")).alias("h"), draw("integer", (1, 6), 5, F.col("o_orderkey")).alias("die"))
+
+
+@query("""
+WITH a AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation), b AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey DESC) AS p FROM supplier)
+SELECT (p - 1)::BIGINT AS pos, n_name, s_name FROM a JOIN b USING (p)
+""")
+def zip_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    return zip_frames(a.select("n_nationkey", "n_name"), ["n_nationkey"], b.select("s_suppkey", "s_name"), [F.col("s_suppkey").desc()]).select(F.col(POS).alias("pos"), "n_name", "s_name")
+
+
+@query("SELECT p_partkey, 2 * p_size AS size, p_name FROM part WHERE p_size > 25")
+def declared_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey", 32)
+    s = s.filter(s.columns, "p_size", lambda n: n > 25).transform("p_size", "size", lambda n: n * 2).rebatch(10)
+    return s.df.select("p_partkey", "size", "p_name")

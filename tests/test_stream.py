@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from millrace.operators.layout import BATCH, numbered
+from millrace.functions.threads import ThreadPool
+from millrace.operators.layout import BATCH, numbered, zip_frames
+from millrace.operators.schema import ColumnDef, host_stream
 from millrace.operators.stream import Stream, identity
 
 
@@ -215,6 +217,25 @@ def test_numbering_by_partitions(spark, parts):
     assert [r["k"] for r in got] == list(range(500)) and [r["_pos"] for r in got] == list(range(500))
 
 
+def test_zip_and_declared_columns(spark):
+    a = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "x int, v string")
+    b = spark.createDataFrame([(10,), (30,)], "y int")
+    assert [tuple(r) for r in zip_frames(a, ["x"], b, [F.col("y").desc()]).orderBy("_pos").collect()] == [(0, 1, "a", 30), (1, 2, "b", 10)]
+    with pytest.raises(ValueError):
+        zip_frames(a, ["x"], a, ["x"])
+    defs = [ColumnDef.of("Int", "int"), ColumnDef.of("Text", "array<string>")]
+    assert [d.dimensions() for d in defs] == [1, 3]
+    s = host_stream(spark, defs, [{"Int": [1, 2], "Text": [["a"]]}, {"Int": [3]}])
+    assert get(s, "Int") == [[1, 2], [3]] and get(s, "Text") == [[["a"]], []]
+    with pytest.raises(ValueError):
+        host_stream(spark, [defs[0], defs[0]], [])
+
+
+def test_threads(spark):
+    with ThreadPool(3) as pool:
+        assert pool.map(lambda n: spark.range(n).count(), [1, 2, 3]) == [1, 2, 3] and pool.enqueue(sum, [1, 2]).result() == 3
+
+
 def test_sql_view(spark):
     stream(spark, Int=[[1, 2]]).rows().view("numbers")
     assert spark.sql("SELECT sum(Int) AS s FROM numbers").head()["s"] == 3
