@@ -34,7 +34,7 @@ CELLS = 16
 #: Bits of a set's sketch: for each hash cell, whether it holds an odd number of the set's shingles.
 SKETCH = 1024
 #: Lists of up to so many members are looked through at once: members that pass the filters with no other one leave them.
-SHORT = 32
+SHORT = 128
 #: Documents (by the count table) from which on a token's list is dealt to several tasks in round one, and members from which on a list is cut into cells later.
 HOT = 200_000
 CELL = 20_000
