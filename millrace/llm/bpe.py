@@ -18,7 +18,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 #: Pieces of text in each of the two generations that a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 NONE = 1 << 62
 POS = 32
 
@@ -73,7 +73,7 @@ class BytePairs:
         self.ascii = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
         self.wide = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = Memo(self._piece)
+        self.pieces = Memo(self._piece, MEMO // 3)
         self.spans = Memo(self._span)
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -130,8 +130,11 @@ class BytePairs:
         return np.array(self.merge([first[b] for b in word.encode()]), "<u4").tobytes()
 
     def _span(self, span: str) -> bytes:
-        """White space with the word after it: no match of the pattern reaches over its borders."""
-        return b"".join([self.pieces[w] for w in self.words(span)])
+        """White space with the word after it: no match of the pattern reaches over its borders. What is one piece as a whole isn't remembered twice."""
+        words, known = self.words(span), self.spans
+        if len(words) == 1:
+            return self.pieces.get(span) or self._piece(span)
+        return b"".join([known.get(w) or self.pieces[w] for w in words])
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.spans.__getitem__, self.ascii(text) if text.isascii() else self.wide(text)))
