@@ -481,11 +481,17 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "ngram-keys")
     rows = rows.drop("sketch")
 
+    passing = [lists]  # tables that nothing reads in the end
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        passing.append(written(df, label))
+        return passing[-1]
+
     def linked(pairs: DataFrame) -> DataFrame:
         keys = pairs.select("a").union(pairs.select("b")).distinct().toDF("key")
         wanted = written(classes.join(keys, "key").where("rep is not null").select("rep", "key"), "ngram-wanted")
         sets = written(fetched_sets(docs, wanted, width), "ngram-sets")
-        out = written(verified(pairs, sets, percent).distinct(), "ngram-links")
+        out = kept(verified(pairs, sets, percent).distinct(), "ngram-links")
         forget(sets)
         forget(wanted)
         return out
@@ -494,26 +500,25 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """The postings of lists of several components, with the component of each."""
         named = held.join(roots, held["key"] == roots["node"], "left").select("token", "key", "place", "cells0", "cells1", F.coalesce("root", "key").alias("comp"))
         mixed_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x <> y").select("token", "members")
-        return written(named.join(mixed_lists, "token"), "ngram-apart")
+        return kept(named.join(mixed_lists, "token"), "ngram-apart")
 
-    tried = written(lists.where("place is null").select("a", "b").distinct(), "ngram-pairs")
-    links = linked(written(alike(tried, classes, percent), "ngram-near"))
+    tried = kept(lists.where("place is null").select("a", "b").distinct(), "ngram-pairs")
+    links = linked(kept(alike(tried, classes, percent), "ngram-near"))
     roots = components(links)
     held = lists.where("place is not null").select(F.col("a").alias("token"), F.col("b").alias("key"), "place", "cells0", "cells1")
     for nearest in (True, False):
         held = apart(held.select("token", "key", "place", "cells0", "cells1"), roots)
         rest = across(held.join(classes.select("key", "sketch"), "key"), percent, nearest)
-        rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        rest = kept(rest.distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         if rest.isEmpty():
-            if not nearest:
-                break
             continue
         more = linked(rest)
         tried = tried.union(rest)
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
-    forget(lists)
+    for table in passing:
+        forget(table)
     named = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "root").select("key", "component_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, chunks, id_type, lowered, pick, shingle_hashes, span_hashes, unused, word_hashes, written
+from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, chunks, forget, id_type, lowered, pick, shingle_hashes, span_hashes, unused, word_hashes, written
 
 #: Labelled rows in training, folds, words of each category's model, and the least share (and number) of training rows that a word is in.
 SAMPLE = 12_000
@@ -152,6 +152,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
         return Chain(np.zeros(0, _U), [(n, np.append(np.zeros(4 + i), -35.0), 1.0) for i, n in enumerate(names)])
     words = chosen_words(got, labels_of, size.asDict())
     x, ys = training_matrix(got, labels_of, words)
+    forget(got)
     folds = np.random.default_rng(0).permutation(len(x)) % FOLDS
     models, before = [], []
     for name, y in zip(names, ys, strict=True):
@@ -178,6 +179,7 @@ def chosen_words(got: DataFrame, labels_of: list[str], size: dict) -> np.ndarray
         chi = F.pow(F.col(c) - F.col("n") * share, 2) / spread
         best = counts.select("w", chi.alias("chi")).where("chi > 10.8").orderBy(F.col("chi").desc(), "w").limit(WORDS)  # a chance of 1 in 1000
         out.update(r["w"] for r in best.collect())
+    forget(counts)
     return np.sort(np.array([*out], np.int64).view(_U))
 
 
