@@ -104,10 +104,22 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buffer_of(pc.utf8_lower(column))
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str, most: int = CHUNK_BYTES) -> DataFrame:
-    """``mapInArrow`` in slices of bounded bytes; ``make`` is called once a task and gives the slice function."""
+#: What empties the memos of this worker process.
+_memos: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Empties the memos that another operator's tasks have left in this worker, which Spark uses again."""
+    for clear in _memos:
+        clear()
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str, most: int = CHUNK_BYTES, memos: bool = False) -> DataFrame:
+    """``mapInArrow`` in slices of bounded bytes; ``make`` is called once a task and gives the slice function. ``memos``: those of earlier tasks are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not memos:
+            release()
         f = make()
         for batch in batches:
             for part in chunks(batch, column, most):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm._common import arrow_map, id_type, pick, vocabulary
+from millrace.llm._common import _memos, arrow_map, id_type, pick, vocabulary
 
 #: The pre-tokenizer's pattern, and the white space of Unicode.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +46,10 @@ class Memo(dict):
         self[key] = out
         return out
 
+    def empty(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class BytePairs:
     """Encodes and decodes as the vocabulary file's model does; special tokens in a text are found first."""
@@ -75,6 +79,7 @@ class BytePairs:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = Memo(self._piece, MEMO // 3)
         self.spans = Memo(self._span)
+        _memos.extend([self.pieces.empty, self.spans.empty])
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges until no pair has a rank. A leaf of the tree is a pair's ``rank << POS | position``, so the root is the leftmost lowest-rank pair."""
@@ -171,7 +176,7 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
         return part
 
-    return arrow_map(pick(df, id_col, text_col), make, f"doc_id {id_type(df, id_col)}, n_tokens long, ids binary", "text")
+    return arrow_map(pick(df, id_col, text_col), make, f"doc_id {id_type(df, id_col)}, n_tokens long, ids binary", "text", memos=True)
 
 
 def bpe_decode(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -187,4 +192,4 @@ def bpe_decode(df: DataFrame, path: str | None = None) -> DataFrame:
         return part
 
     df = df.select("doc_id", "n_tokens", "ids")
-    return arrow_map(df, make, f"doc_id {id_type(df, 'doc_id')}, n_tokens long, ids binary, decoded string", "ids")
+    return arrow_map(df, make, f"doc_id {id_type(df, 'doc_id')}, n_tokens long, ids binary, decoded string", "ids", memos=True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, arrow_map, chunks, id_type, lowered, pick, unused, word_hashes, written
+from millrace.llm._common import PUNCTUATION, arrow_map, chunks, id_type, lowered, pick, release, unused, word_hashes, written
 from millrace.llm.ngram_join import SLICE, table_rows, table_sum
 
 #: Bits of hashed terms, dimensions kept and drawn besides, words of a block, words of an SVD passage.
@@ -56,6 +56,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     """In how many documents each hashed term is; the last entry is the number of documents with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros((1 << TERM_BITS) + SLICE, np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -119,6 +120,7 @@ def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     per = 256  # terms in a slice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         omega = np.vstack([gaussian() * idf[:, None], np.zeros((1, DRAWN), np.float32)])
         square = np.append(idf, np.float32(0)) ** 2
         y = np.zeros(((1 << TERM_BITS) + 1, DRAWN), np.float32)

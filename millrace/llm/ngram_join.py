@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import arrow_map, buffer_of, chunks, forget, mixed, pick, shingle_hashes, unused, word_hashes, written
+from millrace.llm._common import arrow_map, buffer_of, chunks, forget, mixed, pick, release, shingle_hashes, unused, word_hashes, written
 
 #: Entries of the count table and of a slice of it; bits of the filter of ids whose sets are fetched.
 BUCKET_BITS = 20
@@ -109,6 +109,7 @@ def classes_and_counts(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         schema = None
         for batch in batches:
@@ -225,6 +226,7 @@ def first_round(posted: DataFrame, percent: int) -> DataFrame:
     top = hot_scale()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: Rows | None = None  # the first row of the list that the rows before ended in, and its last row if there is another
         for batch in batches:
             rows = Rows(batch)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import chunks, forget, id_type, pick, vocabulary, written
+from millrace.llm._common import _memos, chunks, forget, id_type, pick, vocabulary, written
 from millrace.llm.bpe import WHITE, Memo, byte_symbols
 
 #: Words in each of the two generations that a worker remembers.
@@ -71,6 +71,7 @@ class Words:
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         self.known = Memo(self._word, MEMO)
+        _memos.append(self.known.empty)
         self.model = self.tokenizer.model
         self.shown = dict(enumerate(byte_symbols()))
         self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ",."}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, chunks, forget, id_type, lowered, pick, shingle_hashes, span_hashes, unused, word_hashes, written
+from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, chunks, forget, id_type, lowered, pick, release, shingle_hashes, span_hashes, unused, word_hashes, written
 
 #: Labelled rows in training, folds, words of each category's model, and the least share (and number) of training rows that a word is in.
 SAMPLE = 12_000
@@ -127,6 +127,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     rows = pick(docs, id_col, text_col).join(F.broadcast(some), "doc_id")  # `sample` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in chunks(batch, "text"):
                 raw, offsets = buffer_of(part.column("text"))
