@@ -8,6 +8,7 @@ lines are skipped; every row must have as many fields as the first.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,15 +96,13 @@ def read_csv_text(spark: SparkSession, text: str, drop: int = 0, has_header: boo
 def read_csv(spark: SparkSession, path: str, drop: int = 0, has_header: bool = True, separator: str = ",", quote: str = '"', escape: str = "\\") -> TextTable:
     """A table of a file or of all files of a folder, in the order of their names. Files are parsed by the executors, each as a whole: a quoted field may hold line ends."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    header = None
-    first = files.orderBy("file").limit(1).collect()
-    if has_header or first:
-        if not first:
+    header, width = None, 0
+    first = _first_row(files, drop, separator, quote, escape)
+    if has_header:
+        if first is None:
             raise CsvError("there is no header")
-        header, rows = parse_table(first[0]["value"], drop, has_header, separator, quote, escape)
-        width = len(header) if header is not None else len(rows[0]) if rows else 0
-    else:
-        width = 0
+        header = first
+    width = len(first) if first is not None else 0
     expected = header
 
     def parse(frames):
@@ -123,6 +122,24 @@ def read_csv(spark: SparkSession, path: str, drop: int = 0, has_header: bool = T
     return TextTable(rows.select(POS, *(f"c{i}" for i in range(width))), header)
 
 
+def _first_row(files: DataFrame, drop: int, separator: str, quote: str, escape: str) -> list[str] | None:
+    """The first row after ``drop`` rows of the first file. The driver reads a megabyte of it, and the whole only if that isn't enough."""
+    first = files.orderBy("file").limit(1)
+    for text in (F.substring("value", 1, 1 << 20), F.col("value")):
+        got = first.select(text.alias("t"), (F.char_length("value") > F.char_length(text)).alias("cut")).collect()
+        if not got:
+            return None
+        try:
+            rows = list(islice(parse_rows(got[0]["t"], separator, quote, escape), drop + 2))
+        except CsvError:
+            if not got[0]["cut"]:
+                raise
+            continue
+        if len(rows) == drop + 2 or not got[0]["cut"]:
+            return rows[drop] if len(rows) > drop else None
+    return None
+
+
 def read_csv_fast(spark: SparkSession, path: str, has_header: bool = True, separator: str = ",", quote: str = '"', escape: str = "\\") -> DataFrame:
     """Spark's own splittable reader as strings: for files without line ends in fields. Empty fields are empty texts; rows of other sizes raise."""
     df = spark.read.csv(path, header=has_header, sep=separator, quote=quote, escape=escape, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="FAILFAST", emptyValue="")
