@@ -40,7 +40,7 @@ MOST_ITEMS = 50_000
 ITEMS = 1024
 RARE = 0.65
 #: A candidate's least cosine; the common subsequence's least share of the item, alone or along with the share of the answer that must be there.
-COSINE = 0.2
+COSINE = 0.1
 VERBATIM = 0.7
 PARAPHRASE = 0.6
 ANSWER = 0.8
