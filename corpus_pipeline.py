@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._common import written
-from millrace.llm.bpe import bpe_decode, bpe_encode
+from millrace.llm.bpe import bpe_round_trip
 from millrace.llm.decontaminate import drop_leaks
 from millrace.llm.ngram_join import keep_one
 from millrace.llm.secret_scan import redact_secrets
@@ -36,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe_decode(bpe_encode(docs))
+    out = bpe_round_trip(docs)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

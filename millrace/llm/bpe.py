@@ -193,3 +193,20 @@ def bpe_decode(df: DataFrame, path: str | None = None) -> DataFrame:
 
     df = df.select("doc_id", "n_tokens", "ids")
     return arrow_map(df, make, f"doc_id {id_type(df, 'doc_id')}, n_tokens long, ids binary, decoded string", "ids", memos=True)
+
+
+def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``bpe_decode(bpe_encode(df))`` in one pass, which needs half as many workers: doc_id, n_tokens, ids, decoded."""
+    path = path or vocabulary("byte_bpe_50k.json")
+
+    def make():
+        p = pairs(path)
+
+        def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [p.encode(t) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([p.decode(x) for x in ids], pa.string())]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids", "decoded"])
+
+        return part
+
+    return arrow_map(pick(df, id_col, text_col), make, f"doc_id {id_type(df, id_col)}, n_tokens long, ids binary, decoded string", "text", memos=True)

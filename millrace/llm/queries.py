@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import bpe_decode, bpe_encode
+from millrace.llm.bpe import bpe_round_trip
 from millrace.llm.decontaminate import find_leaks
 from millrace.llm.license_scan import scan_licenses
 from millrace.llm.media import jpeg_features, store_texts
@@ -33,7 +33,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
+    out = bpe_round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
