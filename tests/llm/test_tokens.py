@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from millrace.llm.bpe import BytePairs, Memo, bpe_decode, bpe_encode
+from millrace.llm.bpe import BytePairs, Memo, bpe_decode, bpe_encode, bpe_round_trip
 from millrace.llm.queries import QUERIES
 from millrace.llm.token_counts import Lengths, context_totals, length_histogram, quantiles, totals_at
 from millrace.llm.token_files import Words, pack, shard_bytes, shard_read, token_files, unpack
@@ -75,7 +75,8 @@ def test_bpe_edges(edge, empty):
     texts = edge.select("doc_id", "text").toPandas()
     assert sorted(out.decoded) == sorted(t or "" for t in texts.text) and out.columns.tolist() == ["doc_id", "n_tokens", "ids", "decoded"]
     assert (out.ids.map(len) == 4 * out.n_tokens).all() and out.doc_id.isna().sum() == 1
-    assert bpe_decode(bpe_encode(empty)).count() == 0
+    assert bpe_decode(bpe_encode(empty)).count() == bpe_round_trip(empty).count() == 0
+    assert sorted(map(repr, bpe_round_trip(edge).collect())) == sorted(map(repr, bpe_decode(bpe_encode(edge)).collect()))
 
 
 def test_op2(spark, sf, documents):
