@@ -22,12 +22,26 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0-notice": "This work is licensed under the Creative Commons Attribution 4.0 International License",
-    "CC-BY-SA-4.0-notice": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "CC0-1.0-line": "Licensed under CC0 1.0",
+    "All-Rights-Reserved": "All rights reserved",
 }
+CC_KINDS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-{}", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-{}"}
+CC_VERSIONS = {"4.0": ("International", "NoDerivatives"), "3.0": ("Unported", "NoDerivs"), "2.5": ("Generic", "NoDerivs"), "2.0": ("Generic", "NoDerivs"), "1.0": ("Generic", "NoDerivs")}
+for _kind, _title in CC_KINDS.items():
+    for _version, (_area, _none) in CC_VERSIONS.items():
+        TEMPLATES[f"CC-{_kind}-{_version}-notice"] = f"This work is licensed under the Creative Commons {_title.format(_none)} {_version} {_area} License"
+        TEMPLATES[f"CC-{_kind}-{_version}-line"] = f"Licensed under CC {_kind} {_version}"
+#: Templates whose names begin alike differ in a few words or hold one another: of their stretches that overlap, only the nearest is the text's license.
+FAMILIES = ("CC", "BSD-")
+
+
+def family(name: str) -> str:
+    return next((f for f in FAMILIES if name.startswith(f)), name)
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -122,12 +136,23 @@ class Templates:
                         break
                 if got and len(got) >= self.coverage * len(template) - 1e-9:
                     found.append((len(got) / len(template), name, lo + got[0][1], lo + got[-1][1] + 1))
-        out: list[tuple[str, float, int, int]] = []
+        each: list[tuple[str, float, int, int]] = []
         for cover, name, lo, hi in sorted(found, key=lambda x: (-x[0], x[3] - x[2], x[2], x[1])):
-            if not any(name == n and lo < b and a < hi for n, _, a, b in out):
+            if not any(name == n and lo < b and a < hi for n, _, a, b in each):
+                each.append((name, cover, lo, hi))
+        out: list[tuple[str, float, int, int]] = []
+        for name, cover, lo, hi in sorted(each, key=self.nearness, reverse=True):
+            if not any(family(name) == family(n) and lo < b and a < hi for n, _, a, b in out):
                 out.append((name, cover, lo, hi))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
+    def nearness(self, stretch: tuple[str, float, int, int]) -> tuple[int, str]:
+        """Words in common, without those that only the template or only the stretch has; then the name, for equal ones."""
+        name, cover, lo, hi = stretch
+        n = len(self.words[name])
+        common = round(cover * n)
+        return common - (n - common) - (hi - lo - common), name
+
 
 @lru_cache(4)
 def prepared(templates: tuple[tuple[str, str], ...], coverage: float) -> Templates:
@@ -138,7 +163,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, license, coverage, start, end (code points of the first and after the last matched word): a row for each stretch of each template.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered. One pass over whole texts, no shuffle. Null or empty texts give no rows; rows with
-    null or repeated ids are scanned as any other. Stretches of one template don't overlap; those of several may (a notice lies in the header that begins with it).
+    null or repeated ids are scanned as any other. Stretches of one template don't overlap; those of several may (a notice lies in the header that begins with it),
+    but of a family (Creative Commons, BSD) only the nearest.
     """
     spec = tuple((templates or TEMPLATES).items())
 

@@ -105,6 +105,36 @@ def test_op5_finds_every_notice(spark, sf, documents):
     assert want and want <= got and {(d, n) for d, n, *_ in got} == {(d, n) for d, n, *_ in want}
 
 
+#: The license lines of the given tables.
+LINES = {"MIT-notice": "Released under the MIT License", "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0", "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3", "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0", "All-Rights-Reserved": "All rights reserved"}
+
+
+def test_op5_finds_every_license_line(spark, sf, documents):
+    got = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in QUERIES["op5_licenses"](spark, sf).collect()}
+    want = {(r["doc_id"], name, m.start(), m.end()) for r in documents.collect() for name, text in LINES.items() for m in re.finditer(re.escape(text), r["text"] or "")}
+    assert got == want and {"CC-BY-NC-4.0-line", "All-Rights-Reserved"} <= {n for _, n, *_ in want}
+
+
+def test_each_template_is_found_as_itself(spark):
+    names = [*TEMPLATES]
+    alone = {"MIT", "GPL-3.0", "Apache-2.0", *(n for n in names if n.startswith(("CC", "BSD-")))}
+    rows = [(i, f"So it goes. {TEMPLATES[n]}. So it goes.") for i, n in enumerate(names)]
+    got = {}
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        got.setdefault(names[r["doc_id"]], set()).add(r["license"])
+    assert all(n in got[n] for n in names) and all(got[n] - {"Apache-2.0-notice"} == {n} for n in alone)
+
+
+def test_bsd_2_is_not_bsd_3(spark):
+    three = TEMPLATES["BSD-3-Clause"].split()
+    edited = " ".join(w for i, w in enumerate(three) if i % 11)
+    rows = [(1, TEMPLATES["BSD-2-Clause"]), (2, edited), (3, "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.")]
+    got = {}
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("start").collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert got == {1: ["BSD-2-Clause"], 2: ["BSD-3-Clause"], 3: ["CC-BY-4.0-line", "CC-BY-NC-4.0-line"]}
+
+
 def test_license_edits_and_edges(spark, edge, empty):
     mit = TEMPLATES["MIT"]
     words = mit.split()
