@@ -24,11 +24,14 @@ RANDOM = "random"
 LEAST = 20
 RATIO = 2.0
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: What is known not to be a secret. Digests: hexadecimal of the usual digest lengths. Identifiers: UUIDs, words joined by one of -_/ or by case with at most four digits in a row, runs of one character, numbers.
+#: What is known not to be a secret. Digests: hexadecimal of the usual digest lengths. UUIDs. Runs of one character, numbers.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-NAME = re.compile(r"[/_=-]*[A-Za-z]?[a-z]*(?:[/_-]?[A-Z]?[a-z]{2,}|[/_-][A-Za-z]*|[0-9]{1,4}(?![0-9])|[A-Z]{2,}(?=[/_-]|$))*[/_=-]*")
-PLAIN = re.compile(r"(.)\1*|[0-9/_=-]+|[A-Za-z]+|[^A-Za-z0-9]*")
+PLAIN = re.compile(r"(.)\1*|[0-9+/_=-]+")
+#: Parts of a name; those of up to SHORT characters tell nothing. In a part, digits in a row that are a number or a time.
+PART = re.compile(r"[A-Za-z0-9]+")
+SHORT = 3
+NUMBER = re.compile(r"[0-9]{6,}")
 
 
 class Scanner:
@@ -41,11 +44,24 @@ class Scanner:
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.ratio = ratio
 
+    def tokens(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
+
+    def score(self, part: str) -> tuple[float, int]:
+        """How many characters a part without joiners is short of ``ratio`` for each of its tokens (words have more: under 0), and how many
+        characters tell that. Numbers, runs of one character and short parts tell nothing."""
+        rest = [x for x in NUMBER.split(part) if x]
+        n = sum(map(len, rest))
+        if len(part) <= SHORT or part.isdigit() or part == part[0] * len(part):
+            return 0.0, 0
+        return self.ratio * sum(map(self.tokens, rest)) - n, n
+
     def random(self, text: str) -> bool:
-        """Whether a string without spaces looks random: no known digest or identifier, letters and digits mixed, few characters a token."""
-        if DIGEST.fullmatch(text) or UUID.fullmatch(text) or PLAIN.fullmatch(text) or NAME.fullmatch(text):
+        """Whether a string without spaces looks random: no known digest, few characters a token, and not only parts that are words."""
+        if DIGEST.fullmatch(text) or UUID.fullmatch(text) or PLAIN.fullmatch(text):
             return False
-        return len(text) < self.ratio * len(self.encoding.encode_ordinary(text))
+        odd = sum(n for score, n in map(self.score, PART.findall(text)) if score > 0)
+        return odd >= LEAST // 2 and len(text) < self.ratio * self.tokens(text)
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         out = []

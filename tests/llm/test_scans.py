@@ -47,6 +47,26 @@ def test_token_test(text, found):
     assert [s[0] for s in SCANNER.spans(f"see {text} there")] == (["random"] if found else [])
 
 
+def drawn(alphabet, n, many=300):
+    rng = np.random.default_rng(n)
+    return ["".join(rng.choice([*alphabet], n).tolist()) for _ in range(many)]
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("alphabet, least", [(LOWER + UPPER, 0.98), (LOWER, 0.88), (UPPER, 0.95), (LOWER + DIGITS, 0.95), (LOWER + UPPER + DIGITS, 0.98)])
+@pytest.mark.parametrize("n", [20, 32])
+def test_random_strings_of_any_letters(alphabet, least, n):
+    found = [SCANNER.spans(f"see {x} there") == [("random", 4, 4 + n)] for x in drawn(alphabet, n)]
+    assert np.mean(found) >= least
+
+
+@pytest.mark.parametrize("name", ["MAX_BUFFER_SIZE_IN_BYTES", "AbstractSingletonProxyFactoryBean", "internationalization", "/usr/lib/x86_64-linux-gnu/libpthread", "how-to-build-a-better-mousetrap", "a_b_c_d_e_f_g_h_i_j_k_l_m"])
+def test_names_are_not_random(name):
+    assert SCANNER.spans(f"see {name} there") == []
+
+
 def test_op4(spark, sf, documents):
     got = QUERIES["op4_secrets"](spark, sf).toPandas().set_index("doc_id")
     for r in documents.collect():
