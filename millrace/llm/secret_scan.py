@@ -28,7 +28,10 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 PLAIN = re.compile(r"(.)\1*|[0-9+/_=-]+")
-#: Parts of a name; those of up to SHORT characters tell nothing. In a part, digits in a row that are a number or a time.
+#: Known values in a longer string: with no letter or digit beside them.
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
+#: What stands between two '='. Parts of a name; those of up to SHORT characters tell nothing. In a part, digits in a row that are a number or a time.
+FIELD = re.compile(r"[^=]+(?:=+\Z)?")
 PART = re.compile(r"[A-Za-z0-9]+")
 SHORT = 3
 NUMBER = re.compile(r"[0-9]{6,}")
@@ -63,6 +66,32 @@ class Scanner:
         odd = sum(n for score, n in map(self.score, PART.findall(text)) if score > 0)
         return odd >= LEAST // 2 and len(text) < self.ratio * self.tokens(text)
 
+    def within(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Bounds of what looks random in a string without spaces: all of it, or each field, or a field's longest rows of parts that are no words. What is ``taken`` or known is passed over."""
+        gone = taken + [m.span() for m in KNOWN.finditer(text)]
+        if not gone and self.random(text):
+            return [(0, len(text))]
+        out = []
+        for field in FIELD.finditer(text):
+            start, end = field.span()
+            if end - start >= LEAST and not any(x < end and start < y for x, y in gone) and self.random(field[0]):
+                out.append((start, end))
+                continue
+            last, row = start, []  # the end of the last word, and (start, end, score, characters that tell) since
+            parts = [(start + m.start(), start + m.end(), *self.score(m[0])) for m in PART.finditer(field[0])]
+            for part in [*parts, (end, end, -1.0, 0)]:
+                a, b, score, _ = part
+                if score >= 0 and not any(x < b and a < y for x, y in gone):
+                    row.append(part)
+                    continue
+                if row:
+                    # one joiner belongs to the word beside it, further ones to the row
+                    lo, hi = min(row[0][0], last + (last > start)), max(row[-1][1], a - (a < end))
+                    if hi - lo >= LEAST and sum(r[2] for r in row) > 0 and sum(r[3] for r in row if r[2] > 0) >= LEAST // 2:
+                        out.append((lo, hi))
+                last, row = b, []
+        return out
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         out = []
         if ":" in text or "=" in text:
@@ -73,7 +102,8 @@ class Scanner:
         if found:  # a run of 24 hexadecimal digits lies in a candidate
             out += [("hex", *m.span()) for m in HEX.finditer(text)]
             taken = [(a, b) for _, a, b in out]
-            out += [(RANDOM, a, b) for a, b in found if not any(x < b and a < y for x, y in taken) and self.random(text[a:b])]
+            for a, b in found:
+                out += [(RANDOM, a + x, a + y) for x, y in self.within(text[a:b], [(x - a, y - a) for x, y in taken if x < b and a < y])]
             order = {k: i for i, k in enumerate((*KINDS, RANDOM))}
             return sorted(out, key=lambda s: (s[1], order[s[0]], s[2]))
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -95,7 +125,8 @@ def _spans(found: list[list[tuple[str, int, int]]]) -> pa.Array:
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ratio: float = RATIO) -> DataFrame:
     """doc_id, spans (array of kind, start, end in code points, end exclusive; by start, then kind): every row's whole text, in one pass without a shuffle.
 
-    ``assign``, ``access`` and ``hex`` come from fixed patterns; ``random`` are further strings that no base span touches. Null or
+    ``assign``, ``access`` and ``hex`` come from fixed patterns; ``random`` are further strings that no base span touches, without
+    the words that ``=``, ``/`` and other joiners part from them. Null or
     empty text: no spans. Null ids, repeated rows and other columns don't matter.
     """
     path = path or vocabulary("byte_bpe_50k.tiktoken")

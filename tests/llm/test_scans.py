@@ -62,6 +62,20 @@ def test_random_strings_of_any_letters(alphabet, least, n):
     assert np.mean(found) >= least
 
 
+@pytest.mark.parametrize("name", ["database_connection_key=", "/srv/config/secrets/", "some_service_credentials="])
+@pytest.mark.parametrize("n", [20, 32])
+def test_random_strings_behind_names(name, n):
+    found = [[s for s in SCANNER.spans(f"see {name}{x} there") if s[0] == "random"] for x in drawn(LOWER + UPPER + DIGITS, n)]
+    assert np.mean([len(f) == 1 and f[0][1] <= 4 + len(name) and f[0][2] == 4 + len(name) + n for f in found]) >= 0.98
+
+
+def test_secrets_beside_known_values():
+    key = "Ksjd83jDk29sKx0Qmz71LpW3"
+    for known in ("D41D8CD98F00B204E9800998ECF8427E", "123e4567-e89b-12d3-a456-426614174000", "0123456789abcdef01234567"):
+        assert not any(s[0] == "random" for s in SCANNER.spans(f"/objects/{known}/view"))
+        assert [s for s in SCANNER.spans(f"/objects/{known}/{key}") if s[0] == "random"] == [("random", 10 + len(known), 34 + len(known))]
+
+
 @pytest.mark.parametrize("name", ["MAX_BUFFER_SIZE_IN_BYTES", "AbstractSingletonProxyFactoryBean", "internationalization", "/usr/lib/x86_64-linux-gnu/libpthread", "how-to-build-a-better-mousetrap", "a_b_c_d_e_f_g_h_i_j_k_l_m"])
 def test_names_are_not_random(name):
     assert SCANNER.spans(f"see {name} there") == []
