@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,13 +31,32 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-
 PLAIN = re.compile(r"(.)\1*|[0-9+/_=-]+")
 #: Known values in a longer string: with no letter or digit beside them.
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
-#: What stands between two '='. Parts of a name; those of up to SHORT characters tell nothing. In a part, digits in a row that are a number or a time.
+#: What stands between two '='. Parts of a name; those of up to SHORT characters tell nothing. Characters that are tokenized at once. In a part, digits in a row that are a number or a time.
 FIELD = re.compile(r"[^=]+(?:=+\Z)?")
 PART = re.compile(r"[A-Za-z0-9]+")
 SHORT = 3
+PIECE = 1024
 NUMBER = re.compile(r"[0-9]{6,}")
 
 
+class Bounds:
+    """Spans as their union, in order, to be looked up in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def within(self, a: int, b: int) -> list[tuple[int, int]]:
+        lo, hi = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        return list(zip(self.starts[lo:hi], self.ends[lo:hi], strict=True))
+
+
 class Scanner:
     def __init__(self, path: str, ratio: float):
         import public_tokenizers
@@ -48,7 +68,8 @@ class Scanner:
         self.ratio = ratio
 
     def tokens(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
+        """Tokens of a string, in pieces, so that the time is linear in its length."""
+        return sum(len(self.encoding.encode_ordinary(text[i : i + PIECE])) for i in range(0, len(text), PIECE))
 
     def score(self, part: str) -> tuple[float, int]:
         """How many characters a part without joiners is short of ``ratio`` for each of its tokens (words have more: under 0), and how many
@@ -68,20 +89,20 @@ class Scanner:
 
     def within(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Bounds of what looks random in a string without spaces: all of it, or each field, or a field's longest rows of parts that are no words. What is ``taken`` or known is passed over."""
-        gone = taken + [m.span() for m in KNOWN.finditer(text)]
-        if not gone and self.random(text):
+        gone = Bounds(taken + [m.span() for m in KNOWN.finditer(text)])
+        if not gone.within(0, len(text)) and self.random(text):
             return [(0, len(text))]
         out = []
         for field in FIELD.finditer(text):
             start, end = field.span()
-            if end - start >= LEAST and not any(x < end and start < y for x, y in gone) and self.random(field[0]):
+            if end - start >= LEAST and not gone.within(start, end) and self.random(field[0]):
                 out.append((start, end))
                 continue
             last, row = start, []  # the end of the last word, and (start, end, score, characters that tell) since
             parts = [(start + m.start(), start + m.end(), *self.score(m[0])) for m in PART.finditer(field[0])]
             for part in [*parts, (end, end, -1.0, 0)]:
                 a, b, score, _ = part
-                if score >= 0 and not any(x < b and a < y for x, y in gone):
+                if score >= 0 and not gone.within(a, b):
                     row.append(part)
                     continue
                 if row:
@@ -101,9 +122,9 @@ class Scanner:
         found = [m.span() for m in CANDIDATE.finditer(text)]
         if found:  # a run of 24 hexadecimal digits lies in a candidate
             out += [("hex", *m.span()) for m in HEX.finditer(text)]
-            taken = [(a, b) for _, a, b in out]
+            taken = Bounds([(a, b) for _, a, b in out])
             for a, b in found:
-                out += [(RANDOM, a + x, a + y) for x, y in self.within(text[a:b], [(x - a, y - a) for x, y in taken if x < b and a < y])]
+                out += [(RANDOM, a + x, a + y) for x, y in self.within(text[a:b], [(x - a, y - a) for x, y in taken.within(a, b)])]
             order = {k: i for i, k in enumerate((*KINDS, RANDOM))}
             return sorted(out, key=lambda s: (s[1], order[s[0]], s[2]))
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))

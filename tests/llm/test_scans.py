@@ -1,5 +1,8 @@
 import hashlib
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -69,6 +72,23 @@ def test_random_strings_behind_names(name, n):
     assert np.mean([len(f) == 1 and f[0][1] <= 4 + len(name) and f[0][2] == 4 + len(name) + n for f in found]) >= 0.98
 
 
+SLUGS = ["how-to-build-a-better-mousetrap-in-your-garden-12345", "/articles/science/environment/climate-report-20240115", "how-to-build-a-better-mousetrap-" * 2000 + "12345"]
+LONG_RUNS = ["ACGTTGCA" * 50_000, "abcdefghij" * 50_000, "deadbeef" * 3 + "/", "=a/b-c_" * 50_000, "0123456789abcdef01234567/ab12-" * 20_000, "D41D8CD98F00B204E9800998ECF8427E/x-" * 20_000, "a" * 500_000 + "=", "password=abcdef " * 30_000]
+
+
+def test_long_slugs_and_runs_end():
+    # in a process of its own, since a regular expression that backtracks can't be interrupted
+    code = f"""import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import public_tokenizers as P
+from millrace.llm.secret_scan import RATIO, Scanner
+from tests.llm.test_scans import LONG_RUNS, SLUGS
+s = Scanner(P.path("byte_bpe_50k.tiktoken"), RATIO)
+assert all(s.spans(f"see {{x}} there") == [] for x in SLUGS)
+assert s.spans(SLUGS[1] + "/Ksjd83jDk29sKx0Qmz71LpW3") != []
+[s.spans(x) for x in LONG_RUNS]"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
+
+
 def test_secrets_beside_known_values():
     key = "Ksjd83jDk29sKx0Qmz71LpW3"
     for known in ("D41D8CD98F00B204E9800998ECF8427E", "123e4567-e89b-12d3-a456-426614174000", "0123456789abcdef01234567"):
