@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, arrow_map, chunks, id_type, lowered, pick, release, unused, word_hashes, written
+from millrace.llm._common import PUNCTUATION, arrow_map, chunks, id_type, lowered, mixed, pick, release, unused, word_hashes, written
 from millrace.llm.ngram_join import SLICE, table_rows, table_sum
 
 #: Bits of hashed terms, dimensions kept and drawn besides, words of a block, words of an SVD passage.
@@ -30,9 +30,10 @@ DRAWN = 40
 BLOCK = 12
 PASSAGE = 48
 SEED = 7
-#: Sizes of search passages in blocks; an item is sought in the smallest that holds three quarters of its words, or in the largest.
+#: Sizes of search passages in blocks; an item is sought in the smallest that holds three quarters of its words. Longer items are sought by counts of their rare words
+#: in stretches of their own length.
 SPANS = (2, 4, 8, 16, 32)
-#: Items of fewer words can't be told from chance and aren't sought; more items than this must be sought in parts.
+#: Items of fewer words are sought word for word only; more items than this must be sought in parts.
 SHORTEST = 8
 MOST_ITEMS = 50_000
 #: Items whose cosines are held at once. The share of an item's words, the rarest first, that are counted around each passage: a stretch with a common
@@ -181,21 +182,31 @@ class Item:
 
 
 def items_of(rows: list[tuple]) -> list[Item]:
-    """Items with words enough, from rows (item_id, text)."""
+    """Items with words, from rows (item_id, text). Masks of items too long for passages are made when they are needed."""
     out = []
     for item_id, text in rows:
         sentences = [s for s in re.split(r"(?<=[.?!])\s+", text or "") if s.strip()]
         words = _words(text or "")
-        if len(words) < SHORTEST:
+        if not words:
             continue
         answer = set(_words(sentences[-1])) if len(sentences) > 1 else set(words)
-        masks: dict[int, int] = {}
-        for i, w in enumerate(words):
-            masks[w] = masks.get(w, 0) | 1 << i
-        out.append(Item(item_id, words, answer or set(words), masks))
+        out.append(Item(item_id, words, answer or set(words), masks_of(words) if size_of(words) else {}))
     return out
 
 
+def masks_of(words: list[int]) -> dict[int, int]:
+    """For each word, a bit for each place of it."""
+    masks: dict[int, int] = {}
+    for i, w in enumerate(words):
+        masks[w] = masks.get(w, 0) | 1 << i
+    return masks
+
+
+def size_of(words: list[int]) -> int:
+    """The size of an item's passages in blocks; 0 for one that is longer than they are."""
+    return next((s for s in SPANS if s * BLOCK >= 0.75 * len(words)), 0)
+
+
 def _words(text: str) -> list[int]:
     return word_hashes(*lowered(pa.array([text])), PUNCTUATION)[0].tolist()
 
@@ -214,7 +225,7 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
 def best_stretch(item: Item, words: list[int], lo: int, hi: int) -> tuple[float, float, int, int]:
     """Over stretches of a quarter more than the item's words that begin in words[lo:hi] on a word of the item: the largest share of the item in
     common, the share of its answer's words in that stretch, and the stretch's bounds."""
-    n, masks = len(item.words), item.masks
+    n, masks = len(item.words), item.masks or masks_of(item.words)
     at = [i for i in range(lo, hi) if words[i] in masks]
     length, best, k, last = n + n // 4, (0, 0, 0), 0, -(n + 1)
     least = int(np.ceil(PARAPHRASE * n))
@@ -248,21 +259,74 @@ def rare_words(items: list[Item], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[begin], np.append(begin, len(pairs)), np.array([i for _, i in pairs]), np.array(need)
 
 
-def search(docs: DataFrame, items: list[Item], latent: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer of each document and item in it; all passages of all documents against all items."""
+def rows_of(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` words that follow one another."""
+    out = h[: max(0, len(h) - width + 1)].copy()
+    for k in range(1, width):
+        out = mixed(out) + h[k : k + len(out)]
+    return out
+
+
+def verbatim_table(items: list[Item]) -> dict[int, tuple[np.ndarray, list[Item]]]:
+    """By length, the items' hashes in ascending order and the items in that order."""
+    out = {}
+    for width in sorted({len(x.words) for x in items}):
+        some = [(int(rows_of(np.array(x.words, _U), width)[0]), x) for x in items if len(x.words) == width]
+        some.sort(key=lambda r: r[0])
+        out[width] = np.array([k for k, _ in some], _U), [x for _, x in some]
+    return out
+
+
+def verbatim(table: dict[int, tuple[np.ndarray, list[Item]]], h: np.ndarray, first: np.ndarray) -> list[tuple]:
+    """(text, item id, 1, 1, 1) of each text and short item that is in it word for word."""
+    found = {}
+    for width, (keys, items) in table.items():
+        rows = rows_of(h, width)
+        lo, hi = np.searchsorted(keys, rows, "left"), np.searchsorted(keys, rows, "right")
+        at = np.flatnonzero(hi > lo)
+        of = np.searchsorted(first, at, "right") - 1
+        within = at + width <= first[of + 1]
+        pairs = np.unique(np.stack([of[within], lo[at[within]], hi[at[within]]]), axis=1)
+        for d, a, b in pairs.T.tolist():
+            for k in range(a, b):
+                found[d, width, k] = (d, items[k].item_id, 1.0, 1.0, 1.0)
+    return [found[k] for k in sorted(found)]
+
+
+def dense(at: np.ndarray, need: int, length: int) -> list[list[int]]:
+    """Bounds around ``need`` of the ascending places ``at`` that lie within ``length``: all stretches of that length with them, joined if they overlap."""
+    need = max(1, need)
+    i = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < length) if len(at) >= need else np.zeros(0, np.int64)
+    out: list[list[int]] = []
+    for lo, hi in zip((at[i + need - 1] + 1 - length).tolist(), (at[i] + length).tolist(), strict=True):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def search(docs: DataFrame, items: list[Item], latent: np.ndarray | None, idf: np.ndarray | None) -> DataFrame:
+    """doc_id, item_id, cosine, lcs, answer of each document and item in it; all passages of all documents against all items.
+
+    ``latent`` and ``idf`` are None if all items are short."""
     sc = docs.sparkSession.sparkContext
-    table = sc.broadcast(latent)
-    sizes = np.array([next((s for s in SPANS if s * BLOCK >= 0.75 * len(x.words)), SPANS[-1]) for x in items])
-    folded = np.stack([latent[terms(np.array(x.words, _U))].sum(axis=0) for x in items])
-    folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-12
-    known = sc.broadcast((items, sizes, folded, rare_words(items, idf)))
     item_type = pa.array([x.item_id for x in items]).type
+    short = sc.broadcast(verbatim_table([x for x in items if len(x.words) < SHORTEST]))
+    items = [x for x in items if len(x.words) >= SHORTEST]
+    table = known = None
+    if items:
+        table = sc.broadcast(latent)
+        sizes = np.array([size_of(x.words) for x in items])
+        folded = np.stack([latent[terms(np.array(x.words, _U))].sum(axis=0) for x in items])
+        folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-12
+        known = sc.broadcast((items, sizes, folded, rare_words(items, idf)))
     names = ["row", "item", "cosine", "lcs", "answer"]
 
     def find(h: np.ndarray, first: np.ndarray) -> list[tuple]:
         items, sizes, folded, (rare, begin, owners, need) = known.value
         vectors = table.value
-        dims, more = vectors.shape[1], int(sizes.max()) - 1
+        dims, more = vectors.shape[1], max(1, int(sizes.max())) - 1
         t, bounds = blocks_of(terms(h), first, BLOCK, more)
         n_blocks = len(t) // BLOCK
         sums = np.zeros((n_blocks + more, dims), np.float32)
@@ -278,7 +342,7 @@ def search(docs: DataFrame, items: list[Item], latent: np.ndarray, idf: np.ndarr
         where = np.repeat(block, n_items)
         who = owners[np.repeat(begin[at[hit]], n_items) + np.arange(len(where)) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
         hits: dict[tuple[int, int], list] = {}
-        for size in sorted(set(sizes.tolist())):
+        for size in sorted(set(sizes.tolist()) - {0}):
             every = np.flatnonzero(sizes == size)
             for c in range(0, len(every), ITEMS):
                 which = every[c : c + ITEMS]
@@ -324,12 +388,33 @@ def search(docs: DataFrame, items: list[Item], latent: np.ndarray, idf: np.ndarr
                 best = max(best, best_stretch(x, words, lo, hi)[:2])
             if best[0] >= VERBATIM or best[0] >= PARAPHRASE and best[1] >= ANSWER:
                 out.append((d, x.item_id, max(s[2] for s in stretches), best[0], best[1]))
+        # items longer than passages: (text, item) of each occurrence of a rare word, in the order of places
+        far = np.flatnonzero(sizes[who] == 0)
+        if len(far):
+            pair, place = np.repeat(of, n_items)[far] * len(items) + who[far], np.repeat(hit, n_items)[far]
+            order = np.argsort(pair, kind="stable")
+            pair, place = pair[order], place[order]
+            begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            ends = np.append(begins[1:], len(pair))
+            enough = ends - begins >= need[pair[begins] % len(items)]
+            for b, e in zip(begins[enough].tolist(), ends[enough].tolist(), strict=True):
+                d, item = divmod(int(pair[b]), len(items))
+                x = items[item]
+                n, start = len(x.words), int(first[d])
+                best = (0.0, 0.0, 0, 0)
+                for lo, hi in dense(place[b:e] - start, int(need[item]), n + n // 4):
+                    words = h[start : int(first[d + 1])][max(0, lo) : hi].tolist()
+                    share, answer, p, q = best_stretch(x, words, 0, len(words))
+                    best = max(best, (share, answer, max(0, lo) + p, max(0, lo) + q))
+                if best[0] >= VERBATIM or best[0] >= PARAPHRASE and best[1] >= ANSWER:
+                    passage = vectors[terms(h[start + best[2] : start + best[3]])].sum(axis=0)
+                    out.append((d, x.item_id, float(passage @ folded[item] / (np.linalg.norm(passage) + 1e-12)), best[0], best[1]))
         return out
 
     def make():
         def part(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             h, _, _, first = word_hashes(*lowered(batch.column("text")), PUNCTUATION)
-            rows = find(h, first) if len(h) else []
+            rows = verbatim(short.value, h, first) + (find(h, first) if known else []) if len(h) else []
             if not rows:
                 return None
             row, item, *scores = zip(*rows, strict=True)
@@ -341,13 +426,15 @@ def search(docs: DataFrame, items: list[Item], latent: np.ndarray, idf: np.ndarr
     return arrow_map(docs, make, f"doc_id {id_type(docs, 'doc_id')}, item {kind}, cosine double, lcs double, answer double", "text").withColumnRenamed("item", "item_id")
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> tuple[list[Item], np.ndarray, np.ndarray] | None:
+def fitted(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> tuple[list[Item], np.ndarray | None, np.ndarray | None] | None:
     rows = benchmark.select(item_col, text_col).limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items: seek them in parts")
     items = items_of(sorted(((r[0], r[1]) for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")))
     if not items:
         return None
+    if all(len(x.words) < SHORTEST for x in items):
+        return items, None, None
     idf = weights(document_frequencies(docs))
     return items, latent_terms(passage_products(docs, idf), idf), idf
 
@@ -355,7 +442,7 @@ def fitted(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str)
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer: each document that holds a benchmark item, whole, edited or paraphrased.
 
-    Null or empty documents hold nothing; null item ids, empty items and items of fewer than ``SHORTEST`` words are passed over; items of equal texts are
+    Null or empty documents hold nothing; null item ids and empty items are passed over; items of fewer than ``SHORTEST`` words are found word for word; items of equal texts are
     found each; repeated rows of documents give repeated rows. Either table may be empty: no rows.
     """
     docs = pick(df, id_col, text_col)
