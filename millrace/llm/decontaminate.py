@@ -222,26 +222,34 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
+def leaks(share: float, answer: float) -> bool:
+    return share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER
+
+
 def best_stretch(item: Item, words: list[int], lo: int, hi: int) -> tuple[float, float, int, int]:
-    """Over stretches of a quarter more than the item's words that begin in words[lo:hi] on a word of the item: the largest share of the item in
-    common, the share of its answer's words in that stretch, and the stretch's bounds."""
+    """Over stretches of a quarter more than the item's words that begin in words[lo:hi] on a word of the item, of those that hold the item if any does: the
+    largest share of the item in common, the share of its answer's words in that stretch, and the stretch's bounds."""
     n, masks = len(item.words), item.masks or masks_of(item.words)
     at = [i for i in range(lo, hi) if words[i] in masks]
-    length, best, k, last = n + n // 4, (0, 0, 0), 0, -(n + 1)
+    length, best, k = n + n // 4, (False, 0, 0.0, lo, lo), 0
     least = int(np.ceil(PARAPHRASE * n))
+    most = n  # what the stretch can have in common: what the last one had, and the words that have come in since
+    counts: dict[int, int] = {}  # the answer's words in the stretch
     for i, p in enumerate(at):
+        if i and (w := words[at[i - 1]]) in item.answer:
+            counts[w] -= 1
+            if not counts[w]:
+                del counts[w]
         while k < len(at) and at[k] < p + length:
-            k += 1
-        if k - i < least or k - i <= best[0] or (p - last < max(1, n // 16) and best[0]):
+            if (w := words[at[k]]) in item.answer:
+                counts[w] = counts.get(w, 0) + 1
+            k, most = k + 1, most + 1
+        bound, answer = min(most, k - i, n), len(counts) / len(item.answer)
+        if bound < least or (leaks(bound / n, answer), bound, answer) <= best[:3]:
             continue
-        last = p
-        got = common_subsequence(masks, n, [words[j] for j in at[i:k]])
-        if got > best[0]:
-            best = (got, p, at[k - 1] + 1)
-    if not best[0]:
-        return 0.0, 0.0, lo, lo
-    there = set(words[best[1] : best[2]])
-    return best[0] / n, len(item.answer & there) / len(item.answer), best[1], best[2]
+        most = got = common_subsequence(masks, n, [words[j] for j in at[i:k]])
+        best = max(best, (leaks(got / n, answer), got, answer, p, at[k - 1] + 1), key=lambda b: b[:3])
+    return best[1] / n, best[2], best[3], best[4]
 
 
 def rare_words(items: list[Item], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -385,8 +393,8 @@ def search(docs: DataFrame, items: list[Item], latent: np.ndarray | None, idf: n
                 else:
                     joined.append([lo, hi])
             for lo, hi in joined:
-                best = max(best, best_stretch(x, words, lo, hi)[:2])
-            if best[0] >= VERBATIM or best[0] >= PARAPHRASE and best[1] >= ANSWER:
+                best = max(best, best_stretch(x, words, lo, hi)[:2], key=lambda b: (leaks(*b), b))
+            if leaks(*best[:2]):
                 out.append((d, x.item_id, max(s[2] for s in stretches), best[0], best[1]))
         # items longer than passages: (text, item) of each occurrence of a rare word, in the order of places
         far = np.flatnonzero(sizes[who] == 0)
@@ -405,8 +413,8 @@ def search(docs: DataFrame, items: list[Item], latent: np.ndarray | None, idf: n
                 for lo, hi in dense(place[b:e] - start, int(need[item]), n + n // 4):
                     words = h[start : int(first[d + 1])][max(0, lo) : hi].tolist()
                     share, answer, p, q = best_stretch(x, words, 0, len(words))
-                    best = max(best, (share, answer, max(0, lo) + p, max(0, lo) + q))
-                if best[0] >= VERBATIM or best[0] >= PARAPHRASE and best[1] >= ANSWER:
+                    best = max(best, (share, answer, max(0, lo) + p, max(0, lo) + q), key=lambda b: (leaks(*b[:2]), b))
+                if leaks(*best[:2]):
                     passage = vectors[terms(h[start + best[2] : start + best[3]])].sum(axis=0)
                     out.append((d, x.item_id, float(passage @ folded[item] / (np.linalg.norm(passage) + 1e-12)), best[0], best[1]))
         return out

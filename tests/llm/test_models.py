@@ -152,6 +152,25 @@ def test_long_and_short_items(spark):
     assert only == {(0, 1, 1.0), (10, 3, 1.0)}
 
 
+def test_a_stretch_with_the_answer_counts():
+    """One stretch has 0.65 of the item without its answer, a later one 0.625 with all of it: the item is there. Against all stretches."""
+    words = [*range(1, 41)]
+    item = D.Item(1, words, set(words[32:]), D.masks_of(words))
+    other = [0] * 100
+    text = words[:26] + other + words[:17] + words[32:] + other
+    assert D.best_stretch(item, text, 0, len(text))[:2] == (0.625, 1.0) and D.leaks(0.625, 1.0) and not D.leaks(0.65, 0.0)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        text = [w if rng.random() < 0.68 else 0 for _ in range(3) for w in words + other[: rng.integers(30)]]
+        every = []
+        for p in (i for i, w in enumerate(text) if w):
+            some = text[p : p + 50]
+            share, answer = D.common_subsequence(item.masks, 40, some) / 40, len(item.answer & set(some)) / 8
+            if share >= D.PARAPHRASE:
+                every.append((D.leaks(share, answer), share, answer))
+        assert D.best_stretch(item, text, 0, len(text))[:2] == max(every, default=(False, 0.0, 0.0))[1:]
+
+
 def test_leak_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (None, "x"), (4, "the quick brown fox jumps over the lazy dog"), (5, "too short")], "item_id int, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in D.find_leaks(edge, bench).collect())
