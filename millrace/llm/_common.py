@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,35 +29,59 @@ def vocabulary(name: str) -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new local one in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        root = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        sc.setCheckpointDir(root)
-        return sc._jsc.sc().getCheckpointDir().get()
-    return root
+    if root:
+        return root
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    root = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    sc.setCheckpointDir(root)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+#: Paths of the tables that this driver has written and not deleted, in order.
+_tables: list[str] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _tables:
+        _tables.remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._millrace_path)
+
+
+def cleanup(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Deletes every table that operators have written in this driver (after the first ``since`` of them) but ``keep``: for when their results have been read."""
+    for path in _tables[since:]:
+        if keep is None or path != keep._millrace_path:
+            _delete(spark, path)
+
+
+def table_count() -> int:
+    """How many written tables there are now: what ``cleanup`` takes as ``since``."""
+    return len(_tables)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -135,6 +161,42 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+#: Entries in a slice of a count table; tasks whose slices are summed together before the last sum.
+SLICE = 1024
+FAN = 32
+
+
+def table_rows(counts: np.ndarray, dtype: str) -> pa.RecordBatch:
+    """A table as rows (slice, counts) without its empty slices."""
+    slices = counts.reshape(-1, SLICE)
+    at = np.flatnonzero(slices.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in slices[at].astype(dtype)], pa.binary())], ["slice", "counts"])
+
+
+def table_sum(rows: DataFrame, dtype: str, total: str = "<i8", either: bool = False) -> DataFrame:
+    """The sum (or the bitwise or) of tables in rows (slice, counts), as one row for each slice.
+
+    It goes in two levels, so that no task reads a slice from every task before: groups of every ``FAN``-th task first, then the groups.
+    """
+
+    def add(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                    x = np.frombuffer(x, kind).astype(total)
+                    got[k] = x if k not in got else got[k] | x if either else got[k] + x
+            keys = [*got]
+            for a in range(0, len(keys), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 64], pa.int32()), pa.array([got[k].tobytes() for k in keys[a : a + 64]], pa.binary())], ["slice", "counts"])
+
+        return run
+
+    schema = "slice int, counts binary"
+    some = rows.select("slice", "counts", F.pmod(F.spark_partition_id(), F.lit(FAN)).alias("part")).repartition("slice", "part").select("slice", "counts").mapInArrow(add(dtype), schema)
+    return some.repartition("slice").mapInArrow(add(total), schema)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finalizer of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -149,6 +211,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: For each byte: 1 in words, 0 between them, which is white space; or where punctuation counts as well, all of ASCII but letters and digits.
 WHITE_SPACE = bytes(b not in (9, 10, 11, 12, 13, 32) for b in range(256))
 PUNCTUATION = bytes(b >= 128 or chr(b).isalnum() for b in range(256))
+LONG_WORD = 64
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -179,7 +242,8 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: bytes = WHITE_SPACE
     """Words ``[^\\x20\\x09-\\x0D]+`` (or what ``space`` leaves) of concatenated texts, A-Z lowered.
 
     Gives each word's 64-bit hash, first byte, byte after the last, and for each text the index of its first word (texts + 1).
-    A word's hash is a polynomial over its bytes, taken from prefix sums, then mixed with its length.
+    A word's hash is a polynomial over its bytes, taken from prefix sums, then mixed with its length; for words of more than ``LONG_WORD`` bytes, where a
+    polynomial modulo 2**64 has collisions that can be written down, a digest.
     """
     n = len(raw)
     if not n:
@@ -195,7 +259,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: bytes = WHITE_SPACE
     after[-1], after[:-1] = False, inside[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    return span_hashes(raw)(starts, ends), starts, ends, np.searchsorted(starts, offsets)
+    hashes = span_hashes(raw)(starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = raw[starts[i] : ends[i]].tobytes().translate(_LOWER)
+        hashes[i] = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64)[0]
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
 _SLOT = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)

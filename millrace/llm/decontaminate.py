@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, arrow_map, chunks, id_type, lowered, mixed, pick, release, unused, word_hashes, written
-from millrace.llm.ngram_join import SLICE, table_rows, table_sum
+from millrace.llm._common import PUNCTUATION, SLICE, arrow_map, chunks, id_type, lowered, mixed, pick, release, table_rows, table_sum, unused, word_hashes, written
 
 #: Bits of hashed terms, dimensions kept and drawn besides, words of a block, words of an SVD passage.
 TERM_BITS = 15
@@ -75,7 +74,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             yield rows.slice(at, 64)
 
     out = np.zeros(((1 << TERM_BITS) // SLICE + 1, SLICE), np.int64)
-    for r in table_sum(docs.select("text").mapInArrow(run, "slice int, counts binary"), "<i8"):
+    for r in table_sum(docs.select("text").mapInArrow(run, "slice int, counts binary"), "<i8").toLocalIterator():
         out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     flat = out.reshape(-1)
     return np.append(flat[: 1 << TERM_BITS], flat[-1])

@@ -1,10 +1,12 @@
 """Similarity join on word n-grams: rare-first prefix filtering with length, positional and suffix filters, each pair verified once.
 
-Documents become sets of 64-bit shingle hashes; equal sets form one class (a 64-bit digest of the set). Only class members of the
-smallest ids take part in the join, so exact copies are never paired.
+Documents become sets of 64-bit shingle hashes; equal sets form one class (a 128-bit digest of the set, of which 64 bits name it unless
+another class has the same). Only class members of the smallest ids take part in the join, so exact copies are never paired.
 
-1. One pass gives each document's class and a table of shingle counts of a fixed size (``BUCKETS``), summed over all documents.
-2. A second pass orders each set by bucket count, then hash, and posts its prefix. Any fixed order gives whole results; counts only make lists short.
+1. One pass gives each document's class and a count sketch of shingles (two rows of ``1 << BUCKET_BITS`` buckets), summed over all documents.
+2. A second pass orders each set by the smaller of its buckets' counts over their row's median, then hash, and posts its prefix. Any fixed order gives
+   whole results; counts only make lists short. The median is what shingles that are nowhere frequent fill a bucket with at any size of input, so what
+   stands out over it is a list's own length.
 3. Lists are read as a sorted stream, the token's foremost positions first: of near copies, the one without rare edits leads. Round one pairs every
    member with the list's first and with the one before it, so a list of m near copies costs m steps. Candidates that
    pass the filters are verified on whole sets and joined to components.
@@ -24,18 +26,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import arrow_map, buffer_of, chunks, forget, mixed, pick, release, shingle_hashes, unused, word_hashes, written
+from millrace.llm._common import SLICE, arrow_map, buffer_of, chunks, forget, mixed, release, shingle_hashes, table_rows, table_sum, unused, word_hashes, written
 
-#: Entries of the count table and of a slice of it; bits of the filter of ids whose sets are fetched.
-BUCKET_BITS = 20
-SLICE = 1024
+#: Bits of a bucket's number in each row of the count sketch; the scale's middle, which is the median bucket, and its steps for each doubling of what a bucket has more.
+BUCKET_BITS = 19
+MIDDLE = 2048
+STEPS = 48
+#: Bits of the filter of documents whose sets are fetched, and the classes up to which it parts them; more are fetched by a join.
 BLOOM_BITS = 23
+FETCHED = 1_000_000
+#: Rows up to which the table of lists of several components is broadcast (16 bytes each).
+MIXED = 500_000
+#: Bits of the number that names a class.
+KEY_BITS = 64
 CELLS = 16
 #: Bits of a set's sketch: for each hash cell, whether it holds an odd number of the set's shingles.
 SKETCH = 1024
 #: Lists of up to so many members are looked through at once: members that pass the filters with no other one leave them.
 SHORT = 128
-#: Documents (by the count table) from which on a token's list is dealt to several tasks in round one, and members from which on a list is cut into cells later.
+#: Members (by the count sketch, over its median) from which on a token's list is dealt to several tasks in round one, and members from which on a list is cut into cells later.
 HOT = 200_000
 CELL = 20_000
 
@@ -57,12 +66,26 @@ def unique_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nd
     return h[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
-def class_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set; 0 for an empty one."""
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(h ^ _U(0x5851F42D4C957F2D)), dtype=_U)])
+def class_keys(h: np.ndarray, bounds: np.ndarray, bits: int, renamed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """A digest of each set, in two 64-bit numbers: the one that names its class (of ``bits`` bits; 0 for an empty set) and another.
+
+    ``renamed``: names that several classes would have; these are named by the other number. Without it being of use the other number isn't computed."""
     n = np.diff(bounds)
-    keys = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(_U))
-    return np.where(n > 0, keys | _U(1), _U(0)).view(np.int64)
+
+    def digest(seed: int) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(h ^ _U(seed)), dtype=_U)])
+        return mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(_U))
+
+    keys = np.where(n > 0, digest(0x5851F42D4C957F2D) >> _U(64 - bits) | _U(1), _U(0)).view(np.int64)
+    if renamed is not None and not len(renamed):
+        return keys, None
+    other = np.where(n > 0, digest(0x2545F4914F6CDD1D) | _U(1), _U(0)).view(np.int64)
+    return (keys if renamed is None else np.where(np.isin(keys, renamed), other, keys)), other
+
+
+def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle's bucket in either row of the count sketch."""
+    return (h >> _U(64 - BUCKET_BITS)).astype(np.int64), (h >> _U(12) & _U((1 << BUCKET_BITS) - 1)).astype(np.int64)
 
 
 def sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -72,28 +95,6 @@ def sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.packbits((cells & 1).astype(bool).reshape(n, SKETCH), axis=1)]
 
 
-def table_rows(counts: np.ndarray, dtype: str) -> pa.RecordBatch:
-    """A table as rows (slice, counts) without its empty slices."""
-    slices = counts.reshape(-1, SLICE)
-    at = np.flatnonzero(slices.any(axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in np.minimum(slices[at], np.iinfo(dtype).max).astype(dtype)], pa.binary())], ["slice", "counts"])
-
-
-def table_sum(rows: DataFrame, dtype: str, either: bool = False) -> np.ndarray:
-    """The sum (or the bitwise or) of tables in rows (slice, counts): summed on the executors; the driver gets one table of the fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(x, dtype).astype(np.int64)
-                got[k] = x if k not in got else got[k] | x if either else got[k] + x
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([*got], pa.int32()), pa.array([x.tobytes() for x in got.values()], pa.binary())], ["slice", "counts"])
-
-    return rows.repartition("slice").mapInArrow(run, "slice int, counts binary").collect()
-
-
 def prefix(n: np.ndarray, percent: int) -> np.ndarray:
     """Tokens of a set of ``n`` of which any similar set shares one at least."""
     return n - -(-percent * n // 100) + 1
@@ -105,48 +106,63 @@ def overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def classes_and_counts(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, key, sketch) of documents and, from each task, rows (slice, counts) of its shingle counts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """Rows (doc_id, mark, n_shingles, key, other, sketch) of documents (doc_id, mark, text) and, from each task, rows (slice, counts) of its count sketch."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "mark")}
+    bits = KEY_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         schema = None
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 h, bounds = unique_sets(*buffer_of(part.column("text")), width)
-                counts += np.bincount((h >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+                for row, at in zip(counts, buckets(h), strict=True):
+                    row += np.bincount(at, minlength=len(row))
                 n = np.diff(bounds)
                 none = pa.nulls(len(n))
-                schema = pa.schema([("doc_id", part.column("doc_id").type), ("n_shingles", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(class_keys(h, bounds)), pa.array(sketches(h, bounds), pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                schema = pa.schema(
+                    [("doc_id", part.column("doc_id").type), ("mark", part.column("mark").type), ("n_shingles", pa.int64()), ("key", pa.int64()), ("other", pa.int64()),
+                     ("sketch", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("mark"), pa.array(n), *map(pa.array, class_keys(h, bounds, bits)), pa.array(sketches(h, bounds), pa.binary()),
+                     none.cast(pa.int32()), none.cast(pa.binary())], schema=schema
+                )
         if schema is not None:
-            rows = table_rows(counts, "<u2")
-            none = pa.nulls(rows.num_rows)
+            rows = table_rows(counts, "<u4")
             for at in range(0, rows.num_rows, 256):
-                r, m = rows.slice(at, 256), min(256, rows.num_rows - at)
-                yield pa.RecordBatch.from_arrays([none[:m].cast(schema.field("doc_id").type), none[:m].cast(pa.int64()), none[:m].cast(pa.int64()), none[:m].cast(pa.binary()), *r.columns], schema=schema)
+                r = rows.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(r.num_rows, f.type) for f in list(schema)[:-2]), *r.columns], schema=schema)
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, mark {kinds['mark']}, n_shingles long, key long, other long, sketch binary, slice int, counts binary")
+
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key long, sketch binary, slice int, counts binary")
+def scale_of(counts: np.ndarray) -> np.ndarray:
+    """For each bucket of a row, 12 bits that rise with its count: ``MIDDLE`` for the median, then on a logarithmic scale of the distance to it."""
+    over = counts - np.median(counts)
+    return (MIDDLE + np.sign(over) * np.log2(1 + np.abs(over)) * STEPS).clip(0, 4095).astype(np.uint64)
 
 
 POSTING = "token long, key long, place long, cells0 long, cells1 long"
 
 
-def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray, renamed: np.ndarray) -> DataFrame:
     """token, key, place (position << 36 | set size), histogram: the prefix of each set, rare tokens first.
 
-    A token is 12 bits of its bucket's count on a logarithmic scale, then 52 bits of its hash.
+    A token is 12 bits of the smaller of its buckets' scales, then 52 bits of its hash.
     """
-    scale = docs.sparkSession.sparkContext.broadcast((np.log2(np.maximum(counts, 1)) * 64).astype(np.uint64).clip(max=4095) << _U(52))
+    scale = docs.sparkSession.sparkContext.broadcast(np.stack([scale_of(row) for row in counts]) << _U(52))
+    bits = KEY_BITS
 
     def make():
         rank, known = scale.value, set()
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             h, bounds = unique_sets(*buffer_of(batch.column("text")), width)
-            n, keys = np.diff(bounds), class_keys(h, bounds)
-            tokens = rank[(h >> _U(64 - BUCKET_BITS)).astype(np.int64)] | h >> _U(12)
+            n, keys = np.diff(bounds), class_keys(h, bounds, bits, renamed)[0]
+            one, two = buckets(h)
+            tokens = np.minimum(rank[0][one], rank[1][two]) | h >> _U(12)
             which = np.repeat(np.arange(len(n)), n)
             cells = np.bincount(which * CELLS + (h & _U(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS).clip(max=255).astype(np.uint8).view(np.int64).reshape(-1, 2)
             take = np.minimum(n, prefix(n, percent))
@@ -176,14 +192,19 @@ def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> D
 
 def hot_scale() -> int:
     """The first 12 bits of tokens in more than ``HOT`` documents are larger than this."""
-    return int(np.log2(HOT) * 64)
+    return int(MIDDLE + np.log2(1 + HOT) * STEPS)
 
 
-def dealt(token: Column, key: Column) -> Column:
-    """0, or for tokens of hot lists one of as many numbers as keep a task's part of the list at ``HOT`` members."""
+def parts_of(token: Column) -> Column:
+    """In how many parts a token's list is dealt: so many that a part has ``HOT`` members at the most, by the count sketch."""
     scale = F.shiftrightunsigned(token, 52)
-    parts = F.ceil(F.pow(F.lit(2.0), scale / 64) / HOT).cast("long")
-    return F.when(scale > hot_scale(), F.pmod(F.xxhash64(key), parts)).otherwise(F.lit(0).cast("long"))
+    return F.when(scale > hot_scale(), F.ceil(F.pow(F.lit(2.0), (scale - MIDDLE) / STEPS) / HOT).cast("long")).otherwise(F.lit(1).cast("long"))
+
+
+def dealt(token: Column, key: Column) -> Column:
+    """The number of a member's part of its token's list."""
+    parts = parts_of(token)
+    return F.when(parts > 1, F.pmod(F.xxhash64(key), parts)).otherwise(F.lit(0).cast("long"))
 
 
 class Rows:
@@ -341,40 +362,58 @@ def _bloom_at(ids: np.ndarray) -> list[np.ndarray]:
     return [(x >> _U(64 - BLOOM_BITS)).astype(np.int64), (x >> _U(20) & _U((1 << BLOOM_BITS) - 1)).astype(np.int64), (x & _U((1 << BLOOM_BITS) - 1)).astype(np.int64)]
 
 
-def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """key, shingles (binary of ascending 64-bit hashes) of the rows ``wanted`` (rep, key), a key from each task at most, and some other keys. Documents that a filter of fixed size rules out aren't hashed."""
+def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int, renamed: np.ndarray) -> DataFrame:
+    """key, shingles (binary of ascending 64-bit hashes) of the rows ``wanted`` (rep, key; a written table), a key from each task at most, and some other keys.
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BLOOM_BITS, np.uint8)
-        for b in batches:
-            for at in _bloom_at(b.column("rep").to_numpy()):
-                table[at] = 1
-        rows = table_rows(np.packbits(table), "u1")
-        for at in range(0, rows.num_rows, 256):
-            yield rows.slice(at, 256)
+    Up to ``FETCHED`` classes, documents that a filter of fixed size rules out aren't hashed; beyond, they are joined on their ids. Documents
+    without ids, which no class that has others is named after, are hashed and told by their keys.
+    """
+    bits = KEY_BITS
+    few = wanted.count() <= FETCHED
+    table = None
+    if few:
+
+        def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bloom = np.zeros(1 << BLOOM_BITS, np.uint8)
+            for b in batches:
+                for at in _bloom_at(b.column("id").to_numpy()):
+                    bloom[at] = 1
+            rows = table_rows(np.packbits(bloom), "u1")
+            for at in range(0, rows.num_rows, 256):
+                yield rows.slice(at, 256)
 
-    table = np.zeros(1 << BLOOM_BITS >> 3, np.uint8).reshape(-1, SLICE)
-    for r in table_sum(wanted.select("rep").mapInArrow(bits, "slice int, counts binary"), "u1", either=True):
-        table[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    table = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table.reshape(-1)).astype(bool))
+        flat = np.zeros(1 << BLOOM_BITS >> 3, np.uint8).reshape(-1, SLICE)
+        named = wanted.select(F.coalesce("rep", "key").alias("id"))
+        for r in table_sum(named.mapInArrow(filled, "slice int, counts binary"), "u1", "u1", either=True).toLocalIterator():
+            flat[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
+        table = docs.sparkSession.sparkContext.broadcast(np.unpackbits(flat.reshape(-1)).astype(bool))
 
     def make():
-        has, known = table.value, set()
+        known = set()
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            ids = batch.column("doc_id").to_numpy()
-            ok = np.logical_and.reduce([has[at] for at in _bloom_at(ids)])
-            if not ok.any():
-                return None
-            batch = batch.filter(pa.array(ok))
+            if few:
+                has, ids = table.value, batch.column("doc_id")
+                ok = np.logical_and.reduce([has[at] for at in _bloom_at(ids.fill_null(0).to_numpy())]) | ids.is_null().to_numpy(zero_copy_only=False)
+                if not ok.any():
+                    return None
+                batch = batch.filter(pa.array(ok))
             h, bounds = unique_sets(*buffer_of(batch.column("text")), width)
-            keys, edges = class_keys(h, bounds).tolist(), bounds.tolist()
-            rows = [i for i, k in enumerate(keys) if k and k not in known and not (len(known) < 100_000 and known.add(k))]
+            names = class_keys(h, bounds, bits, renamed)[0]
+            use = names != 0
+            if few:  # a document without an id counts if its class is wanted by its key
+                use &= np.logical_and.reduce([has[at] for at in _bloom_at(names)]) | batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            keys, edges = names.tolist(), bounds.tolist()
+            rows = [i for i in np.flatnonzero(use).tolist() if keys[i] not in known and not (len(known) < 100_000 and known.add(keys[i]))]
             return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in rows], pa.int64()), pa.array([h[edges[i] : edges[i + 1]].tobytes() for i in rows], pa.binary())], ["key", "shingles"])
 
         return part
 
-    return arrow_map(docs.where(F.col("doc_id").isNotNull()), make, "key long, shingles binary", "text")
+    docs = docs.select("doc_id", "text")
+    if not few:
+        reps = wanted.where("rep is not null").select("rep")
+        docs = docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi").unionAll(docs.where("doc_id is null"))
+    return arrow_map(docs, make, "key long, shingles binary", "text")
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -462,26 +501,36 @@ def components(edges: DataFrame) -> DataFrame:
         forget(edges)
         edges = new
         if now == mark and now[0] == now[2] or not now[0]:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            out = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            out._millrace_path = edges._millrace_path
+            return out
         mark = now
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
-
-    Sets hold distinct ``width``-word shingles, or the whole sequence of fewer words; two link when 100 * intersection >= percent * union. A row without
-    words (or with null text) is linked with nothing. Rows that repeat an id stay, each with its own set's component; a null id never names
-    a component unless all ids of it are null, and such a class is linked with its copies only. Whole numbers as ids. An empty table gives no rows.
-    """
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
+def ngram_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (doc_id, mark, text): rows (doc_id, mark, n_shingles, key), and (key, rep, root) of each class of equal sets: its smallest id, and its component."""
+    spark = docs.sparkSession
     base = written(classes_and_counts(docs, width), "ngram-classes")
-    counts = np.zeros((1 << BUCKET_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
-    for r in table_sum(base.where("slice is not null").select("slice", "counts"), "<u2"):
+    counts = np.zeros((2 << BUCKET_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
+    for r in table_sum(base.where("slice is not null"), "<u4").toLocalIterator():
         counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    rows = base.where("slice is null").select("doc_id", "n_shingles", "key", "sketch")
-    lists = written(first_round(postings(docs, width, percent, counts.reshape(-1)), percent), "ngram-lists")
-    classes = written(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "ngram-keys")
-    rows = rows.drop("sketch")
+    rows = base.where("slice is null").select("doc_id", "mark", "n_shingles", "key", "other", "sketch")
+
+    def classes_of(rows: DataFrame) -> DataFrame:
+        grouped = rows.where("n_shingles > 0").groupBy("key")
+        least = [F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n_shingles", "sketch"))]
+        return written(grouped.agg(*least, F.min("other").alias("lo"), F.max("other").alias("hi")), "ngram-keys")
+
+    classes = classes_of(rows)
+    # names of several classes: none is to be expected below 2 ** 32 classes, a handful at 2 ** 34
+    renamed = np.array([r["key"] for r in classes.where("lo <> hi").select("key").collect()], np.int64)
+    if len(renamed):
+        names = spark.createDataFrame([(int(k),) for k in renamed], "renamed long")
+        rows = rows.join(F.broadcast(names), rows["key"] == names["renamed"], "left").withColumn("key", F.when(F.col("renamed").isNull(), F.col("key")).otherwise(F.col("other")))
+        forget(classes)
+        classes = classes_of(rows)
+    lists = written(first_round(postings(docs, width, percent, counts.reshape(2, -1), renamed), percent), "ngram-lists")
+    rows = rows.select("doc_id", "mark", "n_shingles", "key")
 
     passing = [lists]  # tables that nothing reads in the end
 
@@ -491,8 +540,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def linked(pairs: DataFrame) -> DataFrame:
         keys = pairs.select("a").union(pairs.select("b")).distinct().toDF("key")
-        wanted = written(classes.join(keys, "key").where("rep is not null").select("rep", "key"), "ngram-wanted")
-        sets = written(fetched_sets(docs, wanted, width), "ngram-sets")
+        wanted = written(classes.join(keys, "key").select("rep", "key"), "ngram-wanted")
+        sets = written(fetched_sets(docs, wanted, width, renamed), "ngram-sets")
         out = kept(verified(pairs, sets, percent).distinct(), "ngram-links")
         forget(sets)
         forget(wanted)
@@ -500,9 +549,15 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def apart(held: DataFrame, roots: DataFrame) -> DataFrame:
         """The postings of lists of several components, with the component of each."""
-        named = held.join(roots, held["key"] == roots["node"], "left").select("token", "key", "place", "cells0", "cells1", F.coalesce("root", "key").alias("comp"))
-        mixed_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x <> y").select("token", "members")
-        return kept(named.join(mixed_lists, "token"), "ngram-apart")
+        columns = ("key", "place", "cells0", "cells1")
+        named = held.join(roots, held["key"] == roots["node"], "left").select("token", *columns, F.coalesce("root", "key").alias("comp"))
+        # sums of a task's own postings go before the shuffle, so that no list meets in a task
+        several = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x <> y").select("token", "members")
+        several = kept(several, "ngram-mixed")
+        if several.count() <= MIXED:
+            return kept(named.join(F.broadcast(several), "token").select("token", *columns, "comp", "members"), "ngram-apart")
+        parts = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts_of(F.col("token")) - 1)))
+        return kept(named.withColumn("salt", dealt(F.col("token"), F.col("key"))).join(parts, ["token", "salt"]).drop("salt"), "ngram-apart")
 
     tried = kept(lists.where("place is null").select("a", "b").distinct(), "ngram-pairs")
     links = linked(kept(alike(tried, classes, percent), "ngram-near"))
@@ -518,10 +573,23 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tried = tried.union(rest)
         if not more.isEmpty():
             links = links.union(more)
+            forget(roots)
             roots = components(links)
-    for table in passing:
+    named = written(classes.join(roots, classes["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root")), "ngram-roots")
+    for table in (*passing, classes, roots):
         forget(table)
-    named = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    return rows, named
+
+
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
+
+    Sets hold distinct ``width``-word shingles, or the whole sequence of fewer words; two link when 100 * intersection >= percent * union. A row without
+    words (or with null text) is linked with nothing. Rows that repeat an id stay, each with its own set's component; a null id never names
+    a component unless all ids of it are null. Whole numbers as ids. An empty table gives no rows; other columns don't matter.
+    """
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.lit(None).cast("string").alias("mark"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
+    rows, named = ngram_classes(docs, width, percent)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "root").select("key", "component_id")
     out = rows.join(final, "key", "left")
@@ -529,8 +597,36 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that are the first of their component, with all columns: one row for each group of near copies. Rows without words all stay, as do rows with null ids."""
-    found = ngram_components(df, id_col, text_col, width, percent)
-    name = unused(df, "gone")
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")  # its size is known before the join is planned
-    return df.join(gone, df[id_col].cast("long") == gone[name], "left_anti")
+    """One row of ``df`` for each group of near copies, with all columns, and every row without words.
+
+    The row that stays is the first by id (null ids last), then by a digest of its text. Rows are told by id and text: where an id repeats, a row with
+    another text that has no copy stays, and of rows of equal id and text one stays. An empty table gives no rows.
+    """
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("mark"), text.alias("text"))
+    rows, named = ngram_classes(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    worded = rows.where("n_shingles > 0").withColumn("at", order)
+    first = worded.groupBy("key").agg(F.min("at").alias("at")).join(named, "key").groupBy("root").agg(F.min("at").alias("first"))
+    decided = worded.join(named.join(first, "root").select("key", "first"), "key")
+    # sizes are known before the joins are planned
+    columns = {c: unused(df, c) for c in ("gone_id", "gone_mark")}
+    key = [F.col("doc_id").alias(columns["gone_id"]), F.col("mark").alias(columns["gone_mark"])]
+    stays = F.col("at").eqNullSafe(F.col("first"))
+    gone = written(decided.where(~stays).select(*key).distinct(), "gone")
+    again = written(decided.where(stays).groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(*key), "again")
+
+    def among(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        same = rows[id_col].cast("long").eqNullSafe(table[columns["gone_id"]]) & (F.md5(F.coalesce(rows[text_col].cast("string"), F.lit("")).cast("binary")) == table[columns["gone_mark"]])
+        return rows.join(table, same, how)
+
+    kept = among(df, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    # of equal rows one: sums of a task's own rows go before the shuffle
+    twice = among(kept, again, "left_semi")
+    name = unused(df, "row")
+    ranked = twice.groupBy(twice[id_col].cast("long").alias(columns["gone_id"]), F.md5(F.coalesce(twice[text_col].cast("string"), F.lit("")).cast("binary")).alias(columns["gone_mark"]))
+    pick_one = F.min if all("map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString() for f in df.schema) else F.first
+    once = ranked.agg(pick_one(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(name))
+    return among(kept, again, "left_anti").unionAll(once.select(*(F.col(name)[c].alias(c) for c in df.columns)))
