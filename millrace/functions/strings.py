@@ -48,6 +48,16 @@ def to_string(value: Column | str) -> Column:
     return col(value).cast("string")
 
 
+def characters(text: Column | str) -> Column:
+    """The characters (code points) of a text as an array."""
+    return F.when(F.char_length(col(text)) == 0, F.array().cast("array<string>")).otherwise(F.split(col(text), "", -1))
+
+
+def joined(chars: Column) -> Column:
+    """The text of an array of characters."""
+    return F.array_join(chars, "")
+
+
 def map_characters(text: Column | str, fun) -> Column:
     """``fun`` over the characters (code points) of a text."""
     return F.when(F.char_length(col(text)) == 0, col(text)).otherwise(F.array_join(F.transform(F.split(col(text), "", -1), fun), ""))

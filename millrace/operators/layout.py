@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from collections.abc import Sequence
@@ -12,17 +13,19 @@ from pyspark.sql import functions as F
 
 POS = "_pos"
 BATCH = "_batch"
-#: Bytes of a plan's estimated size up to which positions come from one window; larger inputs are numbered by partitions.
-SMALL = 64 << 20
+#: Bytes of a plan's estimated size up to which positions and running sums come from one window; larger inputs are numbered by partitions.
+SMALL = 16 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a new local one in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     sc.setCheckpointDir(root)
@@ -33,24 +36,54 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = POS, small: int = SMALL) -> DataFrame:
-    """Adds 0-based positions in the given order.
+    """Adds 0-based positions in the given order. Keys must be unique, as positions would differ from run to run otherwise: rows of equal keys raise.
 
     An input whose estimated size is small takes one window. A larger one is range-partitioned and sorted, written to the shared
     checkpoint folder (so that both reads below see the same borders), and each partition adds the number of rows before it.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in order]
     if estimated_bytes(df) <= small:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+        w = Window.orderBy(*keys)
+        place = F.when(F.row_number().over(w) != F.rank().over(w), F.raise_error(F.lit(REPEATED)).cast("int")).otherwise(F.row_number().over(w))
+        return df.withColumn(name, (place - 1).cast("long"))
     ensure_checkpoint_dir(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fixed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint()
-    counts = {r["p"]: r["n"] for r in fixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    # equal keys lie in one partition; only the keys are read for this
+    w = Window.partitionBy("_part").orderBy(*keys)
+    ranked = fixed.withColumn("_part", F.spark_partition_id()).select("_part", (F.row_number().over(w) != F.rank().over(w)).alias("_again"))
+    parts = ranked.groupBy("_part").agg(F.count("*").alias("n"), F.max("_again").alias("again")).collect()  # a row for each partition
+    if any(r["again"] for r in parts):
+        raise ValueError(REPEATED)
+    before = _before({r["_part"]: r["n"] for r in parts}, F.spark_partition_id())
+    return fixed.withColumn(name, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + before)
+
+
+REPEATED = "the keys of the order repeat"
+
+
+def _before(sums: dict[int, int], part: Column) -> Column:
+    """The sum of the partitions before a row's own, from each partition's."""
     at, starts = 0, []
-    for p in range(max(counts, default=-1) + 1):
+    for p in range(max(sums, default=-1) + 1):
         starts.append(at)
-        at += counts.get(p, 0)
-    before = F.element_at(F.array(*(F.lit(s).cast("long") for s in starts or [0])), F.spark_partition_id() + 1)
-    return fixed.withColumn(name, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + before)
+        at += sums.get(p, 0)
+    return F.element_at(F.array(*(F.lit(s).cast("long") for s in starts or [0])), part + 1)
+
+
+def cumulated(df: DataFrame, order: Sequence[str], value: Column, name: str, small: int = SMALL) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before a row in the order of unique keys; by partitions as ``numbered``, if the input isn't small."""
+    earlier = (Window.unboundedPreceding, -1)
+    if estimated_bytes(df) <= small:
+        return df.withColumn(name, F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(*earlier)), F.lit(0).cast("long")))
+    ensure_checkpoint_dir(df.sparkSession)
+    n, columns = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns
+    fixed = df.withColumn("_value", value.cast("long")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    fixed = fixed.withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = {r["_part"]: r["s"] for r in fixed.groupBy("_part").agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("s")).collect()}  # a row for each partition
+    before = _before(sums, F.col("_part"))
+    inside = F.coalesce(F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    return fixed.withColumn(name, inside + before).select(*columns, name)
 
 
 def to_batches(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 
 from millrace.functions import ndim
 from millrace.functions import random as rnd
-from millrace.functions.strings import map_characters
+from millrace.functions.strings import characters, joined, map_characters
 from millrace.functions.tuples import as_tuple
-from millrace.operators.layout import BATCH, POS, equal_sizes, numbered, to_batches, to_rows
+from millrace.operators import pyfun
+from millrace.operators.layout import BATCH, POS, cumulated, equal_sizes, numbered, to_batches, to_rows
+from millrace.operators.pyfun import PyFun
 
 Names = str | Sequence[str]
 
@@ -33,6 +35,8 @@ class Stream:
     def __init__(self, df: DataFrame, layout: str = "rows", domain: DataFrame | None = None):
         """``domain``: all batch ids where some batches may have no rows left."""
         self.df, self.layout, self.domain = df, layout, domain
+        #: Batches that ``to_python`` holds ready: 0 without a bound, None for no buffer.
+        self.ahead: int | None = None
 
     # sources
 
@@ -77,7 +81,9 @@ class Stream:
             raise KeyError(f"no such column: {', '.join(missing)}")
 
     def _with(self, df: DataFrame) -> Stream:
-        return Stream(df, self.layout, self.domain)
+        out = Stream(df, self.layout, self.domain)
+        out.ahead = self.ahead
+        return out
 
     # layouts
 
@@ -100,8 +106,11 @@ class Stream:
 
     # operators
 
-    def transform(self, from_: Names, to: Names, fun: Callable[..., Any], dim: int = 1, cond: str | None = None, prob: float | None = None, seed: int | str = 0) -> Stream:
-        """Sets columns ``to`` to ``fun`` of columns ``from_`` at a dimension; ``fun`` maps Columns to a Column or a tuple of them.
+    def _order(self) -> list[str]:
+        return [POS] if self.layout == "rows" else [BATCH]
+
+    def transform(self, from_: Names, to: Names, fun: Callable[..., Any] | PyFun, dim: int = 1, cond: str | None = None, prob: float | None = None, seed: int | str = 0) -> Stream:
+        """Sets columns ``to`` to ``fun`` of columns ``from_`` at a dimension; ``fun`` maps Columns to a Column or a tuple of them, or is a ``PyFun`` of pandas Series.
 
         ``cond``: only where this column holds. ``prob``: only with this probability, for each element by itself; 0 and 1 are
         decided without a draw. Either way the other elements of ``to`` stay, so these must exist and have one type.
@@ -122,11 +131,15 @@ class Stream:
         depth = dim if s.layout == "batches" else dim - 1
         keep = cond is not None or prob is not None
         inputs = [*sources, *([cond] if cond else []), *(t for t in targets if keep)]
+        if isinstance(fun, PyFun):
+            return s._transform_python(sources, targets, fun, depth, cond, prob, seed)
         n = len(sources)
         strings = [isinstance(ndim.element_type(s.df.schema[c].dataType), T.StringType) and ndim.ndims(s.df.schema[c].dataType) == depth for c in inputs]
         if depth and all(strings) and len(inputs) == len(targets) == 1 and not keep:
             out = [ndim.lift(lambda x: map_characters(x, fun), [F.col(inputs[0])], depth - 1)]
             return s._with(s.df.withColumns({targets[0]: out[0]}))
+        if depth and any(strings):
+            return s._transform_characters(sources, targets, fun, dim, cond, prob, seed, depth)
         kinds = {t: ndim.element_type(s.df.schema[t].dataType, depth) for t in targets} if keep else {}
 
         def one(k: int) -> Callable[..., Column]:
@@ -148,13 +161,57 @@ class Stream:
             new = {t: _lift_with_path(one(k), [F.col(c) for c in inputs], depth, [F.col(POS if s.layout == "rows" else BATCH)]) for k, t in enumerate(targets)}
         return s._with(s.df.withColumns(new))
 
-    def filter(self, from_: Names, by: Names, pred: Callable[..., Column], dim: int = 1) -> Stream:
+    def _transform_python(self, sources: list[str], targets: list[str], fun: PyFun, depth: int, cond: str | None, prob: float | None, seed: int | str) -> Stream:
+        df, where = self.df, None
+        if cond is not None or prob is not None:
+            where = pyfun.keep_column(df)
+            if cond is not None:
+                held = F.col(cond) if depth == 0 else ndim.lift(lambda c: c.cast("boolean"), [F.col(cond)], depth)
+            elif pyfun._is_chars(df.schema[sources[0]].dataType, depth):
+                shape = ndim.lift(characters, [F.col(sources[0])], depth - 1)
+                held = _lift_with_path(lambda _, *path: rnd.uniform(seed, *path) < prob, [shape], depth, [F.col(*self._order())])
+            else:
+                held = _lift_with_path(lambda _, *path: rnd.uniform(seed, *path) < prob, [F.col(sources[0])], depth, [F.col(*self._order())])
+            df = df.withColumn(where, held)
+        out = pyfun.apply(df, sources, targets, fun, depth, self._order(), where)
+        return self._with(out.drop(where) if where else out)
+
+    def _transform_characters(self, sources: list[str], targets: list[str], fun: Callable[..., Any], dim: int, cond: str | None, prob: float | None, seed: int | str, depth: int) -> Stream:
+        """``transform`` at the characters of strings: on arrays of them, which are joined again where a target's are characters."""
+        df, names = self.df, {}
+        for c in dict.fromkeys([*sources, *([cond] if cond else []), *targets]):
+            kind = df.schema[c].dataType if c in df.columns else None
+            if kind is not None and pyfun._is_chars(kind, depth):
+                names[c] = f"_chars_{c}"
+                df = df.withColumn(names[c], ndim.lift(characters, [F.col(c)], depth - 1))
+        inner = [names.get(c, c) for c in sources]
+        to = [names.get(t, f"_chars_{t}") if cond is None and prob is None else names.get(t, t) for t in targets]
+        out = self._with(df).transform(inner, to, fun, dim, names.get(cond, cond) if cond else None, prob, seed).df
+        for t, name in zip(targets, to, strict=True):
+            if name != t:
+                text = isinstance(ndim.element_type(out.schema[name].dataType, depth), T.StringType)
+                out = out.withColumn(t, ndim.lift(joined, [F.col(name)], depth - 1) if text else F.col(name))
+        return self._with(out.drop(*names.values(), *(n for n, t in zip(to, targets, strict=True) if n != t)))
+
+    def filter(self, from_: Names, by: Names, pred: Callable[..., Column] | PyFun, dim: int = 1) -> Stream:
         """Keeps the elements of ``from_`` at a dimension where ``pred`` of ``by`` holds; columns that aren't in ``from_`` stay as they are.
 
-        Dimension 0 keeps whole batches by their arrays. Batches that lose all examples stay, empty.
+        Dimension 0 keeps whole batches by their arrays. Batches that lose all examples stay, empty. A ``PyFun`` gets pandas Series and gives booleans.
         """
         columns, tests = _names(from_), _names(by)
         self._need([*columns, *tests])
+        if isinstance(pred, PyFun):
+            name = pyfun.keep_column(self.df)
+            told = self.transform(tests, name, pred, dim)
+            kept = told.filter([] if dim == 0 else [*columns, name], name, lambda keep: keep, dim)
+            return kept.drop(name)
+        if dim > 1 or dim == 1 and self.layout == "batches":
+            level = dim if self.layout == "batches" else dim - 1
+            chars = [c for c in columns if pyfun._is_chars(self.df.schema[c].dataType, level)]
+            if chars:  # characters of strings are filtered as arrays
+                split = self._with(self.df.withColumns({c: ndim.lift(characters, [F.col(c)], level - 1) for c in chars}))
+                out = split.filter(columns, tests, pred, dim)
+                return out._with(out.df.withColumns({c: ndim.lift(joined, [F.col(c)], level - 1) for c in chars}))
         if dim == 0:
             s = self.batches()
             return s._with(s.df.where(pred(*(F.col(b) for b in tests))))
@@ -215,15 +272,19 @@ class Stream:
     def insert_or_assign(self, name: str, value: Column) -> Stream:
         return self._with(self.df.withColumn(name, value))
 
-    def generate(self, from_: str, to: str, make: Callable[..., Column], depth: int = 0, fresh: int | None = None, per_batch: bool = False) -> Stream:
+    def generate(self, from_: str, to: str, make: Callable[..., Column] | PyFun, depth: int = 0, fresh: int | None = None, per_batch: bool = False) -> Stream:
         """A column of the shape of ``from_``: ``depth`` nested levels below the example.
 
         ``make`` gets the position and the index path of the first ``fresh`` levels (all of them by default); deeper elements share its value.
-        ``per_batch``: one value for each batch, from the batch's number.
+        ``per_batch``: one value for each batch, from the batch's number. A ``PyFun`` gets how many values to give; with state, it runs on over the stream in order.
         """
         self._need([from_])
         s = self.rows()
         fresh = depth if fresh is None else fresh
+        if isinstance(make, PyFun):
+            if per_batch:
+                raise ValueError("a value for each batch is made by a Column")
+            return s._with(pyfun.generated(s.df, from_, to, make, depth, fresh, [POS]))
         if per_batch:
             value = ndim.generate(from_, lambda: make(F.col(BATCH)), depth, 0)
         else:
@@ -234,13 +295,9 @@ class Stream:
         """A column of the shape of the arrays ``from_`` that counts their elements on and on, over all batches in order."""
         self._need([from_])
         s = self.rows()
-        n = F.size(from_)
-        totals = s.df.groupBy(BATCH).agg(F.sum(n).alias("_n"))
-        before = totals.select(BATCH, F.coalesce(F.sum("_n").over(Window.orderBy(BATCH).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        inside = F.coalesce(F.sum(n).over(Window.partitionBy(BATCH).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        df = s.df.withColumn("_inside", inside).join(before, BATCH)
-        first = F.lit(start) + F.col("_before") + F.col("_inside")
-        return s._with(df.withColumn(to, F.transform(from_, lambda x, i: (first + i).cast("long"))).select(*dict.fromkeys([*s.df.columns, to])))
+        df = cumulated(s.df, [POS], F.size(from_).cast("long"), "_before")
+        first = F.lit(start) + F.col("_before")
+        return s._with(df.withColumn(to, F.transform(from_, lambda x, i: (first + i).cast("long"))).drop("_before"))
 
     def random_fill(self, from_: str, to: str, depth: int = 0, fresh: int | None = None, dist: str = "uniform", params: tuple = (), seed: int | str = 0, per_batch: bool = False) -> Stream:
         """``generate`` with draws that depend on the seed and the position only."""
@@ -269,8 +326,12 @@ class Stream:
         return Stream(df.select(BATCH_OF(n), POS, *s.columns))
 
     def buffer(self, n: int | None = None) -> Stream:
-        """Keeps the stream as it is: executors compute ahead by themselves, and ``to_python`` prefetches."""
-        return self
+        """The same stream, of which ``to_python`` holds up to ``n`` batches ready while the host works on one (None: as many as come). Executors compute ahead by themselves."""
+        if n is not None and n <= 0:
+            raise ValueError("a buffer holds one batch at least")
+        out = self._with(self.df)
+        out.ahead = n or 0
+        return out
 
     def take(self, n: int) -> tuple[Stream, Stream]:
         """The first ``n`` examples of each batch, and the rest; a smaller batch raises."""

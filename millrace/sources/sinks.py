@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import queue
 import secrets
+import threading
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -36,11 +38,51 @@ def to_python(values: Any, kind: T.DataType) -> Any:
 
 
 def batch_dicts(stream) -> Iterator[dict[str, Any]]:
-    """A dict for each batch in order."""
+    """A dict for each batch in order; with a buffer, made ready by a thread of its own."""
     s = stream.batches()
     kinds = {c: s.df.schema[c].dataType for c in s.columns}
-    for row in s.df.orderBy(BATCH).toLocalIterator(prefetchPartitions=True):
-        yield {c: to_python(row[c], kinds[c]) for c in kinds}
+
+    def made() -> Iterator[dict[str, Any]]:
+        for row in s.df.orderBy(BATCH).toLocalIterator(prefetchPartitions=True):
+            yield {c: to_python(row[c], kinds[c]) for c in kinds}
+
+    return made() if stream.ahead is None else buffered(made(), stream.ahead)
+
+
+def buffered(values: Iterator, n: int) -> Iterator:
+    """The values in order, up to ``n`` of them (0: any number) taken ahead by a thread. It ends when the values do, or when nobody reads any more."""
+    held: queue.Queue = queue.Queue(n)
+    stop = threading.Event()
+
+    def put(item) -> bool:
+        while not stop.is_set():
+            try:
+                held.put(item, timeout=0.1)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    def fill() -> None:
+        try:
+            for v in values:
+                if not put((v, None)):
+                    return
+            put((None, StopIteration()))
+        except BaseException as e:  # noqa: BLE001 - it is raised where the values are read
+            put((None, e))
+
+    threading.Thread(target=fill, daemon=True).start()
+    try:
+        while True:
+            value, end = held.get()
+            if isinstance(end, StopIteration):
+                return
+            if end is not None:
+                raise end
+            yield value
+    finally:
+        stop.set()
 
 
 class Batch:
