@@ -35,8 +35,8 @@ STEPS = 48
 #: Bits of the filter of documents whose sets are fetched, and the classes up to which it parts them; more are fetched by a join.
 BLOOM_BITS = 23
 FETCHED = 1_000_000
-#: Rows up to which the table of lists of several components is broadcast (16 bytes each).
-MIXED = 500_000
+#: Members of a list that meet in a task when lists of several components are told.
+MEET = 1000
 #: Bits of the number that names a class.
 KEY_BITS = 64
 CELLS = 16
@@ -190,20 +190,20 @@ def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray, rena
     return arrow_map(docs.select("text"), make, POSTING, "text")
 
 
-def hot_scale() -> int:
-    """The first 12 bits of tokens in more than ``HOT`` documents are larger than this."""
-    return int(MIDDLE + np.log2(1 + HOT) * STEPS)
+def hot_scale(most: int) -> int:
+    """The first 12 bits of tokens in more than ``most`` documents are larger than this."""
+    return int(MIDDLE + np.log2(1 + most) * STEPS)
 
 
-def parts_of(token: Column) -> Column:
-    """In how many parts a token's list is dealt: so many that a part has ``HOT`` members at the most, by the count sketch."""
+def parts_of(token: Column, most: int) -> Column:
+    """In how many parts a token's list is dealt: so many that a part has ``most`` members at the most, by the count sketch."""
     scale = F.shiftrightunsigned(token, 52)
-    return F.when(scale > hot_scale(), F.ceil(F.pow(F.lit(2.0), (scale - MIDDLE) / STEPS) / HOT).cast("long")).otherwise(F.lit(1).cast("long"))
+    return F.when(scale > hot_scale(most), F.ceil(F.pow(F.lit(2.0), (scale - MIDDLE) / STEPS) / most).cast("long")).otherwise(F.lit(1).cast("long"))
 
 
-def dealt(token: Column, key: Column) -> Column:
+def dealt(token: Column, key: Column, most: int) -> Column:
     """The number of a member's part of its token's list."""
-    parts = parts_of(token)
+    parts = parts_of(token, most)
     return F.when(parts > 1, F.pmod(F.xxhash64(key), parts)).otherwise(F.lit(0).cast("long"))
 
 
@@ -244,7 +244,7 @@ class Rows:
 def first_round(posted: DataFrame, percent: int) -> DataFrame:
     """Reads the lists of tokens: rows (a, b) with place null are candidate pairs; the others are postings of lists of two classes or more (a: token, b: key), without the members of short lists that the filters part from all others."""
 
-    top = hot_scale()
+    top = hot_scale(HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -289,7 +289,7 @@ def first_round(posted: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows.cols[c][put]) for c in ("token", "key", "place", "cells0", "cells1")], ["a", "b", "place", "cells0", "cells1"])
             held = rows.take(np.unique([start[-1], count - 1]))
 
-    salted = posted.withColumn("salt", dealt(F.col("token"), F.col("key"))).repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "cells0", "cells1", "key")
+    salted = posted.withColumn("salt", dealt(F.col("token"), F.col("key"), HOT)).repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "cells0", "cells1", "key")
     return salted.drop("salt").mapInArrow(run, "a long, b long, place long, cells0 long, cells1 long")
 
 
@@ -553,11 +553,9 @@ def ngram_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
         named = held.join(roots, held["key"] == roots["node"], "left").select("token", *columns, F.coalesce("root", "key").alias("comp"))
         # sums of a task's own postings go before the shuffle, so that no list meets in a task
         several = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x <> y").select("token", "members")
-        several = kept(several, "ngram-mixed")
-        if several.count() <= MIXED:
-            return kept(named.join(F.broadcast(several), "token").select("token", *columns, "comp", "members"), "ngram-apart")
-        parts = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts_of(F.col("token")) - 1)))
-        return kept(named.withColumn("salt", dealt(F.col("token"), F.col("key"))).join(parts, ["token", "salt"]).drop("salt"), "ngram-apart")
+        parts = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts_of(F.col("token"), MEET) - 1)))
+        parts = kept(parts, "ngram-mixed")  # Spark broadcasts it if it is small by its own bound
+        return kept(named.withColumn("salt", dealt(F.col("token"), F.col("key"), MEET)).join(parts, ["token", "salt"]).drop("salt"), "ngram-apart")
 
     tried = kept(lists.where("place is null").select("a", "b").distinct(), "ngram-pairs")
     links = linked(kept(alike(tried, classes, percent), "ngram-near"))

@@ -59,7 +59,7 @@ def near_copies(n, words=60):
     return out + [(2000 + i, out[i % 5][1].upper()) for i in range(20)]
 
 
-@pytest.mark.parametrize("constants", [{"SHORT": 32}, {"SHORT": 2, "CELL": 7, "MIXED": 0, "FETCHED": 0}, {"SHORT": 32, "HOT": 10, "CELL": 5, "MIXED": 0}, {"KEY_BITS": 6, "SHORT": 4}])
+@pytest.mark.parametrize("constants", [{"SHORT": 32}, {"SHORT": 2, "CELL": 7, "MEET": 3, "FETCHED": 0}, {"SHORT": 32, "HOT": 10, "CELL": 5, "MEET": 4}, {"KEY_BITS": 6, "SHORT": 4}])
 def test_groups_of_near_copies(spark, monkeypatch, constants):
     """Also where lists are hot, cut and joined on their parts, where sets are fetched by a join, and where classes share names."""
     for name, value in constants.items():
@@ -147,5 +147,5 @@ def test_scale_of_counts():
 
     counts = np.array([10**7 + int(3e3 * x) for x in np.random.default_rng(0).standard_normal(4095)] + [10**7 + 300_000])
     scale = ngram_join.scale_of(counts)
-    assert scale[-1] > ngram_join.hot_scale() >= scale[:-1].max()  # a list of 300,000 stands out over buckets of ten millions
+    assert scale[-1] > ngram_join.hot_scale(ngram_join.HOT) >= scale[:-1].max()  # a list of 300,000 stands out over buckets of ten millions
     assert (np.diff(ngram_join.scale_of(np.sort(counts)).astype(int)) >= 0).all()
