@@ -173,8 +173,8 @@ def table_rows(counts: np.ndarray, dtype: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in slices[at].astype(dtype)], pa.binary())], ["slice", "counts"])
 
 
-def table_sum(rows: DataFrame, dtype: str, total: str = "<i8", either: bool = False) -> DataFrame:
-    """The sum (or the bitwise or) of tables in rows (slice, counts), as one row for each slice.
+def table_sum(rows: DataFrame, dtype: str, total: str = "<i8", either: bool = False, unit: float = 0) -> DataFrame:
+    """The sum (or the bitwise or) of tables in rows (slice, counts), as one row for each slice; with ``unit``, in whole numbers of it.
 
     It goes in two levels, so that no task reads a slice from every task before: groups of every ``FAN``-th task first, then the groups.
     """
@@ -184,7 +184,8 @@ def table_sum(rows: DataFrame, dtype: str, total: str = "<i8", either: bool = Fa
             got: dict[int, np.ndarray] = {}
             for b in batches:
                 for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                    x = np.frombuffer(x, kind).astype(total)
+                    x = np.frombuffer(x, kind)
+                    x = (np.rint(x / unit) if unit and kind == dtype else x).astype(total)
                     got[k] = x if k not in got else got[k] | x if either else got[k] + x
             keys = [*got]
             for a in range(0, len(keys), 64):

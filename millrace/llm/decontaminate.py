@@ -3,8 +3,11 @@
 1. Document frequencies of hashed terms over all documents (a table of fixed size).
 2. A distributed randomised SVD of all documents' TF-IDF passages A: each task adds its part of Y = A'(A Omega) for a seeded random Omega; from the
    sum, A'A is about Y (Omega'Y)^-1 Y' (Nystroem), whose eigenvectors and singular values the driver takes from a matrix of fixed size.
-3. Every passage of every document is folded in, its cosine with each benchmark item taken in blocks, and each candidate's words are
+3. Passages of three quarters of an item's words are folded in; where one reaches the cosine ``COSINE`` with the item, the words around it are
    checked against the item's: longest common subsequence in a stretch of about the item's length, and how much of the item's answer is in it.
+   Cosines are taken where the check can succeed at all, which an index of the items' rare words tells: the rows are the same as if every
+   passage were compared with every item, but the work grows with the rare words' occurrences, not with passages times items.
+4. A stretch that is the item word for word (its cosine is 1) is found by a hash of eight of its words as well, whatever the passages around it.
 
 A benchmark item's answer is its last sentence (of two or more); an item of one sentence has none, and its whole text counts as it.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +26,27 @@ from pyspark.sql import functions as F
 
 from millrace.llm._common import PUNCTUATION, SLICE, arrow_map, chunks, id_type, lowered, mixed, pick, release, table_rows, table_sum, unused, word_hashes, written
 
-#: Bits of hashed terms, dimensions kept and drawn besides, words of a block, words of an SVD passage.
+#: Bits of hashed terms, dimensions kept and drawn, words of an SVD passage; terms in a slice of the product, and the unit of its whole-number sums.
 TERM_BITS = 15
-KEPT = 32
-DRAWN = 40
-BLOCK = 12
+KEPT = 96
+DRAWN = 104
 PASSAGE = 48
 SEED = 7
-#: Sizes of search passages in blocks; an item is sought in the smallest that holds three quarters of its words. Longer items are sought by counts of their rare words
-#: in stretches of their own length.
-SPANS = (2, 4, 8, 16, 32)
-#: Items of fewer words are sought word for word only; more items than this must be sought in parts.
+TERMS = 128
+UNIT = 2.0**-20
+#: Items of fewer words are sought word for word only. Items, and bytes of their texts, that are sought in one pass over the documents; more are sought in parts.
 SHORTEST = 8
 MOST_ITEMS = 50_000
-#: Items whose cosines are held at once. The share of an item's words, the rarest first, that are counted around each passage: a stretch with a common
-#: subsequence of PARAPHRASE has at least (RARE - 1 + PARAPHRASE) of the item's words from among them.
-ITEMS = 1024
+MOST_BYTES = 64 << 20
+#: The share of an item's words, the rarest first, that the index has: a stretch with a common subsequence of PARAPHRASE has at least
+#: (RARE - 1 + PARAPHRASE) of the item's words from among them.
 RARE = 0.65
+#: A passage's share of the item's words, and how many passages begin within an item's length; words that are folded in at once.
+SHARE = 0.75
+STARTS = 16
+FOLDED = 1 << 15
 #: A candidate's least cosine; the common subsequence's least share of the item, alone or along with the share of the answer that must be there.
-COSINE = 0.1
+COSINE = 0.3
 VERBATIM = 0.7
 PARAPHRASE = 0.6
 ANSWER = 0.8
@@ -89,13 +95,13 @@ def gaussian() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((1 << TERM_BITS, DRAWN), np.float32)
 
 
-def blocks_of(t: np.ndarray, first: np.ndarray, size: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Terms with each text's filled up to whole blocks and ``more`` empty ones (with the term after the last), and the texts' bounds in blocks (texts + 1)."""
+def passages_of(t: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Terms in rows of ``PASSAGE``, each text's filled up to whole rows with the term after the last."""
     n = np.diff(first)
-    bounds = np.concatenate([[0], np.cumsum(np.where(n > 0, -(-n // size) + more, 0))])
-    out = np.full(int(bounds[-1]) * size, 1 << TERM_BITS, np.int64)
-    out[np.repeat(bounds[:-1] * size - first[:-1], n) + np.arange(len(t))] = t
-    return out, bounds
+    bounds = np.concatenate([[0], np.cumsum(-(-n // PASSAGE))])
+    out = np.full(int(bounds[-1]) * PASSAGE, 1 << TERM_BITS, np.int64)
+    out[np.repeat(bounds[:-1] * PASSAGE - first[:-1], n) + np.arange(len(t))] = t
+    return out.reshape(-1, PASSAGE)
 
 
 def scatter(y: np.ndarray, t: np.ndarray, z: np.ndarray) -> None:
@@ -116,9 +122,7 @@ def scatter(y: np.ndarray, t: np.ndarray, z: np.ndarray) -> None:
 
 
 def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Y = A'(A Omega) over all passages of all documents: terms x ``DRAWN``, summed on the executors in slices."""
-    per = 256  # terms in a slice
-
+    """Y = A'(A Omega) over all passages of all documents: terms x ``DRAWN``, summed on the executors in slices, as whole numbers of ``UNIT``, so that the order doesn't matter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         omega = np.vstack([gaussian() * idf[:, None], np.zeros((1, DRAWN), np.float32)])
@@ -127,10 +131,9 @@ def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
         for batch in batches:
             for part in chunks(batch, "text"):
                 h, _, _, first = word_hashes(*lowered(part.column("text")), PUNCTUATION)
-                t, _ = blocks_of(terms(h), first, PASSAGE)
+                t = passages_of(terms(h), first)
                 if not len(t):
                     continue
-                t = t.reshape(-1, PASSAGE)
                 norm = square[t].sum(axis=1)  # a term's repeats count each by itself
                 z = np.empty((len(t), DRAWN), np.float32)
                 for a in range(0, len(t), 1024):
@@ -138,23 +141,14 @@ def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
                 z /= norm[:, None]
                 scatter(y, t.reshape(-1).astype(np.uint16), z)
         y = y[:-1] * idf[:, None]
-        for k in range(0, len(y) // per, 16):
-            some = [i for i in range(k, k + 16) if y[i * per : (i + 1) * per].any()]
+        for k in range(0, len(y) // TERMS, 16):
+            some = [i for i in range(k, k + 16) if y[i * TERMS : (i + 1) * TERMS].any()]
             if some:
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([y[i * per : (i + 1) * per].tobytes() for i in some], pa.binary())], ["slice", "part"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column("slice").to_pylist(), b.column("part").to_pylist(), strict=True):
-                x = np.frombuffer(x, np.float32).astype(np.float64)
-                got[k] = got[k] + x if k in got else x
-        for k, x in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "part"])
-
-    y = np.zeros(((1 << TERM_BITS) // per, per, DRAWN))
-    for r in docs.select("text").mapInArrow(run, "slice int, part binary").repartition("slice").mapInArrow(add, "slice int, part binary").toLocalIterator():
-        y[r["slice"]] = np.frombuffer(r["part"]).reshape(per, DRAWN)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([y[i * TERMS : (i + 1) * TERMS].tobytes() for i in some], pa.binary())], ["slice", "counts"])
+
+    y = np.zeros(((1 << TERM_BITS) // TERMS, TERMS, DRAWN))
+    for r in table_sum(docs.select("text").mapInArrow(run, "slice int, counts binary"), "<f4", unit=UNIT).toLocalIterator():
+        y[r["slice"]] = np.frombuffer(r["counts"], np.int64).reshape(TERMS, DRAWN) * UNIT
     return y.reshape(-1, DRAWN)
 
 
@@ -175,21 +169,20 @@ def latent_terms(y: np.ndarray, idf: np.ndarray) -> np.ndarray:
 @dataclass
 class Item:
     item_id: object
-    words: list[int]
-    answer: set[int]
-    masks: dict[int, int]
+    words: np.ndarray
+    answer: np.ndarray
 
 
 def items_of(rows: list[tuple]) -> list[Item]:
-    """Items with words, from rows (item_id, text). Masks of items too long for passages are made when they are needed."""
+    """Items with words, from rows (item_id, text)."""
     out = []
     for item_id, text in rows:
         sentences = [s for s in re.split(r"(?<=[.?!])\s+", text or "") if s.strip()]
         words = _words(text or "")
-        if not words:
+        if not len(words):
             continue
-        answer = set(_words(sentences[-1])) if len(sentences) > 1 else set(words)
-        out.append(Item(item_id, words, answer or set(words), masks_of(words) if size_of(words) else {}))
+        answer = _words(sentences[-1]) if len(sentences) > 1 else words
+        out.append(Item(item_id, words, np.unique(answer if len(answer) else words)))
     return out
 
 
@@ -201,13 +194,8 @@ def masks_of(words: list[int]) -> dict[int, int]:
     return masks
 
 
-def size_of(words: list[int]) -> int:
-    """The size of an item's passages in blocks; 0 for one that is longer than they are."""
-    return next((s for s in SPANS if s * BLOCK >= 0.75 * len(words)), 0)
-
-
-def _words(text: str) -> list[int]:
-    return word_hashes(*lowered(pa.array([text])), PUNCTUATION)[0].tolist()
+def _words(text: str) -> np.ndarray:
+    return word_hashes(*lowered(pa.array([text])), PUNCTUATION)[0]
 
 
 def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -225,45 +213,67 @@ def leaks(share: float, answer: float) -> bool:
     return share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER
 
 
-def best_stretch(item: Item, words: list[int], lo: int, hi: int) -> tuple[float, float, int, int]:
-    """Over stretches of a quarter more than the item's words that begin in words[lo:hi] on a word of the item, of those that hold the item if any does: the
-    largest share of the item in common, the share of its answer's words in that stretch, and the stretch's bounds."""
-    n, masks = len(item.words), item.masks or masks_of(item.words)
-    at = [i for i in range(lo, hi) if words[i] in masks]
-    length, best, k = n + n // 4, (False, 0, 0.0, lo, lo), 0
+def best_stretch(masks: dict[int, int], in_answer: set[int], n: int, words: list[int]) -> tuple[float, float]:
+    """Over stretches of a quarter more than the item's ``n`` words that begin on a word of the item, of those that hold the item if any does: the
+    largest share of the item in common, and the share of its answer's words in that stretch."""
+    at = [i for i, w in enumerate(words) if w in masks]
+    length, best, k = n + n // 4, (False, 0, 0.0), 0
     least = int(np.ceil(PARAPHRASE * n))
     most = n  # what the stretch can have in common: what the last one had, and the words that have come in since
     counts: dict[int, int] = {}  # the answer's words in the stretch
     for i, p in enumerate(at):
-        if i and (w := words[at[i - 1]]) in item.answer:
+        if i and (w := words[at[i - 1]]) in in_answer:
             counts[w] -= 1
             if not counts[w]:
                 del counts[w]
         while k < len(at) and at[k] < p + length:
-            if (w := words[at[k]]) in item.answer:
+            if (w := words[at[k]]) in in_answer:
                 counts[w] = counts.get(w, 0) + 1
             k, most = k + 1, most + 1
-        bound, answer = min(most, k - i, n), len(counts) / len(item.answer)
-        if bound < least or (leaks(bound / n, answer), bound, answer) <= best[:3]:
+        bound, answer = min(most, k - i, n), len(counts) / len(in_answer)
+        if bound < least or (leaks(bound / n, answer), bound, answer) <= best:
             continue
         most = got = common_subsequence(masks, n, [words[j] for j in at[i:k]])
-        best = max(best, (leaks(got / n, answer), got, answer, p, at[k - 1] + 1), key=lambda b: b[:3])
-    return best[1] / n, best[2], best[3], best[4]
+        best = max(best, (leaks(got / n, answer), got, answer))
+    return best[1] / n, best[2]
+
+
+def best_cosine(vectors: np.ndarray, t: np.ndarray, item: np.ndarray, n: int) -> float:
+    """The largest cosine of the item's vector with a passage of ``SHARE`` of its ``n`` words in the terms ``t``."""
+    size, step = max(1, int(np.ceil(SHARE * n))), max(1, n // STARTS)
+    if len(t) <= size:
+        v = vectors[t].sum(axis=0)
+        return float(v @ item / (np.linalg.norm(v) + 1e-12))
+    best = -1.0
+    starts = np.append(np.arange(0, len(t) - size, step), len(t) - size)
+    per = max(1, FOLDED // step)
+    for a in range(0, len(starts), per):
+        some = starts[a : a + per]
+        sums = np.cumsum(np.vstack([np.zeros((1, vectors.shape[1])), vectors[t[some[0] : some[-1] + size]]]), axis=0, dtype=np.float64)
+        v = sums[some - some[0] + size] - sums[some - some[0]]
+        best = max(best, float((v @ item / (np.linalg.norm(v, axis=1) + 1e-12)).max()))
+    return best
+
+
+@dataclass
+class Index:
+    """Items in the shapes in which workers seek them.
 
+    ``hashes``, ``begin``, ``owners``: the rare words in ascending order, where each one's items begin in the list of items (one more), that list.
+    ``need``: the count of them that each item asks of a stretch of ``length`` words. ``short``: by length, hashes of short items. ``anchors``: hashes of the
+    rarest ``SHORTEST`` words that follow one another in each longer item, in ascending order, with the item and the place in it.
+    """
 
-def rare_words(items: list[Item], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The items' rarest words: their hashes in ascending order, where each one's items begin in a list of items (one more), that list, and the count that each item asks of a passage and what is around it."""
-    pairs, need = set(), []
-    for i, x in enumerate(items):
-        n = len(x.words)
-        weight = idf[terms(np.array(x.words, _U))]
-        some = sorted(range(n), key=lambda k, w=weight: (-w[k], k))[: int(np.ceil(RARE * n))]
-        pairs.update((x.words[k], i) for k in some)
-        need.append(int((RARE - 1 + PARAPHRASE) * n))
-    pairs = sorted(pairs)
-    hashes = np.array([w for w, _ in pairs], _U)
-    begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    return hashes[begin], np.append(begin, len(pairs)), np.array([i for _, i in pairs]), np.array(need)
+    items: list[Item]
+    folded: np.ndarray | None
+    vectors: np.ndarray | None
+    hashes: np.ndarray
+    begin: np.ndarray
+    owners: np.ndarray
+    need: np.ndarray
+    length: np.ndarray
+    short: dict[int, tuple[np.ndarray, list[int]]]
+    anchors: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def rows_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -274,194 +284,193 @@ def rows_of(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def verbatim_table(items: list[Item]) -> dict[int, tuple[np.ndarray, list[Item]]]:
-    """By length, the items' hashes in ascending order and the items in that order."""
-    out = {}
-    for width in sorted({len(x.words) for x in items}):
-        some = [(int(rows_of(np.array(x.words, _U), width)[0]), x) for x in items if len(x.words) == width]
-        some.sort(key=lambda r: r[0])
-        out[width] = np.array([k for k, _ in some], _U), [x for _, x in some]
-    return out
+def index_of(items: list[Item], vectors: np.ndarray | None, idf: np.ndarray | None) -> Index:
+    """``vectors`` and ``idf`` are None if all items are short."""
+    n = np.array([len(x.words) for x in items])
+    long = np.flatnonzero(n >= SHORTEST).tolist()
+    short: dict[int, tuple[np.ndarray, list[int]]] = {}
+    for width in np.unique(n[n < SHORTEST]).tolist():
+        some = sorted((int(rows_of(items[i].words, width)[0]), i) for i in np.flatnonzero(n == width).tolist())
+        short[width] = np.array([k for k, _ in some], _U), [i for _, i in some]
+    pairs, anchors = [np.zeros((0, 2), _U)], []
+    for i in long:
+        words = items[i].words
+        weight = idf[terms(words)]
+        rare = words[np.argsort(-weight, kind="stable")[: int(np.ceil(RARE * len(words)))]]
+        pairs.append(np.stack([np.unique(rare), np.full(len(np.unique(rare)), i, _U)], axis=1))
+        place = int(np.convolve(weight, np.ones(SHORTEST), "valid").argmax())
+        anchors.append((int(rows_of(words[place : place + SHORTEST], SHORTEST)[0]), i, place))
+    pair = np.concatenate(pairs)
+    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+    hashes, begin = np.unique(pair[:, 0], return_index=True)
+    anchors.sort()
+    folded = None
+    if long:
+        folded = np.zeros((len(items), vectors.shape[1]))
+        for i in long:
+            folded[i] = vectors[terms(items[i].words)].sum(axis=0)
+        folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-12
+    return Index(
+        items, folded, vectors, hashes, np.append(begin, len(pair)), pair[:, 1].astype(np.int64), np.maximum(1, ((RARE - 1 + PARAPHRASE) * n).astype(np.int64)), n + n // 4,
+        short, (np.array([k for k, _, _ in anchors], _U), *(np.array([a[j] for a in anchors], np.int64) for j in (1, 2))),
+    )
+
 
+def verbatim(x: Index, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+    """(text, item) of each text and item that is in it word for word."""
+    found = set()
 
-def verbatim(table: dict[int, tuple[np.ndarray, list[Item]]], h: np.ndarray, first: np.ndarray) -> list[tuple]:
-    """(text, item id, 1, 1, 1) of each text and short item that is in it word for word."""
-    found = {}
-    for width, (keys, items) in table.items():
-        rows = rows_of(h, width)
+    def met(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
         lo, hi = np.searchsorted(keys, rows, "left"), np.searchsorted(keys, rows, "right")
-        at = np.flatnonzero(hi > lo)
-        of = np.searchsorted(first, at, "right") - 1
-        within = at + width <= first[of + 1]
-        pairs = np.unique(np.stack([of[within], lo[at[within]], hi[at[within]]]), axis=1)
-        for d, a, b in pairs.T.tolist():
+        for p in np.flatnonzero(hi > lo).tolist():
+            yield p, int(lo[p]), int(hi[p])
+
+    for width, (keys, which) in x.short.items():
+        for p, a, b in met(rows_of(h, width), keys):
+            d = int(np.searchsorted(first, p, "right")) - 1
+            if p + width <= first[d + 1]:
+                found.update((d, i) for i in which[a:b])
+    keys, which, places = x.anchors
+    if len(keys):
+        for p, a, b in met(rows_of(h, SHORTEST), keys):
+            d = int(np.searchsorted(first, p, "right")) - 1
             for k in range(a, b):
-                found[d, width, k] = (d, items[k].item_id, 1.0, 1.0, 1.0)
-    return [found[k] for k in sorted(found)]
-
-
-def dense(at: np.ndarray, need: int, length: int) -> list[list[int]]:
-    """Bounds around ``need`` of the ascending places ``at`` that lie within ``length``: all stretches of that length with them, joined if they overlap."""
-    need = max(1, need)
-    i = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < length) if len(at) >= need else np.zeros(0, np.int64)
-    out: list[list[int]] = []
-    for lo, hi in zip((at[i + need - 1] + 1 - length).tolist(), (at[i] + length).tolist(), strict=True):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
+                i, start = int(which[k]), p - int(places[k])
+                words = x.items[i].words
+                if (d, i) not in found and start >= first[d] and start + len(words) <= first[d + 1] and np.array_equal(h[start : start + len(words)], words):
+                    found.add((d, i))
+    return found
+
+
+def regions(x: Index, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
+    """By (text, item), bounds in ``h`` of all stretches of the item's ``length`` with as many of its rare words as it needs, joined if they overlap."""
+    out: dict[tuple[int, int], list[list[int]]] = {}
+    if not len(x.hashes) or not len(h):
+        return out
+    at = np.searchsorted(x.hashes, h).clip(max=len(x.hashes) - 1)
+    hit = np.flatnonzero(x.hashes[at] == h)
+    of, n_items = np.searchsorted(first, hit, "right") - 1, (x.begin[1:] - x.begin[:-1])[at[hit]]
+    ends = np.cumsum(n_items)
+    who = x.owners[np.repeat(x.begin[at[hit]] - (ends - n_items), n_items) + np.arange(int(n_items.sum()))]
+    pair, place = np.repeat(of, n_items) * len(x.items) + who, np.repeat(hit, n_items)
+    order = np.argsort(pair, kind="stable")
+    pair, place, who = pair[order], place[order], who[order]
+    last = np.arange(len(pair)) + x.need[who] - 1
+    ok = last < len(pair)
+    last = last.clip(max=len(pair) - 1)
+    ok &= (pair[last] == pair) & (place[last] - place < x.length[who])
+    for i in np.flatnonzero(ok).tolist():
+        d, item = divmod(int(pair[i]), len(x.items))
+        lo, hi = max(int(first[d]), int(place[last[i]]) + 1 - int(x.length[item])), min(int(first[d + 1]), int(place[i]) + int(x.length[item]))
+        some = out.setdefault((d, item), [])
+        if some and lo <= some[-1][1]:
+            some[-1][1] = max(hi, some[-1][1])
         else:
-            out.append([lo, hi])
+            some.append([lo, hi])
     return out
 
 
-def search(docs: DataFrame, items: list[Item], latent: np.ndarray | None, idf: np.ndarray | None) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer of each document and item in it; all passages of all documents against all items.
+def find(x: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+    """(text, item, cosine, lcs, answer) of each text and item in it; ``h`` are the texts' words, ``first`` the first word of each (texts + 1)."""
+    got = {pair: (1.0, 1.0, 1.0) for pair in verbatim(x, h, first)}
 
-    ``latent`` and ``idf`` are None if all items are short."""
-    sc = docs.sparkSession.sparkContext
-    item_type = pa.array([x.item_id for x in items]).type
-    short = sc.broadcast(verbatim_table([x for x in items if len(x.words) < SHORTEST]))
-    items = [x for x in items if len(x.words) >= SHORTEST]
-    table = known = None
-    if items:
-        table = sc.broadcast(latent)
-        sizes = np.array([size_of(x.words) for x in items])
-        folded = np.stack([latent[terms(np.array(x.words, _U))].sum(axis=0) for x in items])
-        folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-12
-        known = sc.broadcast((items, sizes, folded, rare_words(items, idf)))
-    names = ["row", "item", "cosine", "lcs", "answer"]
-
-    def find(h: np.ndarray, first: np.ndarray) -> list[tuple]:
-        items, sizes, folded, (rare, begin, owners, need) = known.value
-        vectors = table.value
-        dims, more = vectors.shape[1], max(1, int(sizes.max())) - 1
-        t, bounds = blocks_of(terms(h), first, BLOCK, more)
-        n_blocks = len(t) // BLOCK
-        sums = np.zeros((n_blocks + more, dims), np.float32)
-        for a in range(0, n_blocks, 2048):
-            b = min(n_blocks, a + 2048)
-            sums[a:b] = np.einsum("ijk->ik", vectors.take(t[a * BLOCK : b * BLOCK], axis=0, mode="clip").reshape(-1, BLOCK, dims))
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(bounds))
-        # (block, item) of each occurrence of an item's rare word
-        at = np.searchsorted(rare, h).clip(max=len(rare) - 1)
-        hit = np.flatnonzero(rare[at] == h)
-        of = np.searchsorted(first, hit, "right") - 1
-        block, n_items = bounds[of] + (hit - first[of]) // BLOCK, (begin[1:] - begin[:-1])[at[hit]]
-        where = np.repeat(block, n_items)
-        who = owners[np.repeat(begin[at[hit]], n_items) + np.arange(len(where)) - np.repeat(np.cumsum(n_items) - n_items, n_items)]
-        hits: dict[tuple[int, int], list] = {}
-        for size in sorted(set(sizes.tolist()) - {0}):
-            every = np.flatnonzero(sizes == size)
-            for c in range(0, len(every), ITEMS):
-                which = every[c : c + ITEMS]
-                column = np.full(len(items), -1)
-                column[which] = np.arange(len(which))
-                mine = column[who] >= 0
-                w, col = where[mine], column[who[mine]]
-                for a in range(0, n_blocks, 8192):
-                    m = min(8192, n_blocks - a)
-                    x = sums[a : a + m].copy()
-                    for k in range(1, size):
-                        x += sums[a + k : a + k + m]
-                    x /= np.linalg.norm(x, axis=1, keepdims=True) + np.float32(1e-12)
-                    near = x @ folded[which].T
-                    begins, across = a - -(-size // 2), size + 2 * -(-size // 2)  # half a passage more on either side
-                    lo, hi = np.searchsorted(w, [begins, begins + m + across - 1])
-                    counts = np.bincount((w[lo:hi] - begins) * len(which) + col[lo:hi], minlength=(m + across - 1) * len(which)).reshape(-1, len(which)).astype(np.int16)
-                    have = counts[:m].copy()
-                    for k in range(1, across):
-                        have += counts[k : k + m]
-                    i, j = np.nonzero((near >= COSINE) & (have >= need[which]))
-                    for b, item, value in zip((a + i).tolist(), which[j].tolist(), near[i, j].tolist(), strict=True):
-                        d = int(doc[b])
-                        lo = (b - int(bounds[d])) * BLOCK
-                        hits.setdefault((d, item), []).append((lo, lo + size * BLOCK, value))
-        out = []
-        texts: dict[int, list[int]] = {}
-        for (d, item), stretches in sorted(hits.items()):
-            a, b = int(first[d]), int(first[d + 1])
-            words = texts.get(d)
-            if words is None:
-                words = texts[d] = h[a:b].tolist()
-            x = items[item]
-            n = len(x.words)
-            best, joined = (0.0, 0.0), []
-            for lo, hi, _ in sorted(stretches):  # what overlaps is walked through once
-                lo, hi = max(0, lo - n), min(len(words), hi + n)
-                if joined and lo <= joined[-1][1]:
-                    joined[-1][1] = max(hi, joined[-1][1])
-                else:
-                    joined.append([lo, hi])
-            for lo, hi in joined:
-                best = max(best, best_stretch(x, words, lo, hi)[:2], key=lambda b: (leaks(*b), b))
-            if leaks(*best[:2]):
-                out.append((d, x.item_id, max(s[2] for s in stretches), best[0], best[1]))
-        # items longer than passages: (text, item) of each occurrence of a rare word, in the order of places
-        far = np.flatnonzero(sizes[who] == 0)
-        if len(far):
-            pair, place = np.repeat(of, n_items)[far] * len(items) + who[far], np.repeat(hit, n_items)[far]
-            order = np.argsort(pair, kind="stable")
-            pair, place = pair[order], place[order]
-            begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            ends = np.append(begins[1:], len(pair))
-            enough = ends - begins >= need[pair[begins] % len(items)]
-            for b, e in zip(begins[enough].tolist(), ends[enough].tolist(), strict=True):
-                d, item = divmod(int(pair[b]), len(items))
-                x = items[item]
-                n, start = len(x.words), int(first[d])
-                best = (0.0, 0.0, 0, 0)
-                for lo, hi in dense(place[b:e] - start, int(need[item]), n + n // 4):
-                    words = h[start : int(first[d + 1])][max(0, lo) : hi].tolist()
-                    share, answer, p, q = best_stretch(x, words, 0, len(words))
-                    best = max(best, (share, answer, max(0, lo) + p, max(0, lo) + q), key=lambda b: (leaks(*b[:2]), b))
-                if leaks(*best[:2]):
-                    passage = vectors[terms(h[start + best[2] : start + best[3]])].sum(axis=0)
-                    out.append((d, x.item_id, float(passage @ folded[item] / (np.linalg.norm(passage) + 1e-12)), best[0], best[1]))
-        return out
+    @lru_cache(256)
+    def prepared(item: int) -> tuple[dict[int, int], set[int], int]:
+        words = x.items[item].words.tolist()
+        return masks_of(words), set(x.items[item].answer.tolist()), len(words)
+
+    for (d, item), bounds in regions(x, h, first).items():
+        if (d, item) in got:
+            continue
+        best = (False, 0.0, 0.0, 0.0)
+        for lo, hi in bounds:
+            cosine = best_cosine(x.vectors, terms(h[lo:hi]), x.folded[item], len(x.items[item].words))
+            if cosine >= COSINE:
+                share, answer = best_stretch(*prepared(item), h[lo:hi].tolist())
+                best = max(best, (leaks(share, answer), share, answer, cosine))
+        if best[0]:
+            got[d, item] = (best[3], best[1], best[2])
+    return [(*pair, *got[pair]) for pair in sorted(got)]
+
+
+def search(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id, item, cosine, lcs, answer of each document and item in it."""
+    table = docs.sparkSession.sparkContext.broadcast(index)
+    item_type = pa.array([x.item_id for x in index.items]).type
+    kind = {"int64": "long", "int32": "int"}.get(str(item_type), "string")
 
     def make():
         def part(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            x = table.value
             h, _, _, first = word_hashes(*lowered(batch.column("text")), PUNCTUATION)
-            rows = verbatim(short.value, h, first) + (find(h, first) if known else []) if len(h) else []
+            rows = find(x, h, first)
             if not rows:
                 return None
             row, item, *scores = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(item, item_type), *(pa.array([round(float(v), 6) for v in c]) for c in scores)], ["doc_id", *names[1:2], *names[2:]])
+            ids = pa.array([x.items[i].item_id for i in item], item_type)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), ids, *(pa.array([round(float(v), 6) for v in c]) for c in scores)], ["doc_id", "item", "cosine", "lcs", "answer"])
 
         return part
 
-    kind = {"int64": "long", "int32": "int"}.get(str(item_type), "string")
-    return arrow_map(docs, make, f"doc_id {id_type(docs, 'doc_id')}, item {kind}, cosine double, lcs double, answer double", "text").withColumnRenamed("item", "item_id")
+    return arrow_map(docs, make, f"doc_id {id_type(docs, 'doc_id')}, item {kind}, cosine double, lcs double, answer double", "text")
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> tuple[list[Item], np.ndarray | None, np.ndarray | None] | None:
-    rows = benchmark.select(item_col, text_col).limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items: seek them in parts")
-    items = items_of(sorted(((r[0], r[1]) for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")))
-    if not items:
-        return None
-    if all(len(x.words) < SHORTEST for x in items):
-        return items, None, None
-    idf = weights(document_frequencies(docs))
-    return items, latent_terms(passage_products(docs, idf), idf), idf
+def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
+    """The benchmark's items, ``MOST_ITEMS`` of them and ``MOST_BYTES`` of their texts at once or about so, each with what the documents' terms weigh."""
+    base = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("item is not null")
+    size = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // MOST_ITEMS), -(-size["bytes"] // MOST_BYTES))
+    idf = vectors = None
+    for k in range(parts):
+        rows = base.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else base
+        items = items_of(sorted(((r["item"], r["text"]) for r in rows.collect()), key=lambda r: (r[0], r[1])))
+        if any(len(x.words) >= SHORTEST for x in items) and idf is None:
+            idf = weights(document_frequencies(docs))
+            vectors = latent_terms(passage_products(docs, idf), idf)
+        if items:
+            yield index_of(items, vectors, idf)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer: each document that holds a benchmark item, whole, edited or paraphrased.
 
     Null or empty documents hold nothing; null item ids and empty items are passed over; items of fewer than ``SHORTEST`` words are found word for word; items of equal texts are
-    found each; repeated rows of documents give repeated rows. Either table may be empty: no rows.
+    found each; repeated rows of documents give repeated rows. Either table may be empty: no rows. More items than go into a pass take several passes.
     """
-    docs = pick(df, id_col, text_col)
-    fit = fitted(docs, benchmark, item_col, item_text)
-    if fit is None:
-        return docs.where("false").select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "lcs", "answer")))
-    return search(docs, *fit)
+    docs, kind = pick(df, id_col, text_col), benchmark.schema[item_col].dataType
+    out, before = None, None
+    for index in indexes(docs, benchmark, item_col, item_text):
+        if before is not None:  # there are several: each is written before the next one's items come to the driver
+            out = written(before, "leaks") if out is None else out.unionAll(written(before, "leaks"))
+        before = search(docs, index)
+    if before is None:
+        before = docs.where("false").select("doc_id", F.lit(None).cast(kind).alias("item"), *(F.lit(0.0).alias(c) for c in ("cosine", "lcs", "answer")))
+    out = before if out is None else out.unionAll(written(before, "leaks"))
+    return out.select("doc_id", F.col("item").cast(kind).alias("item_id"), "cosine", "lcs", "answer")
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``df`` that hold no benchmark item, with all columns."""
-    leaks = find_leaks(df, benchmark, id_col, text_col, item_col, item_text)
-    name = unused(df, "leak")
-    leaks = written(leaks.select(F.col("doc_id").alias(name)).distinct(), "leaks")  # its size is known before the join is planned
-    return df.join(leaks, df[id_col] == leaks[name], "left_anti")
+    """The rows of ``df`` that hold no benchmark item, with all columns: a filter without a shuffle, so that each row stands for itself, whatever its id.
+
+    Null or empty texts stay. Either table may be empty.
+    """
+    docs, out = pick(df, id_col, text_col), df
+    columns, text, schema = df.columns, unused(df, "checked"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def without(rows: DataFrame, index: Index) -> DataFrame:
+        table = rows.sparkSession.sparkContext.broadcast(index)
+
+        def make():
+            def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+                h, _, _, first = word_hashes(*lowered(batch.column(text)), PUNCTUATION)
+                stays = np.ones(batch.num_rows, bool)
+                stays[[r[0] for r in find(table.value, h, first)]] = False
+                return batch.select(columns).filter(pa.array(stays))
+
+            return part
+
+        return arrow_map(rows.withColumn(text, F.coalesce(rows[text_col].cast("string"), F.lit(""))), make, schema, text)
+
+    for k, index in enumerate(indexes(docs, benchmark, item_col, item_text)):
+        out = without(written(out, "decontaminated") if k else out, index)
+    return out

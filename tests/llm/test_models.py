@@ -155,20 +155,64 @@ def test_long_and_short_items(spark):
 def test_a_stretch_with_the_answer_counts():
     """One stretch has 0.65 of the item without its answer, a later one 0.625 with all of it: the item is there. Against all stretches."""
     words = [*range(1, 41)]
-    item = D.Item(1, words, set(words[32:]), D.masks_of(words))
+    masks, answer_words = D.masks_of(words), set(words[32:])
     other = [0] * 100
     text = words[:26] + other + words[:17] + words[32:] + other
-    assert D.best_stretch(item, text, 0, len(text))[:2] == (0.625, 1.0) and D.leaks(0.625, 1.0) and not D.leaks(0.65, 0.0)
+    assert D.best_stretch(masks, answer_words, 40, text) == (0.625, 1.0) and D.leaks(0.625, 1.0) and not D.leaks(0.65, 0.0)
     rng = np.random.default_rng(1)
     for _ in range(200):
         text = [w if rng.random() < 0.68 else 0 for _ in range(3) for w in words + other[: rng.integers(30)]]
         every = []
         for p in (i for i, w in enumerate(text) if w):
             some = text[p : p + 50]
-            share, answer = D.common_subsequence(item.masks, 40, some) / 40, len(item.answer & set(some)) / 8
+            share, answer = D.common_subsequence(masks, 40, some) / 40, len(answer_words & set(some)) / 8
             if share >= D.PARAPHRASE:
                 every.append((D.leaks(share, answer), share, answer))
-        assert D.best_stretch(item, text, 0, len(text))[:2] == max(every, default=(False, 0.0, 0.0))[1:]
+        assert D.best_stretch(masks, answer_words, 40, text) == max(every, default=(False, 0.0, 0.0))[1:]
+
+
+def test_items_in_parts(spark, sf, documents, monkeypatch):
+    """More items than go into a pass: the same rows, and the same documents stay."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    want, kept = sorted(D.find_leaks(documents, bench).collect()), sorted(D.drop_leaks(documents, bench).collect())
+    monkeypatch.setattr(D, "MOST_ITEMS", -(-bench.count() // 3))
+    again = D.find_leaks(documents, bench)
+    assert again.dtypes == D.find_leaks(documents, bench.limit(1)).dtypes and sorted(again.collect()) == want
+    assert sorted(D.drop_leaks(documents, bench).collect()) == kept and len(kept) == documents.count() - len({r["doc_id"] for r in want})
+
+
+def test_rows_of_one_id_stand_for_themselves(spark):
+    words = " ".join(f"word{i}" for i in range(20))
+    df = spark.createDataFrame([(5, "alpha beta gamma delta"), (5, words), (None, words), (None, "clean"), (5, None)], "doc_id int, text string")
+    kept = D.drop_leaks(df, spark.createDataFrame([(1, words)], "item_id int, text string"))
+    assert kept.dtypes == df.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, [r for r in df.collect() if r["text"] != words]))
+
+
+def test_the_index_of_rare_words_loses_nothing(spark, documents):
+    """Stretches that pass the checks and hold a passage of the least cosine are found, whatever the index says: all places of all texts against all items."""
+    import pyarrow as pa
+
+    from millrace.llm._common import PUNCTUATION, lowered, word_hashes
+
+    rng = np.random.default_rng(9)
+    vocabulary = np.array([f"t{k}" for k in range(400)])
+    texts = [" ".join(rng.choice(vocabulary, 150)) for _ in range(40)]
+    items = []
+    for i in range(25):
+        at = rng.integers(0, 100)
+        w = texts[i].split()[at : at + 40]
+        items.append((i, " ".join(x if rng.random() > 0.33 else str(rng.choice(vocabulary)) for x in w)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    index = next(D.indexes(docs, spark.createDataFrame(items, "item_id long, text string"), "item_id", "text"))
+    h, _, _, first = word_hashes(*lowered(pa.array(texts)), PUNCTUATION)
+    got = {(d, i) for d, i, *_ in D.find(index, h, first)}
+    want = set()
+    for d, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        for i, x in enumerate(index.items):
+            words = x.words.tolist()
+            if D.leaks(*D.best_stretch(D.masks_of(words), set(x.answer.tolist()), len(words), h[a:b].tolist())) and D.best_cosine(index.vectors, D.terms(h[a:b]), index.folded[i], len(words)) >= D.COSINE:
+                want.add((d, i))
+    assert want <= got and 3 <= len(want) < 25
 
 
 def test_leak_edges(spark, edge, empty):
