@@ -6,13 +6,14 @@ import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import chunks, pick, vocabulary
+from millrace.llm._common import _memos, chunks, pick, vocabulary, written
 from millrace.llm.bpe import WHITE, Memo
 
 #: Lengths in one block of the two-level suffix sums.
@@ -32,6 +33,7 @@ class Lengths:
         self.ascii = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
         self.wide = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.spans = Memo(lambda x: len(self.encoding.encode_ordinary(x)))
+        _memos.append(self.spans.empty)
 
     def of(self, text: str) -> int:
         return sum(map(self.spans.__getitem__, self.ascii(text) if text.isascii() else self.wide(text)))
@@ -43,7 +45,10 @@ def lengths(path: str) -> Lengths:
 
 
 def length_histogram(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """n_tokens, n_docs: how many rows have each encoded length. Each task sends its own histogram only. Null or empty text: length 0."""
+    """n_tokens, n_docs: how many rows have each encoded length, as a written table, so that what reads it doesn't encode the texts again.
+
+    Each task sends its own histogram only. Null or empty text: length 0. An empty table gives no rows; other columns, repeated rows and ids don't matter.
+    """
     path = path or vocabulary("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,15 +60,15 @@ def length_histogram(df: DataFrame, text_col: str = "text", path: str | None = N
             yield pa.RecordBatch.from_pydict({"n_tokens": [*seen], "n_docs": [*seen.values()]}, pa.schema([("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
     parts = pick(df, text_col, text_col).select("text").mapInArrow(run, "n_tokens long, n_docs long")
-    return parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return written(parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "token-lengths")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
     """For each length that occurs, taken as a context limit: documents and tokens in all, those that fit, and what truncation leaves.
 
     Columns: context_limit, n_docs (of exactly this length), docs_over, tokens_over (of longer documents), docs_fit,
-    tokens_truncated (the total when every longer document is cut to the limit), tokens_lost, share (of documents that fit: the limit is the
-    quantile of that share). Between two lengths of the histogram the same suffix sums hold: ``totals_at``. Suffix sums
+    tokens_truncated (the total when every longer document is cut to the limit), tokens_lost, share (of documents that fit, to nine digits, for
+    reading: ``quantiles`` compares whole numbers). Between two lengths of the histogram the same suffix sums hold: ``totals_at``. Suffix sums
     go over blocks of lengths first, then within each block, so no task sees the whole histogram. Empty input: no rows.
     """
     h = histogram.select(F.col("n_tokens"), F.col("n_docs"), (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
@@ -87,19 +92,24 @@ def context_totals(histogram: DataFrame) -> DataFrame:
 
 
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """context_limit, docs_over, tokens_truncated for the given limits: one row each, sums over the histogram."""
-    spark = histogram.sparkSession
-    at = spark.createDataFrame([(int(x),) for x in dict.fromkeys(limits)], "context_limit long")
-    return (
-        histogram.join(F.broadcast(at)).groupBy("context_limit")
-        .agg(F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"), F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("tokens_truncated"))
-    )
+    """context_limit, docs_over, tokens_truncated for the given limits: one row each, in one pass over the histogram. An empty histogram gives zeros, no limit no rows."""
+    limits = [int(x) for x in dict.fromkeys(limits)]
+    n, docs, none = F.col("n_tokens"), F.col("n_docs"), F.lit(0).cast("long")
+    sums = [f(n, x) for x in limits for f in (lambda n, x: F.sum(F.when(n > x, docs)), lambda n, x: F.sum(F.least(n, F.lit(x)) * docs))]
+    one = histogram.agg(F.lit(0).alias("_"), *(F.coalesce(s, none).alias(f"s{i}") for i, s in enumerate(sums)))
+    rows = [F.struct(F.lit(x).cast("long").alias("context_limit"), F.col(f"s{2 * i}").alias("docs_over"), F.col(f"s{2 * i + 1}").alias("tokens_truncated")) for i, x in enumerate(limits)]
+    kind = "array<struct<context_limit:bigint,docs_over:bigint,tokens_truncated:bigint>>"
+    return one.select(F.explode(F.array(*rows).cast(kind)).alias("r")).select("r.*")
 
 
 def quantiles(totals: DataFrame, shares: list[float]) -> DataFrame:
-    """share, context_limit: the shortest limit that at least this share of the documents fit in, from ``context_totals``."""
-    parts = [totals.where(F.col("share") >= float(q)).agg(F.min("context_limit").alias("context_limit")).select(F.lit(float(q)).alias("share"), "context_limit") for q in shares]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    """share, context_limit: the shortest limit that at least this share of the documents fit in, from ``context_totals``; null for an empty table.
+
+    Shares are taken as the decimal fractions that they are written as, and compared with counts as whole numbers.
+    """
+    least = []
+    for q in shares:
+        f = Fraction(str(q)).limit_denominator(10**12)
+        fits = F.col("docs_fit").cast("decimal(20,0)") * F.lit(f.denominator).cast("decimal(13,0)") >= (F.col("docs_fit") + F.col("docs_over")).cast("decimal(20,0)") * F.lit(f.numerator).cast("decimal(13,0)")
+        least.append(F.struct(F.lit(float(q)).alias("share"), F.min(F.when(fits, F.col("context_limit"))).alias("context_limit")))
+    return totals.agg(F.array(*least).cast("array<struct<share:double,context_limit:bigint>>").alias("r")).select(F.explode("r").alias("r")).select("r.*")
