@@ -168,8 +168,9 @@ def shard_read(content: bytes, back: np.ndarray) -> tuple[list[int | None], np.n
 def write_token_files(tokens: DataFrame, size: int, width: int, parts: int | None = None, shard_ids: int = SHARD_IDS) -> tuple[DataFrame, DataFrame]:
     """Writes the rows of ``tokenized`` in ascending doc_id order; gives the written tables (shards, ranks).
 
-    ``tokens`` should be a written table: it is read three times (counts, range borders, shards). Ties of doc_id go by their ids,
-    null ids come first. One range exchange; each task writes shards of bounded size one after another.
+    ``tokens`` should be a written table: it is read three times (counts, range borders, shards). Ties of doc_id go by a hash of their ids,
+    null ids come first. One range exchange; each task writes shards of bounded size one after another. Rows of one doc_id are parted by that hash, and equal rows,
+    of which it doesn't matter which is first, by where they were read, so that no id's rows have to meet in a task.
     """
     spark = tokens.sparkSession
     ranks = written(frequency_ranks(tokens.where("counts is not null"), size), "token-ranks")
@@ -197,7 +198,9 @@ def write_token_files(tokens: DataFrame, size: int, width: int, parts: int | Non
         if docs:
             yield shard()
 
-    ordered = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("place")]
+    rows = tokens.where("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     return written(ordered.mapInArrow(run, "part int, seq int, n_ids long, content binary"), "token-shards"), ranks
 
 
@@ -230,7 +233,7 @@ def read_token_files(shards: DataFrame, ranks: DataFrame) -> DataFrame:
 def token_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2) -> DataFrame:
     """Encodes, writes and reads back every row of ``df``: doc_id, start, n_tokens, ids.
 
-    Null or empty texts have the end id alone. Ids must be whole numbers or null; nulls come first; rows of equal ids follow one another, ordered by their tokens.
+    Null or empty texts have the end id alone. Ids must be whole numbers or null; nulls come first; rows of equal ids follow one another, ordered by a hash of their tokens.
     An empty table gives no rows. Other columns don't matter.
     """
     path = path or vocabulary("word_bpe_49k.json")
