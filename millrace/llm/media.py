@@ -116,16 +116,18 @@ def store(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 class Image:
-    """One baseline image: size, components, tables and scan bytes, from its markers."""
+    """One baseline image: size, tables and the scan that has the first component, which is the luminance, from its markers. Scans of other components are passed over."""
 
-    __slots__ = ("width", "height", "components", "scan", "restart", "end")
+    __slots__ = ("width", "height", "components", "most", "scan", "restart", "end")
 
     def __init__(self, data: bytes, at: int):
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
         at += 2
-        quantizers, dc, ac, self.restart, frame = {}, {}, {}, 0, None
-        while True:
+        quantizers, dc, ac, restart, frame, self.scan = {}, {}, {}, 0, None, None
+        while data[at : at + 2] != b"\xff\xd9":
+            if at >= len(data):
+                raise ValueError("no end of image")
             while data[at] == 0xFF and data[at + 1] == 0xFF:
                 at += 1
             if data[at] != 0xFF:
@@ -152,27 +154,29 @@ class Image:
             elif 0xC0 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
                 raise ValueError("not a baseline image")
             elif marker == 0xDD:
-                self.restart = struct.unpack(">H", body)[0]
+                restart = struct.unpack(">H", body)[0]
             elif marker == 0xDA:
-                if frame is None or body[0] != len(frame):
-                    raise ValueError("only one interleaved scan")
-                self.components = [(*frame[body[1 + 2 * k]][:2], quantizers[frame[body[1 + 2 * k]][2]], dc[body[2 + 2 * k] >> 4], ac[body[2 + 2 * k] & 15]) for k in range(body[0])]
-                break
-        stop = at
+                if frame is None:
+                    raise ValueError("a scan without a frame")
+                start, at = at, self._after(data, at)
+                if self.scan is None and body[1] == next(iter(frame)):
+                    self.scan, self.restart = data[start:at], restart
+                    self.components = [(*frame[body[1 + 2 * k]][:2], quantizers[frame[body[1 + 2 * k]][2]], dc[body[2 + 2 * k] >> 4], ac[body[2 + 2 * k] & 15]) for k in range(body[0])]
+                    self.most = max(c[0] for c in frame.values()), max(c[1] for c in frame.values())
+        if self.scan is None:
+            raise ValueError("no scan")
+        self.end = at + 2
+
+    @staticmethod
+    def _after(data: bytes, at: int) -> int:
+        """Where the entropy-coded bytes from ``at`` on end."""
         while True:
-            stop = data.find(b"\xff", stop)
-            if stop < 0:
+            at = data.find(b"\xff", at)
+            if at < 0:
                 raise ValueError("no end of image")
-            if data[stop + 1] == 0 or 0xD0 <= data[stop + 1] <= 0xD7:
-                stop += 2
-            else:
-                break
-        self.scan, self.end = data[at:stop], stop
-        while data[self.end : self.end + 2] != b"\xff\xd9":
-            if self.end >= len(data):
-                raise ValueError("no end of image")
-            self.end += 1
-        self.end += 2
+            if data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7:
+                return at
+            at += 2
 
 
 def images(data: bytes) -> list[Image]:
@@ -200,14 +204,16 @@ def thumbnails(files: list[Image]) -> list[np.ndarray]:
     shapes, out = [], []
     block_plans: list[list[tuple]] = []  # for each plan, of each block of a unit: component, DC table, AC table
     for i, x in enumerate(files):
-        hs, vs = max(c[0] for c in x.components), max(c[1] for c in x.components)
-        single = len(x.components) == 1
+        hs, vs = x.most
+        single = len(x.components) == 1  # a scan of its own has the blocks that its component's samples need
         blocks = [(k, lut(c[3]), lut(c[4])) for k, c in enumerate(x.components) for _ in range(1 if single else c[0] * c[1])]
         plan = plans.setdefault(tuple(blocks), len(plans))
         if plan == len(block_plans):
             block_plans.append(blocks)
-        across = -(-x.width // 8) if single else -(-x.width // (8 * hs))
-        down = -(-x.height // 8) if single else -(-x.height // (8 * vs))
+        across, down = -(-x.width // (8 * hs)), -(-x.height // (8 * vs))
+        if single:
+            h, v = x.components[0][:2]
+            across, down = -(-(-(-x.width * h // hs)) // 8), -(-(-(-x.height * v // vs)) // 8)
         shapes.append((across, down, 1 if single else x.components[0][0], 1 if single else x.components[0][1]))
         out.append(np.zeros(across * down * shapes[-1][2] * shapes[-1][3], np.float32))
         step, total = x.restart or across * down, across * down
@@ -318,7 +324,7 @@ def thumbnails(files: list[Image]) -> list[np.ndarray]:
         if h * v > 1:  # units hold h x v luminance blocks
             pixels = pixels.reshape(down, across, v, h).transpose(0, 2, 1, 3)
         pixels = pixels.reshape(down * v, across * h)
-        hmax, vmax = max(c[0] for c in x.components), max(c[1] for c in x.components)
+        hmax, vmax = x.most
         tall, broad = -(-x.height * (v if v < vmax else vmax) // (8 * vmax)), -(-x.width * (h if h < hmax else hmax) // (8 * hmax))
         out[i] = pixels[: tall if h * v > 1 or len(x.components) > 1 else None, : broad if h * v > 1 or len(x.components) > 1 else None]
     return out
@@ -375,7 +381,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def jpeg_features(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds width, height (of the first image), n_images, thumbnail (8-bit luminance, a byte for each block, images in turn) and thumbnail_hash.
+    """Adds width, height (of the first image), n_images, thumbnail (8-bit luminance, a byte for each block, images in turn) and thumbnail_hash (of each image, joined by hyphens).
 
     A null, empty, damaged or non-baseline file has null features and the reason in media_error (else null). ``df`` keeps its columns; those that are called so are replaced.
     """
@@ -404,7 +410,7 @@ def jpeg_features(df: DataFrame, media_col: str = "media") -> DataFrame:
         for i, s in zip(who, sets, strict=True):
             pixels = [np.clip(np.rint(t), 0, 255).astype(np.uint8) for t in thumbs[at : at + len(s)]]
             at += len(s)
-            out[i] = (s[0].width, s[0].height, len(s), b"".join(p.tobytes() for p in pixels), difference_hash(pixels[0]), None)
+            out[i] = (s[0].width, s[0].height, len(s), b"".join(p.tobytes() for p in pixels), "-".join(map(difference_hash, pixels)), None)
         return out
 
     def make():

@@ -81,6 +81,38 @@ def test_decoder_on_any_baseline_file(sampling, restart):
         assert np.allclose(pixels, want[: pixels.shape[0], : pixels.shape[1]]) and pixels.shape[0] <= want.shape[0]
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+@pytest.mark.parametrize("sampling", [[(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 2)]])
+def test_scans_of_their_own(sampling, order):
+    """Each component in a scan of its own, in any order, with other tables between them."""
+    rng = np.random.default_rng(sum(order[:2]))
+    hs, vs = max(h for h, _ in sampling), max(v for _, v in sampling)
+    for width, height in ((8, 8), (33, 20), (100, 50)):
+        scans, want, head = {}, None, b""
+        for c, (h, v) in enumerate(sampling):
+            data, dcs = encoded(rng, -(-width * h // hs), -(-height * v // vs), [(1, 1)], 0)
+            mark = segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
+            at = data.rindex(mark)
+            scans[c] = data[at + len(mark) : -2]
+            if c == 0:
+                want, head = dcs, data[:at]
+        frame = head.index(b"\xff\xc0")
+        tables = head[frame + 4 + 9 :]
+        sizes = segment(0xC0, struct.pack(">BHHB", 8, height, width, 3) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(sampling)))
+        file = head[:frame] + sizes + b"".join(tables + segment(0xDA, bytes([1, c + 1, 0, 0, 63, 0])) + scans[c] for c in order) + b"\xff\xd9"
+        (image,) = media.images(file)
+        assert (image.width, image.height) == (width, height) and np.allclose(media.thumbnails([image])[0], want)
+
+
+def test_feature_of_several_images(monkeypatch):
+    monkeypatch.setattr(media, "ROWS", 4)
+    raw = np.random.default_rng(0).integers(0, 256, 192 * 10, dtype=np.uint8)
+    other = raw.copy()
+    other[-192:] = other[-192:][::-1]
+    hashes = ["-".join(media.difference_hash(t) for t in media.thumbnails(media.images(media.store(x, np.array([0, len(x)]))[0]))) for x in (raw, other)]
+    assert hashes[0] != hashes[1] and hashes[0][:16] == hashes[1][:16]
+
+
 @pytest.mark.parametrize("n", [1, 2, 191, 500])
 def test_store_is_lossless(n):
     rng = np.random.default_rng(n)
