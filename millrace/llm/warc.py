@@ -163,7 +163,8 @@ def read_warc(archives: DataFrame, page_id: str = "long") -> DataFrame:
 
     Continuations are grouped by the record they go on from and ordered by their numbers; the numbers must run from 1 without gaps, the last must
     give the total length, and the payload's digest must be the header's, else ``error`` says what is wrong (null if nothing is). A
-    revisit's payload is null. Only segmented records are shuffled.
+    revisit's payload is null. An archive that is damaged gives the records before the damage and a row with nothing but ``error``. A null
+    or empty archive gives no rows. Only segmented records are shuffled.
     """
     parsed, read = _PARSED.format(id=page_id), _READ.format(id=page_id)
     kind = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[page_id]
@@ -175,15 +176,23 @@ def read_warc(archives: DataFrame, page_id: str = "long") -> DataFrame:
             for batch in batches:
                 for content in batch.column("content").to_pylist():
                     out = []
-                    for h, block in records(content):
-                        kind = h.get("warc-type")
-                        if kind not in ("response", "revisit", "continuation") or ("warc-segment-number" in h) != split:
-                            continue
-                        number = lambda name, h=h, f=int: f(h[name]) if name in h else None
-                        out.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), number("page-id", f=value), h.get("warc-target-uri"), kind, h.get("warc-payload-digest"), number("payload-length"), number("page-refers-to", f=value), block))
+                    try:
+                        for row in parsed_rows(content or b""):
+                            out.append(row)
+                    except (ValueError, KeyError) as e:
+                        if not split:
+                            out.append((None, None, None, None, None, "damaged", None, None, None, f"a damaged archive: {e}".encode()))
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
 
+        def parsed_rows(content: bytes) -> Iterator[tuple]:
+            for h, block in records(content):
+                kind = h.get("warc-type")
+                if kind not in ("response", "revisit", "continuation") or ("warc-segment-number" in h) != split:
+                    continue
+                number = lambda name, h=h, f=int: f(h[name]) if name in h else None
+                yield (h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), number("page-id", f=value), h.get("warc-target-uri"), kind, h.get("warc-payload-digest"), number("payload-length"), number("page-refers-to", f=value), block)
+
         return archives.select("content").mapInArrow(run, parsed)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +201,9 @@ def read_warc(archives: DataFrame, page_id: str = "long") -> DataFrame:
         for batch in batches:
             out = []
             for page, url, what, digest, length, refers, total, pieces in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "digest", "length", "refers_to", "total", "pieces")), strict=True):
+                if what == "damaged":
+                    out.append((page, url, None, None, None, None, None, pieces[0]["block"].decode()))
+                    continue
                 bare = (digest or "").removeprefix("sha1:")
                 if what == "revisit":
                     out.append((page, url, what, refers, length, bare, None, None))

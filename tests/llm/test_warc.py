@@ -53,6 +53,18 @@ def test_damage_is_told(spark):
     assert read_warc(spark.createDataFrame(other, archive.schema)).head()["error"] == "the payload digest differs"
 
 
+def test_a_damaged_archive_stops_nothing(spark):
+    pages = spark.createDataFrame([(i, "u", f"text {i} " * 50) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    rows = write_warc(pages, archive=1).orderBy("part", "seq").collect()
+    assert len(rows) == 6
+    broken = [r.asDict() for r in rows]
+    broken[2]["content"] = bytes(broken[2]["content"])[:-30]  # the warcinfo record before it is whole
+    broken[4]["content"] = b"nothing of the kind"
+    got = read_warc(spark.createDataFrame(broken, "part int, seq int, content binary")).collect()
+    assert len({r["page_id"] for r in got if r["error"] is None and r["payload_bytes"] == len(f"text {r['page_id']} " * 50)}) == 4
+    assert sum(r["error"] is not None and r["error"].startswith("a damaged archive") and r["page_id"] is None for r in got) == 2
+
+
 def test_sql(spark, sf):
     import duckdb
 
