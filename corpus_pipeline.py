@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import written
+from millrace.llm._common import cleanup, forget, table_count, written
 from millrace.llm.bpe import bpe_round_trip
 from millrace.llm.decontaminate import drop_leaks
 from millrace.llm.ngram_join import keep_one
@@ -31,8 +31,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become ``<secret>``; n_chars follows the text."""
-    return redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """Secrets become ``<secret>``; n_chars, where there is such a column, follows the text."""
+    out = redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +45,20 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("encoding", encoding)]
 
-#: Learned scores and tokenizers can't be put in SQL; tests hold the stages against brute force.
+#: Learned scores and tokenizers can't be put in SQL; tests/llm/test_pipeline.py holds the rows of all stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What the stages before it wrote is deleted as soon as it isn't read any more; the table that the last one reads stays for the result."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
+        since = table_count()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{name}")
+            cleanup(spark, docs, since)
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
