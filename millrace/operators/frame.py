@@ -100,9 +100,8 @@ class TextTable:
         """Appends a row; its size must be the number of columns."""
         if len(values) != self.n_cols() or not self.columns:
             raise ValueError("the row's size differs from the number of columns")
-        row = self.df.sparkSession.createDataFrame([tuple(_text(v) for v in values)], ", ".join(f"{c} string" for c in self.columns))
-        last = self.df.agg(F.coalesce(F.max(POS) + 1, F.lit(0)).alias(POS))
-        return TextTable(self.df.unionByName(last.crossJoin(F.broadcast(row)).select(*self.df.columns)), self.names)
+        row = self.df.agg(F.coalesce(F.max(POS) + 1, F.lit(0)).alias(POS), *(F.lit(_text(v)).alias(c) for c, v in zip(self.columns, values, strict=True)))
+        return TextTable(self.df.unionByName(row), self.names)
 
     def drop_icol(self, i: int) -> TextTable:
         names = None if self.names is None else self.names[:i] + self.names[i + 1 :]

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(root)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,14 @@ from millrace.functions.random import bits, draw
 from millrace.operators.frame import TextTable
 from millrace.operators.groups import generate_groups, generate_many
 from millrace.operators.index_mapper import IndexMapper
-from millrace.operators.layout import BATCH, POS, zip_frames
-from millrace.operators.model import infer_batches
+from millrace.operators.layout import BATCH, POS, shared_path, zip_frames
+from millrace.operators.model import infer, infer_batches
+from millrace.operators.pyfun import PyFun
+from millrace.operators.schema import ColumnDef, row_type
 from millrace.operators.stream import Stream
+from millrace.sources.csv import read_csv, read_csv_fast, read_csv_text, write_csv
+from millrace.sources.sinks import IMAGE
+from millrace.streaming.adapter import micro_batches, stateless
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -311,12 +318,12 @@ def index_mapper_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT value, row_number() OVER (ORDER BY first) - 1 AS idx FROM (SELECT c_mktsegment AS value, min(c_custkey) AS first FROM customer WHERE c_custkey <= 3 GROUP BY 1))
+WITH m AS (SELECT value, row_number() OVER (ORDER BY first) - 1 AS idx FROM (SELECT c_mktsegment AS value, min(c_custkey) AS first FROM customer WHERE c_mktsegment NOT LIKE 'B%' GROUP BY 1))
 SELECT c_custkey, coalesce(idx, 10)::BIGINT AS segment FROM customer LEFT JOIN m ON value = c_mktsegment
 """)
 def index_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return IndexMapper.unique(c.where("c_custkey <= 3"), "c_mktsegment", "c_custkey").encode(c.select("c_custkey", "c_mktsegment"), "c_mktsegment", "segment", 10).select("c_custkey", "segment")
+    return IndexMapper.unique(c.where(~F.col("c_mktsegment").startswith("B")), "c_mktsegment", "c_custkey").encode(c.select("c_custkey", "c_mktsegment"), "c_mktsegment", "segment", 10).select("c_custkey", "segment")
 
 
 @query("SELECT c_custkey, c_mktsegment AS segment FROM customer")
@@ -352,10 +359,12 @@ def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", strings.base64_decode(strings.base64_encode("html")).cast("string").alias("html"))
 
 
-@query("SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders")
+@query("SELECT o_orderkey, o_orderkey % 24 < 12 AS done FROM orders")
 def string_to_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.when(F.col("o_orderstatus") == "F", F.lit("yes ")).otherwise(F.lit("off"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", strings.string_to_bool(word).alias("done"))
+    """All words, some with spaces after them."""
+    word = F.element_at(F.array(*map(F.lit, (*strings.TRUE, *strings.FALSE))), (F.col("o_orderkey") % 24 + 1).cast("int"))
+    spaced = F.concat(word, F.when(F.col("o_orderkey") % 5 == 0, F.lit(" ")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.string_to_bool(spaced).alias("done"))
 
 
 @query("SELECT sum(o_custkey)::BIGINT AS total, count(*)::BIGINT AS n FROM orders")
@@ -366,10 +375,15 @@ def for_each_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(seen.get["total"], seen.get["n"])], "total long, n long")
 
 
-@query("SELECT count(*)::BIGINT AS batches, 25::BIGINT AS examples FROM (SELECT 1 FROM nation GROUP BY n_nationkey // 4)")
+@query("""
+WITH t AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation)
+SELECT (pos // 4)::BIGINT AS b, count(*)::BIGINT AS n, sum(n_regionkey)::BIGINT AS regions, string_agg(n_name, '|' ORDER BY pos) AS names FROM t GROUP BY 1
+""")
 def to_python_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dicts = list(Stream.create(table(spark, sf_dir, "nation"), "n_nationkey", 4).to_python())
-    return spark.createDataFrame([(len(dicts), sum(len(d["n_nationkey"]) for d in dicts))], "batches long, examples long")
+    """What a host loop sees: a dict for each batch, with arrays of the columns."""
+    dicts = Stream.create(table(spark, sf_dir, "nation"), "n_nationkey", 4).buffer(2).to_python()
+    seen = [(b, len(d["n_nationkey"]), int(d["n_regionkey"].sum()), "|".join(d["n_name"])) for b, d in enumerate(dicts)]
+    return spark.createDataFrame(seen, "b long, n long, regions long, names string")
 
 
 @query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_orderkey FROM {NUMBERED}")
@@ -377,7 +391,7 @@ def buffer_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(orders(spark, sf_dir, 8).buffer(2))
 
 
-@query()
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")
 def model_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return infer_batches(rows, lambda: lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)), "embedding", "norm").select("vec_id", F.round("norm", 4).alias("norm"))
@@ -399,6 +413,325 @@ def zip_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, 2 * p_size AS size, p_name FROM part WHERE p_size > 25")
 def declared_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Stream.create(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey", 32)
+    """A stream whose columns are declared: the source is read with their types."""
+    part = table(spark, sf_dir, "part")
+    columns = [ColumnDef(n, part.schema[n].dataType) for n in ("p_partkey", "p_size", "p_name")]
+    s = Stream.create(part.select(*(F.col(f.name).cast(f.dataType) for f in row_type(columns).fields)), "p_partkey", 32)
     s = s.filter(s.columns, "p_size", lambda n: n > 25).transform("p_size", "size", lambda n: n * 2).rebatch(10)
     return s.df.select("p_partkey", "size", "p_name")
+
+
+@query(f"SELECT o_orderkey, sqrt(o_totalprice::DOUBLE) AS root, o_orderstatus || '!' AS status FROM {NUMBERED}")
+def transform_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir, 8, "o_totalprice", "o_orderstatus")
+    two = PyFun(lambda p, t: (np.sqrt(p.astype("float64")), t + "!"), ["double", "string"])
+    return s.transform(["o_totalprice", "o_orderstatus"], ["root", "status"], two).df.select("o_orderkey", "root", "status")
+
+
+@query("SELECT vec_id, t.i::INTEGER AS i, greatest(embedding[t.i + 1], 0) AS v FROM embeddings, LATERAL unnest(range(len(embedding))) t(i)")
+def transform_python_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", 16)
+    return s.transform("embedding", "embedding", PyFun(lambda x: x.clip(lower=0), "float"), dim=2).df.select("vec_id", F.posexplode("embedding").alias("i", "v"))
+
+
+def running_total():
+    total = 0
+
+    def add(x: pd.Series) -> pd.Series:
+        nonlocal total
+        sums = total + x.cumsum()
+        total = int(sums.iloc[-1]) if len(sums) else total
+        return sums
+
+    return add
+
+
+@query("SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderkey)::BIGINT AS total FROM orders")
+def transform_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum that runs on over all batches in order."""
+    return orders(spark, sf_dir, 8, "o_custkey").transform("o_custkey", "total", PyFun(running_total, "long", stateful=True)).df.select("o_orderkey", "total")
+
+
+@query("SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS total FROM orders")
+def transform_stateful_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum for each customer, spread over tasks."""
+    s = orders(spark, sf_dir, 8, "o_custkey").transform("o_orderkey", "total", PyFun(running_total, "long", stateful=True, by="o_custkey"))
+    return s.df.select("o_orderkey", "total")
+
+
+def every_third():
+    n = 0
+
+    def keep(x: pd.Series) -> pd.Series:
+        nonlocal n
+        out = pd.Series(np.arange(n, n + len(x)) % 3 == 2)
+        n += len(x)
+        return out
+
+    return keep
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_orderkey FROM {NUMBERED} WHERE pos % 3 = 2")
+def filter_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(orders(spark, sf_dir, 8).filter("o_orderkey", "o_orderkey", PyFun(every_third, "boolean", stateful=True)))
+
+
+def squares():
+    n = 0
+
+    def give(m: int) -> np.ndarray:
+        nonlocal n
+        n += m
+        return np.arange(n - m, n, dtype=np.int64) ** 2
+
+    return give
+
+
+@query(f"SELECT o_orderkey, (pos * pos)::BIGINT AS g FROM {NUMBERED}")
+def generate_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir, 8).generate("o_orderkey", "g", PyFun(squares, "long", stateful=True)).df.select("o_orderkey", "g")
+
+
+@query("""
+SELECT c_custkey, array_to_string(list_transform(list_zip(string_split(c_name, ''), string_split(upper(c_name), '')), lambda z: z[1] || z[2]), '') AS c_name FROM customer
+""")
+def transform_two_strings_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.upper("c_name").alias("other")), "c_custkey", 16)
+    return s.transform(["c_name", "other"], "c_name", lambda a, b: F.concat(a, b), dim=2).df.select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, replace(c_name, '0', '') AS c_name FROM customer")
+def filter_chars_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Stream.create(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 16)
+    return s.filter("c_name", "c_name", lambda c: c != "0", dim=2).df.select("c_custkey", "c_name")
+
+
+@query(f"SELECT o_orderkey FROM {NUMBERED}")
+def for_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch is passed to a Python function, which fails on a wrong one; the values go on unchanged."""
+
+    def look(pdf: pd.DataFrame) -> None:
+        if not (pdf["o_orderkey"].map(len) <= 8).all():
+            raise ValueError("a batch is too large")
+
+    s = orders(spark, sf_dir, 8).for_each("o_orderkey", look, dim=0)
+    return s.df.select(F.explode("o_orderkey").alias("o_orderkey"))
+
+
+def nation(spark: SparkSession, sf_dir: str) -> TextTable:
+    return TextTable.from_df(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+
+
+def plain(t: TextTable) -> DataFrame:
+    return t.data().withColumnRenamed(POS, "pos")
+
+
+TEXTS = "(SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS pos, n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation)"
+
+
+@query(f"SELECT *, length(n_name)::VARCHAR AS size FROM {TEXTS}")
+def frame_insert_col(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = nation(spark, sf_dir)
+    return plain(t.insert_col(t.cols(["n_name"]).select(POS, F.char_length("n_name").alias("value")), "size"))
+
+
+@query(f"SELECT * FROM {TEXTS} UNION ALL SELECT count(*), '99', 'ATLANTIS', 'true' FROM nation UNION ALL SELECT count(*) + 1, 'x', '', 'y' FROM nation")
+def frame_insert_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(nation(spark, sf_dir).insert_row([99, "ATLANTIS", True]).insert_row(["x", "", "y"]))
+
+
+@query("SELECT n_name, n_regionkey * 2 AS twice FROM nation")
+def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed rows on the host, one column by a conversion of its own."""
+    rows = nation(spark, sf_dir).rows(["n_name", "n_regionkey"], ["string", "int"], [None, lambda c: c.cast("int") * 2])
+    return spark.createDataFrame(rows, "n_name string, twice int")
+
+
+@query("SELECT n_regionkey::VARCHAR AS a, n_name AS b, n_regionkey AS c FROM nation")
+def frame_raw_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = nation(spark, sf_dir)
+    a, b = t.raw_cols(["n_regionkey", "n_name"])
+    return spark.createDataFrame(list(zip(a, b, t.col("n_regionkey", "int"), strict=True)), "a string, b string, c int")
+
+
+@query(f"SELECT pos, n_nationkey AS key, n_regionkey AS region FROM {TEXTS}")
+def frame_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns renamed, one dropped by its name."""
+    return plain(nation(spark, sf_dir).with_header(["key", "name", "region"]).drop_col("name"))
+
+
+@query(f"SELECT pos, n_nationkey, CASE WHEN pos = 3 THEN 'elsewhere' ELSE n_name END AS n_name, n_regionkey FROM {TEXTS}")
+def frame_set_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(nation(spark, sf_dir).set_value(3, "n_name", "elsewhere"))
+
+
+@query("SELECT n_name AS key, n_nationkey AS n_nationkey, n_regionkey AS n_regionkey FROM nation")
+def frame_index_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nation(spark, sf_dir).index_cols("n_name", ["n_nationkey", "n_regionkey"], kinds=["int", "int"])
+
+
+@query("SELECT 3::BIGINT AS cols, count(*)::BIGINT AS n FROM nation")
+def frame_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = nation(spark, sf_dir)
+    return spark.createDataFrame([(t.n_cols(), t.n_rows())], "cols long, n long")
+
+
+@query("SELECT string_agg(lpad(k, m + 2, ' ') || '|' || lpad(n, w + 2, ' '), chr(10) ORDER BY p) || chr(10) AS text FROM (SELECT n_nationkey::VARCHAR AS k, n_name AS n, n_nationkey AS p, max(length(n_nationkey::VARCHAR)) OVER ()::INTEGER AS m, max(length(n_name)) OVER ()::INTEGER AS w FROM nation)")
+def frame_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = TextTable.from_df(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").with_header([])
+    return spark.createDataFrame([(str(t),)], "text string")
+
+
+@query("SELECT c_custkey, (CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 2 WHEN 'AUTOMOBILE' THEN 1 ELSE -1 END)::BIGINT AS i FROM customer")
+def mapper_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, new = IndexMapper.of(spark, ["BUILDING"]).insert("AUTOMOBILE").try_insert("BUILDING", "MACHINERY")
+    if new != [False, True] or m.size() != 3 or not m.contains("MACHINERY") or m.values() != ["BUILDING", "AUTOMOBILE", "MACHINERY"] or m.at(1) != "AUTOMOBILE" or m.index_for("x", 7) != 7:
+        raise AssertionError("the mapper differs")
+    return m.encode(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "i", -1).select("c_custkey", "i")
+
+
+@query("""
+WITH m AS (SELECT value, row_number() OVER (ORDER BY first) - 1 AS idx FROM (SELECT role AS value, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY 1))
+SELECT c.conv_id, (row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1)::INTEGER AS i, idx::BIGINT AS v FROM conversations c JOIN m ON m.value = c.role
+""")
+def encode_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").withColumn("place", F.col("conv_id") * 1000 + F.col("turn"))
+    m = IndexMapper.unique(talks, "role", "place")
+    lists = talks.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda r: r["role"]).alias("roles"))
+    return m.encode_array(lists, "conv_id", "roles", "v").select("conv_id", F.posexplode("v").alias("i", "v"))
+
+
+HALVES = f"(SELECT conv_id, [s[1:2], s[3:]] AS h FROM {TURNS})"
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).select("conv_id", F.array(F.slice("s", 1, 2), F.slice("s", 3, 1 << 20)).alias("h"))
+
+
+@query(f"SELECT conv_id, len(h)::INTEGER AS n, len(h[1])::INTEGER AS a, len(h[2])::INTEGER AS b FROM {HALVES}")
+def ndim_size_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = ndim.sizes("h", 2)
+    return halves(spark, sf_dir).select("conv_id", n[0][0].alias("n"), n[1][0].alias("a"), n[1][1].alias("b"))
+
+
+@query(f"""
+SELECT conv_id, u.i::INTEGER AS i, v.j::INTEGER AS j, CASE WHEN u.i < 2 AND v.j < len(h[u.i + 1]) THEN h[u.i + 1][v.j + 1] ELSE -1 END::BIGINT AS v
+FROM {HALVES}, LATERAL unnest(range(3)) u(i), LATERAL unnest(range(CASE u.i WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)) v(j)
+""")
+def ndim_resize_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = F.array(F.array(F.lit(3)), F.array(F.lit(3), F.lit(1), F.lit(2)))
+    rows = halves(spark, sf_dir).select("conv_id", F.posexplode(ndim.resize("h", sizes, 2, F.lit(-1).cast("long"))).alias("i", "r"))
+    return rows.select("conv_id", "i", F.posexplode("r").alias("j", "v"))
+
+
+@query(f"""
+SELECT conv_id, u.i::INTEGER AS i, v.j::INTEGER AS j, CASE WHEN v.j < len(h[u.i + 1]) THEN h[u.i + 1][v.j + 1] ELSE 0 END::BIGINT AS v
+FROM {HALVES}, LATERAL unnest(range(2)) u(i), LATERAL unnest(range(greatest(len(h[1]), len(h[2])))) v(j)
+""")
+def ndim_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = halves(spark, sf_dir).select("conv_id", F.posexplode(ndim.pad("h", 2, F.lit(0).cast("long"))).alias("i", "r"))
+    return rows.select("conv_id", "i", F.posexplode("r").alias("j", "v"))
+
+
+MANY = RANKED.format(seed="{seed}", rows="(SELECT o_orderkey FROM base WHERE g < 2)")
+
+
+@query(f"""
+WITH base AS (SELECT o_orderkey, CASE WHEN r < floor(0.25 * n + 0.5) THEN 0 WHEN r < 2 * floor(0.25 * n + 0.5) THEN 1 ELSE 2 END AS g FROM {RANKED.format(seed=3, rows='orders')}),
+a AS (SELECT o_orderkey, CASE WHEN r < floor(0.5 * n + 0.5) THEN 0 ELSE 1 END AS x FROM {MANY.format(seed='3:0')}),
+b AS (SELECT o_orderkey, CASE WHEN r < floor(0.5 * n + 0.5) THEN 0 ELSE 1 END AS y FROM {MANY.format(seed='3:1')}),
+c AS (SELECT o_orderkey, CASE WHEN r < floor(0.5 * n + 0.5) THEN 0 ELSE 1 END AS z FROM {MANY.format(seed='3:2')})
+SELECT o_orderkey, coalesce(x, g)::INTEGER AS group_0, coalesce(y, g)::INTEGER AS group_1, coalesce(z, g)::INTEGER AS group_2 FROM base LEFT JOIN a USING (o_orderkey) LEFT JOIN b USING (o_orderkey) LEFT JOIN c USING (o_orderkey)
+""")
+def groups_three_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate_many(table(spark, sf_dir, "orders").select("o_orderkey"), 3, [0.25, 0.25], [0.5], "o_orderkey", 3)
+
+
+@query("SELECT (row_number() OVER (ORDER BY page_id) - 1)::BIGINT AS pos, page_id::VARCHAR AS page_id, url, 'a \"b\", \\ ' || chr(10) || page_id AS odd FROM pages")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV with quotes, escapes and line ends in fields, and read back."""
+    odd = F.concat(F.lit('a "b", \\ \n'), F.col("page_id").cast("string"))
+    t = TextTable.from_df(table(spark, sf_dir, "pages").select("page_id", "url", odd.alias("odd")), "page_id")
+    path = shared_path(spark, "csv")
+    write_csv(t, path)
+    return plain(read_csv(spark, path))
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def csv_fast_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many files, read by Spark's own reader."""
+    t = TextTable.from_df(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    path = shared_path(spark, "csv")
+    write_csv(t, path, single=False)
+    return read_csv_fast(spark, path)
+
+
+@query("SELECT 0::BIGINT AS pos, 'x' AS a, 'y, z' AS b UNION ALL SELECT 1, '', 'q\"' UNION ALL SELECT 2, '3', 'n'")
+def csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text on the host: a dropped line, blanks, escapes, an empty field, blank lines."""
+    text = 'nothing\n a , b \n x ,"y, z" junk\n\n\n , "q\\""\r\n3,"\\n"\n'
+    return plain(read_csv_text(spark, text, drop=1))
+
+
+@query("SELECT event_id, user_id * 2 AS user_id FROM events WHERE user_id % 3 = 0")
+def streaming_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateless operators on a streaming read of the events, drained into a table."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    plan = stateless(source, lambda s: s.keep("event_id", "user_id").filter(["event_id", "user_id"], "user_id", lambda u: u % 3 == 0).transform("user_id", "user_id", lambda u: u * 2))
+    out = shared_path(spark, "events")
+    plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT (pos // 100)::BIGINT AS b, count(*)::BIGINT AS n, min(event_id)::BIGINT AS lo, sum(pos)::BIGINT AS places FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS all FROM events) WHERE pos < \"all\" // 100 * 100 GROUP BY 1".replace("AS all", 'AS "all"'))
+def streaming_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole batches of 100 from a stream of the events, written as they come."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id")
+    out = shared_path(spark, "batches")
+    micro_batches(source, "event_id", 100, lambda s, epoch: shown(s).write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}"), f"{out}/rest", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.groupBy("b").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.sum("pos").alias("places"))
+
+
+@query("SELECT vec_id, t.i::INTEGER AS i, embedding[2 * t.i + 1]::DOUBLE + embedding[2 * t.i + 2]::DOUBLE AS v FROM embeddings, LATERAL unnest(range(len(embedding) // 2)) t(i)")
+def tensor_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model on tensors of flat data and a shape: pairs of neighbours are added up."""
+    shape = F.array(F.lit(-1).cast("long"), F.lit(2).cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.transform("embedding", lambda x: x.cast("double")).alias("data"), shape.alias("shape")).alias("x"))
+    out = infer(rows, lambda: lambda x: x[:, 0] + x[:, 1], ["x"], ["y"])
+    return out.select("vec_id", F.posexplode("y.data").alias("i", "v"))
+
+
+@query("SELECT o_orderkey, pos % 8 = 0 AS first, (pos // 8)::BIGINT AS b FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)")
+def host_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches as host objects: taken apart, joined and given back as rows."""
+    from millrace.sources.sinks import Batch
+
+    rows = []
+    for b, d in enumerate(orders(spark, sf_dir, 8).to_python()):
+        batch = Batch({"o_orderkey": d["o_orderkey"].tolist()})
+        batch.insert_or_assign("first", [i == 0 for i in range(batch.batch_size())])
+        head = batch.take(1)
+        head.push_back(batch)
+        rows += [(*r, b) for r in zip(head.at("o_orderkey"), head.at("first"), strict=True)]
+    return spark.createDataFrame(rows, "o_orderkey long, first boolean, b long")
+
+
+@query("SELECT vec_id, 8 AS h, 8 AS w, round(sum(embedding[u.i * 9 + 1]::DOUBLE), 4) AS trace FROM embeddings, LATERAL unnest(range(8)) u(i) GROUP BY 1")
+def image_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays as image values, read back from the column."""
+    from millrace.sources.sinks import decode_image, encode_image
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+    def pack(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "image": [encode_image(np.asarray(e, np.float32).reshape(8, 8)) for e in pdf["embedding"]]})
+
+    def read(frames):
+        for pdf in frames:
+            images = [decode_image(v) for v in pdf["image"]]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "h": [x.shape[0] for x in images], "w": [x.shape[1] for x in images], "trace": [round(float(np.trace(x.astype(np.float64))), 4) for x in images]})
+
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return rows.mapInPandas(pack, f"vec_id {kind}, image {IMAGE}").mapInPandas(read, f"vec_id {kind}, h int, w int, trace double")

@@ -21,17 +21,20 @@ def stateless(source: DataFrame, plan: Callable[[Stream], Stream]) -> DataFrame:
     return out.df.select(*out.columns)
 
 
-def micro_batches(source: DataFrame, order_by: str, batch_size: int, sink: Callable[[Stream, int], None], rest_table: str, checkpoint: str):
+def micro_batches(source: DataFrame, order_by: str, batch_size: int, sink: Callable[[Stream, int], None], rest_table: str, checkpoint: str, trigger: dict | None = None):
     """Starts a query that hands ``sink`` streams of whole batches of ``batch_size`` examples, numbered on and on.
 
     What a micro-batch leaves over is kept in the table ``rest_table`` and goes before the next one; ``flush`` gives out the last of it. The table is
-    written for each epoch anew, so an epoch that is run again after a failure starts from the same rest.
+    written for each epoch anew, so an epoch that is run again after a failure starts from the same rest; those of epochs that can't be run again are removed.
+    ``trigger``: when micro-batches begin, as Structured Streaming takes it, such as ``{"processingTime": "10 seconds"}`` for an endless query; without it the
+    query takes what is there and stops.
     """
 
     def handle(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         columns = df.columns
         rest, done = _rest(spark, rest_table, epoch - 1, df)
+        df = df.persist()
         rows = numbered(rest.withColumn("_new", F.lit(0)).unionByName(df.withColumn("_new", F.lit(1))), ["_new", order_by]).drop("_new")
         whole = rows.count() // batch_size * batch_size
         left = rows.where(F.col(POS) >= whole).select(*columns)
@@ -40,8 +43,16 @@ def micro_batches(source: DataFrame, order_by: str, batch_size: int, sink: Calla
         if whole:
             ready = rows.where(F.col(POS) < whole)
             sink(Stream(ready.select((F.floor(F.col(POS) / batch_size) + done).cast("long").alias(BATCH), (F.col(POS) + done * batch_size).alias(POS), *columns)), epoch)
+        df.unpersist()
+        for table in (rest_table, f"{rest_table}-done"):
+            _remove(spark, f"{table}/epoch={epoch - 2}")
 
-    return source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _rest(spark: SparkSession, table: str, epoch: int, like: DataFrame) -> tuple[DataFrame, int]:
