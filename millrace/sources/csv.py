@@ -1,4 +1,4 @@
-"""CSV text in a strict dialect: a parser with a state for each file, a writer of column expressions, and Spark's own reader as the fast way.
+"""CSV text in a strict dialect: a parser that reads files in pieces, a writer of column expressions, and Spark's own reader as the fast way.
 
 The dialect: blanks before a field are skipped; a field whose first character is the quote ends at the next quote that isn't escaped, and what
 follows up to the separator is dropped; the escape makes any next character literal; other fields lose white space around them; blank
@@ -7,9 +7,13 @@ lines are skipped; every row must have as many fields as the first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,50 +28,81 @@ class CsvError(ValueError):
     pass
 
 
-def parse_rows(text: str, separator: str = ",", quote: str = '"', escape: str = "\\") -> Iterator[list[str]]:
-    """The rows of a text one after another."""
-    at, n = 0, len(text)
+@dataclass(frozen=True)
+class Dialect:
+    """Separator, quote and escape, one character each, and what is found with them."""
+
+    separator: str = ","
+    quote: str = '"'
+    escape: str = "\\"
+
+    @cached_property
+    def field(self) -> re.Pattern:
+        """A field and what ends it: group 1 is a quoted field's content, group 2 another field, group 3 the separator, or nothing at a row's end."""
+        s, q, e = map(re.escape, (self.separator, self.quote, self.escape))
+        return re.compile(rf"[ \t]*+(?:{q}((?:[^{q}{e}]|{e}.)*+){q}[^{s}\n]*+|(?!{q})([^{s}\n]*+))({s}?)", re.DOTALL)
+
+    @cached_property
+    def rest(self) -> re.Pattern:
+        """What is left of a quoted field, with the quote."""
+        q, e = map(re.escape, (self.quote, self.escape))
+        return re.compile(rf"(?:[^{q}{e}]|{e}.)*+{q}", re.DOTALL)
 
-    def skip(i: int, chars: str) -> int:
-        while i < n and text[i] in chars:
-            i += 1
-        return i
+    @cached_property
+    def escaped(self) -> re.Pattern:
+        return re.compile(rf"{re.escape(self.escape)}(.)", re.DOTALL)
 
-    at = skip(at, SPACE)
-    while at < n:
-        row = []
+    def fields(self, text: str, at: int = 0) -> tuple[list[str], int]:
+        """The fields of the row that begins at ``at``, and where it ends."""
+        out, match = [], self.field.match
         while True:
-            at = skip(at, BLANK)
-            if at < n and text[at] == quote:
-                out, at = [], at + 1
-                while True:
-                    if at >= n:
-                        raise CsvError("a quoted field doesn't end")
-                    c = text[at]
-                    if c == escape and at + 1 < n:
-                        out.append(text[at + 1])
-                        at += 2
-                    elif c == quote:
-                        at += 1
-                        break
-                    else:
-                        out.append(c)
-                        at += 1
-                row.append("".join(out))
-                while at < n and text[at] != separator and text[at] != "\n":
-                    at += 1
+            m = match(text, at)
+            if m is None:
+                raise CsvError("a quoted field doesn't end")
+            inner = m[1]
+            if inner is None:
+                out.append(m[2].strip(SPACE))
             else:
-                end = at
-                while end < n and text[end] != separator and text[end] != "\n":
-                    end += 1
-                row.append(text[at:end].strip(SPACE))
-                at = end
-            if at < n and text[at] == separator:
+                out.append(self.escaped.sub(r"\1", inner) if self.escape in inner else inner)
+            at = m.end()
+            if not m[3]:
+                return out, at
+
+    def inside(self, line: str, inside: bool) -> bool:
+        """Whether the end of a line, which has no line end in it, is in a quoted field, if its begin is (``inside``), or else is a row's begin."""
+        if self.quote not in line:
+            return inside
+        at, n = 0, len(line)
+        if not inside:
+            while at < n and line[at] in SPACE:
                 at += 1
-                continue
-            break
+        while True:
+            if inside:
+                m = self.rest.match(line, at)
+                if m is None:
+                    return True
+                at, inside = m.end(), False
+            else:
+                while at < n and line[at] in BLANK:
+                    at += 1
+                if at < n and line[at] == self.quote:
+                    at, inside = at + 1, True
+                    continue
+            at = line.find(self.separator, at) + 1
+            if not at:
+                return False
+
+
+def parse_rows(text: str, separator: str = ",", quote: str = '"', escape: str = "\\") -> Iterator[list[str]]:
+    """The rows of a text one after another."""
+    dialect, at, n = Dialect(separator, quote, escape), 0, len(text)
+    while True:
+        while at < n and text[at] in SPACE:
+            at += 1
+        if at == n:
+            return
+        row, at = dialect.fields(text, at)
         yield row
-        at = skip(at, SPACE)
 
 
 def parse_table(text: str, drop: int = 0, has_header: bool = True, separator: str = ",", quote: str = '"', escape: str = "\\") -> tuple[list[str] | None, list[list[str]]]:
@@ -94,50 +129,155 @@ def read_csv_text(spark: SparkSession, text: str, drop: int = 0, has_header: boo
 
 
 def read_csv(spark: SparkSession, path: str, drop: int = 0, has_header: bool = True, separator: str = ",", quote: str = '"', escape: str = "\\") -> TextTable:
-    """A table of a file or of all files of a folder, in the order of their names. Files are parsed by the executors, each as a whole: a quoted field may hold line ends."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    header, width = None, 0
-    first = _first_row(files, drop, separator, quote, escape)
-    if has_header:
-        if first is None:
-            raise CsvError("there is no header")
-        header = first
-    width = len(first) if first is not None else 0
-    expected = header
-
-    def parse(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            for file, text in zip(pdf["file"], pdf["value"], strict=True):
-                got, rows = parse_table(text, drop, has_header, separator, quote, escape)
-                if got != expected or (rows and len(rows[0]) != width):
+    """A table of a file or of all files of a folder, in the order of their names.
+
+    Files are read in pieces, as Spark splits them at line ends. A first pass tells for each piece whether its end is in a quoted field, for either state of its begin; from these
+    the driver knows the state at each begin, and a second pass parses every piece by itself, row by row. Rows that reach over pieces come out in parts, which are joined.
+    The rows that are dropped and the header must lie in a file's first piece.
+    """
+    dialect = Dialect(separator, quote, escape)
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    begins, ranks = _begins(lines, dialect)
+    known = spark.sparkContext.broadcast((begins, ranks))
+    head = _first_row(lines, min(ranks), drop, dialect) if ranks else None
+    if has_header and head is None:
+        raise CsvError("there is no header")
+    width, expected = len(head) if head is not None else 0, head if has_header else None
+    skipped = drop + has_header
+    columns = [f"c{i}" for i in range(width)]
+
+    def whole(names: list[int], blocks: list[int], numbers: list[int], rows: list[list[str]], parts: list[str | None]) -> pa.RecordBatch:
+        cells = [pa.array([r[i] if r is not None else None for r in rows], pa.string()) for i in range(width)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts, pa.string()), *cells], ["file", "block", "line", "part", *columns])
+
+    def fields(text: str) -> list[str]:
+        row, at = dialect.fields(text)
+        if text[at:].strip(SPACE):
+            raise CsvError("a row doesn't end with its line")
+        return row
+
+    def checked(row: list[str]) -> list[str]:
+        if len(row) != width:
+            raise CsvError(f"a row has {len(row)} fields instead of {width}")
+        return row
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins, ranks = known.value
+        for file, block, texts in _pieces(batches):
+            rank, owner, number = ranks[file], begins.get((file, block)), 0
+            out: list[tuple[int, int, int, list[str] | None, str | None]] = []
+            inside = owner is not None
+            held = [] if inside else None  # the lines of a row that isn't at its end
+            for line in texts:
+                if held is None and not line.strip(SPACE):
+                    continue
+                inside = dialect.inside(line, inside)
+                if held is not None:
+                    held.append(line)
+                    if inside:
+                        continue
+                    line, held = "\n".join(held), None
+                    if owner is not None:  # the end of a row of an earlier piece
+                        out.append((rank, owner, block, None, line))
+                        owner = None
+                        continue
+                elif inside:
+                    held = [line]
+                    continue
+                row = fields(line.lstrip(SPACE))
+                number += 1
+                if block or number > skipped:
+                    out.append((rank, block, number, checked(row), None))
+                elif number == skipped and has_header and row != expected:
                     raise CsvError(f"the files differ in their columns: {file}")
-                for a in range(0, len(rows), 50_000):
-                    part = rows[a : a + 50_000]
-                    yield pd.DataFrame({"file": [file] * len(part), "line": range(a, a + len(part)), **{f"c{i}": [r[i] for r in part] for i in range(width)}})
-
-    schema = ", ".join(["file string", "line long", *(f"c{i} string" for i in range(width))])
-    rows = numbered(files.mapInPandas(parse, schema), ["file", "line"])
-    return TextTable(rows.select(POS, *(f"c{i}" for i in range(width))), header)
-
-
-def _first_row(files: DataFrame, drop: int, separator: str, quote: str, escape: str) -> list[str] | None:
-    """The first row after ``drop`` rows of the first file. The driver reads a megabyte of it, and the whole only if that isn't enough."""
-    first = files.orderBy("file").limit(1)
-    for text in (F.substring("value", 1, 1 << 20), F.col("value")):
-        got = first.select(text.alias("t"), (F.char_length("value") > F.char_length(text)).alias("cut")).collect()
-        if not got:
-            return None
+                if len(out) == 20_000:
+                    yield whole(*zip(*out, strict=True))
+                    out = []
+            if held is not None:  # it goes on in the next piece, or began in an earlier one and still isn't at its end
+                if not block and number < skipped:
+                    raise CsvError(f"what is dropped of a file and its header don't lie in its first piece: {file}")
+                out.append((rank, block if owner is None else owner, block if owner is not None else -1 - number, None, "\n".join(held)))
+            elif not block and number < skipped and has_header:
+                raise CsvError(f"what is dropped of a file and its header don't lie in its first piece: {file}")
+            if out:
+                yield whole(*zip(*out, strict=True))
+
+    schema = ", ".join(["file int", "block long", "line long", "part string", *(f"{c} string" for c in columns)])
+    parsed = lines.mapInArrow(parse, schema)
+    rows = parsed.where("part is null").select("file", "block", "line", *columns)
+    if begins:
+
+        def join(key, frame):
+            import pandas as pd
+
+            frame = frame.sort_values("line")
+            first = frame["line"].iloc[0]
+            if first >= 0:
+                raise CsvError("a row's begin is missing")
+            row = checked(fields("\n".join(frame["part"]).lstrip(SPACE)))
+            return pd.DataFrame([[*key, -first, *row]], columns=["file", "block", "line", *columns])
+
+        parts = parsed.where("part is not null").select("file", "block", "line", "part")
+        rows = rows.unionAll(parts.groupBy("file", "block").applyInPandas(join, rows.schema))
+    return TextTable(numbered(rows, ["file", "block", "line"]).select(POS, *columns), head if has_header else None)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[str]]]:
+    """(file, block, its lines) of each piece in rows (file, block, value), of which those of a piece follow one another. Lines must be read before the next piece is asked for."""
+
+    def rows() -> Iterator[tuple[tuple[str, int], str]]:
+        for b in batches:
+            yield from zip(zip(b.column("file").to_pylist(), b.column("block").to_pylist(), strict=True), b.column("value").to_pylist(), strict=True)
+
+    for (file, block), group in groupby(rows(), key=lambda r: r[0]):
+        yield file, block, (line for _, line in group)
+
+
+def _begins(lines: DataFrame, dialect: Dialect) -> tuple[dict[tuple[str, int], int], dict[str, int]]:
+    """For each piece (file, block) that begins in a quoted field, the block in which its row began; and each file's number in the order of names. The driver gets a row for each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, block, texts in _pieces(batches):
+            out, within, ended = False, True, False
+            for line in texts:
+                if dialect.quote in line:
+                    out, within = dialect.inside(line, out), dialect.inside(line, within)
+                ended |= not within
+            schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("out", pa.bool_()), ("within", pa.bool_()), ("ended", pa.bool_())])
+            yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "out": [out], "within": [within], "ended": [ended]}, schema)
+
+    begins: dict[tuple[str, int], int] = {}
+    ranks: dict[str, int] = {}
+    inside, owner = False, 0
+    for r in sorted(lines.mapInArrow(run, "file string, block long, out boolean, within boolean, ended boolean").collect(), key=lambda r: (r["file"], r["block"])):
+        if r["file"] not in ranks:
+            if inside:
+                raise CsvError("a quoted field doesn't end")
+            ranks[r["file"]] = len(ranks)
+        if inside:
+            begins[r["file"], r["block"]] = owner
+        if not inside or r["ended"]:  # a row that is open at the end began here
+            owner = r["block"]
+        inside = r["within"] if inside else r["out"]
+    if inside:
+        raise CsvError("a quoted field doesn't end")
+    return begins, ranks
+
+
+def _first_row(lines: DataFrame, file: str, drop: int, dialect: Dialect) -> list[str] | None:
+    """The first row after ``drop`` rows of a file. The driver reads as many lines of its first piece as that takes."""
+    begin, n = lines.where((F.col("file") == file) & (F.col("block") == 0)).select("value"), 100 + drop
+    while True:
+        got = [r["value"] for r in begin.limit(n).collect()]
+        rows: list[list[str]] = []
         try:
-            rows = list(islice(parse_rows(got[0]["t"], separator, quote, escape), drop + 2))
-        except CsvError:
-            if not got[0]["cut"]:
-                raise
-            continue
-        if len(rows) == drop + 2 or not got[0]["cut"]:
+            for row in islice(parse_rows("\n".join(got), dialect.separator, dialect.quote, dialect.escape), drop + 1):
+                rows.append(row)
+        except CsvError:  # the lines end within a row
+            pass
+        if len(got) < n or len(rows) > drop:
             return rows[drop] if len(rows) > drop else None
-    return None
+        n *= 100
 
 
 def read_csv_fast(spark: SparkSession, path: str, has_header: bool = True, separator: str = ",", quote: str = '"', escape: str = "\\") -> DataFrame:
