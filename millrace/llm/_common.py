@@ -161,9 +161,19 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-#: Entries in a slice of a count table; tasks whose slices are summed together before the last sum.
+#: Entries in a slice of a count table; groups of tasks whose slices are summed together before the last sum.
 SLICE = 1024
-FAN = 32
+FAN = 8
+
+
+#: Bytes of input, by the plan's estimate, for which a task is worth a table of its own.
+TABLE_BYTES = 64 << 20
+
+
+def in_few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in no more tasks than its size or the cluster's cores ask for: each of them sends a table, whatever it reads. Partitions are put together where they are, without a shuffle."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TABLE_BYTES))))
 
 
 def table_rows(counts: np.ndarray, dtype: str) -> pa.RecordBatch:
@@ -176,7 +186,7 @@ def table_rows(counts: np.ndarray, dtype: str) -> pa.RecordBatch:
 def table_sum(rows: DataFrame, dtype: str, total: str = "<i8", either: bool = False, unit: float = 0) -> DataFrame:
     """The sum (or the bitwise or) of tables in rows (slice, counts), as one row for each slice; with ``unit``, in whole numbers of it.
 
-    It goes in two levels, so that no task reads a slice from every task before: groups of every ``FAN``-th task first, then the groups.
+    It goes in two levels, so that no task reads a slice from every task before: ``FAN`` groups of tasks first, then the groups.
     """
 
     def add(kind: str):

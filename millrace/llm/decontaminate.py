@@ -7,7 +7,7 @@
    checked against the item's: longest common subsequence in a stretch of about the item's length, and how much of the item's answer is in it.
    Cosines are taken where the check can succeed at all, which an index of the items' rare words tells: the rows are the same as if every
    passage were compared with every item, but the work grows with the rare words' occurrences, not with passages times items.
-4. A stretch that is the item word for word (its cosine is 1) is found by a hash of eight of its words as well, whatever the passages around it.
+4. A stretch that is the item word for word (its cosine is 1) is found by the item's rarest word as well, whatever the passages around it.
 
 A benchmark item's answer is its last sentence (of two or more); an item of one sentence has none, and its whole text counts as it.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import PUNCTUATION, SLICE, arrow_map, chunks, id_type, lowered, mixed, pick, release, table_rows, table_sum, unused, word_hashes, written
+from millrace.llm._common import PUNCTUATION, SLICE, arrow_map, chunks, id_type, in_few_tasks, lowered, mixed, pick, release, table_rows, table_sum, unused, word_hashes, written
 
 #: Bits of hashed terms, dimensions kept and drawn, words of an SVD passage; terms in a slice of the product, and the unit of its whole-number sums.
 TERM_BITS = 15
@@ -32,7 +32,7 @@ KEPT = 96
 DRAWN = 104
 PASSAGE = 48
 SEED = 7
-TERMS = 128
+TERMS = 64
 UNIT = 2.0**-20
 #: Items of fewer words are sought word for word only. Items, and bytes of their texts, that are sought in one pass over the documents; more are sought in parts.
 SHORTEST = 8
@@ -43,7 +43,7 @@ MOST_BYTES = 64 << 20
 RARE = 0.65
 #: A passage's share of the item's words, and how many passages begin within an item's length; words that are folded in at once.
 SHARE = 0.75
-STARTS = 16
+STARTS = 8
 FOLDED = 1 << 15
 #: A candidate's least cosine; the common subsequence's least share of the item, alone or along with the share of the answer that must be there.
 COSINE = 0.3
@@ -80,7 +80,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             yield rows.slice(at, 64)
 
     out = np.zeros(((1 << TERM_BITS) // SLICE + 1, SLICE), np.int64)
-    for r in table_sum(docs.select("text").mapInArrow(run, "slice int, counts binary"), "<i8").toLocalIterator():
+    for r in table_sum(in_few_tasks(docs.select("text")).mapInArrow(run, "slice int, counts binary"), "<i8").toLocalIterator():
         out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     flat = out.reshape(-1)
     return np.append(flat[: 1 << TERM_BITS], flat[-1])
@@ -147,7 +147,7 @@ def passage_products(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([y[i * TERMS : (i + 1) * TERMS].tobytes() for i in some], pa.binary())], ["slice", "counts"])
 
     y = np.zeros(((1 << TERM_BITS) // TERMS, TERMS, DRAWN))
-    for r in table_sum(docs.select("text").mapInArrow(run, "slice int, counts binary"), "<f4", unit=UNIT).toLocalIterator():
+    for r in table_sum(in_few_tasks(docs.select("text")).mapInArrow(run, "slice int, counts binary"), "<f4", unit=UNIT).toLocalIterator():
         y[r["slice"]] = np.frombuffer(r["counts"], np.int64).reshape(TERMS, DRAWN) * UNIT
     return y.reshape(-1, DRAWN)
 
@@ -249,9 +249,11 @@ def best_cosine(vectors: np.ndarray, t: np.ndarray, item: np.ndarray, n: int) ->
     per = max(1, FOLDED // step)
     for a in range(0, len(starts), per):
         some = starts[a : a + per]
-        sums = np.cumsum(np.vstack([np.zeros((1, vectors.shape[1])), vectors[t[some[0] : some[-1] + size]]]), axis=0, dtype=np.float64)
-        v = sums[some - some[0] + size] - sums[some - some[0]]
-        best = max(best, float((v @ item / (np.linalg.norm(v, axis=1) + 1e-12)).max()))
+        words = vectors[t[some[0] : some[-1] + size]]
+        sums = np.cumsum(words, axis=0, dtype=np.float64)
+        at = some - some[0]
+        v = sums[at + size - 1] - sums[at] + words[at]
+        best = max(best, float((v @ item / (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-12)).max()))
     return best
 
 
@@ -260,8 +262,8 @@ class Index:
     """Items in the shapes in which workers seek them.
 
     ``hashes``, ``begin``, ``owners``: the rare words in ascending order, where each one's items begin in the list of items (one more), that list.
-    ``need``: the count of them that each item asks of a stretch of ``length`` words. ``short``: by length, hashes of short items. ``anchors``: hashes of the
-    rarest ``SHORTEST`` words that follow one another in each longer item, in ascending order, with the item and the place in it.
+    ``filled``: for the first ``bits`` bits of a hash, whether a rare word has them. ``need``: the count of rare words that each item asks of a stretch of ``length`` words.
+    ``anchor``, ``place``: each item's rarest word, and where it is first. ``short``: by length, hashes of short items.
     """
 
     items: list[Item]
@@ -270,10 +272,13 @@ class Index:
     hashes: np.ndarray
     begin: np.ndarray
     owners: np.ndarray
+    bits: int
+    filled: np.ndarray
     need: np.ndarray
     length: np.ndarray
+    anchor: np.ndarray
+    place: np.ndarray
     short: dict[int, tuple[np.ndarray, list[int]]]
-    anchors: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def rows_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -292,18 +297,19 @@ def index_of(items: list[Item], vectors: np.ndarray | None, idf: np.ndarray | No
     for width in np.unique(n[n < SHORTEST]).tolist():
         some = sorted((int(rows_of(items[i].words, width)[0]), i) for i in np.flatnonzero(n == width).tolist())
         short[width] = np.array([k for k, _ in some], _U), [i for _, i in some]
-    pairs, anchors = [np.zeros((0, 2), _U)], []
+    pairs, anchor, place = [np.zeros((0, 2), _U)], np.zeros(len(items), _U), np.zeros(len(items), np.int64)
     for i in long:
         words = items[i].words
-        weight = idf[terms(words)]
-        rare = words[np.argsort(-weight, kind="stable")[: int(np.ceil(RARE * len(words)))]]
-        pairs.append(np.stack([np.unique(rare), np.full(len(np.unique(rare)), i, _U)], axis=1))
-        place = int(np.convolve(weight, np.ones(SHORTEST), "valid").argmax())
-        anchors.append((int(rows_of(words[place : place + SHORTEST], SHORTEST)[0]), i, place))
+        order = np.argsort(-idf[terms(words)], kind="stable")
+        rare = np.unique(words[order[: int(np.ceil(RARE * len(words)))]])
+        pairs.append(np.stack([rare, np.full(len(rare), i, _U)], axis=1))
+        anchor[i], place[i] = words[order[0]], order[0]
     pair = np.concatenate(pairs)
     pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
     hashes, begin = np.unique(pair[:, 0], return_index=True)
-    anchors.sort()
+    bits = max(12, int(len(hashes)).bit_length() + 6)
+    filled = np.zeros(1 << bits, bool)
+    filled[(hashes >> _U(64 - bits)).astype(np.int64)] = True
     folded = None
     if long:
         folded = np.zeros((len(items), vectors.shape[1]))
@@ -311,75 +317,84 @@ def index_of(items: list[Item], vectors: np.ndarray | None, idf: np.ndarray | No
             folded[i] = vectors[terms(items[i].words)].sum(axis=0)
         folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-12
     return Index(
-        items, folded, vectors, hashes, np.append(begin, len(pair)), pair[:, 1].astype(np.int64), np.maximum(1, ((RARE - 1 + PARAPHRASE) * n).astype(np.int64)), n + n // 4,
-        short, (np.array([k for k, _, _ in anchors], _U), *(np.array([a[j] for a in anchors], np.int64) for j in (1, 2))),
+        items, folded, vectors, hashes, np.append(begin, len(pair)), pair[:, 1].astype(np.int64), bits, filled,
+        np.maximum(1, ((RARE - 1 + PARAPHRASE) * n).astype(np.int64)), n + n // 4, anchor, place, short,
     )
 
 
-def verbatim(x: Index, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+def hits(x: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, place in ``h``) of each place of an item's rare word."""
+    none = np.zeros(0, np.int64)
+    if not len(x.hashes) or not len(h):
+        return none, none, none
+    hit = np.flatnonzero(x.filled[(h >> _U(64 - x.bits)).astype(np.int64)])
+    at = np.searchsorted(x.hashes, h[hit]).clip(max=len(x.hashes) - 1)
+    same = x.hashes[at] == h[hit]
+    hit, at = hit[same], at[same]
+    n_items = (x.begin[1:] - x.begin[:-1])[at]
+    ends = np.cumsum(n_items)
+    who = x.owners[np.repeat(x.begin[at] - (ends - n_items), n_items) + np.arange(int(n_items.sum()))]
+    return np.repeat(np.searchsorted(first, hit, "right") - 1, n_items), who, np.repeat(hit, n_items)
+
+
+def verbatim(x: Index, h: np.ndarray, first: np.ndarray, of: np.ndarray, who: np.ndarray, place: np.ndarray) -> set[tuple[int, int]]:
     """(text, item) of each text and item that is in it word for word."""
     found = set()
-
-    def met(rows: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    for width, (keys, which) in x.short.items():
+        rows = rows_of(h, width)
         lo, hi = np.searchsorted(keys, rows, "left"), np.searchsorted(keys, rows, "right")
         for p in np.flatnonzero(hi > lo).tolist():
-            yield p, int(lo[p]), int(hi[p])
-
-    for width, (keys, which) in x.short.items():
-        for p, a, b in met(rows_of(h, width), keys):
             d = int(np.searchsorted(first, p, "right")) - 1
             if p + width <= first[d + 1]:
-                found.update((d, i) for i in which[a:b])
-    keys, which, places = x.anchors
-    if len(keys):
-        for p, a, b in met(rows_of(h, SHORTEST), keys):
-            d = int(np.searchsorted(first, p, "right")) - 1
-            for k in range(a, b):
-                i, start = int(which[k]), p - int(places[k])
-                words = x.items[i].words
-                if (d, i) not in found and start >= first[d] and start + len(words) <= first[d + 1] and np.array_equal(h[start : start + len(words)], words):
-                    found.add((d, i))
+                found.update((d, i) for i in which[lo[p] : hi[p]])
+    at = np.flatnonzero(h[place] == x.anchor[who])
+    start = place[at] - x.place[who[at]]
+    at = at[(start >= first[of[at]]) & (start + np.array([len(x.items[i].words) for i in who[at].tolist()], np.int64) <= first[of[at] + 1])]
+    for d, i, p in zip(of[at].tolist(), who[at].tolist(), (place[at] - x.place[who[at]]).tolist(), strict=True):
+        words = x.items[i].words
+        if h[p] == words[0] and (d, i) not in found and np.array_equal(h[p : p + len(words)], words):
+            found.add((d, i))
     return found
 
 
-def regions(x: Index, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
-    """By (text, item), bounds in ``h`` of all stretches of the item's ``length`` with as many of its rare words as it needs, joined if they overlap."""
+def regions(x: Index, first: np.ndarray, of: np.ndarray, who: np.ndarray, place: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
+    """By (text, item), bounds of all stretches of the item's ``length`` with as many of its rare words as it needs, joined if they overlap."""
     out: dict[tuple[int, int], list[list[int]]] = {}
-    if not len(x.hashes) or not len(h):
+    if not len(of):
         return out
-    at = np.searchsorted(x.hashes, h).clip(max=len(x.hashes) - 1)
-    hit = np.flatnonzero(x.hashes[at] == h)
-    of, n_items = np.searchsorted(first, hit, "right") - 1, (x.begin[1:] - x.begin[:-1])[at[hit]]
-    ends = np.cumsum(n_items)
-    who = x.owners[np.repeat(x.begin[at[hit]] - (ends - n_items), n_items) + np.arange(int(n_items.sum()))]
-    pair, place = np.repeat(of, n_items) * len(x.items) + who, np.repeat(hit, n_items)
+    pair = of * len(x.items) + who
     order = np.argsort(pair, kind="stable")
     pair, place, who = pair[order], place[order], who[order]
     last = np.arange(len(pair)) + x.need[who] - 1
     ok = last < len(pair)
     last = last.clip(max=len(pair) - 1)
     ok &= (pair[last] == pair) & (place[last] - place < x.length[who])
-    for i in np.flatnonzero(ok).tolist():
-        d, item = divmod(int(pair[i]), len(x.items))
-        lo, hi = max(int(first[d]), int(place[last[i]]) + 1 - int(x.length[item])), min(int(first[d + 1]), int(place[i]) + int(x.length[item]))
-        some = out.setdefault((d, item), [])
-        if some and lo <= some[-1][1]:
-            some[-1][1] = max(hi, some[-1][1])
-        else:
-            some.append([lo, hi])
+    at = np.flatnonzero(ok)
+    if not len(at):
+        return out
+    d, item = pair[at] // len(x.items), who[at]
+    lo = np.maximum(first[d], place[last[at]] + 1 - x.length[item])
+    hi = np.minimum(first[d + 1], place[at] + x.length[item])  # both rise within a pair
+    new = np.ones(len(at), bool)
+    new[1:] = (pair[at][1:] != pair[at][:-1]) | (lo[1:] > hi[:-1])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(at)) - 1
+    for key in zip(d[begin].tolist(), item[begin].tolist(), lo[begin].tolist(), hi[end].tolist(), strict=True):
+        out.setdefault(key[:2], []).append([*key[2:]])
     return out
 
 
 def find(x: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(text, item, cosine, lcs, answer) of each text and item in it; ``h`` are the texts' words, ``first`` the first word of each (texts + 1)."""
-    got = {pair: (1.0, 1.0, 1.0) for pair in verbatim(x, h, first)}
+    places = hits(x, h, first)
+    got = {pair: (1.0, 1.0, 1.0) for pair in verbatim(x, h, first, *places)}
 
     @lru_cache(256)
     def prepared(item: int) -> tuple[dict[int, int], set[int], int]:
         words = x.items[item].words.tolist()
         return masks_of(words), set(x.items[item].answer.tolist()), len(words)
 
-    for (d, item), bounds in regions(x, h, first).items():
+    for (d, item), bounds in regions(x, first, *places).items():
         if (d, item) in got:
             continue
         best = (False, 0.0, 0.0, 0.0)
