@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -94,6 +95,23 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+class Taken:
+    """Stretches that don't overlap, in order, to be looked up in logarithmic time."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, lo: int, hi: int) -> bool:
+        """Takes a stretch unless it overlaps one that is taken; tells whether it did."""
+        at = bisect_left(self.starts, hi)
+        if at and self.ends[at - 1] > lo:
+            return False
+        self.starts.insert(at, lo)
+        self.ends.insert(at, hi)
+        return True
+
+
 class Templates:
     """The templates' word hashes and, for each word that a match can't do without all of, where it is in which template.
 
@@ -136,14 +154,10 @@ class Templates:
                         break
                 if got and len(got) >= self.coverage * len(template) - 1e-9:
                     found.append((len(got) / len(template), name, lo + got[0][1], lo + got[-1][1] + 1))
-        each: list[tuple[str, float, int, int]] = []
-        for cover, name, lo, hi in sorted(found, key=lambda x: (-x[0], x[3] - x[2], x[2], x[1])):
-            if not any(name == n and lo < b and a < hi for n, _, a, b in each):
-                each.append((name, cover, lo, hi))
-        out: list[tuple[str, float, int, int]] = []
-        for name, cover, lo, hi in sorted(each, key=self.nearness, reverse=True):
-            if not any(family(name) == family(n) and lo < b and a < hi for n, _, a, b in out):
-                out.append((name, cover, lo, hi))
+        by_name, by_family = defaultdict(Taken), defaultdict(Taken)
+        order = sorted(found, key=lambda x: (-x[0], x[3] - x[2], x[2], x[1]))
+        each = [(name, cover, lo, hi) for cover, name, lo, hi in order if by_name[name].add(lo, hi)]
+        out = [x for x in sorted(each, key=self.nearness, reverse=True) if by_family[family(x[0])].add(x[2], x[3])]
         return sorted(out, key=lambda x: (x[2], x[0]))
 
     def nearness(self, stretch: tuple[str, float, int, int]) -> tuple[int, str]:
@@ -179,15 +193,17 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows, names, covers, starts, ends = [], [], [], [], []
             which = np.searchsorted(first, hits, "right") - 1
             for r, lo, hi in zip(*_runs(which), strict=True):
-                a, b = first[r], first[r + 1]
-                for name, cover, x, y in known.scan(h[a:b].tolist(), (hits[lo:hi] - a).tolist()):
-                    o = offsets[r]
+                a, b, o = first[r], first[r + 1], offsets[r]
+                found = known.scan(h[a:b].tolist(), (hits[lo:hi] - a).tolist())
+                if not found:
+                    continue
+                points = np.concatenate([[0], np.cumsum((raw[o : offsets[r + 1]] & 0xC0) != 0x80)])  # code points before each byte
+                for name, cover, x, y in found:
                     rows.append(r)
                     names.append(name)
                     covers.append(round(cover, 6))
-                    begin = len(raw[o : start[a + x]].tobytes().decode())
-                    starts.append(begin)
-                    ends.append(begin + len(raw[start[a + x] : end[a + y - 1]].tobytes().decode()))
+                    starts.append(int(points[start[a + x] - o]))
+                    ends.append(int(points[end[a + y - 1] - o]))
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(covers, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
                 ["doc_id", "license", "coverage", "start", "end"],

@@ -150,20 +150,11 @@ def test_any_covering_text_has_a_seed_word():
             assert any(any(n == name and i == k for n, i in t.seeds.get(words[k], ())) for k in keep)
 
 
-def test_op5_finds_every_notice(spark, sf, documents):
-    got = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in QUERIES["op5_licenses"](spark, sf).collect()}
-    want = set()
-    for r in documents.collect():
-        for name, text in (("MIT-notice", "Released under the MIT License"), ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0"), ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3")):
-            want |= {(r["doc_id"], name, m.start(), m.end()) for m in re.finditer(re.escape(text), r["text"])}
-    assert want and want <= got and {(d, n) for d, n, *_ in got} == {(d, n) for d, n, *_ in want}
-
-
 #: The license lines of the given tables.
 LINES = {"MIT-notice": "Released under the MIT License", "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0", "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3", "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0", "All-Rights-Reserved": "All rights reserved"}
 
 
-def test_op5_finds_every_license_line(spark, sf, documents):
+def test_op5_finds_every_notice(spark, sf, documents):
     got = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in QUERIES["op5_licenses"](spark, sf).collect()}
     want = {(r["doc_id"], name, m.start(), m.end()) for r in documents.collect() for name, text in LINES.items() for m in re.finditer(re.escape(text), r["text"] or "")}
     assert got == want and {"CC-BY-NC-4.0-line", "All-Rights-Reserved"} <= {n for _, n, *_ in want}
@@ -199,3 +190,20 @@ def test_license_edits_and_edges(spark, edge, empty):
         got.setdefault(r["doc_id"], []).append((r["license"], r["coverage"], r["start"]))
     assert got[1] == [("MIT", 1.0, 0)] and got[2][0][0] == "MIT" and 0.8 <= got[2][0][1] < 1 and got[2][0][2] == 3 and 3 not in got and len(got[4]) == 3
     assert scan_licenses(edge).count() == 0 and scan_licenses(empty).count() == 0
+
+
+def test_many_stretches_in_a_text_take_linear_time(spark):
+    import time
+
+    n = 2000
+    text = "é All rights reserved. Licensed under CC BY-NC 4.0. " * n
+    got = scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert len(got) == 2 * n and got[-2]["start"] == len(text) // n * (n - 1) + 2
+    assert all(text[r["start"] : r["end"]] == {"All-Rights-Reserved": "All rights reserved", "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0"}[r["license"]] for r in got)
+    own = prepared((("short", "w0 w1 w2"),), 0.8)
+    words, times = own.words["short"], []
+    for n in (20_000, 200_000):
+        begin = time.process_time()
+        assert len(own.scan(words * n, list(range(0, 3 * n, 3)))) == n
+        times.append(time.process_time() - begin)
+    assert times[1] < 30 * times[0] + 1
