@@ -103,13 +103,14 @@ def segments(fields: dict[str, object], block: bytes, most: int) -> Iterator[byt
 def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, first, first_url: ``first`` is the smallest page_id with the same payload where that is another one, else null.
 
-    Digests are grouped with partial sums, then payloads that occur once take no part in the join; a payload that a third of all pages have is split over tasks by adaptive execution.
+    Digests are grouped with partial sums and only payloads that occur again are written, so that Spark knows their table's size: a small one is broadcast, and the pages aren't shuffled at
+    all; beside a large one, a payload that a third of all pages have is split over tasks by adaptive execution.
     """
     base = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     groups = base.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min(named).alias("least")).where("n > 1").select("digest", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"))
-    out = base.join(groups, "digest", "left")
+    out = base.join(written(groups, "warc-groups"), "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least_bytes)
     return out.select("page_id", "url", "html", F.when(again, F.col("first")).alias("first"), F.when(again, F.col("first_url")).alias("first_url"))
 
