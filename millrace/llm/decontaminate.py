@@ -59,7 +59,7 @@ def terms(h: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """In how many documents each hashed term is; the last entry is the number of documents with words."""
+    """In how many documents each hashed term is; the last entry is the number of documents with words. Null or empty texts have none; repeated rows count each; an empty table gives zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -455,7 +455,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     docs, kind = pick(df, id_col, text_col), benchmark.schema[item_col].dataType
     out, before = None, None
     for index in indexes(docs, benchmark, item_col, item_text):
-        if before is not None:  # there are several: each is written before the next one's items come to the driver
+        if before is not None:  # there are several: each is written, so that the driver has the items of two at the most
             out = written(before, "leaks") if out is None else out.unionAll(written(before, "leaks"))
         before = search(docs, index)
     if before is None:

@@ -119,7 +119,10 @@ class Chain:
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fits the chain on a bounded sample of the labelled rows of ``docs``. Labels that are null or contradict each other take the larger value; without labelled rows every probability is 0."""
+    """Fits the chain on a bounded sample of the labelled rows of ``docs``. Labels that are null or contradict each other take the larger value; without labelled rows every probability is 0.
+
+    Null or empty texts count as empty ones; rows with null ids aren't labelled; rows that repeat, or are near copies, count once. Either table may be empty; other columns don't matter.
+    """
     categories = categories or default_categories()
     names, labels_of = [*categories], [f"c{i}" for i in range(len(categories))]
     base = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].alias("doc_id")).agg(*(F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(categories.values())))

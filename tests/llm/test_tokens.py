@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import zlib
+from types import SimpleNamespace as Plain
 
 import numpy as np
 import public_tokenizers as P
@@ -10,10 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from millrace.llm._common import shared_root, written
 from millrace.llm.bpe import BytePairs, Memo, bpe_decode, bpe_encode, bpe_round_trip
 from millrace.llm.queries import QUERIES
 from millrace.llm.token_counts import Lengths, context_totals, length_histogram, quantiles, totals_at
-from millrace.llm.token_files import Words, pack, shard_bytes, shard_read, token_files, unpack
+from millrace.llm.token_files import Words, pack, shard_bytes, shard_read, token_files, tokenized, unpack, write_token_files
 
 OWN = BytePairs(P.path("byte_bpe_50k.json"))
 LIBRARY = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -152,3 +154,35 @@ def test_files_edges(edge, empty):
     assert np.isnan(out.doc_id.iloc[0]) and out.doc_id.iloc[1:].is_monotonic_increasing and out.start.tolist() == [0, *np.cumsum(out.n_tokens)[:-1].tolist()]
     assert out[out.doc_id.isin([2, 3, 6])].n_tokens.tolist() == [1, 1, 1] and len(out) == 10
     assert token_files(empty).count() == 0
+
+
+def test_rows_of_one_id_are_parted(spark):
+    """A third and more of the rows share an id, some of them their text as well: several shards parts have them, and starts follow one another."""
+    rows = [(5, f"word{i % 40} and more words") for i in range(400)] + [(5, "the same") for _ in range(300)] + [(i, f"text {i}") for i in range(300)] + [(None, None)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = token_files(df)
+    got = out.orderBy("start").toPandas()
+    assert len(got) == len(rows) and got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1].tolist()]
+    assert got.doc_id.isna().sum() == 300 and got.doc_id[:300].isna().all() and got.doc_id[300:].is_monotonic_increasing
+    tokens = written(tokenized(df), "tokens")
+    shards, _ = write_token_files(tokens, WORDS.size, 2, parts=8)
+    assert shards.select("part").distinct().count() >= 6
+
+
+def test_whole_number_quantiles(spark):
+    """A share that is met exactly, and one that is missed by one document in three billions."""
+    h = spark.createDataFrame([(1, 1_500_000_000), (2, 1_500_000_001), (3, 0)], "n_tokens long, n_docs long").where("n_docs > 0")
+    t = context_totals(h)
+    assert [r["context_limit"] for r in quantiles(t, [0.5, 0.4999999998, 1.0]).collect()] == [2, 1, 2]
+    assert totals_at(h, [1, 5]).orderBy("context_limit").collect()[0]["docs_over"] == 1_500_000_001
+    assert [r["tokens_truncated"] for r in totals_at(h.where("false"), [3]).collect()] == [0] and totals_at(h, []).count() == 0
+    assert quantiles(t.where("false"), [0.5]).head()["context_limit"] is None and quantiles(t, []).count() == 0
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    no = lambda *_: None
+    directory = Plain(isDefined=lambda: False)
+    sc = Plain(master=master, getConf=lambda: Plain(get=no), _jsc=Plain(sc=lambda: Plain(getCheckpointDir=lambda: directory)))
+    with pytest.raises(ValueError, match="share"):
+        shared_root(Plain(sparkContext=sc, conf=Plain(get=no)))
