@@ -26,11 +26,11 @@ def element_type(name: str) -> T.DataType:
 
 
 @lru_cache(4)
-def load_graph(path: str) -> Callable[..., Sequence[np.ndarray]]:
-    """A model file as a function of arrays: ONNX by onnxruntime, on each machine once."""
+def load_graph(model: str | bytes) -> Callable[..., Sequence[np.ndarray]]:
+    """A model, by its path or as bytes, as a function of arrays: ONNX by onnxruntime, in each worker once."""
     import onnxruntime
 
-    session = onnxruntime.InferenceSession(path)
+    session = onnxruntime.InferenceSession(model)
     names = [x.name for x in session.get_inputs()]
     return lambda *arrays: session.run(None, dict(zip(names, arrays, strict=True)))
 

@@ -10,18 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import ndim, strings
+from millrace.functions import ndim, strings, tuples
 from millrace.functions.random import bits, draw
+from millrace.functions.threads import ThreadPool
 from millrace.operators.frame import TextTable
 from millrace.operators.groups import generate_groups, generate_many
 from millrace.operators.index_mapper import IndexMapper
 from millrace.operators.layout import BATCH, POS, shared_path, zip_frames
-from millrace.operators.model import infer, infer_batches
+from millrace.operators.model import element_type, infer, infer_batches, load_graph
 from millrace.operators.pyfun import PyFun
-from millrace.operators.schema import ColumnDef, row_type
-from millrace.operators.stream import Stream
-from millrace.sources.csv import read_csv, read_csv_fast, read_csv_text, write_csv
-from millrace.sources.sinks import IMAGE
+from millrace.operators.schema import ColumnDef, host_stream, row_type
+from millrace.operators.stream import Stream, identity
+from millrace.sources.csv import csv_line, read_csv, read_csv_fast, read_csv_text, write_csv, write_csv_row
+from millrace.sources.sinks import IMAGE, POINT, Batch, Range, decode_image, encode_image, point, to_ndarray, to_python
 from millrace.streaming.adapter import micro_batches, stateless
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,8 +706,6 @@ def tensor_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, pos % 8 = 0 AS first, (pos // 8)::BIGINT AS b FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)")
 def host_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches as host objects: taken apart, joined and given back as rows."""
-    from millrace.sources.sinks import Batch
-
     rows = []
     for b, d in enumerate(orders(spark, sf_dir, 8).to_python()):
         batch = Batch({"o_orderkey": d["o_orderkey"].tolist()})
@@ -720,8 +719,6 @@ def host_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, 8 AS h, 8 AS w, round(sum(embedding[u.i * 9 + 1]::DOUBLE), 4) AS trace FROM embeddings, LATERAL unnest(range(8)) u(i) GROUP BY 1")
 def image_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays as image values, read back from the column."""
-    from millrace.sources.sinks import decode_image, encode_image
-
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
     def pack(frames):
@@ -735,3 +732,137 @@ def image_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = rows.schema["vec_id"].dataType.simpleString()
     return rows.mapInPandas(pack, f"vec_id {kind}, image {IMAGE}").mapInPandas(read, f"vec_id {kind}, h int, w int, trace double")
+
+
+@query("""
+SELECT n_nationkey, '"' || n_name || ', x",' || n_regionkey || ',"a \\" b",' AS by_columns, '"' || n_name || ', x",' || n_regionkey || ',"a \\" b",' || chr(10) AS by_host FROM nation
+""")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written by column expressions and by the host's writer."""
+    t = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(", x")).alias("a"), F.col("n_regionkey").cast("string").alias("b"))
+    fields = [F.col("a"), F.col("b"), F.lit('a " b'), F.lit("")]
+    lines = t.select("n_nationkey", "a", "b", csv_line(fields).alias("by_columns")).collect()
+    rows = [(r["n_nationkey"], r["by_columns"], write_csv_row([r["a"], r["b"], 'a " b', ""])) for r in lines]
+    return spark.createDataFrame(rows, f"n_nationkey {t.schema['n_nationkey'].dataType.simpleString()}, by_columns string, by_host string")
+
+
+@query("SELECT o_orderkey, o_orderkey::VARCHAR AS text, (o_orderkey + 1)::BIGINT AS next, (o_orderstatus = 'F')::VARCHAR AS done FROM orders")
+def string_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    text = strings.to_string("o_orderkey")
+    done = strings.to_string(F.col("o_orderstatus") == "F")
+    return o.select("o_orderkey", strings.string_to(text, "string").alias("text"), (strings.string_to(text, "bigint") + 1).alias("next"), done.alias("done"))
+
+
+@query("SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r, count(*) OVER () AS n FROM nation) WHERE r > 3 AND r <= n - 2")
+def range_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of a sequence view on the host."""
+    t = TextTable.from_df(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    view = Range(iter(t.rows(["n_nationkey", "n_name"], ["int", "string"])))
+    some = view[3:-2]
+    if len(some) != len(view) - 5 or some[0] != view[3] or some[-1] != view[-3]:
+        raise AssertionError("the view differs")
+    return spark.createDataFrame(list(some), "n_nationkey int, n_name string")
+
+
+@query("SELECT r_regionkey, count(n_nationkey)::BIGINT AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def threaded_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Spark job for each region, from threads of the driver."""
+    nations, kind = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").schema["r_regionkey"].dataType.simpleString()
+    keys = [r["r_regionkey"] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()]
+    with ThreadPool(3) as pool:
+        counts = pool.map(lambda k: nations.where(F.col("n_regionkey") == k).count(), keys)
+    return spark.createDataFrame(list(zip(keys, counts, strict=True)), f"r_regionkey {kind}, n long")
+
+
+@query("SELECT n_regionkey, t.i::INTEGER AS i, list(n_nationkey ORDER BY n_name)[t.i + 1] AS key, list(n_name ORDER BY n_name)[t.i + 1] AS name FROM nation, LATERAL unnest(range(5)) t(i) GROUP BY n_regionkey, t.i HAVING t.i < count(*)")
+def unzip_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structs of each region as an array for each field."""
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_name", F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("s"))
+    lists = tuples.unzip_groups(rows, "s", "n_regionkey", "n_name")
+    return lists.select("n_regionkey", F.posexplode(F.arrays_zip("key", "name")).alias("i", "z")).select("n_regionkey", "i", "z.key", "z.name")
+
+
+@query("SELECT n_nationkey, '(' || n_nationkey || ', ' || n_name || ')' AS text, length(n_name)::BIGINT * 10 + 1 AS size FROM nation")
+def tuple_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host rows unzipped, transformed with their places, formatted and zipped again."""
+    rows = [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]
+    keys, names = tuples.unzip(rows)
+    sizes = tuples.transformed_with_index([names, [1] * len(names)], lambda v, i: [len(x) * 10 for x in v] if i == 0 else v)
+    total = tuples.transformed(zip(*sizes, strict=True), sum)
+    if tuples.find(keys[2], keys) != 2 or not tuples.contains(names[0], names) or tuples.maybe_untuple(tuples.maybe_tuple(5)) != 5 or tuples.offsets(2, 3) != (2, 3, 4):
+        raise AssertionError("the helpers differ")
+    kind = table(spark, sf_dir, "nation").schema["n_nationkey"].dataType.simpleString()
+    return spark.createDataFrame([(k, tuples.text((k, n)), t) for k, n, t in zip(keys, names, total, strict=True)], f"n_nationkey {kind}, text string, size long")
+
+
+@query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_orderkey, o_custkey * 2 AS twice FROM {NUMBERED}")
+def stream_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns set, looked at and taken out; the stage that does nothing; a view for SQL."""
+    s = identity(orders(spark, sf_dir, 8, "o_custkey").insert_or_assign("twice", F.col("o_custkey") * 2))
+    if s.size() != 3 or not s.contains("twice") or s.type_of("twice").simpleString() != s.type_of("o_custkey").simpleString():
+        raise AssertionError("the columns differ")
+    s.drop("o_custkey").view("millrace_orders")
+    return spark.sql("SELECT _batch AS b, _pos AS pos, o_orderkey, twice FROM millrace_orders")
+
+
+@query("SELECT 0::BIGINT AS b, 0::INTEGER AS i, 2::BIGINT AS v UNION ALL SELECT 0, 1, 4 UNION ALL SELECT 2, 0, 6")
+def host_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of batches that the host has, one of them empty."""
+    v = ColumnDef.of("v", "bigint")
+    if v.dimensions() != 1:
+        raise AssertionError("a number has one dimension in a batch")
+    s = host_stream(spark, [v], [{"v": [1, 2]}, {}, {"v": [3]}]).transform("v", "v", lambda x: x * 2)
+    return s.df.select(F.col(BATCH).alias("b"), F.posexplode("v").alias("i", "v"))
+
+
+@query("SELECT vec_id, embedding[1] AS x, embedding[2] AS y FROM embeddings")
+def point_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as values of a column, and as pairs on the host."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")).cast(POINT).alias("p"))
+    pairs = [(r["vec_id"], *point(r["p"])) for r in rows.collect()]
+    return spark.createDataFrame(pairs, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, x float, y float")
+
+
+@query(f"SELECT conv_id, list_sum(s)::BIGINT AS total, len(s)::BIGINT AS n FROM {TURNS}")
+def ndarray_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested columns as NumPy arrays on the host."""
+    rows, kind = turns(spark, sf_dir), ndim.nested(element_type("int64"), 1)
+    seen = []
+    for r in rows.collect():
+        values = to_python([r["s"]], ndim.nested(kind, 1))[0]
+        if ndim.ndims(kind) != 1 or ndim.element_type(kind).simpleString() != "bigint" or to_ndarray(r["s"], ndim.element_type(kind)).dtype != values.dtype:
+            raise AssertionError("the arrays differ")
+        seen.append((r["conv_id"], int(values.sum()), len(values)))
+    return spark.createDataFrame(seen, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, total long, n long")
+
+
+def _field(number: int, value: bytes | int) -> bytes:
+    """A field of a protobuf message: a number, or bytes with their length."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def doubling_graph() -> bytes:
+    """An ONNX model of one node: y = x + x, of 64-bit floats."""
+    shape = _field(2, b"".join(_field(1, _field(2, name)) for name in (b"n", b"m")))
+    value = lambda name: _field(1, name) + _field(2, _field(1, _field(1, 11) + shape))
+    node = _field(1, b"x") + _field(1, b"x") + _field(2, b"y") + _field(4, b"Add")
+    graph = _field(1, node) + _field(2, b"g") + _field(11, value(b"x")) + _field(12, value(b"y"))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
+
+
+@query("SELECT vec_id, t.i::INTEGER AS i, embedding[t.i + 1]::DOUBLE * 2 AS v FROM embeddings, LATERAL unnest(range(len(embedding))) t(i)")
+def graph_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model graph on tensors, loaded once in each worker."""
+    graph = doubling_graph()
+    shape = F.array(F.lit(8).cast("long"), F.lit(8).cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.transform("embedding", lambda x: x.cast("double")).alias("data"), shape.alias("shape")).alias("x"))
+    out = infer(rows, lambda: load_graph(graph), ["x"], ["y"])
+    return out.select("vec_id", F.posexplode("y.data").alias("i", "v"))
