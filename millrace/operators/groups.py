@@ -35,7 +35,10 @@ def _group(rank: Column, sizes: Sequence[int]) -> Column:
 
 
 def generate_groups(df: DataFrame, ratio: Sequence[float], key: str, seed: int = 0, name: str = "group", n: int | None = None, small: int = SMALL) -> DataFrame:
-    """Adds a random group to every row; each group has exactly its share of rows. ``key`` must be unique: rows are ranked by hashes of it and the seed, so the result doesn't depend on partitioning."""
+    """Adds a random group to every row; each group has exactly its share of rows.
+
+    ``key`` must be unique: rows are ranked by hashes of it and the seed, so the result doesn't depend on partitioning.
+    """
     sizes = group_sizes(df.count() if n is None else n, ratio)
     order = [bits(seed, F.col(key)), F.col(key)]
     if estimated_bytes(df) <= small:

@@ -94,9 +94,21 @@ def cumulated(df: DataFrame, order: Sequence[str], value: Column, name: str, sma
     return fixed.withColumn(name, inside + before).select(*columns, name)
 
 
+def assigned(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """``df`` with columns set at once, all from its own columns.
+
+    ``withColumns`` doesn't do: a name inside a lambda function is taken for a column of the same list that is set before it, if there is one.
+    """
+    made = df.select("*", *(value.alias(f"_new_{i}") for i, value in enumerate(new.values())))
+    at = {name: f"_new_{i}" for i, name in enumerate(new)}
+    return made.select(*(F.col(at[c]).alias(c) if c in at else F.col(c) for c in dict.fromkeys([*df.columns, *new])))
+
+
 def to_batches(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each batch: every column an array in the order of positions."""
-    rows = df.groupBy(BATCH).agg(F.array_sort(F.collect_list(F.struct(POS, *columns))).alias("_rows")) if _orderable(df, columns) else df.groupBy(BATCH).agg(F.array_sort(F.collect_list(F.struct(POS, *columns)), _by_position).alias("_rows"))
+    listed = F.collect_list(F.struct(POS, *columns))
+    ordered = F.array_sort(listed) if _orderable(df, columns) else F.array_sort(listed, _by_position)
+    rows = df.groupBy(BATCH).agg(ordered.alias("_rows"))
     return rows.select(BATCH, *(_field(c) for c in columns))
 
 

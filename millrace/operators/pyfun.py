@@ -80,7 +80,10 @@ def ordered(df: DataFrame, order: Sequence[str], by: str | None) -> DataFrame:
 
 
 def apply(df: DataFrame, sources: Sequence[str], targets: Sequence[str], fun: PyFun, depth: int, order: Sequence[str], where: str | None = None) -> DataFrame:
-    """``df`` with columns ``targets`` set to ``fun`` of ``sources``, ``depth`` levels down. ``where``: a column of booleans of the sources' shape; elements where it doesn't hold keep the targets' values."""
+    """``df`` with columns ``targets`` set to ``fun`` of ``sources``, ``depth`` levels down.
+
+    ``where``: a column of booleans of the sources' shape; elements where it doesn't hold keep the targets' values.
+    """
     kinds = fun.types()
     if len(kinds) != len(targets):
         raise ValueError(f"{len(kinds)} types for {len(targets)} targets")
@@ -156,7 +159,10 @@ def apply(df: DataFrame, sources: Sequence[str], targets: Sequence[str], fun: Py
 
 
 def generated(df: DataFrame, source: str, target: str, fun: PyFun, depth: int, fresh: int, order: Sequence[str]) -> DataFrame:
-    """``df`` with a column of the shape of ``source`` down to ``depth`` levels: ``fun`` is called with a number of values to give, a value for each element ``fresh`` levels down; deeper elements share it."""
+    """``df`` with a column of the shape of ``source`` down to ``depth`` levels.
+
+    ``fun`` is called with a number of values to give, a value for each element ``fresh`` levels down; deeper elements share it.
+    """
     if not 0 <= fresh <= depth:
         raise ValueError("values are fresh at a level of the column")
     (kind,) = (T._parse_datatype_string(k) for k in fun.types())

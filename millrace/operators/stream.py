@@ -19,7 +19,7 @@ from millrace.functions import random as rnd
 from millrace.functions.strings import characters, joined, map_characters
 from millrace.functions.tuples import as_tuple
 from millrace.operators import pyfun
-from millrace.operators.layout import BATCH, POS, cumulated, equal_sizes, numbered, to_batches, to_rows
+from millrace.operators.layout import BATCH, POS, assigned, cumulated, equal_sizes, numbered, to_batches, to_rows
 from millrace.operators.pyfun import PyFun
 
 Names = str | Sequence[str]
@@ -135,9 +135,9 @@ class Stream:
             return s._transform_python(sources, targets, fun, depth, cond, prob, seed)
         n = len(sources)
         strings = [isinstance(ndim.element_type(s.df.schema[c].dataType), T.StringType) and ndim.ndims(s.df.schema[c].dataType) == depth for c in inputs]
-        if depth and all(strings) and len(inputs) == len(targets) == 1 and not keep:
+        if depth and all(strings) and len(inputs) == len(targets) == 1 and not keep and _gives_text(s.df, inputs[0], fun, depth):
             out = [ndim.lift(lambda x: map_characters(x, fun), [F.col(inputs[0])], depth - 1)]
-            return s._with(s.df.withColumns({targets[0]: out[0]}))
+            return s._with(assigned(s.df, {targets[0]: out[0]}))
         if depth and any(strings):
             return s._transform_characters(sources, targets, fun, dim, cond, prob, seed, depth)
         kinds = {t: ndim.element_type(s.df.schema[t].dataType, depth) for t in targets} if keep else {}
@@ -159,7 +159,7 @@ class Stream:
             new = {t: ndim.lift(one(k), [F.col(c) for c in inputs], depth) for k, t in enumerate(targets)}
         else:
             new = {t: _lift_with_path(one(k), [F.col(c) for c in inputs], depth, [F.col(POS if s.layout == "rows" else BATCH)]) for k, t in enumerate(targets)}
-        return s._with(s.df.withColumns(new))
+        return s._with(assigned(s.df, new))
 
     def _transform_python(self, sources: list[str], targets: list[str], fun: PyFun, depth: int, cond: str | None, prob: float | None, seed: int | str) -> Stream:
         df, where = self.df, None
@@ -209,9 +209,9 @@ class Stream:
             level = dim if self.layout == "batches" else dim - 1
             chars = [c for c in columns if pyfun._is_chars(self.df.schema[c].dataType, level)]
             if chars:  # characters of strings are filtered as arrays
-                split = self._with(self.df.withColumns({c: ndim.lift(characters, [F.col(c)], level - 1) for c in chars}))
+                split = self._with(assigned(self.df, {c: ndim.lift(characters, [F.col(c)], level - 1) for c in chars}))
                 out = split.filter(columns, tests, pred, dim)
-                return out._with(out.df.withColumns({c: ndim.lift(joined, [F.col(c)], level - 1) for c in chars}))
+                return out._with(assigned(out.df, {c: ndim.lift(joined, [F.col(c)], level - 1) for c in chars}))
         if dim == 0:
             s = self.batches()
             return s._with(s.df.where(pred(*(F.col(b) for b in tests))))
@@ -233,10 +233,13 @@ class Stream:
                 return out if not rest else F.when(ok, out).otherwise(F.raise_error(F.lit("the columns have different sizes")))
 
             new[c] = ndim.lift(keep, [F.col(c), *(F.col(o) for o in others)], depth)
-        return s._with(s.df.withColumns(new))
+        return s._with(assigned(s.df, new))
 
     def for_each(self, from_: Names, fun: Callable[[Any], None], dim: int = 1) -> Stream:
-        """Passes pandas frames of ``from_`` to ``fun`` when the stream is read: rows are examples, or whole batches in dimension 0. The values go on unchanged. For sums, ``observe`` needs no Python."""
+        """Passes pandas frames of ``from_`` to ``fun`` when the stream is read: rows are examples, or whole batches in dimension 0.
+
+        The values go on unchanged. For sums, ``observe`` needs no Python.
+        """
         names = _names(from_)
         self._need(names)
         s = self.batches() if dim == 0 else self.rows()
@@ -313,7 +316,7 @@ class Stream:
         inner = ndim.element_type(s.df.schema[from_].dataType, depth)
         value = (F.lit(None) if value is None else value).cast(inner)
         cols = [F.col(c) for c in widths]
-        return s._with(df.withColumns({from_: ndim.pad_to(from_, cols, value), mask: ndim.mask_to(from_, cols)}).drop(*widths))
+        return s._with(assigned(df, {from_: ndim.pad_to(from_, cols, value), mask: ndim.mask_to(from_, cols)}).drop(*widths))
 
     def rebatch(self, n: int | None) -> Stream:
         """Batches of exactly ``n`` examples across the old borders, the last one smaller; None: a single batch. Empty batches vanish."""
@@ -400,6 +403,12 @@ class Stream:
         return batch_dicts(self)
 
 
+def _gives_text(df: DataFrame, column: str, fun: Callable[..., Any], depth: int) -> bool:
+    """Whether a function of a string's characters gives characters."""
+    told = ndim.lift(lambda x: F.transform(characters(x), fun), [F.col(column)], depth - 1)
+    return isinstance(ndim.element_type(df.select(told.alias("x")).schema["x"].dataType, depth), T.StringType)
+
+
 def BATCH_OF(n: int) -> Column:  # noqa: N802
     return F.floor(F.col(POS) / n).cast("long").alias(BATCH)
 

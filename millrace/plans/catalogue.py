@@ -866,3 +866,21 @@ def graph_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.transform("embedding", lambda x: x.cast("double")).alias("data"), shape.alias("shape")).alias("x"))
     out = infer(rows, lambda: load_graph(graph), ["x"], ["y"])
     return out.select("vec_id", F.posexplode("y.data").alias("i", "v"))
+
+
+@query("SELECT vec_id, t.i::INTEGER AS i, embedding[t.i + 33] AS a, embedding[t.i + 1] AS b FROM embeddings, LATERAL unnest(range(32)) t(i)")
+def transform_swap_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns that take each other's elements."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    s = Stream.create(rows, "vec_id", 16).transform(["a", "b"], ["a", "b"], lambda x, y: (y, x), dim=2)
+    return s.df.select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z")).select("vec_id", "i", "z.a", "z.b")
+
+
+@query("""
+WITH t AS (SELECT vec_id, list_filter(range(1, 33), lambda i: embedding[i] > 0) AS k, embedding AS e FROM embeddings)
+SELECT vec_id, u.i::INTEGER AS i, e[k[u.i + 1]] AS a, e[k[u.i + 1] + 32] AS b FROM t, LATERAL unnest(range(len(k))) u(i)
+""")
+def filter_two_columns_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    s = Stream.create(rows, "vec_id", 16).filter(["a", "b"], "a", lambda x: x > 0, dim=2)
+    return s.df.select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z")).select("vec_id", "i", "z.a", "z.b")

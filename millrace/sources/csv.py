@@ -148,7 +148,8 @@ def read_csv(spark: SparkSession, path: str, drop: int = 0, has_header: bool = T
 
     def whole(names: list[int], blocks: list[int], numbers: list[int], rows: list[list[str]], parts: list[str | None]) -> pa.RecordBatch:
         cells = [pa.array([r[i] if r is not None else None for r in rows], pa.string()) for i in range(width)]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts, pa.string()), *cells], ["file", "block", "line", "part", *columns])
+        keys = [pa.array(names, pa.int32()), pa.array(blocks, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts, pa.string())]
+        return pa.RecordBatch.from_arrays([*keys, *cells], ["file", "block", "line", "part", *columns])
 
     def fields(text: str) -> list[str]:
         row, at = dialect.fields(text)

@@ -141,6 +141,26 @@ def test_several_strings_at_their_characters(spark):
     assert s.filter(["t", "u"], ["t"], lambda c: c != "b", dim=2).unpack(["t", "u"]) == (["ac", "", "xyz", "é🎉"], ["AC", "", "XYZ", "É🎉"])
 
 
+def test_columns_are_set_at_once(spark):
+    """Several columns that take one another's old values, below the examples."""
+    s = rows(spark, 3, 2, a=F.sequence(F.lit(0).cast("long"), F.col("k")), b=F.transform(F.sequence(F.lit(0).cast("long"), F.col("k")), lambda x: x + 10))
+    a, b = s.transform(["a", "b"], ["a", "b"], lambda x, y: (y, x), dim=2).unpack(["a", "b"])
+    assert a == [[10], [10, 11], [10, 11, 12]] and b == [[0], [0, 1], [0, 1, 2]]
+    a, b = s.filter(["a", "b"], ["a"], lambda x: x != 1, dim=2).unpack(["a", "b"])
+    assert a == [[0], [0], [0, 2]] and b == [[10], [10], [10, 12]]
+    a, b = s.filter(["a", "b"], ["a", "b"], lambda x, y: x + y != 12, dim=2).unpack(["a", "b"])
+    assert a == [[0], [0], [0, 2]] and b == [[10], [10], [10, 12]]
+    deep = rows(spark, 2, 2, a=F.array(F.sequence(F.lit(0).cast("long"), F.col("k")), F.array(F.col("k"))))
+    deep = deep.transform("a", "b", lambda x: x * 2, dim=3)
+    a, b = deep.transform(["a", "b"], ["a", "b"], lambda x, y: (y + 1, x), dim=3).unpack(["a", "b"])
+    assert a == [[[1], [1]], [[1, 3], [3]]] and b == [[[0], [0]], [[0, 1], [1]]]
+    half = s.transform(["a", "b"], ["a", "b"], lambda x, y: (y, x), dim=2, prob=0.5, seed=4).unpack(["a", "b"])
+    assert all(sorted((x, y)) == [i, i + 10] for p, q in zip(*half, strict=True) for i, (x, y) in enumerate(zip(p, q, strict=True)))
+    padded = rows(spark, 3, 3, a=F.array(F.sequence(F.lit(0).cast("long"), F.col("k")), F.array(F.col("k")))).pad("a", "m", F.lit(-1), depth=2)
+    a, m = padded.unpack(["a", "m"])
+    assert [[[x >= 0 for x in r] for r in e] for e in a] == m and {len(r) for e in a for r in e} == {3}
+
+
 @pytest.mark.parametrize("small", [1 << 40, 0])
 def test_order_must_be_unique(spark, small):
     df = spark.createDataFrame([(i % 7, i) for i in range(50)], "a int, b int").repartition(5)
