@@ -423,7 +423,8 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
                 return None
             row, item, *scores = zip(*rows, strict=True)
             ids = pa.array([x.items[i].item_id for i in item], item_type)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), ids, *(pa.array([round(float(v), 6) for v in c]) for c in scores)], ["doc_id", "item", "cosine", "lcs", "answer"])
+            rounded = [pa.array([round(float(v), 6) for v in c]) for c in scores]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), ids, *rounded], ["doc_id", "item", "cosine", "lcs", "answer"])
 
         return part
 

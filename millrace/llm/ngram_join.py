@@ -183,7 +183,8 @@ def postings(docs: DataFrame, width: int, percent: int, counts: np.ndarray, rena
             m = take[rows]
             at = np.repeat(rows, m)
             pos = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out).view(np.int64), keys[at], pos << 36 | n[at], cells[at, 0], cells[at, 1])], ["token", "key", "place", "cells0", "cells1"])
+            columns = np.concatenate(out).view(np.int64), keys[at], pos << 36 | n[at], cells[at, 0], cells[at, 1]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "key", "place", "cells0", "cells1"])
 
         return part
 
@@ -242,7 +243,8 @@ class Rows:
 
 
 def first_round(posted: DataFrame, percent: int) -> DataFrame:
-    """Reads the lists of tokens: rows (a, b) with place null are candidate pairs; the others are postings of lists of two classes or more (a: token, b: key), without the members of short lists that the filters part from all others."""
+    """Reads the lists of tokens: rows (a, b) with place null are candidate pairs; the others are postings of lists of two classes or more (a: token, b: key), without
+    the members of short lists that the filters part from all others."""
 
     top = hot_scale(HOT)
 
@@ -294,7 +296,8 @@ def first_round(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def across(lists: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """a, b: pairs of members of different components (column comp) in a list that pass the filters, also on sketches; ``nearest``: for each member and other component only the one of the nearest sketch."""
+    """a, b: pairs of members of different components (column comp) in a list that pass the filters, also on sketches; ``nearest``: for each member and other
+    component only the one of the nearest sketch."""
 
     def pairs(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = rows.take(np.argsort(rows.n, kind="stable"))

@@ -110,6 +110,7 @@ def quantiles(totals: DataFrame, shares: list[float]) -> DataFrame:
     least = []
     for q in shares:
         f = Fraction(str(q)).limit_denominator(10**12)
-        fits = F.col("docs_fit").cast("decimal(20,0)") * F.lit(f.denominator).cast("decimal(13,0)") >= (F.col("docs_fit") + F.col("docs_over")).cast("decimal(20,0)") * F.lit(f.numerator).cast("decimal(13,0)")
+        over, under = (F.lit(x).cast("decimal(13,0)") for x in (f.numerator, f.denominator))
+        fits = F.col("docs_fit").cast("decimal(20,0)") * under >= (F.col("docs_fit") + F.col("docs_over")).cast("decimal(20,0)") * over
         least.append(F.struct(F.lit(float(q)).alias("share"), F.min(F.when(fits, F.col("context_limit"))).alias("context_limit")))
     return totals.agg(F.array(*least).cast("array<struct<share:double,context_limit:bigint>>").alias("r")).select(F.explode("r").alias("r")).select("r.*")

@@ -185,7 +185,8 @@ def write_token_files(tokens: DataFrame, size: int, width: int, parts: int | Non
 
         def shard() -> pa.RecordBatch:
             content = shard_bytes(docs, held, rank, dtype, before)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [n_held], "content": [content]}, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("content", pa.binary())]))
+            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("content", pa.binary())])
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [n_held], "content": [content]}, schema)
 
         for b in batches:
             for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):

@@ -125,7 +125,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     """
     categories = categories or default_categories()
     names, labels_of = [*categories], [f"c{i}" for i in range(len(categories))]
-    base = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].alias("doc_id")).agg(*(F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(categories.values())))
+    largest = [F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(categories.values())]
+    base = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].alias("doc_id")).agg(*largest)
     some = base.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = pick(docs, id_col, text_col).join(F.broadcast(some), "doc_id")  # `sample` rows at most
 

@@ -97,7 +97,11 @@ def segments(fields: dict[str, object], block: bytes, most: int) -> Iterator[byt
     yield record(fields | {"WARC-Segment-Number": 1}, pieces[0])
     for k, piece in enumerate(pieces[1:], 2):
         more = {"WARC-Segment-Total-Length": len(block)} if k == len(pieces) else {}
-        yield record({"WARC-Type": "continuation", "WARC-Record-ID": f"<{uuid.uuid5(SPACE, f'{origin} {k}').urn}>", "WARC-Date": DATE, "WARC-Target-URI": fields["WARC-Target-URI"], "WARC-Segment-Number": k, "WARC-Segment-Origin-ID": origin} | more, piece)
+        head = {
+            "WARC-Type": "continuation", "WARC-Record-ID": f"<{uuid.uuid5(SPACE, f'{origin} {k}').urn}>", "WARC-Date": DATE, "WARC-Target-URI": fields["WARC-Target-URI"],
+            "WARC-Segment-Number": k, "WARC-Segment-Origin-ID": origin,
+        }
+        yield record(head | more, piece)
 
 
 def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -109,7 +113,8 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     base = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
-    groups = base.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min(named).alias("least")).where("n > 1").select("digest", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"))
+    groups = base.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min(named).alias("least")).where("n > 1")
+    groups = groups.select("digest", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"))
     out = base.join(written(groups, "warc-groups"), "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least_bytes)
     return out.select("page_id", "url", "html", F.when(again, F.col("first")).alias("first"), F.when(again, F.col("first_url")).alias("first_url"))
@@ -133,19 +138,21 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, segment: int = SEGMENT, a
                 payload = html.encode()
                 n += 1
                 fields = {
-                    "WARC-Type": "response" if first is None else "revisit", "WARC-Record-ID": f"<{uuid.uuid5(SPACE, f'{part} {n} {page}').urn}>", "WARC-Date": DATE, "WARC-Target-URI": url or "urn:none",
-                    "WARC-Payload-Digest": f"sha1:{bare_digest(payload)}", "Page-Id": page, "Payload-Length": len(payload), "Content-Type": "application/http; msgtype=response",
+                    "WARC-Type": "response" if first is None else "revisit", "WARC-Record-ID": f"<{uuid.uuid5(SPACE, f'{part} {n} {page}').urn}>", "WARC-Date": DATE,
+                    "WARC-Target-URI": url or "urn:none", "WARC-Payload-Digest": f"sha1:{bare_digest(payload)}", "Page-Id": page, "Payload-Length": len(payload), "Content-Type": "application/http; msgtype=response",
                 }
                 if first is None:
                     pieces = segments(fields, response_block(payload), segment)
                 else:
-                    pieces = [record(fields | {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": first_url or "urn:none", "WARC-Refers-To-Date": DATE, "Page-Refers-To": first}, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")]
+                    again = {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": first_url or "urn:none", "WARC-Refers-To-Date": DATE, "Page-Refers-To": first}
+                    pieces = [record(fields | again, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")]
                 for piece in pieces:
                     if not held or size > archive:
                         if held:
                             yield put()
                             seq += 1
-                        held, size = [record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<{uuid.uuid5(SPACE, f'{part} info {seq}').urn}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")], 0
+                        info = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<{uuid.uuid5(SPACE, f'{part} info {seq}').urn}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}
+                        held, size = [record(info, b"format: WARC File Format 1.1\r\n")], 0
                     held.append(piece)
                     size += len(piece)
         if held:
@@ -170,7 +177,10 @@ def read_warc(archives: DataFrame, page_id: str = "long") -> DataFrame:
     parsed, read = _PARSED.format(id=page_id), _READ.format(id=page_id)
     kind = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[page_id]
     value = str if page_id == "string" else int
-    fields = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", kind), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("refers_to", kind), ("block", pa.binary())]
+    fields = [
+        ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", kind), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()),
+        ("length", pa.int64()), ("refers_to", kind), ("block", pa.binary()),
+    ]
 
     def rows(split: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +202,10 @@ def read_warc(archives: DataFrame, page_id: str = "long") -> DataFrame:
                 if kind not in ("response", "revisit", "continuation") or ("warc-segment-number" in h) != split:
                     continue
                 number = lambda name, h=h, f=int: f(h[name]) if name in h else None
-                yield (h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), number("page-id", f=value), h.get("warc-target-uri"), kind, h.get("warc-payload-digest"), number("payload-length"), number("page-refers-to", f=value), block)
+                yield (
+                    h.get("warc-segment-origin-id", h["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), number("page-id", f=value),
+                    h.get("warc-target-uri"), kind, h.get("warc-payload-digest"), number("payload-length"), number("page-refers-to", f=value), block,
+                )
 
         return archives.select("content").mapInArrow(run, parsed)
 
@@ -201,7 +214,8 @@ def read_warc(archives: DataFrame, page_id: str = "long") -> DataFrame:
         types = [kind, pa.string(), pa.string(), kind, pa.int64(), pa.string(), pa.binary(), pa.string()]
         for batch in batches:
             out = []
-            for page, url, what, digest, length, refers, total, pieces in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "digest", "length", "refers_to", "total", "pieces")), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "digest", "length", "refers_to", "total", "pieces")]
+            for page, url, what, digest, length, refers, total, pieces in zip(*columns, strict=True):
                 if what == "damaged":
                     out.append((page, url, None, None, None, None, None, pieces[0]["block"].decode()))
                     continue
