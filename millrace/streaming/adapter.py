@@ -22,7 +22,7 @@ def stateless(source: DataFrame, plan: Callable[[Stream], Stream]) -> DataFrame:
 
 
 def micro_batches(source: DataFrame, order_by: str, batch_size: int, sink: Callable[[Stream, int], None], rest_table: str, checkpoint: str, trigger: dict | None = None):
-    """Starts a query that hands ``sink`` streams of whole batches of ``batch_size`` examples, numbered on and on.
+    """Starts a query that hands ``sink`` streams of whole batches of ``batch_size`` examples, numbered on and on. Values of ``order_by`` must differ.
 
     What a micro-batch leaves over is kept in the table ``rest_table`` and goes before the next one; ``flush`` gives out the last of it. The table is
     written for each epoch anew, so an epoch that is run again after a failure starts from the same rest; those of epochs that can't be run again are removed.
