@@ -11,6 +11,7 @@ from millrace.llm.bpe import bpe_round_trip
 from millrace.llm.decontaminate import find_leaks
 from millrace.llm.fill_in_middle import fill_in_middle, restored
 from millrace.llm.license_scan import scan_licenses
+from millrace.llm.lm_scoring import score_texts
 from millrace.llm.media import jpeg_features, store_texts
 from millrace.llm.ngram_join import ngram_components
 from millrace.llm.secret_scan import KINDS, scan_secrets, spans_text
@@ -86,6 +87,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_source_audit": op11_source_audit,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_join": r"""
