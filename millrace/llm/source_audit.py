@@ -2,8 +2,9 @@
 
 Two passes. The first one counts in how many documents of its language each term is; terms in ``least`` documents or more are kept. The second one counts the kept
 terms' occurrences by source with Aho-Corasick automata over the terms with a delimiter on either side. The automaton that every task has holds the terms in
-the most documents, ``head`` of them at the most; what it leaves of the texts (words that aren't kept, and kept ones beyond the head) is counted up in its task and dealt out by
-term, and each task there has an automaton of its own share of the other kept terms. So the vocabulary may have any size, and a frequent term is never shuffled by occurrence.
+the most documents, ``head`` of them at the most; what it leaves of the texts (kept terms beyond the head, and other words that a bitmap of a fixed size doesn't tell from these) is counted up
+in its task and dealt out by term, and each task there has an automaton of its own share of the other kept terms. So the vocabulary may have any size, and a frequent term is never shuffled by
+occurrence.
 
 Postings (source, term, occurrences) are sparse. A pair's sum over all kept terms is that of a pair without any words, corrected by each source's histogram of shares, and
 by the terms that both sources have, which are added up in arrays of the tasks that hold the terms' postings.
@@ -24,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import chunks, release, written
+from millrace.llm._common import SLICE, buffer_of, chunks, in_few_tasks, release, span_hashes, table_rows, table_sum, written
 
 #: Terms of the automaton that every task has, and the most bytes of one of them.
 HEAD, HEAD_BYTES = 200_000, 64
-#: Terms of other automata, about.
-BLOCK = 100_000
+#: Terms of other automata, about; bits of the bitmap of their terms.
+BLOCK, BITS = 100_000, 1 << 26
 #: Entries that a task counts up before it gives them out.
 ENTRIES = 400_000
 #: Pairs of sources that a task takes up at once, and those that it keeps sums of.
@@ -130,35 +131,65 @@ def matches(finder, padded: bytes) -> tuple[np.ndarray, np.ndarray]:
     return flat[::2], flat[1::2]
 
 
-def _others(padded: bytes, ends: np.ndarray) -> list[bytes]:
-    """The words of a padded text that end at none of ``ends``."""
-    space = np.frombuffer(padded, np.uint8) == 32
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte of the bitmap and the bit in it."""
+    at = hashes % np.uint64(BITS)
+    return (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8))
+
+
+def bitmap(terms: DataFrame) -> np.ndarray:
+    """``BITS`` bits in which those of the terms' hashes are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS // 8, np.uint8)
+        for batch in batches:
+            raw, offsets = buffer_of(batch.column("term"))
+            if len(raw):
+                np.bitwise_or.at(bits, *_places(span_hashes(raw)(offsets[:-1], offsets[1:])))
+        if bits.any():
+            yield table_rows(bits, "u1")
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in table_sum(in_few_tasks(terms.select("term")).mapInArrow(run, "slice int, counts binary"), "u1", "u1", either=True).collect():  # a table of a fixed size
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def others(padded: bytes, ends: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """The words of a padded text that end at none of ``ends`` and may be in the bitmap."""
+    raw = np.frombuffer(padded, np.uint8)
+    space = raw == 32
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
     found = np.zeros(len(padded), bool)
     found[ends] = True
     left = ~found[stops]
-    return [padded[a:b] for a, b in zip(starts[left].tolist(), stops[left].tolist(), strict=True)]
+    starts, stops = starts[left], stops[left]
+    if not len(starts):
+        return []
+    byte, bit = _places(span_hashes(raw)(starts, stops))
+    there = (bits[byte] & bit) != 0
+    return [padded[a:b] for a, b in zip(starts[there].tolist(), stops[there].tolist(), strict=True)]
 
 
 def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int = BLOCK) -> DataFrame:
     """Rows (lang, source, term, n): the occurrences of kept terms, those of ``kept`` (lang, term, n)."""
     spark = docs.sparkSession
     terms, among, rest = _head(kept, head)
-    shared = spark.sparkContext.broadcast(terms)
+    shared = spark.sparkContext.broadcast((terms, bitmap(kept.where(~among)) if rest else None))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        known = shared.value
+        known, bits = shared.value
         finders = {lang: automaton(t) for lang, t in known.items()}
         counts: dict[tuple[str, str], np.ndarray] = {}
-        others: Counter = Counter()
+        left: dict[tuple[str, str], Counter] = {}
 
-        def out_others() -> Iterator[pa.RecordBatch]:
-            if others:
-                rows = _rows(dict(others), ["lang", "source", "term"])
+        def out_left() -> Iterator[pa.RecordBatch]:
+            for (lang, source), words in left.items():
+                rows = _rows({(lang, source, w): n for w, n in words.items()}, ["lang", "source", "term"])
                 yield rows.append_column("found", pa.array(np.zeros(rows.num_rows, bool)))
-            others.clear()
+            left.clear()
 
         def out_counts() -> Iterator[pa.RecordBatch]:
             for (lang, source), n in counts.items():
@@ -178,11 +209,12 @@ def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int =
                         counts[lang, source] += np.bincount(which, minlength=len(known[lang]))
                         if sum(map(len, counts.values())) > 20 * ENTRIES:
                             yield from out_counts()
-                    if rest:
-                        others.update((lang, source, w) for w in _others(padded, ends))
-                if len(others) > ENTRIES:
-                    yield from out_others()
-        yield from out_others()
+                    words = others(padded, ends, bits) if rest else None
+                    if words:
+                        left.setdefault((lang, source), Counter()).update(words)
+                if sum(map(len, left.values())) > ENTRIES:
+                    yield from out_left()
+        yield from out_left()
         yield from out_counts()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

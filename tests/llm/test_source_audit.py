@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from millrace.llm import source_audit as A
@@ -86,6 +87,12 @@ def test_small_buffers(spark, rows, monkeypatch):
     assert audited(spark.createDataFrame(rows, "lang string, source string, text string"), head=6) == plain(rows)
 
 
+def test_full_bitmap(spark, rows, monkeypatch):
+    """A bitmap that tells nothing changes nothing."""
+    monkeypatch.setattr(A, "bitmap", lambda terms: np.full(A.BITS // 8, 255, np.uint8))
+    assert audited(spark.createDataFrame(rows, "lang string, source string, text string"), head=4) == plain(rows)
+
+
 def test_empty(empty):
     assert audited(empty.selectExpr("text", "text as lang", "text as source")) == []
     assert audited(empty.sparkSession.createDataFrame([(None, None, None)] * 3, "lang string, source string, text string")) == []
@@ -95,4 +102,6 @@ def test_matches_are_whole_words():
     finder = A.automaton([b"a", b"ab", b"b"])
     ends, which = A.matches(finder, b" a ab  b abc a ")
     assert ends.tolist() == [2, 5, 8, 14] and which.tolist() == [0, 1, 2, 0]
-    assert A._others(b" a ab  b abc a ", ends) == [b"abc"]
+    bits = np.zeros(A.BITS // 8, np.uint8)
+    assert A.others(b" a ab  b abc a ", ends, bits) == []
+    assert A.others(b" a ab  b abc a ", ends, ~bits) == [b"abc"]
