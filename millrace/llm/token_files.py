@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,8 @@ class Words:
 
     def _word(self, word: str) -> bytes:
         core = word.lower() if word.isascii() else word
-        if core[-1] in self.marks and core[-2:-1].isalpha():  # a mark after a letter is a token of its own
+        # a mark after a letter is a token of its own, but not if the normalizer turns that letter into one with a mark that isn't a letter, as it does with some of Turkish and Hindi
+        if core[-1] in self.marks and normalize("NFC", core[-2:-1]).lower()[-1:].isalpha():
             return self.known[core[:-1]] + self.marks[core[-1]]
         return self.known[core] if core is not word and core != word else self._core(core)
 

@@ -40,6 +40,25 @@ def test_words_are_the_library_s(text):
     assert WORDS.encode(text) == ids(WORDS.tokenizer, text, WORDS.dtype)
 
 
+#: Letters that the normalizer turns into a letter and a mark that isn't one, and what else composes or case-folds oddly.
+ODD = "İıſẞǅﬁ\u0958\u095f\u09dc\u09df\u0a33\u0a5e\u0b5c\u0f43\ufb1d\ufb4e\u0301\u0307\u093c\u09bc\u1100\u1161\u11a8\u0915\u09a1\u05e9\u212a\u2126"
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(ODD), st.sampled_from("ab.,.,' 1é"), st.characters(categories=["Lu", "Lt", "Lo", "Mn", "Mc"])), max_size=12))
+def test_words_with_composed_letters(text):
+    assert WORDS.encode(text) == ids(WORDS.tokenizer, text, WORDS.dtype)
+
+
+@pytest.mark.parametrize("before", ["", "ab"])
+def test_marks_after_every_code_point(before):
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isalpha() or c % 64 == 0)]
+    for mark in ".,":
+        texts = [before + c + mark for c in letters]
+        want = WORDS.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert not [t for t, w in zip(texts, want, strict=True) if WORDS.encode(t) != np.array(w.ids, WORDS.dtype).tobytes()]
+
+
 def test_special_tokens_and_long_words():
     for text in ("a<|endoftext|>b <|endoftext|>", "  x   y  ", "don't I'LL", "ab" * 3000, "é" * 500):
         assert OWN.encode(text) == ids(LIBRARY, text) and WORDS.encode(text) == ids(WORDS.tokenizer, text, WORDS.dtype)
