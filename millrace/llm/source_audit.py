@@ -31,8 +31,8 @@ from millrace.llm._common import SLICE, buffer_of, chunks, in_few_tasks, release
 HEAD, HEAD_BYTES = 200_000, 64
 #: Terms of other automata, about; bits of the bitmap of their terms.
 BLOCK, BITS = 100_000, 1 << 26
-#: Entries that a task counts up before it gives them out.
-ENTRIES = 400_000
+#: Entries that a task counts up before it gives them out; terms of the head whose counts travel in one row; tasks whose rows are summed together first.
+ENTRIES, SLICE_TERMS, TOGETHER = 400_000, 4096, 64
 #: Pairs of sources that a task takes up at once, and those that it keeps sums of.
 PAIRS, CELLS = 1 << 20, 1 << 21
 UNIT = 1_000_000_000
@@ -181,22 +181,27 @@ def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int =
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         known, bits = shared.value
+        names = ["lang", "source", "term", "n", "slice", "packed"]
         finders = {lang: automaton(t) for lang, t in known.items()}
         counts: dict[tuple[str, str], np.ndarray] = {}
         left: dict[tuple[str, str], Counter] = {}
 
         def out_left() -> Iterator[pa.RecordBatch]:
             for (lang, source), words in left.items():
-                rows = _rows({(lang, source, w): n for w, n in words.items()}, ["lang", "source", "term"])
-                yield rows.append_column("found", pa.array(np.zeros(rows.num_rows, bool)))
+                m = len(words)
+                terms = pa.array(list(words), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([source] * m), terms, pa.array(list(words.values()), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
             left.clear()
 
         def out_counts() -> Iterator[pa.RecordBatch]:
             for (lang, source), n in counts.items():
                 at = np.flatnonzero(n)
-                if len(at):
-                    names = pa.array([known[lang][i] for i in at.tolist()], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([source] * len(at)), names, pa.array(n[at]), pa.array(np.ones(len(at), bool))], ["lang", "source", "term", "n", "found"])
+                edges = np.searchsorted(at, np.arange(0, len(n) + SLICE_TERMS, SLICE_TERMS)).tolist()
+                slices = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+                m = len(slices)
+                if m:
+                    packed = [np.stack([at[a:b], n[at[a:b]]]).tobytes() for _, a, b in slices]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([source] * m), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array([k for k, _, _ in slices], pa.int32()), pa.array(packed, pa.binary())], names)
             counts.clear()
 
         for batch in batches:
@@ -217,6 +222,31 @@ def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int =
         yield from out_left()
         yield from out_counts()
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by language and slice of the head's terms: the counts of each source there."""
+        known = shared.value[0]
+        here, got = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for source, n in got.items():
+                at = np.flatnonzero(n)
+                lang, base = here[0], here[1] * SLICE_TERMS
+                terms = pa.array([known[lang][base + i] for i in at.tolist()], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([source] * len(at)), terms, pa.array(n[at])], ["lang", "source", "term", "n"])
+            got.clear()
+
+        for batch in batches:
+            for lang, source, k, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "slice", "packed")), strict=True):
+                if (lang, k) != here or len(got) * SLICE_TERMS > 20 * ENTRIES and source not in got:
+                    yield from out()
+                here = lang, k
+                at, n = np.frombuffer(packed, np.int64).reshape(2, -1)
+                if source not in got:
+                    got[source] = np.zeros(SLICE_TERMS, np.int64)
+                got[source][at - k * SLICE_TERMS] += n
+        if here is not None:
+            yield from out()
+
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by language; of each, its kept terms come before the words to count."""
         lang, terms, finder = None, [], None
@@ -238,12 +268,13 @@ def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int =
                 if len(keep):
                     yield part.select(["lang", "source", "term", "n"]).take(keep)
 
-    # the first pass over the texts runs once: what it found and what it left stand in one table
-    table = written(docs.mapInArrow(first, f"{_POSTING}, found boolean"), "audit-first")
-    found = table.where("found").select("lang", "source", "term", "n")
+    # the first pass over the texts runs once: what it found, packed by slices of the head, and what it left stand in one table
+    table = written(docs.mapInArrow(first, f"{_POSTING}, slice int, packed binary").withColumn("part", (F.spark_partition_id() / TOGETHER).cast("int")), "audit-first")
+    packed = table.where("packed is not null").select("lang", "source", "slice", "packed", "part").repartition("lang", "slice", "part").sortWithinPartitions("lang", "slice")
+    found = packed.mapInArrow(summed, _POSTING)
     if rest:
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rest // block))
-        left = table.where("not found").groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).withColumn("known", F.lit(False))
+        left = table.where("packed is null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).withColumn("known", F.lit(False))
         names = kept.where(~among).select("lang", F.lit("").alias("source"), "term", F.lit(0).cast("long").alias("n"), F.lit(True).alias("known"))
         dealt = names.unionByName(left).repartition(n, "lang", "term").sortWithinPartitions("lang", F.desc("known"))
         found = found.unionByName(dealt.mapInArrow(second, _POSTING))
