@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.random import bits
-from millrace.operators.layout import SMALL, estimated_bytes, numbered
+from millrace.operators.layout import SMALL, numbered
 
 
 def group_sizes(n: int, ratio: Sequence[float]) -> list[int]:
@@ -37,14 +37,10 @@ def _group(rank: Column, sizes: Sequence[int]) -> Column:
 def generate_groups(df: DataFrame, ratio: Sequence[float], key: str, seed: int = 0, name: str = "group", n: int | None = None, small: int = SMALL) -> DataFrame:
     """Adds a random group to every row; each group has exactly its share of rows.
 
-    ``key`` must be unique: rows are ranked by hashes of it and the seed, so the result doesn't depend on partitioning.
+    ``key`` must be unique, at any size (a repeated one raises, null is a key too): rows are ranked by hashes of it and the seed, so the result doesn't depend on partitioning.
     """
     sizes = group_sizes(df.count() if n is None else n, ratio)
-    order = [bits(seed, F.col(key)), F.col(key)]
-    if estimated_bytes(df) <= small:
-        rank = F.row_number().over(Window.orderBy(*order)) - 1
-        return df.withColumn("_rank", rank).withColumn(name, _group(F.col("_rank"), sizes)).drop("_rank")
-    ranked = numbered(df, order, "_rank", small)
+    ranked = numbered(df, [bits(seed, F.col(key)), F.col(key)], "_rank", small)
     return ranked.withColumn(name, _group(F.col("_rank"), sizes)).drop("_rank")
 
 
@@ -56,11 +52,8 @@ def generate_many(df: DataFrame, n: int, volatile: Sequence[float], fixed: Seque
     moving = sum(sizes[:v])
     out = base
     for k in range(n):
-        part = Window.partitionBy(F.col("_base") < v).orderBy(bits(f"{seed}:{k}", F.col(key)), F.col(key))
-        if estimated_bytes(df) <= small:
-            again = _group(F.row_number().over(part) - 1, group_sizes(moving, volatile)) if moving else F.lit(0)
-            out = out.withColumn(f"{name}_{k}", F.when(F.col("_base") < v, again).otherwise(F.col("_base")).cast("int"))
-        else:
-            dealt = generate_groups(out.where(F.col("_base") < v), volatile, key, f"{seed}:{k}", f"{name}_{k}", moving, small)
-            out = dealt.unionByName(out.where(F.col("_base") >= v).withColumn(f"{name}_{k}", F.col("_base").cast("int")))
+        # the rows of volatile groups come first, so their positions are their ranks among themselves
+        ranked = numbered(out, [(F.col("_base") >= v).cast("int"), bits(f"{seed}:{k}", F.col(key)), F.col(key)], "_rank", small)
+        again = _group(F.col("_rank"), group_sizes(moving, volatile)) if moving else F.lit(0)
+        out = ranked.withColumn(f"{name}_{k}", F.when(F.col("_base") < v, again).otherwise(F.col("_base")).cast("int")).drop("_rank")
     return out.drop("_base")

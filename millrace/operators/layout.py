@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 POS = "_pos"
 BATCH = "_batch"
-#: Bytes of a plan's estimated size up to which positions and running sums come from one window; larger inputs are numbered by partitions.
-SMALL = 16 << 20
+#: Bytes of a plan's estimated size, and rows as counted, up to which positions and running sums come from one window; larger inputs are numbered by partitions.
+SMALL, FEW = 16 << 20, 1 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -43,28 +43,57 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_small(df: DataFrame, small: int = SMALL) -> bool:
+    """Whether one task may take all rows: an estimate doesn't see what ``explode`` or a join make of a few rows, so they are counted too, as far as needed."""
+    return estimated_bytes(df) <= small and df.select(F.lit(1)).limit(FEW + 1).count() <= FEW
+
+
+#: Paths in the shared folder that this driver has written and not deleted.
+_written: list[str] = []
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, partition by partition: each later read sees the same rows in the same partitions and order. ``cleanup`` deletes the files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint()
+    _written.append(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
+
+
+def kept_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that ``cleanup`` deletes."""
+    _written.append(shared_path(spark, label))
+    return _written[-1]
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes what operators have written in this driver: for when their results have been read."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = POS, small: int = SMALL) -> DataFrame:
     """Adds 0-based positions in the given order. Keys must be unique, as positions would differ from run to run otherwise: rows of equal keys raise.
 
-    An input whose estimated size is small takes one window. A larger one is range-partitioned and sorted, written to the shared
-    checkpoint folder (so that both reads below see the same borders), and each partition adds the number of rows before it.
+    A small input takes one window. A larger one is range-partitioned and sorted, written to the shared checkpoint folder (so that both reads
+    below see the same borders; ``cleanup`` deletes it), and each partition adds the number of rows before it.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in order]
-    if estimated_bytes(df) <= small:
+    if is_small(df, small):
         w = Window.orderBy(*keys)
         place = F.when(F.row_number().over(w) != F.rank().over(w), F.raise_error(F.lit(REPEATED)).cast("int")).otherwise(F.row_number().over(w))
         return df.withColumn(name, (place - 1).cast("long"))
-    ensure_checkpoint_dir(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fixed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint()
+    rows = fixed(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
     # equal keys lie in one partition; only the keys are read for this
     w = Window.partitionBy("_part").orderBy(*keys)
-    ranked = fixed.withColumn("_part", F.spark_partition_id()).select("_part", (F.row_number().over(w) != F.rank().over(w)).alias("_again"))
+    ranked = rows.withColumn("_part", F.spark_partition_id()).select("_part", (F.row_number().over(w) != F.rank().over(w)).alias("_again"))
     parts = ranked.groupBy("_part").agg(F.count("*").alias("n"), F.max("_again").alias("again")).collect()  # a row for each partition
     if any(r["again"] for r in parts):
         raise ValueError(REPEATED)
     before = _before({r["_part"]: r["n"] for r in parts}, F.spark_partition_id())
-    return fixed.withColumn(name, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + before)
+    return rows.withColumn(name, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + before)
 
 
 REPEATED = "the keys of the order repeat"
@@ -82,16 +111,14 @@ def _before(sums: dict[int, int], part: Column) -> Column:
 def cumulated(df: DataFrame, order: Sequence[str], value: Column, name: str, small: int = SMALL) -> DataFrame:
     """Adds the sum of ``value`` over all rows before a row in the order of unique keys; by partitions as ``numbered``, if the input isn't small."""
     earlier = (Window.unboundedPreceding, -1)
-    if estimated_bytes(df) <= small:
+    if is_small(df, small):
         return df.withColumn(name, F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(*earlier)), F.lit(0).cast("long")))
-    ensure_checkpoint_dir(df.sparkSession)
     n, columns = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns
-    fixed = df.withColumn("_value", value.cast("long")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    fixed = fixed.withColumn("_part", F.spark_partition_id()).checkpoint()
-    sums = {r["_part"]: r["s"] for r in fixed.groupBy("_part").agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("s")).collect()}  # a row for each partition
+    rows = fixed(df.withColumn("_value", value.cast("long")).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sums = {r["_part"]: r["s"] for r in rows.groupBy("_part").agg(F.coalesce(F.sum("_value"), F.lit(0)).alias("s")).collect()}  # a row for each partition
     before = _before(sums, F.col("_part"))
     inside = F.coalesce(F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*earlier)), F.lit(0))
-    return fixed.withColumn(name, inside + before).select(*columns, name)
+    return rows.withColumn(name, inside + before).select(*columns, name)
 
 
 def assigned(df: DataFrame, new: dict[str, Column]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,33 +15,16 @@ from millrace.functions.threads import ThreadPool
 from millrace.operators.frame import TextTable
 from millrace.operators.groups import generate_groups, generate_many
 from millrace.operators.index_mapper import IndexMapper
-from millrace.operators.layout import BATCH, POS, shared_path, zip_frames
+from millrace.operators.layout import BATCH, POS, kept_path, zip_frames
 from millrace.operators.model import element_type, infer, infer_batches, load_graph
 from millrace.operators.pyfun import PyFun
 from millrace.operators.schema import ColumnDef, host_stream, row_type
 from millrace.operators.stream import Stream, identity
+from millrace.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from millrace.sources.csv import csv_line, read_csv, read_csv_fast, read_csv_text, write_csv, write_csv_row
 from millrace.sources.sinks import IMAGE, POINT, Batch, Range, decode_image, encode_image, point, to_ndarray, to_python
 from millrace.streaming.adapter import micro_batches, stateless
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def orders(spark: SparkSession, sf_dir: str, size: int, *columns: str) -> Stream:
     return Stream.create(table(spark, sf_dir, "orders").select("o_orderkey", *columns), "o_orderkey", size)
 
@@ -653,7 +635,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV with quotes, escapes and line ends in fields, and read back."""
     odd = F.concat(F.lit('a "b", \\ \n'), F.col("page_id").cast("string"))
     t = TextTable.from_df(table(spark, sf_dir, "pages").select("page_id", "url", odd.alias("odd")), "page_id")
-    path = shared_path(spark, "csv")
+    path = kept_path(spark, "csv")
     write_csv(t, path)
     return plain(read_csv(spark, path))
 
@@ -662,7 +644,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_fast_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many files, read by Spark's own reader."""
     t = TextTable.from_df(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
-    path = shared_path(spark, "csv")
+    path = kept_path(spark, "csv")
     write_csv(t, path, single=False)
     return read_csv_fast(spark, path)
 
@@ -679,7 +661,7 @@ def streaming_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateless operators on a streaming read of the events, drained into a table."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     plan = stateless(source, lambda s: s.keep("event_id", "user_id").filter(["event_id", "user_id"], "user_id", lambda u: u % 3 == 0).transform("user_id", "user_id", lambda u: u * 2))
-    out = shared_path(spark, "events")
+    out = kept_path(spark, "events")
     plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
@@ -688,7 +670,7 @@ def streaming_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole batches of 100 from a stream of the events, written as they come."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id")
-    out = shared_path(spark, "batches")
+    out = kept_path(spark, "batches")
     micro_batches(source, "event_id", 100, lambda s, epoch: shown(s).write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}"), f"{out}/rest", f"{out}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{out}/rows")
     return rows.groupBy("b").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.sum("pos").alias("places"))

@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
-from millrace.plans.catalogue import ORACLE_SQL, QUERIES
+import millrace.plans.catalogue
+import millrace.plans.relational  # noqa: F401
+from millrace.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
