@@ -6,6 +6,7 @@ once, whatever the dimension, as nested arrays are flattened by their offsets an
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -13,11 +14,28 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from millrace.functions import ndim
 from millrace.functions.tuples import as_tuple
+from millrace.operators.layout import fixed
+
+@dataclass(frozen=True)
+class Scan:
+    """A function with state whose stretches can be worked on side by side: what ``PyFun.fun`` is then.
+
+    ``partial`` maps a slice of elements to the state that they leave behind by themselves, ``merge`` two states of neighbouring stretches to that of both (it must be associative), and
+    ``results`` the state before a slice (``start`` before the first one) and the slice to its results. Each task reads a range of the stream: a pass gives a state for each range, these are
+    merged one after the other, and a second pass gives the results. For a generator a slice is a number of values.
+    """
+
+    start: Any
+    partial: Callable[..., Any]
+    merge: Callable[[Any, Any], Any]
+    results: Callable[..., Any]
+
 
 #: The kind of a target whose elements are characters and are joined to strings.
 CHAR = "char"
@@ -29,14 +47,19 @@ class PyFun:
 
     ``stateful``: ``fun`` has no arguments and gives such a function, which is called with slices of the elements in the stream's order, so that it may keep what it has seen.
     As the order is total, one task reads the stream then, slice by slice; with ``by`` (a column) there is a function for each value of it, which sees
-    that value's elements in order, and values are spread over tasks. A task that is run again begins with a new function.
+    that value's elements in order, and values are spread over tasks. A task that is run again begins with a new function. A ``Scan`` instead of a function has no such task:
+    the stream, and with ``by`` each value's elements too, lie in as many tasks as there are shuffle partitions.
     """
 
-    fun: Callable[..., Any]
+    fun: Callable[..., Any] | Scan
     kinds: str | Sequence[str]
     stateful: bool = False
     by: str | None = None
 
+    def __post_init__(self):
+        if isinstance(self.fun, Scan) and not self.stateful:
+            raise ValueError("a scan has state: stateful=True")
+
     def types(self) -> list[str]:
         return [self.kinds] if isinstance(self.kinds, str) else list(self.kinds)
 
@@ -79,6 +102,65 @@ def ordered(df: DataFrame, order: Sequence[str], by: str | None) -> DataFrame:
     return df.repartition(by).sortWithinPartitions(by, *order)
 
 
+def scanned(df: DataFrame, order: Sequence[str], by: str | None, scan: Scan, slices: Callable[[pa.RecordBatch], tuple], results: Callable[[Callable[..., Any], pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """``df`` in ranges of its order (within values of ``by``), each with the state before it. ``slices`` gives what the scan takes of a batch, ``results`` the batch that a function of it makes."""
+    keys = [by] if by else []
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fixed(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order))
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[Any, pa.RecordBatch]]:
+        """Stretches of one value of ``by``."""
+        if not by:
+            yield None, batch
+            return
+        values = batch.column(by).to_pylist()
+        edges = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield values[a], batch.slice(a, b - a)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each range: its first and last values of ``by``, whether they are one stretch, and the state of the last one."""
+        first, last, one, state, seen = None, None, True, scan.start, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for value, part in runs(batch):
+                new = scan.partial(*slices(part))
+                if seen and value == last:
+                    state = scan.merge(state, new)
+                else:
+                    first, one = (first, False) if seen else (value, True)
+                    last, state, seen = value, new, True
+        if seen:
+            row = pickle.dumps((first, last, one, state))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([row], pa.binary())], ["part", "row"])
+
+    before: dict[int, Any] = {}
+    value, state, any_yet = None, scan.start, False
+    for r in sorted(rows.mapInArrow(states, "part int, row binary").collect(), key=lambda r: r["part"]):  # a row for each range
+        first, last, one, new = pickle.loads(r["row"])
+        goes_on = any_yet and value == first
+        if goes_on:
+            before[r["part"]] = state
+        state = scan.merge(state, new) if goes_on and one else new
+        value, any_yet = last, True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, seen = before.get(TaskContext.get().partitionId(), scan.start), None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for value, part in runs(batch):
+                if seen and value != last:
+                    here = scan.start
+                last, seen = value, True
+                state = here
+                yield results(lambda *x, state=state: scan.results(state, *x), part)
+                here = scan.merge(here, scan.partial(*slices(part)))
+
+    return rows.mapInArrow(run, schema)
+
+
 def apply(df: DataFrame, sources: Sequence[str], targets: Sequence[str], fun: PyFun, depth: int, order: Sequence[str], where: str | None = None) -> DataFrame:
     """``df`` with columns ``targets`` set to ``fun`` of ``sources``, ``depth`` levels down.
 
@@ -110,7 +192,7 @@ def apply(df: DataFrame, sources: Sequence[str], targets: Sequence[str], fun: Py
 
         return pa.string() if is_chars else to_arrow_type(ndim.element_type(kind, depth))
 
-    def slice_of(f: Callable[..., Any], batch: pa.RecordBatch) -> pa.RecordBatch:
+    def taken(batch: pa.RecordBatch) -> tuple[dict, list, list[pa.Array], pa.Array | None]:
         flat = {c: _flat(batch.column(c), depth, chars[c]) for c in dict.fromkeys([*sources, *([where, *targets] if where else [])])}
         shape = flat[sources[0]][0]
         for c, (sizes, _) in flat.items():
@@ -121,6 +203,13 @@ def apply(df: DataFrame, sources: Sequence[str], targets: Sequence[str], fun: Py
         if where:
             mask = flat[where][1].cast(pa.bool_()).fill_null(False)
             values = [v.filter(mask) for v in values]
+        return flat, shape, values, mask
+
+    def slices(batch: pa.RecordBatch) -> tuple:
+        return tuple(v.to_pandas() for v in taken(batch)[2])
+
+    def slice_of(f: Callable[..., Any], batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, shape, values, mask = taken(batch)
         got = as_tuple(f(*(v.to_pandas() for v in values)))
         if len(got) != len(targets):
             raise ValueError(f"the function gives {len(got)} columns for {len(targets)}")
@@ -151,6 +240,8 @@ def apply(df: DataFrame, sources: Sequence[str], targets: Sequence[str], fun: Py
                         f, last = call(), keys[a]
                     yield slice_of(f, batch.slice(a, b - a))
 
+    if isinstance(call, Scan):
+        return scanned(df, order, by, call, slices, slice_of, schema)
     if stateful:
         df = ordered(df, order, by)
     elif by is not None:
@@ -172,22 +263,30 @@ def generated(df: DataFrame, source: str, target: str, fun: PyFun, depth: int, f
     if fun.by is not None:
         raise ValueError("a generator runs over the whole stream")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def needed(batch: pa.RecordBatch) -> tuple[list, int]:
+        sizes, _ = _flat(batch.column(source), depth, chars)
+        return sizes, batch.num_rows if fresh == 0 else int(pc.sum(sizes[fresh - 1]).as_py() or 0)
+
+    def slice_of(f: Callable[..., Any], batch: pa.RecordBatch) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        f, inner = call() if stateful else call, to_arrow_type(kind)
+        sizes, n = needed(batch)
+        values = pa.array(f(n), to_arrow_type(kind), from_pandas=True)
+        if len(values) != n:
+            raise ValueError(f"the generator gives {len(values)} values instead of {n}")
+        for level in range(fresh, depth):
+            values = values.take(pa.array(np.repeat(np.arange(len(values)), sizes[level].fill_null(0).to_numpy(zero_copy_only=False))))
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {target: _nested(sizes, values, False)}
+        return pa.RecordBatch.from_arrays([columns[c] for c in fields], list(fields))
+
+    if isinstance(call, Scan):
+        return scanned(df, order, None, call, lambda batch: (needed(batch)[1],), slice_of, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = call() if stateful else call
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes, _ = _flat(batch.column(source), depth, chars)
-            n = batch.num_rows if fresh == 0 else int(pc.sum(sizes[fresh - 1]).as_py() or 0)
-            values = pa.array(f(n), inner, from_pandas=True)
-            if len(values) != n:
-                raise ValueError(f"the generator gives {len(values)} values instead of {n}")
-            for level in range(fresh, depth):
-                values = values.take(pa.array(np.repeat(np.arange(len(values)), sizes[level].fill_null(0).to_numpy(zero_copy_only=False))))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {target: _nested(sizes, values, False)}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in fields], list(fields))
+            if batch.num_rows:
+                yield slice_of(f, batch)
 
     return (ordered(df, order, None) if stateful else df).mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ from millrace.operators.groups import generate_groups, generate_many
 from millrace.operators.index_mapper import IndexMapper
 from millrace.operators.layout import BATCH, POS, kept_path, zip_frames
 from millrace.operators.model import element_type, infer, infer_batches, load_graph
-from millrace.operators.pyfun import PyFun
+from millrace.operators.pyfun import PyFun, Scan
 from millrace.operators.schema import ColumnDef, host_stream, row_type
 from millrace.operators.stream import Stream, identity
 from millrace.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
@@ -417,62 +417,40 @@ def transform_python_dim2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.transform("embedding", "embedding", PyFun(lambda x: x.clip(lower=0), "float"), dim=2).df.select("vec_id", F.posexplode("embedding").alias("i", "v"))
 
 
-def running_total():
-    total = 0
-
-    def add(x: pd.Series) -> pd.Series:
-        nonlocal total
-        sums = total + x.cumsum()
-        total = int(sums.iloc[-1]) if len(sums) else total
-        return sums
-
-    return add
+def running_total() -> Scan:
+    return Scan(0, lambda x: int(x.sum()), lambda a, b: a + b, lambda total, x: total + x.cumsum())
 
 
 @query("SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderkey)::BIGINT AS total FROM orders")
 def transform_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sum that runs on over all batches in order."""
-    return orders(spark, sf_dir, 8, "o_custkey").transform("o_custkey", "total", PyFun(running_total, "long", stateful=True)).df.select("o_orderkey", "total")
+    return orders(spark, sf_dir, 8, "o_custkey").transform("o_custkey", "total", PyFun(running_total(), "long", stateful=True)).df.select("o_orderkey", "total")
 
 
 @query("SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS total FROM orders")
 def transform_stateful_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sum for each customer, spread over tasks."""
-    s = orders(spark, sf_dir, 8, "o_custkey").transform("o_orderkey", "total", PyFun(running_total, "long", stateful=True, by="o_custkey"))
+    """A sum for each customer; a customer's orders may lie in several tasks."""
+    s = orders(spark, sf_dir, 8, "o_custkey").transform("o_orderkey", "total", PyFun(running_total(), "long", stateful=True, by="o_custkey"))
     return s.df.select("o_orderkey", "total")
 
 
-def every_third():
-    n = 0
-
-    def keep(x: pd.Series) -> pd.Series:
-        nonlocal n
-        out = pd.Series(np.arange(n, n + len(x)) % 3 == 2)
-        n += len(x)
-        return out
-
-    return keep
+def every_third() -> Scan:
+    """Its state is the number of elements so far."""
+    return Scan(0, len, lambda a, b: a + b, lambda n, x: pd.Series(np.arange(n, n + len(x)) % 3 == 2))
 
 
 @query(f"SELECT (pos // 8)::BIGINT AS b, pos::BIGINT AS pos, o_orderkey FROM {NUMBERED} WHERE pos % 3 = 2")
 def filter_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(orders(spark, sf_dir, 8).filter("o_orderkey", "o_orderkey", PyFun(every_third, "boolean", stateful=True)))
-
-
-def squares():
-    n = 0
+    return shown(orders(spark, sf_dir, 8).filter("o_orderkey", "o_orderkey", PyFun(every_third(), "boolean", stateful=True)))
 
-    def give(m: int) -> np.ndarray:
-        nonlocal n
-        n += m
-        return np.arange(n - m, n, dtype=np.int64) ** 2
 
-    return give
+def squares() -> Scan:
+    return Scan(0, lambda m: m, lambda a, b: a + b, lambda n, m: np.arange(n, n + m, dtype=np.int64) ** 2)
 
 
 @query(f"SELECT o_orderkey, (pos * pos)::BIGINT AS g FROM {NUMBERED}")
 def generate_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir, 8).generate("o_orderkey", "g", PyFun(squares, "long", stateful=True)).df.select("o_orderkey", "g")
+    return orders(spark, sf_dir, 8).generate("o_orderkey", "g", PyFun(squares(), "long", stateful=True)).df.select("o_orderkey", "g")
 
 
 @query("""

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import asof_join, interval_join
+from millrace.operators.layout import kept_path
 from millrace.plans.registry import query, table
+from millrace.streaming.keyed import rebatch_by_key, sessions, windows
 
 #: Orders moved into the month of the events.
 START, EVENTS_START = 788918400000000, 1704067200000000
@@ -74,3 +76,58 @@ def range_events_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = e.select("event_id", F.unix_micros("ts").alias("at"), (F.unix_micros("ts") + 1).alias("after"))
     out = interval_join(windows, points, ("a", "b"), ("at", "after"), closed=False)
     return out.groupBy("error_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(plan: DataFrame, label: str) -> DataFrame:
+    """What a streaming plan gives from all that its source has now."""
+    spark = plan.sparkSession
+    out = kept_path(spark, label)
+    plan.writeStream.format("parquet").option("path", out).option("checkpointLocation", kept_path(spark, f"{label}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(plan.schema).parquet(out)
+
+
+@query("""
+SELECT user_id, ((r - 1) // 20)::BIGINT AS batch, ((r - 1) % 20)::BIGINT AS place, event_id
+FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= n // 20 * 20
+""")
+def stream_rebatch_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 20 events of each user from a stream, with the rest in its state."""
+    return drained(rebatch_by_key(event_stream(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id", 20), "by-user")
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, value FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 7200000000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k, max(t) OVER (PARTITION BY user_id) AS latest FROM g)
+SELECT user_id, min(t)::BIGINT AS first, max(t)::BIGINT AS last, count(*)::BIGINT AS n, round(100 * sum(value))::BIGINT AS cents FROM s GROUP BY user_id, k, latest HAVING max(t) + 7200000000 < latest - 3600000000
+""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user with gaps of up to two hours, those that are over an hour after."""
+    out = drained(sessions(event_stream(spark, sf_dir), "user_id", "ts", "value", 7_200_000_000, 3_600_000_000), "sessions")
+    return out.where("kind = 'session'").select("user_id", "first", "last", "n", F.round(100 * F.col("total")).cast("long").alias("cents"))
+
+
+WINDOWS = """
+SELECT event_type, ((epoch_us(ts) // 1800000000 - k.i) * 1800000000)::BIGINT AS start, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events, (SELECT unnest([0, 1]) AS i) k GROUP BY 1, 2
+"""
+
+
+def shown_windows(df: DataFrame) -> DataFrame:
+    return df.select("event_type", micros("start"), "n", *(c for c in ("users",) if c in df.columns))
+
+
+@query(WINDOWS)
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of an hour that begin every half an hour."""
+    return shown_windows(windows(events(spark, sf_dir), "ts", "1 hour", ["event_type"], [F.count("*").alias("n"), F.count_distinct("user_id").alias("users")], "30 minutes"))
+
+
+@query(f"SELECT event_type, start, n FROM ({WINDOWS}) WHERE start + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream: the windows that are over by the watermark."""
+    return shown_windows(drained(windows(event_stream(spark, sf_dir), "ts", "1 hour", ["event_type"], [F.count("*").alias("n")], "30 minutes"), "windows"))
