@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -176,21 +177,27 @@ def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int =
     """Rows (lang, source, term, n): the occurrences of kept terms, those of ``kept`` (lang, term, n)."""
     spark = docs.sparkSession
     terms, among, rest = _head(kept, head)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rest // block))
+    buckets = 8 * n
     shared = spark.sparkContext.broadcast((terms, bitmap(kept.where(~among)) if rest else None))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         known, bits = shared.value
-        names = ["lang", "source", "term", "n", "slice", "packed"]
+        names = ["lang", "source", "slice", "packed", "bucket", "words"]
         finders = {lang: automaton(t) for lang, t in known.items()}
         counts: dict[tuple[str, str], np.ndarray] = {}
         left: dict[tuple[str, str], Counter] = {}
 
         def out_left() -> Iterator[pa.RecordBatch]:
             for (lang, source), words in left.items():
-                m = len(words)
-                terms = pa.array(list(words), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([source] * m), terms, pa.array(list(words.values()), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                by: dict[int, list[bytes]] = {}
+                for w in words:
+                    by.setdefault(crc32(w) % buckets, []).append(w)
+                m = len(by)
+                joined = pa.array([b" ".join(some) for some in by.values()], pa.binary()).cast(pa.string())
+                packed = pa.array([np.fromiter((words[w] for w in some), np.int64, len(some)).tobytes() for some in by.values()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([source] * m), pa.nulls(m, pa.int32()), packed, pa.array(list(by), pa.int32()), joined], names)
             left.clear()
 
         def out_counts() -> Iterator[pa.RecordBatch]:
@@ -201,7 +208,7 @@ def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int =
                 m = len(slices)
                 if m:
                     packed = [np.stack([at[a:b], n[at[a:b]]]).tobytes() for _, a, b in slices]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([source] * m), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array([k for k, _, _ in slices], pa.int32()), pa.array(packed, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([source] * m), pa.array([k for k, _, _ in slices], pa.int32()), pa.array(packed, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string())], names)
             counts.clear()
 
         for batch in batches:
@@ -255,28 +262,31 @@ def occurrences(docs: DataFrame, kept: DataFrame, head: int = HEAD, block: int =
                 part = batch.slice(*at)
                 if here != lang:
                     lang, terms, finder = here, [], None
-                words = part.column("term").cast(pa.binary()).to_pylist()
+                words = part.column("words").cast(pa.binary()).to_pylist()
                 if known:
                     terms += words
                     continue
                 if terms and finder is None:
                     finder = automaton(terms)
-                padded = b" %b " % b" ".join(words)
-                ends, _ = matches(finder, padded)
-                stops = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-                keep = pa.array(np.searchsorted(stops, ends))
-                if len(keep):
-                    yield part.select(["lang", "source", "term", "n"]).take(keep)
+                counts: dict[tuple, int] = {}
+                for source, row, packed in zip(part.column("source").to_pylist(), words, part.column("packed").to_pylist(), strict=True):
+                    ends, _ = matches(finder, b" %b " % row)
+                    row, n = row.split(b" "), np.frombuffer(packed, np.int64)
+                    stops = np.cumsum(np.fromiter((len(w) + 1 for w in row), np.int64, len(row)))
+                    for i in np.searchsorted(stops, ends).tolist():
+                        counts[lang, source, row[i]] = counts.get((lang, source, row[i]), 0) + int(n[i])
+                if counts:
+                    yield _rows(counts, ["lang", "source", "term"])
 
     # the first pass over the texts runs once: what it found, packed by slices of the head, and what it left stand in one table
-    table = written(docs.mapInArrow(first, f"{_POSTING}, slice int, packed binary").withColumn("part", (F.spark_partition_id() / TOGETHER).cast("int")), "audit-first")
-    packed = table.where("packed is not null").select("lang", "source", "slice", "packed", "part").repartition("lang", "slice", "part").sortWithinPartitions("lang", "slice")
+    table = written(docs.mapInArrow(first, "lang string, source string, slice int, packed binary, bucket int, words string").withColumn("part", (F.spark_partition_id() / TOGETHER).cast("int")), "audit-first")
+    packed = table.where("slice is not null").select("lang", "source", "slice", "packed", "part").repartition("lang", "slice", "part").sortWithinPartitions("lang", "slice")
     found = packed.mapInArrow(summed, _POSTING)
     if rest:
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rest // block))
-        left = table.where("packed is null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).withColumn("known", F.lit(False))
-        names = kept.where(~among).select("lang", F.lit("").alias("source"), "term", F.lit(0).cast("long").alias("n"), F.lit(True).alias("known"))
-        dealt = names.unionByName(left).repartition(n, "lang", "term").sortWithinPartitions("lang", F.desc("known"))
+        left = table.where("bucket is not null").select("lang", "source", "packed", "bucket", "words", F.lit(False).alias("known"))
+        place = (F.crc32(F.encode("term", "UTF-8")) % buckets).cast("int")
+        names = kept.where(~among).select("lang", F.lit("").alias("source"), F.lit(None).cast("binary").alias("packed"), place.alias("bucket"), F.col("term").alias("words"), F.lit(True).alias("known"))
+        dealt = names.unionByName(left).repartition(n, "bucket").sortWithinPartitions("lang", F.desc("known"))
         found = found.unionByName(dealt.mapInArrow(second, _POSTING))
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 

@@ -1,10 +1,10 @@
 """Toxicity: a classifier chain. Each category's linear model sees the text's features and the probabilities of the categories before it.
 
-A later model is trained on out-of-fold probabilities of the earlier ones, so it learns from scores such as those of unseen texts.
+A later model is trained on out-of-fold probabilities of the earlier ones, so it learns from scores such as those of unseen texts. A fold's models know nothing of its rows: their words
+are chosen among the other folds' rows too.
 
-Training takes a sample of labelled rows of at most ``SAMPLE`` (those of the smallest hashed ids), the only bound here that doesn't grow with the
-data; every row is scored in one pass over whole texts without a shuffle. Near copies count once in training: of the rows
-with the same smallest shingle hash, one stays.
+Training takes at most ``SAMPLE`` rows, of as many labelled ids (those of the smallest hashes; where ids have several texts, the rows of the smallest hashes), the only bound here that
+doesn't grow with the data; every row is scored in one pass over whole texts without a shuffle. Near copies count once in training: of the rows with the same smallest shingle hash, one stays.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, chunks, forget, id_type, lowered, pick, release, shingle_hashes, span_hashes, unused, word_hashes, written
@@ -128,7 +128,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     largest = [F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(categories.values())]
     base = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].alias("doc_id")).agg(*largest)
     some = base.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = pick(docs, id_col, text_col).join(F.broadcast(some), "doc_id")  # `sample` rows at most
+    rows = pick(docs, id_col, text_col).join(F.broadcast(some), "doc_id")  # `sample` ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -151,45 +151,62 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
                 )
 
     schema = f"doc_id {id_type(docs, id_col)}, {', '.join(f'{c} double' for c in labels_of)}, least long, words array<long>, dense binary"
-    got = written(rows.mapInArrow(run, schema).groupBy("least").agg(F.min(F.struct("doc_id", *labels_of, "words", "dense")).alias("r")).select("r.*"), "toxicity-sample")
-    size = got.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in labels_of)).first()
-    if not size["n"]:
+    every = written(rows.mapInArrow(run, schema).groupBy("least").agg(F.min(F.struct("doc_id", *labels_of, "words", "dense")).alias("r")).select("least", "r.*"), "toxicity-sample")
+    got, key = every, F.struct(F.xxhash64("least"), "least")
+    if every.count() > sample:  # an id may have any number of texts
+        last = every.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k").alias("k")).first()["k"]
+        got = every.where(key <= F.struct(*(F.lit(x).cast("long") for x in last))) if last else every.where("false")
+    got = got.withColumn("fold", F.pmod("least", F.lit(FOLDS)).cast("int")).drop("least")
+    if not got.count():
+        forget(every)
         return Chain(np.zeros(0, _U), [(n, np.append(np.zeros(4 + i), -35.0), 1.0) for i, n in enumerate(names)])
-    words = chosen_words(got, labels_of, size.asDict())
-    x, ys = training_matrix(got, labels_of, words)
-    forget(got)
-    folds = np.random.default_rng(0).permutation(len(x)) % FOLDS
+    chosen = chosen_words(got, labels_of)
+    words = np.unique(np.concatenate(chosen))
+    x, folds, ys = training_matrix(got, labels_of, words)
+    forget(every)
+    dense = np.arange(len(words), len(words) + 4)
+    columns = [np.concatenate([np.searchsorted(words, c), dense]) for c in chosen]
     models, before = [], []
     for name, y in zip(names, ys, strict=True):
-        full = np.hstack([x, *(p[:, None] for p in before)])
         apart = np.zeros(len(y))
         for k in range(FOLDS):
             inner = folds != k
             if inner.any() and not inner.all():
+                full = np.hstack([x[:, columns[k]].astype(np.float64), *(p[:, None] for p in before)])
                 apart[~inner] = probability(full[~inner], fit_logistic(full[inner], y[inner].astype(float)))
+        full = np.hstack([x[:, columns[FOLDS]].astype(np.float64), *(p[:, None] for p in before)])
         models.append((name, fit_logistic(full, y.astype(float)), best_threshold(apart, y)))
         before.append(apart)
-    return Chain(words, models)
-
-
-def chosen_words(got: DataFrame, labels_of: list[str], size: dict) -> np.ndarray:
-    """Hashes of the words of each category that tell it best by chi-square, among those in enough rows: ``WORDS`` for each at most."""
-    n = size["n"]
-    counts = got.select(F.explode("words").alias("w"), *labels_of).groupBy("w").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in labels_of))
-    counts = written(counts.where(F.col("n") >= max(ROWS, SHARE * n)), "toxicity-words")
-    out: set[int] = set()
-    for c in labels_of:
-        share = size[c] / n
-        spread = F.col("n") * (share * (1 - share)) * (1 - F.col("n") / n) + 1e-9
-        chi = F.pow(F.col(c) - F.col("n") * share, 2) / spread
-        best = counts.select("w", chi.alias("chi")).where("chi > 10.8").orderBy(F.col("chi").desc(), "w").limit(WORDS)  # a chance of 1 in 1000
-        out.update(r["w"] for r in best.collect())
-    forget(counts)
-    return np.sort(np.array([*out], np.int64).view(_U))
-
-
-def training_matrix(got: DataFrame, labels_of: list[str], words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Features and labels of the sample in the order of ids, on the driver: sample rows x (chosen words + 4)."""
+    return Chain(chosen[FOLDS], models)
+
+
+def chosen_words(got: DataFrame, labels_of: list[str]) -> list[np.ndarray]:
+    """For each fold the hashes of the words that tell the categories best by chi-square in the rows of the others, ``WORDS`` a category at most among those in enough rows; at last those of all rows."""
+    sizes = got.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in labels_of)).collect()  # a row for each fold
+    there = {c: [sum(r[c] for r in sizes if r["fold"] != k) for k in range(FOLDS + 1)] for c in ("n", *labels_of)}
+    rows = got.select(F.explode("words").alias("w"), "fold", F.lit(1.0).alias("n"), *labels_of)
+    without = [F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(FOLDS + 1) for c in ("n", *labels_of)]
+    counts = rows.groupBy("w").agg(*without).where(F.col(f"n_{FOLDS}") >= ROWS)
+    each = []
+    for k in range(FOLDS + 1):
+        n, m = there["n"][k], F.col(f"n_{k}")
+        for i, c in enumerate(labels_of):
+            if not n:
+                continue
+            share = there[c][k] / n
+            chi = F.pow(F.col(f"{c}_{k}") - m * share, 2) / (m * (share * (1 - share)) * (1 - m / n) + 1e-9)
+            enough = m >= max(ROWS, SHARE * n)
+            each.append(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.when(enough, chi).alias("chi")))
+    told = counts.select("w", F.explode(F.array(*each)).alias("e")).select("w", "e.*").where("chi > 10.8")  # a chance of 1 in 1000
+    best = Window.partitionBy("k", "i").orderBy(F.desc("chi"), "w")
+    out: list[set[int]] = [set() for _ in range(FOLDS + 1)]
+    for r in told.withColumn("r", F.row_number().over(best)).where(F.col("r") <= WORDS).select("k", "w").collect():
+        out[r["k"]].add(r["w"])
+    return [np.sort(np.array([*x], np.int64).view(_U)) for x in out]
+
+
+def training_matrix(got: DataFrame, labels_of: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Features, folds and labels of the sample in the order of ids, on the driver: sample rows x (chosen words + 4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,13 +219,13 @@ def training_matrix(got: DataFrame, labels_of: list[str], words: np.ndarray) ->
                     at = np.searchsorted(words, s).clip(max=len(words) - 1)
                     x[at[words[at] == s]] = 1
                 rows.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in labels_of), pa.array(rows, pa.binary())], ["doc_id", *labels_of, "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), *(batch.column(c) for c in labels_of), pa.array(rows, pa.binary())], ["doc_id", "fold", *labels_of, "x"])
 
     kind = got.schema["doc_id"].dataType.simpleString()
-    rows = got.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} double' for c in labels_of)}, x binary").toPandas()
+    rows = got.mapInArrow(run, f"doc_id {kind}, fold int, {', '.join(f'{c} double' for c in labels_of)}, x binary").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]).astype(np.float64)
-    return x, [rows[c].to_numpy() > 0 for c in labels_of]
+    x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]])
+    return x, rows["fold"].to_numpy(), [rows[c].to_numpy() > 0 for c in labels_of]
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:

@@ -48,6 +48,17 @@ def test_later_models_see_earlier_ones(spark):
     assert second[1][-2] > 0  # the second leans on the first's probability
 
 
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """An id may have any number of texts; training takes no more rows than it says."""
+    docs = spark.range(400).selectExpr("1L as doc_id", "concat('some words and a number ', id) as text")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    matrix = T.training_matrix
+    monkeypatch.setattr(T, "training_matrix", lambda *a: seen.append(matrix(*a)) or seen[-1])
+    assert T.classify(docs, labels, sample=10).count() == 400 and len(seen[0][0]) == 10
+    assert T.classify(docs, labels, sample=400).count() == 400 and 10 < len(seen[1][0]) <= 400
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 1), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert T.classify(edge, labels).count() == 10 and T.classify(empty, labels).count() == 0

@@ -65,30 +65,37 @@ def plain_chain(documents, labels):
     rows = sorted(rows.values())
     n, ys = len(rows), [np.array([known[d][c] for d, _ in rows], float) for c in (0, 1)]
     sets = [marks_of(t) for _, t in rows]
-    chosen = set()
-    for y in ys:
-        every, hit, share = Counter(w for s in sets for w in s), Counter(w for s, v in zip(sets, y, strict=True) if v for w in s), y.mean()
-        chi = {w: (hit[w] - m * share) ** 2 / (m * share * (1 - share) * (1 - m / n) + 1e-9) for w, m in every.items() if m >= max(T.ROWS, T.SHARE * n)}
-        signed = lambda w: w - (1 << 64) if w >> 63 else w
-        chosen |= set(sorted((w for w in chi if chi[w] > 10.8), key=lambda w: (-chi[w], signed(w)))[: T.WORDS])
-    words = sorted(chosen)
-    features = lambda t, s: [*(w in s for w in words), *dense_of(t)]
-    x = np.array([features(t, s) for (_, t), s in zip(rows, sets, strict=True)], float)
-    folds = np.random.default_rng(0).permutation(n) % T.FOLDS
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    folds = np.array([signed(least_of(t)) % T.FOLDS for _, t in rows])
+
+    def chosen(use):
+        """The words that tell the categories best in some rows."""
+        out, m = set(), int(use.sum())
+        for y in ys:
+            every, hit = (Counter(w for s, u, v in zip(sets, use, y, strict=True) if u and (v or not only) for w in s) for only in (False, True))
+            share = y[use].mean()
+            chi = {w: (hit[w] - k * share) ** 2 / (k * share * (1 - share) * (1 - k / m) + 1e-9) for w, k in every.items() if k >= max(T.ROWS, T.SHARE * m)}
+            out |= set(sorted((w for w in chi if chi[w] > 10.8), key=lambda w: (-chi[w], signed(w)))[: T.WORDS])
+        return sorted(out)
+
+    features = lambda words, t, s: [*(w in s for w in words), *dense_of(t)]
+    words = [chosen(folds != k) for k in range(T.FOLDS + 1)]
+    x = [np.array([features(w, t, s) for (_, t), s in zip(rows, sets, strict=True)], float) for w in words]
     models, before = [], []
     for y in ys:
-        full = np.hstack([x, *(p[:, None] for p in before)])
         apart = np.zeros(n)
         for k in range(T.FOLDS):
+            full = np.hstack([x[k], *(p[:, None] for p in before)])
             apart[folds == k] = plain_probability(full[folds == k], plain_fit(full[folds != k], y[folds != k]))
         cuts = sorted(set(apart.tolist()), reverse=True)
         f1 = [2 * y[apart >= c].sum() / ((apart >= c).sum() + y.sum()) for c in cuts]
         best = int(np.argmax(f1))
+        full = np.hstack([x[T.FOLDS], *(p[:, None] for p in before)])
         models.append((plain_fit(full, y), (cuts[best] + cuts[best + 1]) / 2 if best + 1 < len(cuts) else cuts[best]))
         before.append(apart)
     out = {}
     for d, text in documents:
-        seen = features(text, marks_of(text))
+        seen = features(words[T.FOLDS], text, marks_of(text))
         for w, threshold in models:
             p = plain_probability(np.array(seen, float), w)
             seen = [*seen, p]
