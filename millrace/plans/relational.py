@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import sketches
+from millrace.operators import ranges
 from millrace.operators.joins import asof_join, interval_join
 from millrace.operators.layout import kept_path
 from millrace.plans.registry import query, table
@@ -131,3 +133,115 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream: the windows that are over by the watermark."""
     return shown_windows(drained(windows(event_stream(spark, sf_dir), "ts", "1 hour", ["event_type"], [F.count("*").alias("n")], "30 minutes"), "windows"))
+
+
+@query("""
+WITH v AS (SELECT event_type, user_id || ':' || props AS v FROM events), h AS (SELECT event_type, md5(v) AS d FROM v),
+b AS (SELECT event_type, ('0x' || substr(d, 1, 4))::BIGINT >> 4 AS slot, ('0x' || substr(d, 5, 8))::BIGINT AS t FROM h),
+r AS (SELECT event_type, slot, max(CASE WHEN t = 0 THEN 33 ELSE 33 - length(bin(t)) END) AS rank FROM b GROUP BY 1, 2),
+z AS (SELECT event_type, 4096 - count(*) AS z, 4096 - count(*) + sum(power(2.0, -rank)) AS s FROM r GROUP BY 1),
+e AS (SELECT event_type, z, (0.7213 / (1 + 1.079 / 4096)) * 4096 * 4096 / s AS raw FROM z)
+SELECT event_type, (SELECT count(DISTINCT v) FROM v WHERE v.event_type = e.event_type)::BIGINT AS users, floor(CASE WHEN raw <= 2.5 * 4096 AND z > 0 THEN 4096 * ln(4096 / z) ELSE raw END + 0.5)::BIGINT AS estimate FROM e
+""")
+def approx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with their properties by event type: the exact number, and that of the merged sketches of all days."""
+    e = events(spark, sf_dir).select("event_type", F.to_date("ts").alias("day"), F.concat_ws(":", F.col("user_id").cast("string"), "props").alias("v"))
+    days = sketches.distinct_sketch(e, ["event_type", "day"], "v")
+    whole = sketches.merged(days, ["event_type"], "sketch", "max").select("event_type", sketches.distinct_estimate("sketch").alias("estimate"))
+    return e.groupBy("event_type").agg(F.count_distinct("v").alias("users")).join(whole, "event_type").select("event_type", "users", "estimate")
+
+
+@query("""
+WITH p AS (SELECT o_orderpriority AS p, o_totalprice AS x, ceil(ln(o_totalprice) / ln(1.01 / 0.99)) AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+q AS (SELECT unnest([0.0, 0.5, 0.99]) AS q)
+SELECT p, q::DOUBLE AS q, round(2 * power(1.01 / 0.99, k) / (1.01 / 0.99 + 1), 3) AS estimate, x AS exact, abs(2 * power(1.01 / 0.99, k) / (1.01 / 0.99 + 1) - x) <= 0.0100001 * x AS near FROM p, q WHERE r = floor(q * (n - 1))
+""")
+def approx_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of prices by priority from merged sketches, with the exact ones by running row numbers."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("x"), "o_orderkey")
+    whole = sketches.merged(sketches.quantile_sketch(o, ["p", "y"], "x"), ["p"], "sketch", "sum")
+    told = whole.select("p", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), sketches.quantile("sketch", q).alias("e")) for q in (0.0, 0.5, 0.99)))).alias("s")).select("p", "s.q", "s.e")
+    ranked = ranges.running(o, ["p"], ["x", "o_orderkey"], {}, "r")
+    sizes = o.groupBy("p").agg(F.count("*").alias("n"))
+    out = told.join(sizes, "p").join(ranked.withColumnRenamed("p", "p2"), F.expr("p2 = p and r - 1 = floor(q * (n - 1))"))
+    return out.select("p", "q", F.round("e", 3).alias("estimate"), F.col("x").alias("exact"), (F.abs(F.col("e") - F.col("x")) <= 0.0100001 * F.col("x")).alias("near"))
+
+
+PARTLY = "(SELECT o_orderstatus AS s, CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_orderpriority END AS p, o_custkey, o_orderdate, o_orderkey FROM orders)"
+
+
+def partly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, some of whose priorities are null."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("s"), F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority")).alias("p"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+COUNTED = "count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS customers, count(DISTINCT o_orderdate)::BIGINT AS days, max(o_orderkey) AS last"
+
+
+def counted() -> list[F.Column]:
+    return [F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderdate").alias("days"), F.max("o_orderkey").alias("last")]
+
+
+@query(f"SELECT s, p, (2 * grouping(s) + grouping(p))::BIGINT AS level, {COUNTED} FROM {PARTLY} GROUP BY CUBE (s, p)")
+def cube_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.grouping_sets(partly(spark, sf_dir), ranges.cube_sets(["s", "p"]), counted())
+
+
+@query(f"SELECT s, p, (2 * grouping(s) + grouping(p))::BIGINT AS level, {COUNTED} FROM {PARTLY} GROUP BY ROLLUP (s, p)")
+def rollup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.grouping_sets(partly(spark, sf_dir), ranges.rollup_sets(["s", "p"]), counted())
+
+
+@query(f"SELECT p, s, (2 * grouping(p) + grouping(s))::BIGINT AS level, {COUNTED} FROM {PARTLY} GROUP BY GROUPING SETS ((p), (s), ())")
+def grouping_sets_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.grouping_sets(partly(spark, sf_dir), [["p"], ["s"], []], counted())
+
+
+@query("""
+SELECT event_id, sum(user_id) OVER (ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 3 FOLLOWING)::BIGINT AS near, min(user_id) OVER (ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 3 FOLLOWING) AS least FROM events
+""")
+def frame_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of rows over all events as one key, which is cut."""
+    out = ranges.rows_frame(events(spark, sf_dir).select("event_id", "user_id"), [], ["event_id"], 5, 3, {"near": F.sum("user_id"), "least": F.min("user_id")}, piece=1000)
+    return out.select("event_id", "near", "least")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND 60000000 FOLLOWING)::BIGINT AS n FROM events")
+def frame_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a type from an hour before each one to a minute after."""
+    out = ranges.range_frame(events(spark, sf_dir).select("event_id", "event_type", micros("ts")), ["event_type"], "ts", 3_600_000_000, 60_000_000, {"n": F.count("*")})
+    return out.select("event_id", "n")
+
+
+@query("""
+SELECT event_id, row_number() OVER (ORDER BY event_id)::BIGINT AS place, sum(user_id) OVER (ORDER BY event_id)::BIGINT AS total,
+sum(user_id) OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS of_type FROM events
+""")
+def running_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums that run on over all events, and over those of a type."""
+    e = ranges.running(events(spark, sf_dir).select("event_id", "event_type", "user_id"), [], ["event_id"], {"total": F.col("user_id")}, "place")
+    return ranges.running(e, ["event_type"], ["event_id"], {"of_type": F.col("user_id")}).select("event_id", "place", "total", "of_type")
+
+
+@query("SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::BIGINT AS rank FROM events QUALIFY rank <= 3")
+def top_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three dearest events of each user; of equal ones the earlier."""
+    return ranges.top_k(events(spark, sf_dir).select("user_id", "event_id", "value"), ["user_id"], [("value", "descending"), ("event_id", "ascending")], 3)
+
+
+BAGS = ("SELECT o_custkey % 50 AS a, CASE WHEN o_custkey % 7 > 0 THEN o_orderstatus END AS b FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_custkey % 60 AS a, CASE WHEN o_custkey % 5 > 0 THEN o_orderstatus END AS b FROM orders WHERE o_orderkey % 3 = 0")
+
+
+def bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    return tuple(o.where(f"o_orderkey % {k} = 0").selectExpr(f"o_custkey % {m} AS a", f"CASE WHEN o_custkey % {d} > 0 THEN o_orderstatus END AS b") for k, m, d in ((2, 50, 7), (3, 60, 5)))
+
+
+@query(f"({BAGS[0]}) INTERSECT ALL ({BAGS[1]})")
+def intersect_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.intersect_all(*bags(spark, sf_dir))
+
+
+@query(f"({BAGS[0]}) EXCEPT ALL ({BAGS[1]})")
+def except_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.except_all(*bags(spark, sf_dir))
