@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +14,8 @@ from millrace.llm._common import PUNCTUATION, arrow_map, buffer_of, id_type, pic
 
 #: The least coverage of a template that counts.
 COVERAGE = 0.8
+#: Foreign words in a stretch at the most, all its gaps together, and words of a template from which stretches with more foreign words than a quarter of its own are sought.
+GAP, LONG = 1200, 20
 
 #: License templates by name (public license texts and usual notices), their words in order.
 TEMPLATES = {
@@ -118,7 +120,8 @@ class Templates:
     A text that covers a template holds at least one of any (words that may miss + 1) of its words; the longest are taken, as long words are rare.
     """
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], coverage: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...], coverage: float, gap: int = GAP):
+        self.gap = gap
         self.words: dict[str, list[int]] = {}
         seeds: dict[int, list[tuple[str, int]]] = {}
         for name, text in templates:
@@ -154,36 +157,109 @@ class Templates:
                         break
                 if got and len(got) >= self.coverage * len(template) - 1e-9:
                     found.append((len(got) / len(template), name, lo + got[0][1], lo + got[-1][1] + 1))
+        found += self.apart(words, hits, found)
         by_name, by_family = defaultdict(Taken), defaultdict(Taken)
         order = sorted(found, key=lambda x: (-x[0], x[3] - x[2], x[2], x[1]))
         each = [(name, cover, lo, hi) for cover, name, lo, hi in order if by_name[name].add(lo, hi)]
         out = [x for x in sorted(each, key=self.nearness, reverse=True) if by_family[family(x[0])].add(x[2], x[3])]
         return sorted(out, key=lambda x: (x[2], x[0]))
 
+    def apart(self, words: list[int], hits: list[int], found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
+        """Stretches of long templates with more foreign words inside, up to ``gap``, around seed words that are in no whole stretch of ``found``.
+
+        A stretch of so many words can only cover a template if it has enough of its words, counted as often as the template has them. That number is kept while the stretch moves over
+        the text; where it suffices, the words from there on are aligned, more and more of them, as what comes after a stretch may repeat its words. Every place of the text is aligned a bounded
+        number of times.
+        """
+        spans = defaultdict(list)
+        for cover, name, lo, hi in found:
+            if cover == 1:
+                spans[name].append((lo, hi))
+        seen = {name: (sorted(x), [hi for _, hi in sorted(x)]) for name, x in spans.items()}
+        left: dict[str, list[int]] = defaultdict(list)
+        for p in hits:
+            for name in {name for name, _ in self.seeds[words[p]]}:
+                if len(self.words[name]) >= LONG:
+                    inside = seen.get(name)
+                    if inside is not None:
+                        k = bisect_right(inside[0], (p, len(words)))
+                        if any(lo <= p < hi for lo, hi in inside[0][max(0, k - 2) : k]):
+                            continue
+                    left[name].append(p)
+        out = []
+        for name, places in left.items():
+            template = self.words[name]
+            need = int(np.ceil(self.coverage * len(template) - 1e-9))
+            size, have = len(template) + self.gap, Counter(template)
+            # the text around seed words, as stretches that don't meet
+            areas: list[list[int]] = []
+            for p in places:
+                lo, hi = max(0, p - size), min(len(words), p + size)
+                if areas and lo <= areas[-1][1]:
+                    areas[-1][1] = hi
+                else:
+                    areas.append([lo, hi])
+            for lo, hi in areas:
+                own = [p for p in range(lo, hi) if words[p] in have]
+                out += self._moved(name, template, have, words, own, need, size)
+        return out
+
+    def _moved(self, name: str, template: list[int], have: Counter, words: list[int], own: list[int], need: int, size: int) -> list[tuple[float, str, int, int]]:
+        out, count, enough, a, b, again = [], Counter(), 0, 0, 0, -1
+        while a < len(own):
+            while b < len(own) and own[b] < own[a] + size:
+                w = words[own[b]]
+                count[w] += 1
+                enough += count[w] <= have[w]
+                b += 1
+            done = a + 1
+            if enough >= need and own[a] > again:
+                lo, more, got = own[a], len(template) // 4 + 2, []
+                while len(got) < len(template) and more < 2 * self.gap:
+                    hi = min(lo + len(template) + min(more, self.gap), own[b - 1] + 1)
+                    new, more = patience(template, words[lo:hi]), 2 * more
+                    got = new if len(new) > len(got) else got
+                if len(got) >= need:
+                    # what lies before and after the matched words is left out, and what is there is aligned anew
+                    first, last = lo + got[0][1], lo + got[-1][1] + 1
+                    better = patience(template, words[first:last])
+                    got, lo = (better, first) if len(better) >= len(got) else (got, lo)
+                    out.append((len(got) / len(template), name, lo + got[0][1], lo + got[-1][1] + 1))
+                    done = max(done, bisect_left(own, out[-1][3]))
+                else:
+                    again = lo + size // 4
+            for w in (words[p] for p in own[a:done]):
+                enough -= count[w] <= have[w]
+                count[w] -= 1
+            a = done
+            b = max(a, b)
+        return out
+
     def nearness(self, stretch: tuple[str, float, int, int]) -> tuple[int, str]:
-        """Words in common, without those that only the template or only the stretch has; then the name, for equal ones."""
+        """Words in common, without those that only the template or, up to an eighth of it, only the stretch has; then the name, for equal ones."""
         name, cover, lo, hi = stretch
         n = len(self.words[name])
         common = round(cover * n)
-        return common - (n - common) - (hi - lo - common), name
+        return common - (n - common) - min(hi - lo - common, 2 + n // 8), name
 
 
 @lru_cache(4)
-def prepared(templates: tuple[tuple[str, str], ...], coverage: float) -> Templates:
-    return Templates(templates, coverage)
+def prepared(templates: tuple[tuple[str, str], ...], coverage: float, gap: int = GAP) -> Templates:
+    return Templates(templates, coverage, gap)
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE, gap: int = GAP) -> DataFrame:
     """doc_id, license, coverage, start, end (code points of the first and after the last matched word): a row for each stretch of each template.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered. One pass over whole texts, no shuffle. Null or empty texts give no rows; rows with
-    null or repeated ids are scanned as any other. Stretches of one template don't overlap; those of several may (a notice lies in the header that begins with it),
+    null or repeated ids are scanned as any other. A stretch may have foreign words in it: a quarter of the template's words and two more before and after a seed word, and for templates of
+    ``LONG`` words or more up to ``gap`` in any places; beyond that it isn't found. Shorter notices aren't sought over gaps, as their few words lie about in any long text. Stretches of one template don't overlap; those of several may (a notice lies in the header that begins with it),
     but of a family (Creative Commons, BSD) only the nearest.
     """
     spec = tuple((templates or TEMPLATES).items())
 
     def make():
-        known = prepared(spec, coverage)
+        known = prepared(spec, coverage, gap)
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw, offsets = buffer_of(batch.column("text"))

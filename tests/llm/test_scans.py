@@ -1,7 +1,11 @@
 import hashlib
+import math
+import random
 import re
 import subprocess
 import sys
+import time
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -10,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.license_scan import TEMPLATES, increasing, patience, prepared, scan_licenses
+from millrace.llm.license_scan import COVERAGE, GAP, LONG, TEMPLATES, family, increasing, patience, prepared, scan_licenses
 from millrace.llm.queries import QUERIES
 from millrace.llm.secret_scan import RATIO, Scanner, redact_secrets, scan_secrets
 
@@ -180,6 +184,67 @@ def test_bsd_2_is_not_bsd_3(spark):
     assert got == {1: ["BSD-2-Clause"], 2: ["BSD-3-Clause"], 3: ["CC-BY-4.0-line", "CC-BY-NC-4.0-line"]}
 
 
+@pytest.mark.parametrize("n", [10, 45, 60, 100, 1000])
+def test_templates_with_foreign_words_inside(spark, n):
+    """Whatever stands between two words of a template, it is found with all of its words; with nearly all, if some of its own stand there too."""
+    rng = random.Random(n)
+    rows, want = [], {}
+    for name in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0", "ISC", "MPL-2.0"):
+        words = re.findall(r"[A-Za-z0-9]+", TEMPLATES[name])
+        for share, own in ((0.03, 0), (0.25, 0), (0.5, 0), (0.8, 0), (0.97, 0), (0.4, 0.15), (0.7, 0.15)):
+            k = int(len(words) * share)
+            foreign = [rng.choice(words) if rng.random() < own else f"x{rng.getrandbits(40)}" for _ in range(n)]
+            text = " ".join(["before", *words[:k], *foreign, *words[k:], "after"])
+            want[len(rows)] = (name, 0.9 if own else 1.0, 7, len(text) - 6)
+            rows.append((len(rows), text))
+    got = {}
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    near = lambda g, w: g[0] == w[0] and g[1] >= w[1] and (w[1] < 1 or g[2:] == w[2:])
+    assert not [w for i, w in want.items() if not any(near(g, w) for g in got.get(i, []))]
+
+
+def test_interrupted_copies_one_after_another():
+    known = prepared(tuple(TEMPLATES.items()), COVERAGE)
+    mit, times = known.words["MIT"], []
+    for copies in (30, 300):
+        words = [w for c in range(copies) for w in (*mit[:40], *range(c * 1000, c * 1000 + 200), *mit[40:], *range(c * 1000 + 500, c * 1000 + 520))]
+        begin = time.process_time()
+        got = [x for x in known.scan(words, [i for i, w in enumerate(words) if w in known.seeds]) if x[0] == "MIT"]
+        times.append(time.process_time() - begin)
+        assert len(got) == copies and min(x[1] for x in got) == 1
+    assert times[1] < 30 * times[0] + 2
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_op5_against_every_template_on_every_text(documents):
+    """A plain search: for each template and each place of each text, the longest common subsequence with what may belong to a stretch from there on."""
+    lower = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+    templates = {name: lower(t) for name, t in TEMPLATES.items()}
+    want = set()
+    for r in documents.collect():
+        words = lower(r["text"] or "")
+        for name, t in templates.items():
+            need, have = math.ceil(COVERAGE * len(t) - 1e-9), Counter(t)
+            size = len(t) + (GAP if len(t) >= LONG else len(t) // 4 + 2)
+            for p in (i for i, w in enumerate(words) if w in have):
+                some = words[p : p + size]
+                if sum((Counter(some) & have).values()) >= need and common(t, some) >= need:
+                    want.add((r["doc_id"], family(name)))
+                    break
+    got = {(r["doc_id"], family(r["license"])) for r in scan_licenses(documents).collect()}
+    assert got == want and want
+
+
 def test_license_edits_and_edges(spark, edge, empty):
     mit = TEMPLATES["MIT"]
     words = mit.split()
@@ -193,8 +258,6 @@ def test_license_edits_and_edges(spark, edge, empty):
 
 
 def test_many_stretches_in_a_text_take_linear_time(spark):
-    import time
-
     n = 2000
     text = "é All rights reserved. Licensed under CC BY-NC 4.0. " * n
     got = scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
