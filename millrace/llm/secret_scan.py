@@ -24,7 +24,6 @@ RANDOM = "random"
 #: The token test's parameters: the shortest string, and the most characters a token covers in a random one on average.
 LEAST = 20
 RATIO = 2.0
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: What is known not to be a secret. Digests: hexadecimal of the usual digest lengths. UUIDs. Runs of one character, numbers.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
@@ -58,14 +57,16 @@ class Bounds:
 
 
 class Scanner:
-    def __init__(self, path: str, ratio: float):
+    def __init__(self, path: str, ratio: float, least: int = LEAST):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ratio = ratio
+        self.ratio, self.least = ratio, least
+        # runs of 24 hexadecimal digits lie in candidates too
+        self.candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{min(least, 24)},}}")
 
     def tokens(self, text: str) -> int:
         """Tokens of a string, in pieces, so that the time is linear in its length."""
@@ -85,17 +86,17 @@ class Scanner:
         if DIGEST.fullmatch(text) or UUID.fullmatch(text) or PLAIN.fullmatch(text):
             return False
         odd = sum(n for score, n in map(self.score, PART.findall(text)) if score > 0)
-        return odd >= LEAST // 2 and len(text) < self.ratio * self.tokens(text)
+        return odd >= self.least // 2 and len(text) < self.ratio * self.tokens(text)
 
     def within(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Bounds of what looks random in a string without spaces: all of it, or each field, or a field's longest rows of parts that are no words. What is ``taken`` or known is passed over."""
         gone = Bounds(taken + [m.span() for m in KNOWN.finditer(text)])
-        if not gone.within(0, len(text)) and self.random(text):
+        if len(text) >= self.least and not gone.within(0, len(text)) and self.random(text):
             return [(0, len(text))]
         out = []
         for field in FIELD.finditer(text):
             start, end = field.span()
-            if end - start >= LEAST and not gone.within(start, end) and self.random(field[0]):
+            if end - start >= self.least and not gone.within(start, end) and self.random(field[0]):
                 out.append((start, end))
                 continue
             last, row = start, []  # the end of the last word, and (start, end, score, characters that tell) since
@@ -108,7 +109,7 @@ class Scanner:
                 if row:
                     # one joiner belongs to the word beside it, further ones to the row
                     lo, hi = min(row[0][0], last + (last > start)), max(row[-1][1], a - (a < end))
-                    if hi - lo >= LEAST and sum(r[2] for r in row) > 0 and sum(r[3] for r in row if r[2] > 0) >= LEAST // 2:
+                    if hi - lo >= self.least and sum(r[2] for r in row) > 0 and sum(r[3] for r in row if r[2] > 0) >= self.least // 2:
                         out.append((lo, hi))
                 last, row = b, []
         return out
@@ -119,7 +120,7 @@ class Scanner:
             out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
         if "AKIA" in text:
             out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-        found = [m.span() for m in CANDIDATE.finditer(text)]
+        found = [m.span() for m in self.candidate.finditer(text)]
         if found:  # a run of 24 hexadecimal digits lies in a candidate
             out += [("hex", *m.span()) for m in HEX.finditer(text)]
             taken = Bounds([(a, b) for _, a, b in out])
@@ -131,8 +132,8 @@ class Scanner:
 
 
 @lru_cache(2)
-def scanner(path: str, ratio: float) -> Scanner:
-    return Scanner(path, ratio)
+def scanner(path: str, ratio: float, least: int = LEAST) -> Scanner:
+    return Scanner(path, ratio, least)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -143,17 +144,18 @@ def _spans(found: list[list[tuple[str, int, int]]]) -> pa.Array:
     return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], _SPANS)
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ratio: float = RATIO) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """doc_id, spans (array of kind, start, end in code points, end exclusive; by start, then kind): every row's whole text, in one pass without a shuffle.
 
     ``assign``, ``access`` and ``hex`` come from fixed patterns; ``random`` are further strings that no base span touches, without
-    the words that ``=``, ``/`` and other joiners part from them. Null or
+    the words that ``=``, ``/`` and other joiners part from them. They have ``least`` characters or more: shorter ones aren't sought, and the shorter they may be, the more names and abbreviations are
+    taken for random (the README has the shares by length). Hexadecimal of a digest's length and upper case counts as a digest, UUIDs and numbers as identifiers. Null or
     empty text: no spans. Null ids, repeated rows and other columns don't matter.
     """
     path = path or vocabulary("byte_bpe_50k.tiktoken")
 
     def make():
-        s = scanner(path, ratio)
+        s = scanner(path, ratio, least)
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), _spans([s.spans(t) for t in batch.column("text").to_pylist()])], ["doc_id", "spans"])
@@ -180,14 +182,14 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(df: DataFrame, text_col: str = "text", path: str | None = None, ratio: float = RATIO) -> DataFrame:
-    """``df`` with the secrets of its texts replaced by ``<secret>``: every row and column stays, null texts stay null, clean texts stay as they are."""
+def redact_secrets(df: DataFrame, text_col: str = "text", path: str | None = None, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """``df`` with the secrets of its texts (see ``scan_secrets``) replaced by ``<secret>``: every row and column stays, null texts stay null, clean texts stay as they are."""
     path = path or vocabulary("byte_bpe_50k.tiktoken")
     name = unused(df, "redacted")
     names = [*df.columns, name]
 
     def make():
-        s = scanner(path, ratio)
+        s = scanner(path, ratio, least)
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(text_col).to_pylist()
