@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import sketches
+from millrace.functions import sketches, tables
 from millrace.operators import ranges
 from millrace.operators.joins import asof_join, interval_join
 from millrace.operators.layout import kept_path
 from millrace.plans.registry import query, table
+from millrace.sources.csv import csv_line
+from millrace.sources.datasource import register
 from millrace.streaming.keyed import rebatch_by_key, sessions, windows
 
 #: Orders moved into the month of the events.
@@ -245,3 +247,47 @@ def intersect_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"({BAGS[0]}) EXCEPT ALL ({BAGS[1]})")
 def except_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.except_all(*bags(spark, sf_dir))
+
+
+@query("""
+WITH t AS (SELECT c_nationkey AS nation, c_custkey, c_name, c_nationkey + 1 AS age, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer)
+SELECT nation, (r // 2)::BIGINT AS batch, (r % 2)::BIGINT AS place, array_to_string(list_transform(string_split(c_name, ''), lambda x: chr(ascii(x) + 1)), '') AS login, (age + length(c_name))::BIGINT AS age
+FROM t WHERE age + length(c_name) > 30
+""")
+def sql_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline of the README as SQL, a stream for each nation."""
+    tables.register(spark)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("sql_customers")
+    return spark.sql("""
+    WITH people AS (SELECT c_nationkey AS nation, c_custkey, c_name AS login, CAST(c_nationkey + 1 AS BIGINT) AS age FROM sql_customers),
+    stream AS (SELECT * FROM create_batches(TABLE(people) PARTITION BY nation ORDER BY (c_custkey), 2)),
+    changed AS (SELECT nation, batch, place, array_join(transform(split(login, ''), x -> char(ascii(x) + 1)), '') AS login, age + char_length(login) AS age FROM stream)
+    SELECT * FROM changed WHERE age > 30
+    """)
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, string_split(role || ' ' || coalesce(text[:20], ''), ' ') AS words FROM conversations),
+m AS (SELECT *, max(len(words)) OVER (PARTITION BY conv_id) AS m FROM w)
+SELECT conv_id, turn, t.i::INT AS i, words[t.i + 1] AS element, t.i < len(words) AS there FROM m, LATERAL unnest(range(m)) t(i)
+""")
+def sql_pad_and_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each turn, padded to the longest turn of the conversation and taken apart."""
+    tables.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("sql_turns")
+    return spark.sql("""
+    WITH words AS (SELECT conv_id, turn, split(concat(role, ' ', coalesce(substring(text, 1, 20), '')), ' ') AS words FROM sql_turns),
+    padded AS (SELECT * FROM pad_batches(TABLE(words) PARTITION BY conv_id ORDER BY (turn), 'words'))
+    SELECT conv_id, turn, i, element, mask[i] AS there FROM unpack_elements(TABLE(padded), 'words')
+    """)
+
+
+@query("SELECT o_orderkey::VARCHAR AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 3")
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV in several files and read by the strict data source from SQL."""
+    register(spark)
+    path = kept_path(spark, "strict")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 3")
+    o.repartition(3, "o_orderkey").select(csv_line([F.col("o_orderkey").cast("string"), F.col("o_orderstatus")]).alias("value")).write.text(path)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW strict_orders (k STRING, s STRING) USING strict_csv OPTIONS (path '{path}', header 'false')")
+    return spark.sql("SELECT k, s FROM strict_orders")
