@@ -69,7 +69,8 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     Columns: context_limit, n_docs (of exactly this length), docs_over, tokens_over (of longer documents), docs_fit,
     tokens_truncated (the total when every longer document is cut to the limit), tokens_lost, share (of documents that fit, to nine digits, for
     reading: ``quantiles`` compares whole numbers). Between two lengths of the histogram the same suffix sums hold: ``totals_at``. Suffix sums
-    go over blocks of lengths first, then within each block, so no task sees the whole histogram. Empty input: no rows.
+    go over blocks of ``BLOCK`` lengths first, then within each block, so no task sees the whole histogram; one task sees a row for each block, at most the longest text's tokens / ``BLOCK``.
+    Empty input: no rows.
     """
     h = histogram.select(F.col("n_tokens"), F.col("n_docs"), (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)

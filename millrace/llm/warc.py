@@ -175,7 +175,10 @@ def read_warc(archives: DataFrame, page_id: str = "long") -> DataFrame:
     or empty archive gives no rows. Only segmented records are shuffled.
     """
     parsed, read = _PARSED.format(id=page_id), _READ.format(id=page_id)
-    kind = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[page_id]
+    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
+    if page_id not in kinds:
+        raise TypeError(f"page ids are whole numbers or texts, not {page_id}")
+    kind = kinds[page_id]
     value = str if page_id == "string" else int
     fields = [
         ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", kind), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()),

@@ -73,3 +73,13 @@ def test_sql(spark, sf):
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"]
     want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL['op8_warc']})").fetchall()
     assert sorted(want, key=repr) == sorted((tuple(r) for r in QUERIES["op8_warc"](spark, sf).select(*names).collect()), key=repr)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "tinyint", "int", "string"])
+def test_kinds_of_page_ids(spark, kind):
+    pages = spark.createDataFrame([(i, "u", f"text {i % 3}") for i in range(6)], "page_id long, url string, html string").withColumn("page_id", F.col("page_id").cast(kind))
+    got = warc_round_trip(pages).collect()
+    value = str if kind == "string" else int
+    assert {r["page_id"]: r["refers_to"] for r in got} == {value(i): value(i - 3) if i > 2 else None for i in range(6)}
+    with pytest.raises(TypeError, match="whole numbers or texts"):
+        warc_round_trip(pages.withColumn("page_id", F.lit(1.5)))
