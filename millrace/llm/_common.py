@@ -139,6 +139,11 @@ def release() -> None:
     """Empties the memos that another operator's tasks have left in this worker, which Spark uses again, and gives free memory back to the system."""
     for clear in _memos:
         clear()
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Gives the free memory of this worker back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -149,7 +154,9 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     """``mapInArrow`` in slices of bounded bytes; ``make`` is called once a task and gives the slice function. ``memos``: those of earlier tasks are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not memos:
+        if memos:
+            trim_memory()
+        else:
             release()
         f = make()
         for batch in batches:
