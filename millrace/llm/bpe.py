@@ -17,8 +17,8 @@ from millrace.llm._common import _memos, arrow_map, id_type, pick, vocabulary
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-#: Pieces of text in each of the two generations that a worker remembers.
-MEMO = 200_000
+#: Pieces of text in each of the two generations that a worker remembers; spans and words of the encoder.
+MEMO, SPANS, PIECES = 300_000, 200_000, 70_000
 NONE = 1 << 62
 POS = 32
 
@@ -77,8 +77,8 @@ class BytePairs:
         self.ascii = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall
         self.wide = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = Memo(self._piece, MEMO // 3)
-        self.spans = Memo(self._span)
+        self.pieces = Memo(self._piece, PIECES)
+        self.spans = Memo(self._span, SPANS)
         _memos.extend([self.pieces.empty, self.spans.empty])
 
     def merge(self, ids: list[int]) -> list[int]:
