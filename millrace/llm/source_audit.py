@@ -304,7 +304,10 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], str, bool]]:
 
 def share(n: Column, total: Column, terms: Column) -> Column:
     """A term's share of a group's occurrences in billionths, one added to every count; 0 where there are no terms."""
-    return F.when(terms > 0, 1 + F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + terms).cast("decimal(20,0)"))).otherwise(0).cast("long")
+    div = lambda a, b: F.call_function("div", a, b)
+    # decimals only where 64 bits don't hold the product
+    wide = div(F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + terms).cast("decimal(20,0)"))
+    return F.when(terms > 0, 1 + F.when(n < UNIT, div(F.lit(UNIT).cast("long") * (n.cast("long") + 1), total + terms)).otherwise(wide)).otherwise(0).cast("long")
 
 
 def excess(p: Column, q: Column) -> Column:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import source_audit as A
 from millrace.llm._common import cleanup
@@ -98,6 +99,12 @@ def test_empty(empty):
     assert audited(empty.sparkSession.createDataFrame([(None, None, None)] * 3, "lang string, source string, text string")) == []
 
 
+def test_shares_of_any_size(spark):
+    rows = [(n, n * 3, v) for n in (0, 1, 999_999_999, 10**9, 10**9 + 1, 10**15, 2 * 10**18) for v in (0, 1, 10**6)]
+    got = spark.createDataFrame(rows, "n long, t long, v long").select("n", "t", "v", A.share(F.col("n"), F.col("t") - F.col("t") % 7, F.col("v")).alias("p")).collect()
+    assert all(r["p"] == (1 + 10**9 * (r["n"] + 1) // (r["t"] - r["t"] % 7 + r["v"]) if r["v"] else 0) for r in got)
+
+
 def test_matches_are_whole_words():
     finder = A.automaton([b"a", b"ab", b"b"])
     ends, which = A.matches(finder, b" a ab  b abc a ")
