@@ -9,7 +9,7 @@ of pairs.
 Texts are cut in windows of ``STRIDE`` tokens, which overlap by the context: each token is scored once, windows are batched and masked. Every text ends with an end id, which also
 stands before its first token.
 
-Training covers all training documents: id and word counts take every token, gradients a window in ``EVERY`` of each document (one at least). Each task trains on what it reads, the parameters are
+Training covers all training documents: id and word counts and gradients take every token. Each task trains on what it reads, the parameters are
 averaged, weighted by tokens; this goes in two rounds over different documents, so that the averaged models start from a common one. Nothing is bounded by a number of rows.
 
 The base: log10 of (c + 0.5) / (N + 0.5 * (V + 1)) over words and the end, by words' 64-bit hashes (see ``word_hashes``). The most frequent words, ``HEAD`` at the most, are looked
@@ -42,8 +42,8 @@ ROW_TOKENS = 8192
 WIDTH, HIDDEN, NODES, UPPER, OWN, SHARED = 16, 20, 1023, 63, 2048, 128
 #: Tokens that the counts of all ids weigh beside those after one token, at each unit.
 SMOOTH = 4.0
-#: Of so many windows of a training document one is trained on; windows of one step; of so many documents one is in the first round; rates of learning of the rounds.
-EVERY, STEP, FIRST, RATES = 16, 64, 4, (0.01, 0.005)
+#: Windows of one step; of so many documents one is in the first round; rates of learning of the rounds.
+STEP, FIRST, RATES = 256, 4, (0.01, 0.005)
 #: Words whose counts every task has, at the most.
 HEAD = 1_000_000
 #: Different words that a task counts up before it gives them out.
@@ -206,9 +206,11 @@ class Model:
 
     def forward(self, before: np.ndarray, after: np.ndarray) -> dict[str, np.ndarray]:
         """``before``, ``after``: the embeddings' numbers of each window's context and tokens (windows x tokens)."""
-        keys = np.concatenate([before, after], axis=1)
-        q, kv = self.q[after], self.kv[keys]
-        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+        return self.attended(self.kv[np.concatenate([before, after], axis=1)], after)
+
+    def attended(self, kv: np.ndarray, after: np.ndarray) -> dict[str, np.ndarray]:
+        """``forward`` from the keys and values of each window's context and tokens."""
+        q, k, v = self.q[after], kv[..., :WIDTH], kv[..., WIDTH:]
         e = np.matmul(q, k.transpose(0, 2, 1))
         np.minimum(e, 30, out=e)
         np.exp(e, out=e)
@@ -221,18 +223,23 @@ class Model:
         np.maximum(h, 0, out=h)
         z = h @ self.out
         z += self.shift
-        return {"keys": keys, "q": q, "k": k, "v": v[..., :WIDTH], "e": e, "total": total, "seen": flat, "h": h, "z": z}
+        return {"q": q, "k": k, "v": v[..., :WIDTH], "e": e, "total": total, "seen": flat, "h": h, "z": z}
 
     def odds(self, z: np.ndarray, last: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         """At each upper unit on the next ids' paths, how much likelier the other side is; about 0 where a path has no more of them."""
+        return self.odds_at(z, last, nexts)[0]
+
+    def odds_at(self, z: np.ndarray, last: np.ndarray, nexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``odds``, the places of these units in ``z``, and the paths' signs there."""
         high = self.high[nexts]
         value = self.log_odds.ravel()[last.astype(np.int32)[:, None] * self.log_odds.shape[1] + high]
         high += np.arange(len(z), dtype=np.int32)[:, None] * z.shape[1]
         value += z.ravel()[high]
-        value *= self.sign[nexts]
+        sign = self.sign[nexts]
+        value *= sign
         np.clip(value, -60, 60, out=value)
         np.negative(value, out=value)
-        return np.exp(value, out=value)
+        return np.exp(value, out=value), high, sign
 
     def lower(self, last: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         """The part of the next ids' log-probabilities that lies below the upper units."""
@@ -250,38 +257,59 @@ class Model:
 
     def gradients(self, before: np.ndarray, after: np.ndarray, nexts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The loss (negative log-probability) of a batch and its gradients, for each token."""
-        g, y, w = self.forward(before, after), nexts.ravel(), self.w
-        at, live = np.maximum(y, 0), (y >= 0)[:, None]
-        odds = self.odds(g["z"], after.ravel(), at)
-        count = max(1, int(live.sum()))
-        loss = float((np.log1p(odds) * live).sum() - self.lower(after.ravel(), at)[live[:, 0]].sum()) / count
-        upper = g["z"].shape[1] - 1
-        dz = np.zeros((len(y), upper + 1), np.float32)
-        np.put_along_axis(dz, self.high[at], -self.sign[at] * (odds / (1 + odds)) * live / np.float32(count), 1)
-        dz = dz[:, :-1]
-        out = {"unit": g["h"].T @ dz, "bias": dz.sum(axis=0)}
-        dh = (dz @ w["unit"].T) * (g["h"] > 0)
-        out |= {"hidden": dh.sum(axis=0), "seen": g["seen"].T @ dh}
+        count = max(1, int((nexts >= 0).sum()))
+        lines = np.stack([before, after], axis=1).reshape(-1, STRIDE)
+        live = np.stack([nexts, np.full_like(nexts, -1)], axis=1).reshape(-1, STRIDE)[:-1]
+        return -float(self.log_probabilities(before, after, nexts).sum()) / count, self.descent(lines, live, count)
+
+    def descent(self, lines: np.ndarray, nexts: np.ndarray, count: int) -> dict[str, np.ndarray]:
+        """The gradients of the loss over ``count``, where a window's context is the line before its own (lines x tokens; ``nexts`` from the second line on, negative: none)."""
+        after, y, w = lines[1:], nexts.ravel(), self.w
+        kv = np.ascontiguousarray(self.kv[lines])
+        # each line's keys and values, and those of the next one, lie together
+        g = self.attended(np.lib.stride_tricks.as_strided(kv, (len(after), 2 * STRIDE, kv.shape[2]), kv.strides, writeable=False), after)
+        odds, places, sign = self.odds_at(g["z"], after.ravel(), np.maximum(y, 0))
+        odds /= 1 + odds
+        odds *= sign
+        odds *= np.where(y >= 0, np.float32(-1 / count), np.float32(0))[:, None]
+        # the unit past the last, which missing ones are, has no weights
+        dz = np.zeros_like(g["z"])
+        dz.ravel()[places] = odds
+        out = {"unit": (g["h"].T @ dz)[:, :-1], "bias": (np.ones(len(dz), np.float32) @ dz)[:-1]}
+        dh = dz @ self.out.T
+        dh *= g["h"] > 0
+        out |= {"hidden": np.ones(len(dh), np.float32) @ dh, "seen": g["seen"].T @ dh}
         da = (dh @ w["seen"].T).reshape(-1, STRIDE, WIDTH)
-        p = g["e"] / g["total"]
-        dp = np.matmul(da, g["v"].transpose(0, 2, 1))
-        ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
+        p = g["e"]
+        p /= g["total"]
+        ds = np.matmul(da, g["v"].transpose(0, 2, 1))
+        # what a query gives to all its keys: their mean by p, which is what it attended to
+        ds -= np.einsum("wqd,wqd->wq", da, g["seen"].reshape(da.shape))[:, :, None]
+        ds *= p
         out["distance"] = np.bincount(np.maximum(_FAR, 0).ravel(), np.where(_FAR >= 0, ds.sum(axis=0), 0).ravel(), STRIDE + CONTEXT).astype(np.float32)
-        n = len(w["embedding"])
-        by_query = _summed(after.ravel(), np.concatenate([np.matmul(ds, g["k"]).reshape(-1, WIDTH), dh], axis=1), n)
-        by_key = _summed(g["keys"].ravel(), np.concatenate([np.matmul(ds.transpose(0, 2, 1), g["q"]).reshape(-1, WIDTH), np.matmul(p.transpose(0, 2, 1), da).reshape(-1, WIDTH)], axis=1), n)
-        parts = {"query": by_query[:, :WIDTH], "own": by_query[:, WIDTH:], "key": by_key[:, :WIDTH], "value": by_key[:, WIDTH:]}
+        # of each line's tokens: as queries, as the hidden layer's own, as keys and as values of two windows
+        rows = np.zeros((*lines.shape, 3 * WIDTH + HIDDEN), np.float32)
+        rows[1:, :, :WIDTH] = np.matmul(ds, g["k"])
+        rows[1:, :, WIDTH : WIDTH + HIDDEN] = dh.reshape(-1, STRIDE, HIDDEN)
+        for at, x in ((-2 * WIDTH, np.matmul(ds.transpose(0, 2, 1), g["q"])), (-WIDTH, np.matmul(p.transpose(0, 2, 1), da))):
+            part = rows[..., at : at + WIDTH or None]
+            part[:-1] += x[:, :STRIDE]
+            part[1:] += x[:, STRIDE:]
+        sums = _summed(lines.ravel(), rows.reshape(-1, rows.shape[2]), len(w["embedding"]))
+        parts = dict(zip(("query", "own", "key", "value"), np.split(sums, [WIDTH, WIDTH + HIDDEN, 2 * WIDTH + HIDDEN], axis=1), strict=True))
         out["embedding"] = sum(x @ w[name].T for name, x in parts.items())
         out |= {name: w["embedding"].T @ x for name, x in parts.items()}
-        return loss, out
+        return out
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows summed by their number."""
+    at = at.astype(np.uint16) if n < 1 << 16 else at  # 16 bits are sorted by radix
     order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     out = np.zeros((n, rows.shape[1]), np.float32)
-    out[at[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
+    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
     return out
 
 
@@ -462,7 +490,7 @@ def trained(table: DataFrame, model: Model, end: int, dtype: str, round_: int) -
     """The model after one round: tasks train on by themselves, then parameters are averaged."""
     shared = table.sparkSession.sparkContext.broadcast(model)
     first = F.pmod(F.xxhash64("row"), F.lit(FIRST)) == 0
-    rows = _training(table).where(first if round_ == 0 else ~first).select("ids", "skip", F.pmod(F.xxhash64("row", "skip"), F.lit(1 << 20)).alias("draw"))
+    rows = _training(table).where(first if round_ == 0 else ~first).select("ids", "skip")
     rate, total = RATES[round_], sum(x.size for x in model.w.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,24 +498,25 @@ def trained(table: DataFrame, model: Model, end: int, dtype: str, round_: int) -
         start = shared.value
         m = Model({k: x.copy() for k, x in start.w.items()}, start.tree, start.units, start.direct)
         adam, held, count, tokens = Adam(m.w, rate), [], 0, 0
+        none = np.full((1, STRIDE), -1)
 
         def step() -> int:
-            before, after, nexts = (np.concatenate(x) for x in zip(*held, strict=True))
+            lines, nexts = (np.concatenate(x) for x in zip(*held, strict=True))
+            n = int((nexts >= 0).sum())
             m.tables()
-            adam.step(m.gradients(before, after, nexts)[1])
+            adam.step(m.descent(lines, nexts[1:], n))
             held.clear()
-            return int((nexts >= 0).sum())
+            return n
 
         for batch in batches:
-            for row, skip, draw in zip(batch.column("ids").to_pylist(), batch.column("skip").to_pylist(), batch.column("draw").to_pylist(), strict=True):
+            for row, skip in zip(batch.column("ids").to_pylist(), batch.column("skip").to_pylist(), strict=True):
                 inputs, nexts = windows(np.frombuffer(row, dtype), skip, end)
-                inputs = m.units[inputs]
-                some = np.arange(draw % min(EVERY, len(nexts)), len(nexts), EVERY)
-                for a in range(0, len(some), STEP):
-                    w = some[a : a + STEP]
-                    held.append((inputs[w], inputs[w + 1], nexts[w]))
-                    count += len(w)
-                    if count >= STEP:
+                inputs, a = m.units[inputs], 0
+                while a < len(nexts):
+                    b = min(len(nexts), a + STEP - count)
+                    held.append((inputs[a : b + 1], np.concatenate([none, nexts[a:b]])))  # no token is to come after a first line's
+                    a, count = b, count + b - a
+                    if count == STEP:
                         tokens, count = tokens + step(), 0
         if held:
             tokens += step()

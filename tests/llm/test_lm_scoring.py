@@ -174,3 +174,17 @@ def test_held_out_texts_gain_from_training(spark):
         rows.append((i, " ".join(words)))
     held = [r for r in scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) if r["held_out"]]
     assert len(held) > 50 and sum(r["score"] for r in held) > 0.6 * sum(r["base_score"] for r in held)
+
+
+def test_every_window_is_trained_on(spark, model, encode):
+    """Each id of a training document moves its embedding, in whichever window and row of the table it stands; a round takes the documents that the other one doesn't."""
+    own = np.flatnonzero(model.units < L.OWN)
+    text = own[own != encode.end][:900].astype(encode.dtype)
+    stretches = [(0, text[:400]), (17, text[400 - 17 :])]
+    rounds = {r["first"]: r["id"] for r in spark.range(64).selectExpr("id", f"pmod(xxhash64(id), {L.FIRST}) = 0 as first").collect()}  # a document of each round
+    rows = [(r, False, bytearray(part.tobytes()), skip) for r in rounds.values() for skip, part in stretches]
+    table = spark.createDataFrame(rows, "row long, held_out boolean, ids binary, skip long").coalesce(1)
+    for round_ in (0, 1):
+        got = L.trained(table, model, encode.end, encode.dtype, round_)
+        moved = (np.abs(got.w["embedding"] - model.w["embedding"]) > 1e-3).any(axis=1)  # beyond rounding
+        assert moved[model.units[text[:-1]]].all()  # no id comes after the last one
