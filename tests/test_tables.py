@@ -162,3 +162,31 @@ def test_inference(spark):
     assert element_type("float32").simpleString() == "float"
     with pytest.raises(TypeError):
         element_type("complex64")
+
+
+def test_groups_of_larger_inputs_are_not_sorted(spark, monkeypatch):
+    """Cuts sought by counts give the groups of the ranks; where hashes are equal, and for null, text and nested keys too. Repeated keys raise."""
+    from millrace.operators import groups as G
+
+    def same(df, key):
+        one, two = ([*generate_groups(df, [0.2, 0, 0.5, 0.3], key, 7, small=s).collect()] for s in (1 << 30, -1))
+        assert sorted(one, key=str) == sorted(two, key=str) and len(one) == df.count()
+        one, two = (generate_many(df, 3, [0.25, 0.25], [0.5], key, 7, small=s) for s in (1 << 30, -1))
+        assert one.columns == two.columns and sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
+
+    odd = spark.createDataFrame([(None,), ("",), ("a",), ("é",), ("b'\"",)], "key string").union(spark.range(500).selectExpr("cast(id as string)"))
+    nested = spark.range(60).selectExpr("named_struct('a', id % 7, 'b', array(id)) as key")
+    same(odd, "key")
+    same(spark.range(0), "id")
+    monkeypatch.setattr(G, "numbered", None)  # no ranking of rows
+    G.generate_many(odd, 2, [1], [1], "key", small=-1).collect()
+    monkeypatch.undo()
+    few = lambda seed, *path: F.length(F.concat(*(p.cast("string") for p in path)))
+    monkeypatch.setattr(G, "bits", lambda seed, *path: F.coalesce(few(seed, *path), F.lit(0)).cast("long") % 3)
+    for df, key in ((odd, "key"), (nested, "key"), (spark.range(1000), "id")):
+        same(df, key)
+    monkeypatch.undo()
+    for df in (spark.range(50).union(spark.range(1)), odd.union(spark.createDataFrame([(None,)], "key string"))):
+        for small in (1 << 30, -1):
+            with pytest.raises(Exception, match="repeat"):
+                generate_groups(df, [1, 1], df.columns[0], small=small).collect()
