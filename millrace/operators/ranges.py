@@ -78,6 +78,28 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[s
     return out.select(*(F.col(f"r.{c}") for c in df.columns), *(both(v).alias(name) for v, name in zip(values, sums, strict=True)), *place)
 
 
+def interval_sums(windows: DataFrame, points: DataFrame, key: str, interval: tuple[str, str], at: str, sums: dict[str, str], number: str = "n") -> DataFrame:
+    """For each ``key`` of ``windows`` that has any, how many of the ``points`` lie in its intervals, from the first end up to but without the second, and the sums of columns of whole numbers over them.
+
+    As from a join, but without its pairs: points are counted and summed by place, these run on over all places, and an interval has what its second end has more than its first. So the work is that of
+    sorting the rows, however many points intervals hold. Null points, intervals with a null end and those whose end isn't after their start have nothing; rows of one key are added up; null values add
+    nothing, and a sum without any value is null.
+    """
+    names = {f"_s{i}": c for i, c in enumerate(sums.values())}
+    whole, none = "decimal(38,0)", F.lit(None)  # sums over all places may need more than 64 bits where an interval's doesn't
+    counted = {"_n": F.count("*"), **{c: F.sum(F.col(v).cast(whole)).cast(whole) for c, v in names.items()}, **{f"{c}n": F.count(v) for c, v in names.items()}}
+    places = points.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("long").alias("_place")).agg(*(c.alias(n) for n, c in counted.items()))
+    low, high = (F.col(c).cast("long") for c in interval)
+    ends = F.explode(F.array(F.struct(low.alias("_place"), F.lit(-1).alias("_sign")), F.struct(high.alias("_place"), F.lit(1).alias("_sign"))))
+    edges = windows.where(low < high).select(F.col(key).alias("_key_"), ends.alias("_e")).select("_e._place", "_e._sign", "_key_")
+    # at one place the ends come first: the second one doesn't belong to an interval, the first one does
+    both = places.select("_place", F.lit(0).alias("_sign"), none.cast(windows.schema[key].dataType).alias("_key_"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_mix"), *counted)
+    both = both.unionByName(edges.select("*", F.lit(0).alias("_side"), F.xxhash64("_key_", "_sign").alias("_mix"), *(none.cast(places.schema[c].dataType).alias(c) for c in counted)))
+    rows = running(both, [], ["_place", "_side", "_mix"], {f"{c}r": F.col(c) for c in counted}).where("_side = 0")
+    rows = rows.groupBy(F.col("_key_").alias(key)).agg(*(F.sum(F.coalesce(F.col(f"{c}r"), F.lit(0)).cast(whole) * F.col("_sign")).alias(c) for c in counted)).where("_n > 0")
+    return rows.select(key, F.col("_n").cast("long").alias(number), *(F.when(F.col(f"{c}n") > 0, F.col(c)).cast("long").alias(name) for c, name in zip(names, sums, strict=True)))
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, str]], k: int, rank: str = "rank", held: int = HELD) -> DataFrame:
     """The first ``k`` rows of each group, with their places from 1. ``order``: columns, each with ``ascending`` or ``descending``; nulls come last. Together with ``by`` they must tell rows apart, or ties are cut anywhere.
 

@@ -77,9 +77,8 @@ def range_events_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of the hour after each error, without a key to join on."""
     e = events(spark, sf_dir)
     windows = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.unix_micros("ts").alias("a"), (F.unix_micros("ts") + 3_600_000_000).alias("b"))
-    points = e.select("event_id", F.unix_micros("ts").alias("at"), (F.unix_micros("ts") + 1).alias("after"))
-    out = interval_join(windows, points, ("a", "b"), ("at", "after"), closed=False)
-    return out.groupBy("error_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    points = e.select("event_id", F.unix_micros("ts").alias("at"))
+    return ranges.interval_sums(windows, points, "error_id", ("a", "b"), "at", {"ids": "event_id"})
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,37 @@ def test_quantile_sketches(spark):
     assert K.quantile_sketch(d.where("v is null"), [], "v").select(K.quantile("sketch", 0.5)).first()[0] is None
     with pytest.raises(Exception, match="finite"):
         K.quantile_sketch(spark.sql("select double('nan') as v"), [], "v").collect()
+
+
+def test_interval_sums(spark):
+    """Against loops: equal places, keys that repeat, empty and backward intervals, nulls, values near the limits of 64 bits."""
+    rng = random.Random(3)
+    big = (1 << 63) - 1
+    points = [(rng.choice([None, *range(-20, 20)]), rng.choice([None, 0, 1, -5])) for _ in range(300)] + [(30 + i, big) for i in range(5)] + [(40, None)]
+    windows = [(rng.choice([None, "a", "b", *map(str, range(40))]), rng.choice([None, *range(-25, 25)]), rng.choice([None, *range(-25, 25)])) for _ in range(200)]
+    windows += [("one", 34, 35), ("none", 40, 41), ("empty", 100, 200)]
+    want = {}
+    for k, a, b in windows:
+        for at, v in points:
+            if None not in (a, b, at) and a <= at < b:
+                n, s = want.get(k, (0, None))
+                want[k] = n + 1, s if v is None else (s or 0) + v
+    w, p = spark.createDataFrame(windows, "k string, a long, b long").repartition(3), spark.createDataFrame(points, "at long, v long").repartition(3)
+    got = R.interval_sums(w, p, "k", ("a", "b"), "at", {"s": "v"}).collect()
+    assert {r["k"]: (r["n"], r["s"]) for r in got} == want and len(got) == len(want) and want["one"] == (1, big) and want["none"] == (1, None)
+    assert R.interval_sums(w.limit(0), p, "k", ("a", "b"), "at", {"s": "v"}).collect() == [] == R.interval_sums(w, p.limit(0), "k", ("a", "b"), "at", {}).collect()
+    # ten billion pairs at one place
+    many = spark.range(100_000).selectExpr("id", "7L as a", "8L as b")
+    got = R.interval_sums(many, many, "id", ("a", "b"), "a", {"s": "id"}).agg(F.count("*"), F.min("n"), F.max("s"), F.min("s")).first()
+    assert tuple(got) == (100_000, 100_000, 4_999_950_000, 4_999_950_000)
+    cleanup(spark)
+
+
+def test_range_events_errors_makes_no_pairs(spark, tmp_path):
+    """Very many errors and events in one hour."""
+    from millrace.plans.relational import range_events_errors
+
+    spark.range(60_000).selectExpr("id as event_id", "timestamp_seconds(id % 100) as ts", "0L as user_id", "'error' as event_type", "0D as value", "'' as props").write.parquet(str(tmp_path / "events.parquet"))
+    got = range_events_errors(spark, str(tmp_path))
+    assert got.columns == ["error_id", "n", "ids"] and got.agg(F.count("*"), F.sum("n"), F.sum("ids")).first()[:2] == (60_000, 600 * 600 * 100 * 101 // 2)
+    cleanup(spark)
