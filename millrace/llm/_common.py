@@ -150,6 +150,18 @@ def trim_memory() -> None:
         trim(0)
 
 
+#: Bytes that a worker keeps when it frees them, and of an array up to which this goes.
+KEPT, KEPT_ARRAY = 64 << 20, 32 << 20
+
+
+def keep_freed() -> None:
+    """Lets this worker use freed memory again for the arrays of its next step; each step would otherwise give it back to the system and take it page by page."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option:
+        option(-3, KEPT_ARRAY)  # M_MMAP_THRESHOLD
+        option(-1, KEPT)  # M_TRIM_THRESHOLD
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str, most: int = CHUNK_BYTES, memos: bool = False) -> DataFrame:
     """``mapInArrow`` in slices of bounded bytes; ``make`` is called once a task and gives the slice function. ``memos``: those of earlier tasks are wanted."""
 

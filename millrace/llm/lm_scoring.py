@@ -21,7 +21,10 @@ counts are 0. Other columns don't matter, whatever they are called.
 
 from __future__ import annotations
 
+import copy
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import SLICE, _memos, buffer_of, chunks, id_type, in_few_tasks, pick, release, table_rows, table_sum, vocabulary, word_hashes, written
-from millrace.llm.bpe import Memo
-from millrace.llm.token_counts import Lengths
+from millrace.llm._common import SLICE, buffer_of, chunks, id_type, in_few_tasks, keep_freed, pick, release, table_rows, table_sum, vocabulary, word_hashes, written
+from millrace.llm.bpe import WHITE
+from millrace.llm.token_counts import lengths
 
 #: Tokens of a window, of the context before it, and of a row of the table of ids.
 STRIDE = CONTEXT = 16
@@ -50,26 +53,30 @@ HEAD = 1_000_000
 ENTRIES = 1 << 20
 #: Parts of a unit in which parameters are summed.
 UNIT = 2.0**-10
-#: Windows that are scored at once, and tokens that are counted at once.
-BATCH, COUNTED = 1024, 1 << 20
+#: Windows that are scored at once, tokens that are counted at once, and characters of a text that are encoded at once.
+BATCH, COUNTED, PART = 1024, 1 << 20, 1 << 20
 
 
 # --- subword ids
 
 
 class Ids:
-    """Ids of a text under a tiktoken vocabulary, as bytes (unsigned, 16 bits if they suffice), remembered for spans that no token reaches over."""
+    """Ids of a text under a tiktoken vocabulary (unsigned, 16 bits if they suffice). Very long texts are encoded in parts, cut before white space, where no token of the pattern reaches over."""
 
     def __init__(self, path: str):
-        self.cut = Lengths(path)
-        self.end = self.cut.encoding.n_vocab
-        self.dtype = "<u2" if self.end < 1 << 16 else "<u4"
-        self.known = Memo(lambda x: np.array(self.cut.encoding.encode_ordinary(x), self.dtype).tobytes())
-        _memos.append(self.known.empty)
+        self.encoding = lengths(path).encoding
+        self.end = self.encoding.n_vocab
+        self.dtype, self.code = ("<u2", "H") if self.end < 1 << 16 else ("<u4", "I")
+        self.edge = re.compile(f"[^{WHITE}][{WHITE}]").search
 
     def of(self, text: str) -> np.ndarray:
-        spans = self.cut.ascii(text) if text.isascii() else self.cut.wide(text)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, spans)), self.dtype)
+        out, a = array(self.code), 0
+        while len(text) - a > PART and (found := self.edge(text, a + PART)):
+            b = found.start() + 1
+            out.extend(array(self.code, self.encoding.encode_ordinary(text[a:b])))
+            a = b
+        out.extend(array(self.code, self.encoding.encode_ordinary(text[a:])))
+        return np.frombuffer(out, self.dtype)
 
 
 @lru_cache(2)
@@ -192,38 +199,45 @@ class Model:
             for u, sign in zip(tree.path[i].tolist(), tree.sign[i].tolist(), strict=True):
                 if sign and u >= n:
                     self.rest[:, g] -= np.log1p(np.exp(-sign * direct[:, u]))
+        self.places = np.arange(len(direct) * WIDTH).reshape(-1, WIDTH)
         self.tables()
 
     def tables(self) -> None:
         """What depends on a token's embedding alone, for every embedding at once."""
         w = self.w
         e = w["embedding"]
-        self.q, self.x = e @ w["query"], e @ w["own"] + w["hidden"]
-        self.kv = np.concatenate([e @ w["key"], e @ w["value"], np.ones((len(e), 1), np.float32)], axis=1)
+        self.q, self.k, self.v, self.x = e @ w["query"], e @ w["key"], e @ w["value"], e @ w["own"] + w["hidden"]
         none = np.zeros((HIDDEN, 1), np.float32)
-        self.out, self.shift = np.concatenate([w["unit"], none], axis=1), np.concatenate([w["bias"], none[0]])
+        self.out, self.level = np.concatenate([w["unit"], none], axis=1), self.log_odds + np.concatenate([w["bias"], none[0]])
         self.mask = np.where(_FAR >= 0, np.exp(w["distance"])[np.maximum(_FAR, 0)], 0).astype(np.float32)
 
     def forward(self, before: np.ndarray, after: np.ndarray) -> dict[str, np.ndarray]:
         """``before``, ``after``: the embeddings' numbers of each window's context and tokens (windows x tokens)."""
-        return self.attended(self.kv[np.concatenate([before, after], axis=1)], after)
+        both = np.concatenate([before, after], axis=1)
+        return self.attended(self.k.take(both, axis=0), self.v.take(both, axis=0), after)
 
-    def attended(self, kv: np.ndarray, after: np.ndarray) -> dict[str, np.ndarray]:
-        """``forward`` from the keys and values of each window's context and tokens."""
-        q, k, v = self.q[after], kv[..., :WIDTH], kv[..., WIDTH:]
+    def along(self, lines: np.ndarray) -> dict[str, np.ndarray]:
+        """``forward`` where a window's context is the line before its own (lines x tokens), for the lines from the second one on."""
+
+        def two(x: np.ndarray) -> np.ndarray:  # each line's rows, and those of the next one, lie together
+            return np.lib.stride_tricks.as_strided(x, (len(lines) - 1, 2 * STRIDE, WIDTH), x.strides, writeable=False)
+
+        return self.attended(two(self.k.take(lines, axis=0)), two(self.v.take(lines, axis=0)), lines[1:])
+
+    def attended(self, k: np.ndarray, v: np.ndarray, after: np.ndarray) -> dict[str, np.ndarray]:
+        """``forward`` from the keys and values of each window's context and tokens; ``z`` is without the units' own levels."""
+        q = self.q.take(after, axis=0)
         e = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(e, 30, out=e)
+        np.clip(e, -87, 30, out=e)
         np.exp(e, out=e)
         e *= self.mask
-        seen = np.matmul(e, v)
-        total = seen[..., WIDTH:]
-        flat = (seen[..., :WIDTH] / total).reshape(-1, WIDTH)
-        h = flat @ self.w["seen"]
-        h += self.x[after.ravel()]
+        total = (e.reshape(-1, e.shape[2]) @ np.ones(e.shape[2], np.float32))[:, None]
+        seen = np.matmul(e, v).reshape(-1, WIDTH)
+        seen /= total
+        h = seen @ self.w["seen"]
+        h += self.x.take(after.ravel(), axis=0)
         np.maximum(h, 0, out=h)
-        z = h @ self.out
-        z += self.shift
-        return {"q": q, "k": k, "v": v[..., :WIDTH], "e": e, "total": total, "seen": flat, "h": h, "z": z}
+        return {"q": q, "k": k, "v": v, "e": e, "total": total, "seen": seen, "h": h, "z": h @ self.out}
 
     def odds(self, z: np.ndarray, last: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         """At each upper unit on the next ids' paths, how much likelier the other side is; about 0 where a path has no more of them."""
@@ -231,11 +245,11 @@ class Model:
 
     def odds_at(self, z: np.ndarray, last: np.ndarray, nexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``odds``, the places of these units in ``z``, and the paths' signs there."""
-        high = self.high[nexts]
-        value = self.log_odds.ravel()[last.astype(np.int32)[:, None] * self.log_odds.shape[1] + high]
+        high = self.high.take(nexts, axis=0)
+        value = self.level.take(last.astype(np.int32)[:, None] * self.level.shape[1] + high)
         high += np.arange(len(z), dtype=np.int32)[:, None] * z.shape[1]
-        value += z.ravel()[high]
-        sign = self.sign[nexts]
+        value += z.take(high)
+        sign = self.sign.take(nexts, axis=0)
         value *= sign
         np.clip(value, -60, 60, out=value)
         np.negative(value, out=value)
@@ -243,18 +257,32 @@ class Model:
 
     def lower(self, last: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         """The part of the next ids' log-probabilities that lies below the upper units."""
-        return self.tree.below[nexts] + self.rest.ravel()[last.astype(np.int64) * self.rest.shape[1] + self.subtree[nexts]]
+        return self.tree.below.take(nexts) + self.rest.take(last.astype(np.int64) * self.rest.shape[1] + self.subtree.take(nexts))
 
     def log_probabilities(self, before: np.ndarray, after: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of each window's next ids; 0 where ``nexts`` is negative."""
-        y, last = nexts.ravel(), after.ravel()
+        return self.logs_from(self.forward(before, after)["z"], after.ravel(), nexts.ravel())
+
+    def logs_from(self, z: np.ndarray, last: np.ndarray, y: np.ndarray) -> np.ndarray:
         at = np.maximum(y, 0)
-        odds = self.odds(self.forward(before, after)["z"], last, at)
+        odds = self.odds(z, last, at)
         odds += 1
-        # the product of 10 factors of up to e^60 has its place in a double
-        steps = sum(np.log(np.multiply.reduce(odds[:, k : k + 10], axis=1, dtype=np.float64)) for k in range(0, odds.shape[1], 10))
+        steps = np.zeros(len(odds))
+        for k in range(0, odds.shape[1], 10):  # the product of 10 factors of up to e^60 has its place in a double
+            product = odds[:, k].astype(np.float64)
+            for j in range(k + 1, min(k + 10, odds.shape[1])):
+                product *= odds[:, j]
+            steps += np.log(product)
         return np.where(y >= 0, self.lower(last, at) - steps, 0)
 
+    def line_logs(self, lines: np.ndarray, nexts: np.ndarray) -> np.ndarray:
+        """``log_probabilities`` summed for each line from the second one on, whose context is the line before (``nexts`` from the second line on, negative: none)."""
+        out = [np.zeros(0)]
+        for a in range(0, len(nexts), STEP):  # so many at once stay in the processor's cache
+            part, y = lines[a : a + STEP + 1], nexts[a : a + STEP].ravel()
+            out.append(self.logs_from(self.along(part)["z"], part[1:].ravel(), y).reshape(-1, STRIDE).sum(axis=1))
+        return np.concatenate(out)
+
     def gradients(self, before: np.ndarray, after: np.ndarray, nexts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The loss (negative log-probability) of a batch and its gradients, for each token."""
         count = max(1, int((nexts >= 0).sum()))
@@ -264,66 +292,80 @@ class Model:
 
     def descent(self, lines: np.ndarray, nexts: np.ndarray, count: int) -> dict[str, np.ndarray]:
         """The gradients of the loss over ``count``, where a window's context is the line before its own (lines x tokens; ``nexts`` from the second line on, negative: none)."""
-        after, y, w = lines[1:], nexts.ravel(), self.w
-        kv = np.ascontiguousarray(self.kv[lines])
-        # each line's keys and values, and those of the next one, lie together
-        g = self.attended(np.lib.stride_tricks.as_strided(kv, (len(after), 2 * STRIDE, kv.shape[2]), kv.strides, writeable=False), after)
-        odds, places, sign = self.odds_at(g["z"], after.ravel(), np.maximum(y, 0))
+        y, w = nexts.ravel(), self.w
+        g = self.along(lines)
+        odds, places, sign = self.odds_at(g["z"], lines[1:].ravel(), np.maximum(y, 0))
         odds /= 1 + odds
         odds *= sign
         odds *= np.where(y >= 0, np.float32(-1 / count), np.float32(0))[:, None]
         # the unit past the last, which missing ones are, has no weights
-        dz = np.zeros_like(g["z"])
+        dz = g["z"]
+        dz.fill(0)
         dz.ravel()[places] = odds
-        out = {"unit": (g["h"].T @ dz)[:, :-1], "bias": (np.ones(len(dz), np.float32) @ dz)[:-1]}
+        ones = np.ones(len(dz), np.float32)
+        out = {"unit": (g["h"].T @ dz)[:, :-1], "bias": (ones @ dz)[:-1]}
         dh = dz @ self.out.T
         dh *= g["h"] > 0
-        out |= {"hidden": np.ones(len(dh), np.float32) @ dh, "seen": g["seen"].T @ dh}
+        out |= {"hidden": ones @ dh, "seen": g["seen"].T @ dh}
         da = (dh @ w["seen"].T).reshape(-1, STRIDE, WIDTH)
         p = g["e"]
-        p /= g["total"]
+        p /= g["total"].reshape(-1, STRIDE, 1)
         ds = np.matmul(da, g["v"].transpose(0, 2, 1))
         # what a query gives to all its keys: their mean by p, which is what it attended to
         ds -= np.einsum("wqd,wqd->wq", da, g["seen"].reshape(da.shape))[:, :, None]
         ds *= p
-        out["distance"] = np.bincount(np.maximum(_FAR, 0).ravel(), np.where(_FAR >= 0, ds.sum(axis=0), 0).ravel(), STRIDE + CONTEXT).astype(np.float32)
+        far = (np.ones(len(ds), np.float32) @ ds.reshape(len(ds), -1)).reshape(_FAR.shape)
+        out["distance"] = np.bincount(np.maximum(_FAR, 0).ravel(), np.where(_FAR >= 0, far, 0).ravel(), STRIDE + CONTEXT).astype(np.float32)
         # of each line's tokens: as queries, as the hidden layer's own, as keys and as values of two windows
-        rows = np.zeros((*lines.shape, 3 * WIDTH + HIDDEN), np.float32)
-        rows[1:, :, :WIDTH] = np.matmul(ds, g["k"])
-        rows[1:, :, WIDTH : WIDTH + HIDDEN] = dh.reshape(-1, STRIDE, HIDDEN)
-        for at, x in ((-2 * WIDTH, np.matmul(ds.transpose(0, 2, 1), g["q"])), (-WIDTH, np.matmul(p.transpose(0, 2, 1), da))):
-            part = rows[..., at : at + WIDTH or None]
+        rows = {"query": np.matmul(ds, g["k"]).reshape(-1, WIDTH), "own": dh}
+        for name, x in (("key", np.matmul(ds.transpose(0, 2, 1), g["q"])), ("value", np.matmul(p.transpose(0, 2, 1), da))):
+            part = np.empty((*lines.shape, WIDTH), np.float32)
+            part[0] = 0
+            part[1:] = x[:, STRIDE:]
             part[:-1] += x[:, :STRIDE]
-            part[1:] += x[:, STRIDE:]
-        sums = _summed(lines.ravel(), rows.reshape(-1, rows.shape[2]), len(w["embedding"]))
-        parts = dict(zip(("query", "own", "key", "value"), np.split(sums, [WIDTH, WIDTH + HIDDEN, 2 * WIDTH + HIDDEN], axis=1), strict=True))
-        out["embedding"] = sum(x @ w[name].T for name, x in parts.items())
-        out |= {name: w["embedding"].T @ x for name, x in parts.items()}
+            rows[name] = part.reshape(-1, WIDTH)
+        at = lines.ravel()
+        e = w["embedding"].take(at, axis=0)
+        out |= {name: e[len(e) - len(x) :].T @ x for name, x in rows.items()}
+        de = rows["key"] @ w["key"].T
+        de += rows["value"] @ w["value"].T
+        de[STRIDE:] += rows["query"] @ w["query"].T
+        de[STRIDE:] += dh @ w["own"].T
+        # summed by embedding
+        places = self.places.take(at, axis=0)
+        out["embedding"] = np.bincount(places.ravel(), de.ravel(), self.places.size).reshape(self.places.shape)
         return out
 
 
-def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows summed by their number."""
-    at = at.astype(np.uint16) if n < 1 << 16 else at  # 16 bits are sorted by radix
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
-
-
 class Adam:
-    def __init__(self, w: dict[str, np.ndarray], rate: float):
-        self.w, self.rate, self.t = w, rate, 0
-        self.m, self.s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    """Steps of parameters that lie one after the other in ``flat``."""
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.flat, self.rate, self.t = flat, rate, 0
+        self.m, self.s, self.free = (np.zeros_like(flat) for _ in range(3))
+
+    def step(self, g: np.ndarray) -> None:
         self.t += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.s[k] += 0.01 * (x * x - self.s[k])
-            self.w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-8)
+        x = self.free
+        np.subtract(g, self.m, out=x)
+        x *= np.float32(0.1)
+        self.m += x
+        np.multiply(g, g, out=x)
+        x -= self.s
+        x *= np.float32(0.01)
+        self.s += x
+        np.multiply(self.s, np.float32(1 / (1 - 0.99**self.t)), out=x)
+        np.sqrt(x, out=x)
+        x += np.float32(1e-8)
+        np.divide(self.m, x, out=x)
+        x *= np.float32(self.rate / (1 - 0.9**self.t))
+        self.flat -= x
+
+
+def parted(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Views of parameters that lie one after the other, of the shapes of others."""
+    ends = np.cumsum([x.size for x in like.values()])
+    return {k: flat[end - x.size : end].reshape(x.shape) for (k, x), end in zip(like.items(), ends.tolist(), strict=True)}
 
 
 def windows(row: np.ndarray, skip: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,6 +398,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        keep_freed()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -420,6 +463,7 @@ def encoded(docs: DataFrame, base: Base, path: str, kind: str) -> DataFrame:
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "ids", "skip", "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         known, encode = shared.value, ids(path)
         end = np.array([encode.end], encode.dtype)
 
@@ -477,8 +521,13 @@ def id_counts(table: DataFrame, size: int, dtype: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(_whole(size), np.int64)
         for batch in batches:
-            for row, skip in zip(batch.column("ids").to_pylist(), batch.column("skip").to_pylist(), strict=True):
-                counts += np.bincount(np.frombuffer(row, dtype)[skip:], minlength=len(counts))
+            found, n = [], 0
+            for k, (row, skip) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("skip").to_pylist(), strict=True)):
+                found.append(np.frombuffer(row, dtype)[skip:])
+                n += len(found[-1])
+                if n > COUNTED or k + 1 == batch.num_rows:
+                    counts += np.bincount(np.concatenate(found), minlength=len(counts))
+                    found, n = [], 0
         if counts.any():
             yield table_rows(counts, "<i8")
 
@@ -495,23 +544,27 @@ def trained(table: DataFrame, model: Model, end: int, dtype: str, round_: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        keep_freed()
         start = shared.value
-        m = Model({k: x.copy() for k, x in start.w.items()}, start.tree, start.units, start.direct)
-        adam, held, count, tokens = Adam(m.w, rate), [], 0, 0
+        m = copy.copy(start)
+        w = np.concatenate([x.ravel() for x in start.w.values()])
+        m.w = parted(w, start.w)
+        adam, held, count, tokens = Adam(w, rate), [], 0, 0
         none = np.full((1, STRIDE), -1)
 
         def step() -> int:
             lines, nexts = (np.concatenate(x) for x in zip(*held, strict=True))
             n = int((nexts >= 0).sum())
             m.tables()
-            adam.step(m.descent(lines, nexts[1:], n))
+            g = m.descent(lines, nexts[1:], n)
+            adam.step(np.concatenate([g[k].ravel() for k in m.w], dtype=np.float32, casting="same_kind"))
             held.clear()
             return n
 
         for batch in batches:
             for row, skip in zip(batch.column("ids").to_pylist(), batch.column("skip").to_pylist(), strict=True):
                 inputs, nexts = windows(np.frombuffer(row, dtype), skip, end)
-                inputs, a = m.units[inputs], 0
+                inputs, a = m.units.take(inputs), 0
                 while a < len(nexts):
                     b = min(len(nexts), a + STEP - count)
                     held.append((inputs[a : b + 1], np.concatenate([none, nexts[a:b]])))  # no token is to come after a first line's
@@ -522,18 +575,14 @@ def trained(table: DataFrame, model: Model, end: int, dtype: str, round_: int) -
             tokens += step()
         if tokens:
             flat = np.zeros(_whole(total + 1))
-            flat[:total] = np.concatenate([x.ravel() for x in m.w.values()])
+            flat[:total] = w
             flat[total] = 1
             yield table_rows(flat * tokens, "<f8")
 
     sums = _collected(table_sum(in_few_tasks(rows).mapInArrow(run, "slice int, counts binary"), "<f8", unit=UNIT), total + 1, "<i8")
     if not sums[total]:
         return model
-    flat, at, w = (sums[:total] / sums[total]).astype(np.float32), 0, {}
-    for k, x in model.w.items():
-        w[k] = flat[at : at + x.size].reshape(x.shape)
-        at += x.size
-    return Model(w, model.tree, model.units, model.direct)
+    return Model(parted((sums[:total] / sums[total]).astype(np.float32), model.w), model.tree, model.units, model.direct)
 
 
 def pair_counts(table: DataFrame, units: np.ndarray, subtree: np.ndarray, end: int, dtype: str) -> np.ndarray:
@@ -582,7 +631,8 @@ def row_scores(table: DataFrame, model: Model, end: int, dtype: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        m = shared.value
+        keep_freed()
+        m, none = shared.value, np.full((1, STRIDE), -1)
         for batch in batches:
             rows = list(zip(batch.column("ids").to_pylist(), batch.column("skip").to_pylist(), strict=True))
             place: dict[tuple[bytes, int], int] = {}
@@ -590,12 +640,12 @@ def row_scores(table: DataFrame, model: Model, end: int, dtype: str) -> DataFram
             scores, held, count = [], [], 0
             for k, (row, skip) in enumerate(place):
                 inputs, nexts = windows(np.frombuffer(row, dtype), skip, end)
-                held.append((m.units[inputs], nexts))
-                count += len(nexts)
+                held.append((m.units.take(inputs), np.concatenate([none, nexts])))  # no token is to come after a first line's
+                count += len(inputs)
                 if count < BATCH and k + 1 < len(place):
                     continue
-                before, after = np.concatenate([i[:-1] for i, _ in held]), np.concatenate([i[1:] for i, _ in held])
-                got = m.log_probabilities(before, after, np.concatenate([n for _, n in held])).reshape(-1, STRIDE).sum(axis=1)
+                lines, nexts = (np.concatenate(x) for x in zip(*held, strict=True))
+                got = np.concatenate([[0], m.line_logs(lines, nexts[1:])])
                 edges = np.cumsum([0] + [len(n) for _, n in held])
                 scores.append(np.add.reduceat(got, edges[:-1]) / np.log(10))
                 held, count = [], 0

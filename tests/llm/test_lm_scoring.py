@@ -1,5 +1,7 @@
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -188,3 +190,51 @@ def test_every_window_is_trained_on(spark, model, encode):
         got = L.trained(table, model, encode.end, encode.dtype, round_)
         moved = (np.abs(got.w["embedding"] - model.w["embedding"]) > 1e-3).any(axis=1)  # beyond rounding
         assert moved[model.units[text[:-1]]].all()  # no id comes after the last one
+
+
+def test_long_texts_are_encoded_in_parts(encode, monkeypatch):
+    """Cuts before white space change no id, wherever they fall."""
+    texts = [" a  b\n\n c d'll x\u00a0y \u2003 z  ", "x" * 90, " " * 90, "\u65e5\u672c \u8a9e\t\t1 22  333 !?\r\n" * 7, "", "a", "don't  \x1c\x85 stop " * 9]
+    for part in (1, 2, 7, 50):
+        monkeypatch.setattr(L, "PART", part)
+        for t in texts:
+            assert encode.of(t).tolist() == encode.encoding.encode_ordinary(t)
+
+
+def test_lines_equal_windows(model):
+    """A line's log-probability is that of its window with the line before, over the edge of a block of lines too."""
+    rng = np.random.default_rng(3)
+    lines = rng.integers(0, len(model.direct), (2 * L.STEP + 20, L.STRIDE))
+    nexts = rng.choice(np.argsort(model.tree.below)[-500:], (len(lines) - 1, L.STRIDE))
+    nexts[::5, 3:] = -1
+    want = model.log_probabilities(lines[:-1], lines[1:], nexts).reshape(-1, L.STRIDE).sum(axis=1)
+    assert np.allclose(model.line_logs(lines, nexts), want, atol=1e-3) and (nexts[0, :3] >= 0).all()
+
+
+STEPS = """
+import resource
+import numpy as np
+from millrace.llm import lm_scoring as L
+from millrace.llm._common import keep_freed
+
+rng = np.random.default_rng(1)
+tree = L.huffman(rng.integers(0, 1000, 3000) ** 2, L.NODES)
+direct = np.zeros((L.OWN + L.SHARED, len(tree.first)), np.float32)
+m = L.Model(L.first_parameters(len(direct), tree.upper()), tree, np.arange(3000) % len(direct), direct)
+lines, nexts = rng.integers(0, len(direct), (L.STEP + 1, L.STRIDE)), rng.integers(0, 3000, (L.STEP, L.STRIDE))
+keep_freed()
+for k in range(30):
+    if k == 10:
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    m.tables()
+    m.descent(lines, nexts, nexts.size)
+    m.line_logs(lines, nexts)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 20)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="mallopt is glibc's")
+def test_steps_use_their_memory_again():
+    """A step of training and one of scoring take few new pages from the system: these were a third of the work (1,300 pages a step)."""
+    pages = float(subprocess.run([sys.executable, "-c", STEPS], capture_output=True, text=True, check=True, timeout=120).stdout)
+    assert pages < 100
